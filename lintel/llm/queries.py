@@ -11,8 +11,14 @@ def op1_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"), width=50).drop("kept")
 
 
+def op7_simhash(spark, sf_dir):
+    from lintel.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), ngram=3, bits=64, width=64, budget=3, similarity=None)
+
+
 def queries():
-    return {"op1_substring_dedup": op1_substring_dedup}
+    return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
