@@ -59,6 +59,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def long_id(docs: DataFrame) -> "F.Column":
+    """doc_id as a long; a column that is one already stays as it is, so that equal scans remain equal plans."""
+    return F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+
+
 def row_key() -> "F.Column":
     """Tells rows of one doc_id with different texts apart; equal rows share it, and so their results."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

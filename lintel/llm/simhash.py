@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import mix, saved
+from lintel.llm.common import long_id, mix, saved
 
 #: Node pairs with at most so many value pairs are compared outright.
 LEAF = 64
@@ -82,7 +82,7 @@ def _fingerprint_batches(ngram: int, lanes: int):
 
 def fingerprints(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
     """doc_id and fp, an array of bits/64 longs. No words: all zero."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint_batches(ngram, bits // 64), "doc_id long, fp array<long>")
+    return docs.select(long_id(docs), "text").mapInArrow(_fingerprint_batches(ngram, bits // 64), "doc_id long, fp array<long>")
 
 
 def _merge(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import Rolling, Words, mix, row_key, saved, steps, text_bytes
+from lintel.llm.common import Rolling, Words, long_id, mix, row_key, saved, steps, text_bytes
 
 #: Rounds of renaming; a symbol stands for about (4/3)^rounds words.
 ROUNDS = 4
@@ -211,7 +211,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     neither lose words nor take any. Rows that share a doc_id are judged each on its own and never against each
     other. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), row_key().alias("key"))
+    docs = docs.select(long_id(docs), "text", row_key().alias("key"))
     known = docs.where("doc_id is not null")
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
     digests = known.select("doc_id", "key", digest.alias("digest"))
@@ -222,8 +222,11 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     shared = spots.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     found = spots.join(shared, "anchor").join(copies, ["doc_id", "key"], "left_anti").select("doc_id", "key", "start", "n").distinct()
     spans = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    windows = saved(known.join(spans, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_window_batches(width), "doc_id long, key long, h1 long, h2 long, start int"), "windows")
+    # Not written to disk: both uses and the last join read one shuffle of the texts.
+    windows = known.join(spans, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_window_batches(width), "doc_id long, key long, h1 long, h2 long, start int")
     sources = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
     hits = windows.join(sources, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
-    marked = docs.join(hits, ["doc_id", "key"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "key"], "left")
-    return marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").mapInArrow(_keep_batches(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    marked = known.join(hits, ["doc_id", "key"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "key"], "left")
+    loose = docs.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
+    rows = marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").unionByName(loose)
+    return rows.mapInArrow(_keep_batches(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
