@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lintel.llm.common import table
+from pyspark.sql import functions as F
+
+from lintel.llm.common import fold, table
 
 
 def op1_substring_dedup(spark, sf_dir):
@@ -11,6 +13,32 @@ def op1_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"), width=50).drop("kept")
 
 
+def op2_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from lintel.llm.packing import pack, word_bpe
+
+    return pack(table(spark, sf_dir, "documents"), word_bpe(public_tokenizers.path("word_bpe_49k.json")), size=2048, end_id=1)
+
+
+def _with_fold(scored):
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_toxicity(spark, sf_dir):
+    from lintel.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return _with_fold(score(docs, train(docs, table(spark, sf_dir, "labels"))))
+
+
+def op10_quality_classifier(spark, sf_dir):
+    from lintel.llm.quality_classifier import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return _with_fold(score(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.3))
+
+
 def op7_simhash(spark, sf_dir):
     from lintel.llm.simhash import near_duplicates
 
