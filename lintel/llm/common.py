@@ -66,7 +66,34 @@ def long_id(docs: DataFrame) -> "F.Column":
 
 def row_key() -> "F.Column":
     """Tells rows of one doc_id with different texts apart; equal rows share it, and so their results."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return F.hash(F.coalesce(F.col("text"), F.lit("")))
+
+
+def fold(id_: "F.Column", folds: int = 5) -> "F.Column":
+    """crc32 of the id as text, modulo `folds`; fold 0 is held out from all training."""
+    return F.pmod(F.crc32(id_.cast("string")), F.lit(folds))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int):
+    """Texts (an Arrow column), 0/1 labels and weights of a bounded sample of labelled rows outside fold 0.
+
+    Of each class the `per_class` ids with the least hash; a class's weights add up to its number of labelled rows.
+    Null labels and ids are left out; an id with several labels counts once, with the greatest.
+    """
+    import pyarrow as pa
+
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id")) != 0)
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    picks = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    ids = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * per_class rows
+    rows = docs.select(long_id(docs), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"])
+    found = rows.select("doc_id", "text", "label").toArrow().sort_by("doc_id")
+    values = np.asarray(found.column("label"), dtype=np.int64)
+    counts = np.bincount(values, minlength=2)
+    weights = np.array([sizes.get(c, 0) / max(1, counts[c]) for c in (0, 1)])[values] if len(values) else np.zeros(0)
+    texts = found.column("text").cast(pa.large_string()).combine_chunks()
+    return texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, values, weights
 
 
 class Words:

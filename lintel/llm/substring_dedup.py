@@ -10,7 +10,7 @@ stands.
 1. For each window of `width` words: the highest round with such a symbol, and there the longest, of those the
    one with the least name. That is the window's anchor; single words are round 0, so every window has one. Equal windows have equal anchors.
 2. Anchors that stand in documents with different ids *reveal* possible repeats (one grouping by anchor).
-3. Only windows below such anchors are *verified*, by a 128-bit hash of their words (one grouping by hash):
+3. Only windows below such anchors are *verified*, by a 96-bit hash of their words (one grouping by hash):
    a window is removed where a smaller doc_id has the same hash.
 
 Documents whose whole text equals that of a smaller doc_id need no windows: all their words go if there are at
@@ -148,7 +148,7 @@ def _anchor_batches(width: int):
 
 
 def _window_batches(width: int):
-    """128-bit hashes of the windows named in `spans`."""
+    """96-bit hashes of the windows named in `spans`."""
 
     def task(batches):
         import pyarrow as pa
@@ -170,7 +170,7 @@ def _window_batches(width: int):
                 rows = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(rows), batch.column("key").take(rows)]
-                    + [pa.array(r.stretches(s, at, at + width).view(np.int64)) for r, s in zip((one, two), sums, strict=True)]
+                    + [pa.array(one.stretches(sums[0], at, at + width).view(np.int64)), pa.array((two.stretches(sums[1], at, at + width) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
                     + [pa.array(place.astype(np.int32))],
                     ["doc_id", "key", "h1", "h2", "start"],
                 )
@@ -218,13 +218,13 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = saved(digests.join(least.select("digest", "least"), "digest").where("doc_id > least").select("doc_id", "key").distinct(), "copies")
 
-    spots = saved(known.mapInArrow(_anchor_batches(width), "doc_id long, key long, anchor long, start int, n int"), "anchors")
+    spots = saved(known.mapInArrow(_anchor_batches(width), "doc_id long, key int, anchor long, start int, n int"), "anchors")
     shared = spots.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     found = spots.join(shared, "anchor").join(copies, ["doc_id", "key"], "left_anti").select("doc_id", "key", "start", "n").distinct()
     spans = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     # Not written to disk: both uses and the last join read one shuffle of the texts.
-    windows = known.join(spans, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_window_batches(width), "doc_id long, key long, h1 long, h2 long, start int")
-    sources = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
+    windows = known.join(spans, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_window_batches(width), "doc_id long, key int, h1 long, h2 int, start int")
+    sources = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     hits = windows.join(sources, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
     marked = known.join(hits, ["doc_id", "key"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "key"], "left")
     loose = docs.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
