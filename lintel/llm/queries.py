@@ -45,6 +45,12 @@ def op7_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=3, bits=64, width=64, budget=3, similarity=None)
 
 
+def op9_decontamination(spark, sf_dir):
+    from lintel.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
