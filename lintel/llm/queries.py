@@ -54,6 +54,12 @@ def op7_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=3, bits=64, width=64, budget=3, similarity=None)
 
 
+def op8_quality_rules(spark, sf_dir):
+    from lintel.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 def op9_decontamination(spark, sf_dir):
     from lintel.llm.decontamination import contaminated
 
