@@ -39,6 +39,12 @@ def op10_quality_classifier(spark, sf_dir):
     return _with_fold(score(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.3))
 
 
+def op4_warc(spark, sf_dir):
+    from lintel.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_secret_scan(spark, sf_dir):
     from lintel.llm.secret_scan import named, scan, train
 
@@ -71,4 +77,12 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op4_warc": """
+            with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
+                 f as (select html, min(page_id) as first_id from p where n >= 100 group by html)
+            select p.page_id, cast(p.n as bigint) as payload_bytes, sha256(p.html) as payload_digest,
+                   case when f.first_id <> p.page_id then 'revisit' else 'response' end as record_type,
+                   case when f.first_id <> p.page_id then f.first_id end as refers_to
+            from p left join f on p.html = f.html""",
+    }
