@@ -54,6 +54,12 @@ def op5_secret_scan(spark, sf_dir):
     return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("found")).alias("spans"))
 
 
+def op6_html_text(spark, sf_dir):
+    from lintel.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark, sf_dir):
     from lintel.llm.simhash import near_duplicates
 
