@@ -135,3 +135,20 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
     rows = docs.select(long_id(docs), "text")
     scored = rows.select("doc_id", F.lit(1.0).alias("score")) if model is None else rows.mapInArrow(_score_batches(model, FEATURES), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose text scores `threshold` or more, with all their columns. Without a model all stay."""
+    if model is None:
+        return docs
+    columns = docs.columns
+
+    def task(batches):
+        import pyarrow as pa
+
+        ngrams = Ngrams(FEATURES)
+        for batch in batches:
+            good = model.scores(*ngrams(batch.column(columns.index("text")))) >= threshold
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(task, docs.schema)

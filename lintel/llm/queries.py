@@ -49,7 +49,7 @@ def op5_secret_scan(spark, sf_dir):
     from lintel.llm.secret_scan import named, scan, train
 
     docs = table(spark, sf_dir, "documents")
-    rows = scan(docs, train(docs)).select("doc_id", "found", F.filter("found", lambda x: x["kind"] < 3).alias("base"))
+    rows = scan(docs, train(docs)).select(F.col("row.doc_id").alias("doc_id"), "found", F.filter("found", lambda x: x["kind"] < 3).alias("base"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("found")).alias("spans"))
 

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import long_id, row_key
+from lintel.llm.common import long_id
 
 # What the three kinds of the base look like.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -88,21 +88,29 @@ def mean_ratio(s: Column, table: list[float]) -> Column:
 
 
 def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key, text and found: all spans in order of start, then kind.
+    """row (all columns of docs, as they are), text and found: all spans in order of start, then kind.
 
     Null text is empty and has no spans. Base kinds: `assign` with values of 6 or more characters, `access`, `hex`.
-    `markov` spans never overlap base ones. Null and repeated doc_ids are scanned like any others; other columns are ignored.
+    `markov` spans never overlap base ones. Null and repeated doc_ids are scanned like any others.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(long_id(docs), row_key().alias("key"), text.alias("text"))
     none = F.array().cast(_SPAN)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("*", spans(F.col("text"), ASSIGN, 0, 2).alias("assign"), spans(F.col("text"), ACCESS, 1).alias("access"), spans(F.col("text"), HEX, 2).alias("hex"), spans(F.col("text"), CANDIDATE, 3).alias("candidates"))
     base = F.concat(F.filter(F.coalesce("assign", none), lambda x: F.char_length(x["value"]) >= 6), F.coalesce("access", none), F.coalesce("hex", none))
-    rows = rows.select("doc_id", "key", "text", "candidates", F.array_sort(base).alias("base"))
+    rows = rows.select("row", "text", "candidates", F.array_sort(base).alias("base"))
     apart = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     rows = rows.withColumn("candidates", apart)
     added = F.when(F.size("candidates") > 0, F.filter("candidates", lambda c: mean_ratio(c["value"], table) > threshold))
-    return rows.withColumn("added", F.coalesce(added, none)).select("doc_id", "key", "text", F.array_sort(F.concat("base", "added")).alias("found"))
+    return rows.withColumn("added", F.coalesce(added, none)).select("row", "text", F.array_sort(F.concat("base", "added")).alias("found"))
+
+
+def mask(docs: DataFrame, table: list[float], **kw) -> DataFrame:
+    """`docs` with every span of every text redacted; where there is a column n_chars, it counts the new text. Null texts stay null."""
+    rows = scan(docs, table, **kw)
+    text = F.when(F.col("row.text").isNotNull(), redacted(F.col("text"), F.col("found")))
+    rows = rows.select("row", text.alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return rows.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def named(found: Column) -> Column:
