@@ -117,7 +117,7 @@ def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int, blocks: in
         return found[found["similarity"] > -1.5]
 
     own = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     near = own.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(task, "query long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
     return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

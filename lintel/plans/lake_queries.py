@@ -1 +1,362 @@
 """Queries over files, runs, documents and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lintel.functions import text as X
+from lintel.operators import documents as D
+from lintel.operators import features, lake
+from lintel.plans.registry import query
+from lintel.plans.views import table, view
+
+
+def files(spark, sf):
+    return view(spark, sf, "v_files")
+
+
+def runs(spark, sf):
+    return view(spark, sf, "v_runs")
+
+
+def docs(spark, sf):
+    return view(spark, sf, "v_documents")
+
+
+@query("""select 'category' as dimension, coalesce(category, 'other') as value, count(*) as n from v_files group by 2 union all select 'phase', coalesce(phase, 'unassigned'), count(*) from v_files group by 2
+    union all select 'status', coalesce(status, 'pending'), count(*) from v_files group by 2 union all select 'total', null, count(*) from v_files""")
+def a1_file_stats(spark, sf):
+    return lake.file_stats(files(spark, sf))
+
+
+@query("select project_id, count(*) as n_files, count(*) filter (where filename like '%.ifc') as n_ifc from v_files group by 1")
+def a10_project_rollup(spark, sf):
+    return lake.project_rollup(files(spark, sf))
+
+
+@query("select id, filename, category, phase from v_files where project_id = 7 and category = 'document'")
+def f1_filter_files(spark, sf):
+    return lake.filter_files(files(spark, sf), 7, category="document").select("id", "filename", "category", "phase")
+
+
+@query("""select id, case when filename like '%plan%' or filename like '%bim%' then 'design' when filename like '%site%' then 'construction' when lower(filename) like '%inspection%' then 'operation' else 'design' end as phase from v_files""")
+def f2_detect_phase(spark, sf):
+    return files(spark, sf).select("id", X.detect_phase(F.col("filename")).alias("phase"))
+
+
+@query("""select id, split_part(split_part(filename, '.', 1), '-', 3) as project, len(string_split(split_part(filename, '.', 1), '-')) as n_parts, len(string_split(split_part(filename, '.', 1), '-')) >= 7 as compliant from v_files""")
+def f3_parse_iso_filename(spark, sf):
+    parts = X.iso_parts(F.col("filename"))
+    return files(spark, sf).select("id", F.coalesce(F.get(parts, 2), F.lit("")).alias("project"), F.size(parts).cast("long").alias("n_parts"), (F.size(parts) >= 7).alias("compliant"))
+
+
+def _type_scores() -> str:
+    low = "lower(filename)"
+    rows = []
+    for i, (name, words, exts, phase) in enumerate(X.FILE_TYPES):
+        hits = " + ".join(f"case when contains({low}, '{w}') then 5 else 0 end" for w in words)
+        ends = " or ".join(f"{low} like '%{e}'" for e in exts)
+        when = "2" if phase == "any" else f"case when phase = '{phase}' then 2 else 0 end"
+        rows.append(f"select id, {i} as o, '{name}' as type_id, case when {ends} then 3 else 0 end + {hits} + {when} as score from v_files")
+    return " union all ".join(rows)
+
+
+@query(f"select id, type_id, score, least(score / 10.0e0, 1.0e0) as confidence from ({_type_scores()}) t qualify row_number() over (partition by id order by score desc, o) = 1")
+def f4_classify_by_filename(spark, sf):
+    return files(spark, sf).select("id", X.classify_filename(F.col("filename"), F.col("phase")).alias("c")).select("id", "c.*")
+
+
+TERMS = {"the": 5, "and": 4, "iso": 1, "license": 3, "nicht": 2, "zzz": 9, "pour": 3}
+SCORE = " + ".join(f"case when contains(lower(text), '{t}') then {w} else 0 end" for t, w in TERMS.items())
+
+
+@query(f"""select doc_id, score, case when score >= 15 then 'BIM/Construction' when score >= 5 then 'Construction-related' when score >= 2 then 'Partially related' else 'Non-construction' end as domain, score >= 2 as is_relevant,
+    case when score >= 15 then least(score * 3, 100) when score >= 5 then least(score * 5, 80) when score >= 2 then least(score * 8, 50) else greatest(5, score * 10) end as confidence from (select doc_id, {SCORE} as score from v_documents) t""")
+def f5_domain_relevance(spark, sf):
+    return docs(spark, sf).select("doc_id", X.domain_relevance(F.col("text"), TERMS).alias("d")).select("doc_id", "d.*")
+
+
+TYPES = [("english", ["the", "and", "this"]), ("german", ["nicht", "der", "die"]), ("french", ["pour", "est", "dans"])]
+
+
+def _content_scores() -> str:
+    return " union all ".join(f"select doc_id, {i} as o, '{n}' as type_id, {' + '.join(f'''case when contains(lower(text), '{w}') then 3 else 0 end''' for w in ws)} as score from v_documents" for i, (n, ws) in enumerate(TYPES))
+
+
+@query(f"select doc_id, type_id, score, least(score / 15.0e0, 1.0e0) as confidence from ({_content_scores()}) t where true qualify row_number() over (partition by doc_id order by score desc, o) = 1 and score >= 6")
+def f6_classify_by_content(spark, sf):
+    found = docs(spark, sf).select("doc_id", X.classify_content(F.col("text"), F.lit(None).cast("array<string>"), TYPES).alias("c"))
+    return found.where("c is not null").select("doc_id", "c.*")
+
+
+@query(f"""select d.doc_id, case when c.confidence > f.confidence then c.type_id else f.type_id end as type_id from v_documents d
+    join (select doc_id, type_id, least(score / 10.0e0, 1.0e0) as confidence from ({_type_scores().replace('select id,', 'select doc_id,').replace('v_files', 'v_documents')}) t qualify row_number() over (partition by doc_id order by score desc, o) = 1) f on f.doc_id = d.doc_id
+    left join (select doc_id, type_id, least(score / 15.0e0, 1.0e0) as confidence from ({_content_scores()}) t qualify row_number() over (partition by doc_id order by score desc, o) = 1 and score >= 6) c on c.doc_id = d.doc_id""")
+def f7_resolve_document_type(spark, sf):
+    f, c = X.classify_filename(F.col("filename"), F.col("phase")), X.classify_content(F.col("text"), F.lit(None).cast("array<string>"), TYPES)
+    rows = docs(spark, sf).select("doc_id", f.alias("f"), c.alias("c"))
+    return rows.select("doc_id", F.when(F.col("c.confidence") > F.col("f.confidence"), F.col("c.type_id")).otherwise(F.col("f.type_id")).alias("type_id"))
+
+
+@query("select doc_id, u.i as idx, u.line as line from (select doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: struct_pack(i := i - 1, line := x))) as u from v_documents where status = 'completed') t where contains(lower(u.line), 'license')")
+def f10_search_table_rows(spark, sf):
+    rows = lake.union_tables(docs(spark, sf))
+    return rows.where(F.exists(F.array("row"), lambda c: F.contains(F.lower(c), F.lit("license")))).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("row").alias("line"))
+
+
+@query("""select filename, case when n = 0 then 'General' else s end as standards, n from (select distinct filename, (case when filename like '%.ifc' then 1 else 0 end) + (case when filename like '%-de.%' then 1 else 0 end) as n,
+    concat_ws(',', case when filename like '%.ifc' then 'ISO 16739' end, case when filename like '%-de.%' then 'DIN' end) as s from v_documents) t""")
+def f11_tag_table_standards(spark, sf):
+    tags = F.array_compact(F.array(F.when(F.col("filename").contains(".ifc"), "ISO 16739"), F.when(F.col("filename").contains("-de."), "DIN")))
+    rows = docs(spark, sf).select("filename").distinct().withColumn("tags", tags)
+    return rows.select("filename", F.when(F.size("tags") == 0, "General").otherwise(F.array_join("tags", ",")).alias("standards"), F.size("tags").alias("n"))
+
+
+LATEST = "(select *, row_number() over (partition by project_id order by created_at desc, run_id desc) as rn from v_runs)"
+
+
+@query(f"select project_id, run_id, status, created_at from {LATEST} t where rn = 1")
+def w1_latest_run(spark, sf):
+    return lake.latest_runs(runs(spark, sf))
+
+
+@query(f"select project_id, run_id, status, case when status = 'completed' then 100 else 0 end as progress, rn as rank from {LATEST} t where rn <= 3")
+def w2_run_history(spark, sf):
+    return lake.run_history(runs(spark, sf), 3)
+
+
+STAGE_ROWS = "(values (0, 'parse'), (1, 'validate'), (2, 'enrich'), (3, 'transform'), (4, 'package')) s(i, stage)"
+
+
+@query(f"""select r.run_id, s.stage, case when s.i < c.i then 'completed' when s.i = c.i then 'running' else 'pending' end as state
+    from v_runs r join {STAGE_ROWS.replace(' s(', ' c(')} on c.stage = r.current_stage cross join {STAGE_ROWS}""")
+def w3_stage_timeline(spark, sf):
+    return lake.stage_timeline(runs(spark, sf))
+
+
+@query("select id, filename, size_kb, row_number() over (order by size_kb desc, id) as rank from v_files qualify rank between 21 and 40")
+def w6_paginate(spark, sf):
+    from pyspark.sql import Window
+
+    page = lake.paginate(files(spark, sf), [F.desc("size_kb"), "id"], page=2, size=20)
+    rank = F.row_number().over(Window.orderBy(F.desc("size_kb"), "id")) + 20  # twenty rows
+    return page.select("id", "filename", "size_kb", rank.cast("long").alias("rank"))
+
+
+@query("""select value, row_number() over (order by try_cast(value as double) is null, try_cast(value as double), value) as rank from (select distinct value from v_properties where value is not null) t""")
+def w5_sort_table(spark, sf):
+    from pyspark.sql import Window
+
+    values = view(spark, sf, "v_properties").where("value is not null").select("value").distinct()
+    number = F.col("value").try_cast("double")
+    return lake.sort_rows(values, "value").select("value", F.row_number().over(Window.orderBy(number.isNull(), number, "value")).cast("long").alias("rank"))
+
+
+STOP = ", ".join(f"'{w}'" for w in lake.STOPWORDS)
+WORDS = f"""(select doc_id, word, count(*) as n, min(pos) as first from (select doc_id, lower(u.w) as word, u.i as pos from (select doc_id, unnest(list_transform(regexp_extract_all(text, '[가-힣]{{2,}}|[A-Za-z]{{3,}}'), lambda x, i: struct_pack(i := i, w := x))) as u from documents) t) s where word not in ({STOP}) group by 1, 2)"""
+KEYWORDS = f"(select doc_id, word, n, row_number() over (partition by doc_id order by n desc, first) as rank from {WORDS} w qualify rank <= 30)"
+
+
+@query(f"select doc_id, word, n, rank from {KEYWORDS} k")
+def a2_document_keywords(spark, sf):
+    return lake.document_keywords(table(spark, sf, "documents"))
+
+
+@query(f"select word, cast(sum(n) as bigint) as n, count(*) as n_docs from {KEYWORDS} k group by 1 order by 2 desc, 1 limit 100")
+def a3_corpus_keywords(spark, sf):
+    return lake.corpus_keywords(lake.document_keywords(table(spark, sf, "documents")))
+
+
+@query("""select doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) as n_words, length(text) as n_chars, len(string_split(text, chr(10))) as n_lines, len(regexp_split_to_array(text, '[.!?。][ \\t\\n\\r\\f\\v]')) as n_sentences from documents""")
+def a4_document_statistics(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).cast("long").alias("n_words"), F.char_length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), X.sentences(F.col("text")).cast("long").alias("n_sentences"))
+
+
+@query("""select doc_id, score, substr(text, greatest(1, cast(instr(lower(text), 'apache') as int) - 80), 160) as snippet from (select doc_id, text, case when contains(lower(text), 'license apache') then 10 else 0 end + least(5, cast((length(text) - length(replace(lower(text), 'apache', ''))) / 6 as int)) + least(5, cast((length(text) - length(replace(lower(text), 'license', ''))) / 7 as int)) as score from documents) t
+    where score > 0 order by score desc, doc_id limit 20""")
+def w4_search_documents(spark, sf):
+    return lake.search_documents(table(spark, sf, "documents"), "license apache")
+
+
+GRAPH_TERMS = "(values ('apache', 'License'), ('license', 'License'), ('der', 'German'), ('les', 'French')) g(word, class)"
+TOP = f"(select * from {KEYWORDS} k where rank <= 10)"
+
+
+def _graph(spark, sf):
+    terms = spark.createDataFrame([("apache", "License"), ("license", "License"), ("der", "German"), ("les", "French")], "word string, class string")
+    return lake.document_graph(lake.document_keywords(table(spark, sf, "documents")), terms)
+
+
+@query(f"""select 'doc:' || cast(doc_id as string) as id, 'document' as node_type from {TOP} t group by 1 union select 'kw:' || word, 'keyword' from {TOP} t group by 1 union select 'cls:' || class, 'class' from {TOP} t join {GRAPH_TERMS} on g.word = t.word group by 1""")
+def u2_document_graph_nodes(spark, sf):
+    return _graph(spark, sf)[0]
+
+
+@query(f"""select 'doc:' || cast(doc_id as string) as src, 'kw:' || word as dst, 'contains_keyword' as edge_type from {TOP} t union all select 'kw:' || t.word, 'cls:' || class, 'mapped_to' from {TOP} t join {GRAPH_TERMS} on g.word = t.word""")
+def u2_document_graph_edges(spark, sf):
+    return _graph(spark, sf)[1]
+
+
+@query(f"select t.doc_id, t.word, g.class from {KEYWORDS} t join {GRAPH_TERMS} on g.word = t.word")
+def j14_term_dictionary_match(spark, sf):
+    terms = spark.createDataFrame([("apache", "License"), ("license", "License"), ("der", "German"), ("les", "French")], "word string, class string")
+    return lake.document_keywords(table(spark, sf, "documents")).join(F.broadcast(terms), "word").select("doc_id", "word", "class")
+
+
+@query("select doc_id, phase, len(string_split(text, chr(10))) as n_rows from v_documents where status = 'completed'")
+def u3_union_tables(spark, sf):
+    return lake.union_tables(docs(spark, sf)).groupBy("doc_id", "phase").agg(F.count("*").alias("n_rows"))
+
+
+# Document checks
+
+
+COUNTED = """(select doc_id, filename, phase, text, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) as words, len(string_split(text, chr(10))) as lines, case when doc_id % 5 = 0 then null else lang end as title,
+    case doc_id % 4 when 0 then '.pdf' when 1 then '.docx' when 2 then '.xlsx' else '.ifc' end as ext from v_documents)"""
+DOC_CHECKS = f"""(select doc_id, 'naming' as facet, case when len(string_split(filename, '-')) >= 7 then 'PASS' else 'WARNING' end as result from {COUNTED} c
+    union all select doc_id, 'text', case when words > 0 then 'PASS' else 'FAIL' end from {COUNTED} c union all select doc_id, 'phase', 'PASS' from {COUNTED} c union all select doc_id, 'title', case when title is not null then 'PASS' else 'WARNING' end from {COUNTED} c
+    union all select doc_id, 'structure', case when lines > 1 then 'PASS' else 'WARNING' end from {COUNTED} c union all select doc_id, 'extension', 'PASS' from {COUNTED} c
+    union all select doc_id, 'pages', case when words >= 50 then 'PASS' else 'WARNING' end from {COUNTED} c where ext = '.pdf' union all select doc_id, 'headings', case when lines >= 3 then 'PASS' else 'WARNING' end from {COUNTED} c where ext = '.docx'
+    union all select doc_id, 'rows', case when lines >= 5 then 'PASS' else 'FAIL' end from {COUNTED} c where ext = '.xlsx' union all select doc_id, 'entities', case when words >= 100 then 'PASS' else 'FAIL' end from {COUNTED} c where ext = '.ifc')"""
+LEVEL = "case when words > 5000 or words % 8 > 5 then 'LOI High' when words > 500 then 'LOI Medium' else 'LOI Low' end"
+
+
+def counted(spark, sf):
+    return docs(spark, sf).select("doc_id", "filename", "phase", "text", X.extension(F.col("filename")).alias("ext"), F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).alias("words"), F.size(F.split("text", "\n", -1)).alias("lines"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("title"))
+
+
+@query(f"select doc_id, facet, result from {DOC_CHECKS} d")
+def v14_document_checks(spark, sf):
+    return D.document_checks(counted(spark, sf))
+
+
+@query(f"select doc_id, {LEVEL} as level, case {LEVEL} when 'LOI High' then 3 when 'LOI Medium' then 2 else 1 end < case phase when 'construction' then 3 else 2 end as below from {COUNTED} c")
+def v15_loin_level(spark, sf):
+    rows = counted(spark, sf).select("doc_id", "phase", D.loin_level(F.col("words"), F.col("words") % 8).alias("level"))
+    return rows.select("doc_id", "level", D.loin_gap(F.col("level"), F.col("phase")).alias("below"))
+
+
+@query(f"""select doc_id, case result when 'FAIL' then 'NG' else 'WARNING' end as severity, facet from {DOC_CHECKS} d where result <> 'PASS'
+    union all select doc_id, 'NG', 'Information Level' from {COUNTED} c where case {LEVEL} when 'LOI High' then 3 when 'LOI Medium' then 2 else 1 end < case phase when 'construction' then 3 else 2 end""")
+def v16_ng_items(spark, sf):
+    rows = counted(spark, sf)
+    return D.ng_items(D.document_checks(rows), rows.select("doc_id", "phase", D.loin_level(F.col("words"), F.col("words") % 8).alias("level")))
+
+
+@query(f"select doc_id, count(*) as n_checks, count(*) filter (where result = 'PASS' or facet in ('title', 'naming')) as n_passed, cast(round_even(count(*) filter (where result = 'PASS' or facet in ('title', 'naming')) * 100.0e0 / count(*), 0) as bigint) as percent from {DOC_CHECKS} d group by 1")
+def v17_auto_fix(spark, sf):
+    return D.compliance(D.auto_fix(D.document_checks(counted(spark, sf)), ["title", "naming"]), ("PASS", "FIXED"))
+
+
+@query("""select doc_id, r.requirement from v_documents d join (values ('design', 'the'), ('design', 'scope'), ('construction', 'und'), ('operation', 'license')) r(phase, requirement) on r.phase = d.phase where not contains(lower(text), r.requirement)""")
+def v18_document_standard_warnings(spark, sf):
+    required = spark.createDataFrame([("design", "the"), ("design", "scope"), ("construction", "und"), ("operation", "license")], "phase string, requirement string")
+    return D.missing_requirements(docs(spark, sf), required)
+
+
+@query("""select e.sheet, e.col as "column", case when not exists (select 1 from v_documents d where d.lang = e.sheet) then 'missing sheet' else 'missing column' end as problem
+    from (values ('en', 'design'), ('en', 'audit'), ('xx', 'design')) e(sheet, col) where not exists (select 1 from v_documents d where d.lang = e.sheet and d.phase = e.col)""")
+def v19_table_schema_check(spark, sf):
+    expected = spark.createDataFrame([("en", "design"), ("en", "audit"), ("xx", "design")], "sheet string, column string")
+    return D.table_schema_check(expected, docs(spark, sf).select(F.col("lang").alias("sheet"), F.col("phase").alias("column")).distinct())
+
+
+# Chunks
+
+
+@query("""select doc_id, i as idx, i * 462 as start, least(i * 462 + 512, length(text)) as "end", trim(substr(text, i * 462 + 1, 512), ' ') as chunk from (select doc_id, text, unnest(range(0, greatest(0, cast(ceil((length(text) - 512) / 462.0) as bigint)) + 1)) as i from documents) t where trim(substr(text, i * 462 + 1, 512), ' ') <> ''""")
+def x13_chunk_fixed(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.inline(X.chunk_fixed(F.col("text"))))
+    return rows.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "chunk", (F.col("start") / 462).cast("long").alias("idx"))
+
+
+@query("""select doc_id, cast(offs as bigint) as start, trim(p, ' ') as chunk from (select doc_id, u.p as p, coalesce(sum(length(u.p) + 1) over (partition by doc_id order by u.i rows between unbounded preceding and 1 preceding), 0) as offs
+    from (select doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: struct_pack(i := i, p := x))) as u from documents) t) s where trim(p, ' ') <> ''""")
+def x14_chunk_paragraph(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.inline(X.chunk_paragraphs(F.col("text"), "\n"))).withColumn("start", F.col("start").cast("long"))
+
+
+@query()
+def x15_chunk_sentence(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunk_sentences()("text")).alias("idx", "chunk"))
+
+
+@query()
+def x16_chunk_recursive(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunk_recursive()("text")).alias("idx", "chunk"))
+
+
+@query("""select doc_id, i as idx, source_id, trim(substr(text, i * 200 + 1, 256), ' ') as chunk from (select doc_id, source_id, text, unnest(range(0, greatest(0, cast(ceil((length(text) - 256) / 200.0) as bigint)) + 1)) as i
+    from (select doc_id, 'doc_' || cast(doc_id as string) as source_id, filename || chr(10) || chr(10) || text as text from v_documents) d) t where trim(substr(text, i * 200 + 1, 256), ' ') <> ''""")
+def x17_chunk_section(spark, sf):
+    rows = docs(spark, sf).select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_id"), F.concat("filename", F.lit("\n\n"), "text").alias("section"))
+    return rows.select("doc_id", "source_id", F.inline(X.chunk_fixed(F.col("section"), 256, 56))).select("doc_id", "source_id", (F.col("start") / 200).cast("long").alias("idx"), "chunk")
+
+
+@query("select doc_id, md5(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) as digest from documents")
+def x19_clean_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.clean(F.col("text"))).alias("digest"))
+
+
+@query("select doc_id, array_to_string([case when trim(split_part(text, chr(10), 1)) = '' then 'Column_1' else split_part(text, chr(10), 1) end, 'Column_2', lang], '|') as headers from documents")
+def x20_fill_headers(spark, sf):
+    first = F.get(F.split("text", "\n", -1), 0)
+    return table(spark, sf, "documents").select("doc_id", F.array_join(X.fill_headers(F.array(first, F.lit(""), F.col("lang"))), "|").alias("headers"))
+
+
+@query("select doc_id, length(text) as content_length, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) as n_words, contains(text, ' | ') as has_table from documents")
+def x21_section_features(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.char_length("text").cast("long").alias("content_length"), F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).cast("long").alias("n_words"), F.contains("text", F.lit(" | ")).alias("has_table"))
+
+
+# Events
+
+
+@query("select file_id, event_id, previous from (select *, lag(state) over (partition by file_id order by ts, event_id) as previous from v_transitions) t where state = 'published' and (previous is null or previous <> 'published')")
+def st2_publish_trigger(spark, sf):
+    return lake.publish_trigger(view(spark, sf, "v_transitions"))
+
+
+@query("select run_id, stage, cast(case when stage_status = 'completed' then (idx + 1) * 20 else floor(idx * 20 + stage_progress * 0.2e0) end as bigint) as overall from v_progress qualify row_number() over (partition by run_id order by ts desc, event_id desc) = 1")
+def st3_run_progress(spark, sf):
+    return lake.run_progress(view(spark, sf, "v_progress"))
+
+
+@query("select checksum, id, filename from v_files qualify row_number() over (partition by checksum order by uploaded_at, id) = 1")
+def st4_dedupe_uploads(spark, sf):
+    return lake.dedupe_uploads(files(spark, sf))
+
+
+# Vectors
+
+
+VECTORS = "(select vec_id as id, cast(embedding as double[]) as v from embeddings)"
+
+
+def vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query(f"""select query, id, round(similarity, 6) as similarity, rank from (select a.id as query, b.id as id, list_cosine_similarity(a.v, b.v) as similarity, row_number() over (partition by a.id order by list_cosine_similarity(a.v, b.v) desc, b.id) as rank
+    from {VECTORS} a join {VECTORS} b on a.id <> b.id where a.id % 20 = 0) t where rank <= 5""")
+def t4_cosine_neighbours(spark, sf):
+    v = vectors(spark, sf)
+    return features.cosine_neighbours(v, v.where("id % 20 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def t3_embed_texts(spark, sf):
+    return features.embed_texts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "embedding")
+
+
+@query()
+def t5_pca(spark, sf):
+    return features.pca(vectors(spark, sf))
+
+
+@query("select vec_id as id, len(embedding) as dimensions, substr('label ' || cast(label as string), 1, 1000) as text from embeddings")
+def s8_embedding_points(spark, sf):
+    from lintel.sources.sinks import points
+
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("embedding"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"))
+    return points(rows).select("id", F.size("values").cast("long").alias("dimensions"), F.col("metadata.text").alias("text"))
