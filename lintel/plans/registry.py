@@ -18,7 +18,7 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            names = needed(sql)
+            names = [] if sql.startswith("with ") else needed(sql)
             ORACLES[f.__name__] = (f"with {', '.join(f'{n} as ({VIEWS[n]})' for n in names)} " if names else "") + sql.strip()
         return f
 
