@@ -57,7 +57,7 @@ def auto_fix(checks: DataFrame, facets: list[str]) -> DataFrame:
 
 def missing_requirements(docs: DataFrame, required: DataFrame) -> DataFrame:
     """doc_id, requirement: words that a phase's documents need and the text lacks. required: phase, requirement."""
-    return docs.join(F.broadcast(required), "phase").where(~F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower("requirement"))).select("doc_id", "requirement")
+    return docs.join(required, "phase").where(~F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower("requirement"))).select("doc_id", "requirement")
 
 
 def table_schema_check(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -75,20 +75,20 @@ def dictionary_mapping(properties: DataFrame, entries: DataFrame) -> DataFrame:
     entries = entries.select(F.col("ifc_class"), F.col("ord").alias("entry_ord"), F.col("name").alias("entry"))
     a, b = normalize_name(F.col("prop"), dashes=False), normalize_name(F.col("entry"), dashes=False)
     confidence = F.when(F.col("prop") == F.col("entry"), 1.0).when(a == b, 0.9).when(F.contains(a, b) | F.contains(b, a), 0.7)
-    near = properties.join(F.broadcast(entries), "ifc_class").withColumn("confidence", confidence).where("confidence is not null")
+    near = properties.join(entries, "ifc_class").withColumn("confidence", confidence).where("confidence is not null")
     best = near.groupBy("global_id", "pset", "prop").agg(F.min_by(F.struct("entry", "confidence"), "entry_ord").alias("best"))
     return best.select("global_id", "pset", "prop", "best.entry", "best.confidence")
 
 
 def missing_dictionary_properties(elements: DataFrame, mapped: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries of an element's class that none of its properties maps to."""
-    wanted = elements.select("global_id", "ifc_class").join(F.broadcast(entries.select("ifc_class", F.col("name").alias("entry"))), "ifc_class")
+    wanted = elements.select("global_id", "ifc_class").join(entries.select("ifc_class", F.col("name").alias("entry")), "ifc_class")
     return wanted.join(mapped.select("global_id", "entry"), ["global_id", "entry"], "left_anti").select("global_id", "ifc_class", "entry")
 
 
 def cross_link(elements: DataFrame, codes: DataFrame, base: str = "https://identifier.buildingsmart.org/uri/buildingsmart/ifc/4.3/class/") -> DataFrame:
     """Classification codes of each element's class, null where there are none, and the class's address."""
-    return elements.join(F.broadcast(codes), "ifc_class", "left").select("global_id", "ifc_class", "uniclass", "omniclass", F.concat(F.lit(base), F.col("ifc_class")).alias("uri"))
+    return elements.join(codes, "ifc_class", "left").select("global_id", "ifc_class", "uniclass", "omniclass", F.concat(F.lit(base), F.col("ifc_class")).alias("uri"))
 
 
 def validate_dictionary_value(value, allowed, least, most, numeric):
@@ -105,7 +105,10 @@ def classification_suggestions(elements: DataFrame, classes: DataFrame, limit: i
     from pyspark.sql import Window
 
     word = F.lower(F.substring("ifc_class", 4, 100))
-    near = elements.select("global_id", "ifc_class").join(F.broadcast(classes), F.contains(F.lower("class_name"), word))
+    # Text containment has no join key, so it is worked out once per element class, of which there are few.
+    words = elements.select("ifc_class").distinct().withColumn("word", word)
+    per_class = words.join(classes, F.contains(F.lower("class_name"), F.col("word"))).drop("word")
+    near = elements.select("global_id", "ifc_class").join(per_class, "ifc_class")
     confidence = F.when(F.contains("related", F.col("ifc_class")), 0.8).otherwise(0.5)
     rank = F.row_number().over(Window.partitionBy("global_id").orderBy(F.desc("confidence"), "code"))
     return near.withColumn("confidence", confidence).withColumn("rank", rank).where(F.col("rank") <= limit).select("global_id", "code", "confidence", F.col("rank").cast("long").alias("rank"))

@@ -73,6 +73,25 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
 
 
+def gnn_nodes(elements: DataFrame, spatial: DataFrame) -> DataFrame:
+    """id, node_type, label of elements, storeys, buildings, sites, materials and classes, each once."""
+    part = lambda df, c, kind, label: df.select(c.alias("id"), F.lit(kind).alias("node_type"), label.alias("label"))
+    rows = part(elements, F.col("global_id"), "element", F.col("ifc_class"))
+    for c, label in (("storey", "IfcBuildingStorey"), ("building", "IfcBuilding"), ("site", "IfcSite")):
+        rows = rows.unionByName(part(spatial, F.col(c), c, F.lit(label)))
+    rows = rows.unionByName(part(elements.where("material is not null"), F.concat(F.lit("M:"), F.col("material")), "material", F.lit("IfcMaterial")))
+    return rows.groupBy("id", "node_type").agg(F.max("label").alias("label"))
+
+
+def gnn_edges(elements: DataFrame, spatial: DataFrame) -> DataFrame:
+    """src, dst, edge_type: containment both ways down the spatial tree, and materials; each once."""
+    down = spatial.select(F.inline(F.array(F.struct(F.col("site").alias("a"), F.col("building").alias("b")), F.struct(F.col("building").alias("a"), F.col("storey").alias("b")))))
+    down = down.unionByName(elements.where("container is not null").select(F.col("container").alias("a"), F.col("global_id").alias("b")))
+    both = down.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("CONTAINS").alias("edge_type")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.lit("CONTAINED_IN").alias("edge_type")))))
+    made = elements.where("material is not null").select(F.col("global_id").alias("src"), F.concat(F.lit("M:"), F.col("material")).alias("dst"), F.lit("HAS_MATERIAL").alias("edge_type"))
+    return both.unionByName(made).distinct()
+
+
 def node_index(nodes: DataFrame, order: str, buckets: int = 64) -> DataFrame:
     """id and idx, dense from 0 in the order of a unique number: ranks inside ranges of it, offset by the counts of earlier ranges."""
     bounds = nodes.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))

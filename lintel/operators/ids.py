@@ -11,14 +11,14 @@ def applicable(elements: DataFrame, properties: DataFrame, specs: DataFrame) ->
 
     specs: spec, entity, prop; one row each, a table of rules.
     """
-    rows = elements.withColumn("entity", F.upper("ifc_class")).join(F.broadcast(specs), "entity").select("spec", "global_id", "prop")
+    rows = elements.withColumn("entity", F.upper("ifc_class")).join(specs, "entity").select("spec", "global_id", "prop")
     has = properties.select("global_id", "prop").distinct()
     return rows.where("prop is null").select("spec", "global_id").unionByName(rows.where("prop is not null").join(has, ["global_id", "prop"], "left_semi").select("spec", "global_id"))
 
 
 def validate(elements: DataFrame, properties: DataFrame, specs: DataFrame) -> DataFrame:
     """spec, global_id, prop, result of each property requirement: it must be there and, where a value is expected, equal it."""
-    rows = elements.withColumn("entity", F.upper("ifc_class")).join(F.broadcast(specs), "entity")
+    rows = elements.withColumn("entity", F.upper("ifc_class")).join(specs, "entity")
     values = properties.groupBy("global_id", "prop").agg(F.max_by("value", "ord").alias("value"))
     found = rows.join(values, ["global_id", "prop"], "left")
     result = F.when(F.col("value").isNull(), "FAIL").when(F.col("expected").isNull() | (F.col("value") == F.col("expected")), "PASS").otherwise("FAIL")

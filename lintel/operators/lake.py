@@ -93,7 +93,7 @@ def document_graph(keywords: DataFrame, terms: DataFrame, top: int = 10) -> tupl
     """Nodes (id, node_type), each once, and edges of documents, their first keywords, and classes that keywords stand for (terms: word, class)."""
     rows = keywords.where(F.col("rank") <= top)
     doc, word = F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), F.concat(F.lit("kw:"), F.col("word"))
-    mapped = rows.join(F.broadcast(terms), "word")
+    mapped = rows.join(terms, "word")
     cls = F.concat(F.lit("cls:"), F.col("class"))
     node = lambda df, c, kind: df.select(c.alias("id"), F.lit(kind).alias("node_type"))
     nodes = node(rows, doc, "document").union(node(rows, word, "keyword")).union(node(mapped, cls, "class")).dropDuplicates(["id"])

@@ -1,6 +1,6 @@
 """Requirement rules and the checks that they make of elements.
 
-Rules are small and come first: a broadcast join (of a side whose rows are counted by the optimizer) gives each element its class's rules. Property
+Rules are equi-joined by class; the optimizer broadcasts them while their size allows, and shuffles beyond. Property
 values are looked up in a map per element, so the large side is grouped once and never joined per property.
 """
 
@@ -92,7 +92,7 @@ def checks(elements: DataFrame, properties: DataFrame, rules: DataFrame) -> Data
 
     elements: global_id, ifc_class, container, materials (array). An element without properties has no values.
     """
-    rows = elements.join(property_map(properties), "global_id", "left").join(F.broadcast(rules), "ifc_class")  # rules: one row per class and requirement
+    rows = elements.join(property_map(properties), "global_id", "left").join(rules, "ifc_class")
     value = F.try_element_at("props", F.concat_ws(".", "pset", "prop"))
     result = F.when(F.col("facet") == "property", check_property(value, F.col("required"))).when(F.col("facet") == "material", check_material(F.col("materials"), F.col("required"))).otherwise(check_partof(F.col("container"), F.col("required")))
     return rows.select("global_id", "ifc_class", "facet", "pset", "prop", result.alias("result"))
@@ -148,7 +148,7 @@ def loin_completeness(elements: DataFrame, properties: DataFrame, required: Data
 
     required: ifc_class, pset, prop, required, allowed (array), least, most.
     """
-    rows = elements.select("global_id", "ifc_class").join(F.broadcast(required), "ifc_class", "left").join(property_map(properties), "global_id", "left")
+    rows = elements.select("global_id", "ifc_class").join(required, "ifc_class", "left").join(property_map(properties), "global_id", "left")
     value = F.try_element_at("props", F.concat_ws(".", "pset", "prop"))
     asked = F.col("prop").isNotNull()
     wrong = value_errors(value, F.col("allowed"), F.col("least"), F.col("most"))

@@ -200,7 +200,7 @@ def u2_document_graph_edges(spark, sf):
 @query(f"select t.doc_id, t.word, g.class from {KEYWORDS} t join {GRAPH_TERMS} on g.word = t.word")
 def j14_term_dictionary_match(spark, sf):
     terms = spark.createDataFrame([("apache", "License"), ("license", "License"), ("der", "German"), ("les", "French")], "word string, class string")
-    return lake.document_keywords(table(spark, sf, "documents")).join(F.broadcast(terms), "word").select("doc_id", "word", "class")
+    return lake.document_keywords(table(spark, sf, "documents")).join(terms, "word").select("doc_id", "word", "class")
 
 
 @query("select doc_id, phase, len(string_split(text, chr(10))) as n_rows from v_documents where status = 'completed'")

@@ -96,7 +96,7 @@ def v3_check_material(spark, sf):
       when ord % 3 = 0 then 'PASS' when ord % 3 = 1 then 'PASS' when ord % 2 = 0 then 'FAIL' else 'WARNING' end as result
     from v_elements e left join {CROSS} c on c.ifc_class = e.ifc_class""")
 def v4_check_classification(spark, sf):
-    rows = elements(spark, sf).join(F.broadcast(enrich.crosswalk(spark)), "ifc_class", "left")
+    rows = elements(spark, sf).join(enrich.crosswalk(spark), "ifc_class", "left")
     systems = F.when(F.col("uniclass").isNotNull(), F.array(F.lit("Uniclass2015")))
     wanted = F.when(F.col("ord") % 3 == 0, F.lit(None).cast("string")).when(F.col("ord") % 3 == 1, "Uniclass2015").otherwise("OmniClass")
     return rows.select("global_id", rules.check_classification(systems, wanted, F.col("ord") % 2 == 0).alias("result"))
@@ -179,7 +179,7 @@ def v12_loin_completeness(spark, sf):
 @query(f"""select e.entity, r.pset, r.prop, r.required from (select distinct ifc_class as entity from v_elements where ifc_class not in ('IfcSpace')) e join {REQ} r on r.ifc_class = e.entity""")
 def v10_required_properties(spark, sf):
     present = elements(spark, sf).select(F.col("ifc_class").alias("entity")).distinct()
-    return rules.required_properties(rules.requirements(spark)).join(F.broadcast(present), "entity", "left_semi")
+    return rules.required_properties(rules.requirements(spark)).join(present, "entity", "left_semi")
 
 
 @query("""select ifc_class as entity, p as phase, case max(r) when 3 then 'detailed' when 2 then 'normal' else 'simplified' end as detail
@@ -240,7 +240,7 @@ def j5_cross_link(spark, sf):
 
 @query(f"select global_id, ifc_class from v_elements e where not exists (select 1 from {CROSS} c where c.ifc_class = e.ifc_class)")
 def j6_elements_without_classification(spark, sf):
-    return elements(spark, sf).join(F.broadcast(enrich.crosswalk(spark)), "ifc_class", "left_anti").select("global_id", "ifc_class")
+    return elements(spark, sf).join(enrich.crosswalk(spark), "ifc_class", "left_anti").select("global_id", "ifc_class")
 
 
 @query("""select s.storey, s.site_name, e.global_id, p.prop, p.value from v_spatial s join v_elements e on e.container = s.storey join v_properties p on p.global_id = e.global_id where e.ifc_class = 'IfcWall'""")
@@ -566,13 +566,14 @@ def t11_gnn_edges(spark, sf):
 @query("""select id, node_type, max(label) as label from (select global_id as id, 'element' as node_type, ifc_class as label from v_elements union all select storey, 'storey', 'IfcBuildingStorey' from v_spatial
     union all select building, 'building', 'IfcBuilding' from v_spatial union all select site, 'site', 'IfcSite' from v_spatial union all select 'M:' || material, 'material', 'IfcMaterial' from v_elements where material is not null) t group by 1, 2""")
 def t12_gnn_nodes(spark, sf):
-    e, s = elements(spark, sf), view(spark, sf, "v_spatial")
-    part = lambda df, c, kind, label: df.select(c.alias("id"), F.lit(kind).alias("node_type"), label.alias("label"))
-    rows = part(e, F.col("global_id"), "element", F.col("ifc_class"))
-    for c, label in (("storey", "IfcBuildingStorey"), ("building", "IfcBuilding"), ("site", "IfcSite")):
-        rows = rows.unionByName(part(s, F.col(c), c, F.lit(label)))
-    rows = rows.unionByName(part(e.where("material is not null"), F.concat(F.lit("M:"), F.col("material")), "material", F.lit("IfcMaterial")))
-    return rows.groupBy("id", "node_type").agg(F.max("label").alias("label"))
+    return graph.gnn_nodes(elements(spark, sf), view(spark, sf, "v_spatial"))
+
+
+@query("""select distinct src, dst, edge_type from (select a as src, b as dst, 'CONTAINS' as edge_type from (select site as a, building as b from v_spatial union all select building, storey from v_spatial union all select container, global_id from v_elements where container is not null) t
+    union all select b, a, 'CONTAINED_IN' from (select site as a, building as b from v_spatial union all select building, storey from v_spatial union all select container, global_id from v_elements where container is not null) u
+    union all select global_id, 'M:' || material, 'HAS_MATERIAL' from v_elements where material is not null) w""")
+def t12_gnn_edges(spark, sf):
+    return graph.gnn_edges(elements(spark, sf), view(spark, sf, "v_spatial"))
 
 
 @query("""select building, storey, coalesce(n, 0) as n_elements, row_number() over (partition by building order by coalesce(elevation, 0), storey) as level from v_spatial left join (select container, count(*) as n from v_elements group by 1) c on container = storey""")
