@@ -59,7 +59,10 @@ def _pairs(strings: DataFrame) -> DataFrame:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> list[float]:
     """Log-likelihood ratios, random against ordinary, for each pair of characters: row by the first, the start last."""
     spark = docs.sparkSession
-    picked = docs.where("doc_id is not null and text is not null").select(long_id(docs), "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    known = docs.where("doc_id is not null and text is not null").select(long_id(docs), "text")
+    # Ids are picked first, so that no texts meet in one task; they are at most `sample_docs`.
+    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    picked = known.join(F.broadcast(ids), "doc_id", "left_semi")
     picked = picked.withColumn("values", F.concat(*[F.coalesce(spans(F.col("text"), p, 0, v), F.array().cast(_SPAN)) for p, v in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))]))
     matched = picked.select(F.lit(1).alias("label"), F.explode(F.col("values.value")).alias("s")).where("length(s) >= 20")
     words = picked.where("size(values) = 0").select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("s"))
