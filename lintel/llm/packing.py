@@ -10,7 +10,7 @@ all pieces have is still dealt over many tasks, and a join by length and rank gi
 
 from __future__ import annotations
 
-import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable
@@ -22,55 +22,81 @@ from pyspark.sql import functions as F
 from lintel.llm.common import long_id, row_key, saved
 
 #: Distinct words whose ids a task remembers, and pieces of one length that share a bucket.
-WORDS_KEPT, BUCKET_ROWS = 400_000, 20_000
+WORDS_KEPT, BUCKET_ROWS = 300_000, 20_000
+
+
+#: Letters that have one lower-case form everywhere, and signs after them that no contraction begins with.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*#$&|]*)")
 
 
 class WordIds:
-    """Token ids of texts through their distinct white-space words; for tokenizers that never join words."""
+    """Token ids of texts through their distinct white-space words; for tokenizers that never join words.
+
+    They must also ignore case and split words from punctuation: a word of plain letters with punctuation after it is looked up as two.
+    """
 
     def __init__(self, load: Callable):
-        self.encode = load()
+        self.encode, self.mark = load()
         self._clear()
 
     def _clear(self):
         self.slot: dict[str, int] = {}
         self.start, self.pool = array("q", [0]), array("I")
 
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.start) - 1
+        self.slot.update(zip(words, range(first, first + len(words)), strict=True))
+        self.start.frombytes((len(self.pool) + np.cumsum(lengths)).astype(np.int64).tobytes())
+        self.pool.frombytes(ids.astype(np.uint32).tobytes())
+
     def _learn(self, words: list[str]) -> None:
+        """Many words at once, the mark's token between them; words with the mark in them one by one."""
         if len(self.slot) > WORDS_KEPT:
             self._clear()
+        sign, token = self.mark
         new = [w for w in words if w not in self.slot]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, ids in zip(part, self.encode(part), strict=True):
-                self.slot[word] = len(self.start) - 1
-                self.pool.extend(ids)
-                self.start.append(len(self.pool))
+        alone, plain = [w for w in new if sign in w], [w for w in new if sign not in w]
+        for i in range(0, len(plain), 5000):
+            part = plain[i : i + 5000]
+            ids = np.array(self.encode(f" {sign} ".join(part)), dtype=np.uint32)
+            at = np.flatnonzero(ids == token)
+            if len(at) != len(part) - 1:
+                alone += part
+                continue
+            self._add(part, ids[ids != token], np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+        for w in alone:
+            ids = np.array(self.encode(w), dtype=np.uint32)
+            self._add([w], ids, np.array([len(ids)]))
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin."""
         from lintel.llm.toxicity import distinct_words
 
         words, index, bounds = distinct_words(texts)
-        self._learn(words)
-        slots = np.fromiter(map(self.slot.__getitem__, words), dtype=np.int64, count=len(words))
+        parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w, "") for w in words]
+        self._learn(list({x for p in parts for x in p}))
+        slots = np.fromiter((self.slot[x] for p in parts for x in p), dtype=np.int64, count=2 * len(parts)).reshape(-1, 2)[index].ravel()
         start, pool = np.frombuffer(self.start, dtype=np.int64), np.frombuffer(self.pool, dtype=np.uint32) if len(self.pool) else np.zeros(0, dtype=np.uint32)
-        slots = slots[index]
         n = start[slots + 1] - start[slots]
         ends = np.append(0, np.cumsum(n))
-        return pool[np.repeat(start[slots] - ends[:-1], n) + np.arange(int(ends[-1]))], ends[bounds]
+        return pool[np.repeat(start[slots] - ends[:-1], n) + np.arange(int(ends[-1]))], ends[2 * bounds]
+
+
+#: By loader, for all tasks of a Python worker.
+_LOADED: dict[object, WordIds] = {}
 
 
-def word_bpe(path: str) -> Callable:
-    """Loader of a tokenizer file; ids without special tokens."""
+def word_bpe(path: str, sign: str = "|") -> Callable:
+    """Loader of a tokenizer file: ids of a text without special tokens, and a sign that is one token wherever it stands alone."""
 
     def load():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        return lambda words: [x.ids for x in tokenizer.encode_batch(words, add_special_tokens=False)]
+        encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        return encode, (sign, encode(sign)[0])
 
+    load.key = path, sign
     return load
 
 
@@ -78,7 +104,9 @@ def _piece_batches(load: Callable, size: int, end_id: int, with_ids: bool):
     def task(batches):
         import pyarrow as pa
 
-        encode = WordIds(load)
+        if load.key not in _LOADED:
+            _LOADED[load.key] = WordIds(load)
+        encode = _LOADED[load.key]
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
