@@ -109,13 +109,20 @@ def fit(texts, labels: np.ndarray, weights: np.ndarray, features: int = FEATURES
     return model
 
 
+def _parts(batches, rows: int = 500):
+    """Smaller batches: the features of one are all that a task holds."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _score_batches(model: Model, features: int):
     def task(batches):
         import pyarrow as pa
 
         ngrams = Ngrams(features)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(*ngrams(batch.column("text"))))], ["doc_id", "score"])
+        for part in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(*ngrams(part.column("text"))))], ["doc_id", "score"])
 
     return task
 
@@ -147,8 +154,8 @@ def keep(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFr
         import pyarrow as pa
 
         ngrams = Ngrams(FEATURES)
-        for batch in batches:
-            good = model.scores(*ngrams(batch.column(columns.index("text")))) >= threshold
-            yield batch.filter(pa.array(good))
+        for part in _parts(batches):
+            good = model.scores(*ngrams(part.column(columns.index("text")))) >= threshold
+            yield part.filter(pa.array(good))
 
     return docs.mapInArrow(task, docs.schema)
