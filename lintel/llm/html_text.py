@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of HTML: elements without content, without visible text, blocks, and blocks with a margin of one line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title datalist object iframe svg math audio video canvas".split())
+UNSEEN = frozenset("head script style template noscript title datalist object iframe audio video canvas".split())
 BLOCKS = frozenset("address article aside body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
 # What a start tag closes, and the elements that this does not reach beyond.
@@ -29,6 +29,12 @@ CLOSES = {
 }
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "option": ("select",), "optgroup": ("select",)}
 WALLS = ("table", "td", "th", "html", "body", "button", "caption")
+#: What may stand in a head; anything else closes it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+# Drawings and formulas: elements whose content is HTML again, those that are not shown, and HTML's elements that end a drawing or formula.
+ISLANDS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc annotation annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Elements nested deeper become siblings.
 DEPTH = 200
 
@@ -45,8 +51,33 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
+        self.drawn = False
+
+    def foreign(self) -> int:
+        """Place of the open svg or math that a new element belongs to, or 0."""
+        for i in range(len(self.open) - 1, 0, -1) if self.drawn else ():
+            if self.open[i].tag in ("svg", "math"):
+                return i
+            if self.open[i].tag in ISLANDS:
+                return 0
+        return 0
+
+    def handle_starttag(self, tag, attrs, empty=False):
+        while (at := self.foreign()) and tag in BREAKOUT:
+            del self.open[at:]
+        if at or tag in ("svg", "math"):
+            self.drawn = True
+            if self.open[-1].tag == "head":
+                self.open.pop()
+            node = Node(tag, {k: v or "" for k, v in attrs} | ({"hidden": ""} if tag in UNDRAWN else {}))
+            self.open[-1].kids.append(node)
+            if not empty and len(self.open) < DEPTH:
+                self.open.append(node)
+            return
+        if tag == "head" and (len(self.open) > 1 or any(not isinstance(x, str) or x.strip() for x in self.root.kids)):
+            return
+        if self.open[-1].tag == "head" and tag not in HEAD and tag != "html":
+            self.open.pop()
         closes, walls = CLOSES.get(tag, ()), SCOPES.get(tag, WALLS)
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in walls:
@@ -55,13 +86,21 @@ class TreeBuilder(HTMLParser):
                 del self.open[i:]
         if tag in ("html", "body") and any(x.tag == tag for x in self.open):
             return
+        if tag in ("tr", "td", "th"):  # whatever is open between a row and its cell, or a table and its row, ends here
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in (("table", "thead", "tbody", "tfoot") if tag == "tr" else ("table", "tr")):
+                    if self.open[i].tag != "table" or tag == "tr":
+                        del self.open[i + 1 :]
+                    break
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].kids.append(node)
+        if tag == "form" and self.open[-1].tag in ("table", "thead", "tbody", "tfoot", "tr"):
+            return
         if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs, True)
 
     def handle_endtag(self, tag):
         if tag in ("html", "body"):
@@ -74,6 +113,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip():
+            self.open.pop()
         self.open[-1].kids.append(data)
 
 
@@ -139,7 +180,10 @@ def render(node: Node, page: Page, raw: bool = False) -> None:
             else:
                 page.breaks = 1
             continue
-        block = kid.tag in BLOCKS or kid.tag in SPACED
+        if kid.tag == "svg":
+            render_drawing(kid, page)
+            continue
+        block = kid.tag in BLOCKS or kid.tag in SPACED or (kid.tag == "math" and kid.attrs.get("display", "").lower() == "block")
         nested = kid.tag in ("ul", "ol") and node.tag in ("li", "ul", "ol")
         margin = 1 if kid.tag in SPACED and not nested else 0
         if block:
@@ -164,29 +208,42 @@ def render(node: Node, page: Page, raw: bool = False) -> None:
             page.end_line(margin)
 
 
+def render_drawing(node: Node, page: Page) -> None:
+    """The texts of a drawing, set apart by spaces; anything else of it is no text."""
+    for kid in node.kids:
+        if isinstance(kid, str) or hidden(kid):
+            continue
+        if kid.tag in ("text", "foreignobject"):
+            page.space = bool(page.line)
+            render(kid, page)
+            page.space = bool(page.line)
+        else:
+            render_drawing(kid, page)
+
+
 def table_lines(table: Node) -> list[str]:
-    """Rows of cells padded to the widest of their column; a cell over several columns doesn't widen them."""
+    """Rows of cells padded to the widest of their column; a cell over several columns doesn't widen them. What is misplaced stands before them."""
     rows, before = [], []
 
+    def outside(kids: list):
+        page, holder = Page(), Node("div", {})
+        holder.kids = kids
+        render(holder, page)
+        before.extend(page.done())
+
     def collect(node: Node):
         for kid in node.kids:
             if isinstance(kid, str) or hidden(kid):
                 continue
             if kid.tag == "tr":
-                rows.append([c for c in kid.kids if not isinstance(c, str) and c.tag in ("td", "th") and not hidden(c)])
+                cell = lambda c: not isinstance(c, str) and c.tag in ("td", "th")
+                rows.append([c for c in kid.kids if cell(c) and not hidden(c)])
+                outside([c for c in kid.kids if not cell(c)])
             elif kid.tag in ("thead", "tbody", "tfoot"):
                 collect(kid)
             else:  # captions, and what is misplaced
-                page, holder = Page(), Node("div", {})
-                holder.kids = [kid]
-                render(holder, page)
-                before.extend(page.done())
-        loose = Node("div", {})
-        loose.kids = [x for x in node.kids if isinstance(x, str) and x.strip()]
-        if loose.kids:
-            page = Page()
-            render(loose, page)
-            before.extend(page.done())
+                outside([kid])
+        outside([x for x in node.kids if isinstance(x, str) and x.strip()])
 
     collect(table)
     grid, width = [], {}

@@ -231,6 +231,17 @@ def test_html(spark):
     assert {(r["page_id"], r["text"]) for r in html_text.extract(rows).collect()} == {(1, ""), (None, "x")}
 
 
+def test_html_loses_no_visible_text():
+    text = html_text.page_text
+    assert text("<head><title>t</title><p>Hello") == "Hello" and text("<head><meta charset=x>Hello") == "Hello" and text("<head><title>t</title></head><p>a<head>b") == "ab"
+    assert text("<head><template><p>no</template><noscript><p>no</noscript><script>no</script><link rel=x></head><body>yes") == "yes"
+    assert text("<table><tr><form hidden><td>x<td>y</form></table>") == "x | y" and text("<table><form><tr><td>x</form><tr><td>y</table>") == "x\ny"
+    assert text("<table><tr>loose<b>bold</b><td>x<div>in<tr><div>div<td>y</table>z") == "loosebold\ndiv\nx\nin\ny\n\nz"
+    assert text("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b") == "a x=1 b"
+    assert text("a<svg><title>no</title><path d=''/><defs><text>no</text></defs>no<g><text x=1>one</text><text>two<tspan>!</tspan></text></g></svg>b") == "a one two! b"
+    assert text("<p>a<svg/><math/>b<svg><g><p>c<table><tr><td>d<svg><path/></svg></table>e") == "ab\n\nc\n\nd\n\ne"
+
+
 def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
