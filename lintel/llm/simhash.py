@@ -12,7 +12,8 @@ number of distinct values and a bound on the rows of a task.
 
 A task returns no pairs but a forest: for each linked value its task-wide representative, so the output stays in
 proportion to the input even where thousands of copies link to each other. Node pairs whose values are
-all known to be linked already are skipped; lower budgets are walked first for that. Components over all tasks
+all known to be linked already are skipped; lower budgets are walked first for that. Where links are only candidates, to be
+verified on the texts, a task returns pairs: all of them, but for values that have `fan` pairs each and are connected already. Components over all tasks
 come from alternating large-star and small-star steps, which are groupings and joins of the edge table.
 """
 
@@ -50,39 +51,80 @@ def _counts_over_half(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return np.packbits(total * 2 > n, bitorder="little").view(np.uint64)
 
 
-def _fingerprint_batches(ngram: int, lanes: int):
-    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def _shingle_hashes(text: str | None, ngram: int) -> np.ndarray:
+    """A hash for every `ngram` words in a row, with repeats."""
+    import xxhash
 
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join((text or "").encode().translate(_LOWER).split())
+    if not joined:
+        return np.zeros(0, dtype=np.uint64)
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32), len(joined))
+    if len(ends) <= ngram:
+        return np.array([digest(joined, 42)], dtype=np.uint64)
+    a = [0, *(ends[: len(ends) - ngram] + 1).tolist()]
+    b = ends[ngram - 1 :].tolist()
+    return np.fromiter((digest(joined[x:y], 42) for x, y in zip(a, b, strict=True)), dtype=np.uint64, count=len(a))
+
+
+def _fingerprint_batches(ngram: int, lanes: int):
     def task(batches):
         import pyarrow as pa
-        import xxhash
 
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            column, out = batch.column("text"), np.zeros((batch.num_rows, lanes), dtype=np.uint64)
+            column, out, sets = batch.column("text"), np.zeros((batch.num_rows, lanes), dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.uint64)
             for i, text in enumerate(column):
-                joined = b" ".join((text.as_py() or "").encode().translate(lower).split())
-                if not joined:
-                    continue
-                ends = np.append(np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32), len(joined))
-                if len(ends) <= ngram:
-                    hashes = np.array([digest(joined, 42)], dtype=np.uint64)
-                else:
-                    a = [0, *(ends[: len(ends) - ngram] + 1).tolist()]
-                    b = ends[ngram - 1 :].tolist()
-                    hashes = np.fromiter((digest(joined[x:y], 42) for x, y in zip(a, b, strict=True)), dtype=np.uint64, count=len(a))
-                out[i] = _counts_over_half(hashes, lanes)
+                hashes = _shingle_hashes(text.as_py(), ngram)
+                if len(hashes):
+                    out[i] = _counts_over_half(hashes, lanes)
+                    if "key" in batch.schema.names:
+                        sets[i] = mix(np.unique(hashes)).sum()
             flat = pa.array(out.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, lanes * batch.num_rows + 1, lanes, dtype=np.int32)), flat)
-            rest = [(n, batch.column(n)) for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([c for _, c in rest] + [lists], [n for n, _ in rest] + ["fp"])
+            made = {"fp": pa.ListArray.from_arrays(pa.array(np.arange(0, lanes * batch.num_rows + 1, lanes, dtype=np.int32)), flat), "shingles": pa.array(sets.view(np.int64))}
+            rest = {n: batch.column(n) for n in batch.schema.names if n != "text"} | (made if "key" in batch.schema.names else {"fp": made["fp"]})
+            yield pa.RecordBatch.from_arrays(list(rest.values()), list(rest))
 
     return task
 
 
-def fingerprints(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
-    """doc_id and fp, an array of bits/64 longs. No words: all zero."""
-    return docs.select(long_id(docs), "text").mapInArrow(_fingerprint_batches(ngram, bits // 64), "doc_id long, fp array<long>")
+def fingerprints(docs: DataFrame, ngram: int, bits: int, keyed: bool = False) -> DataFrame:
+    """doc_id and fp, an array of bits/64 longs. No words: all zero. With `keyed` also key (of the text) and shingles (of their set)."""
+    extra = [_text_key()] if keyed else []
+    return docs.select(long_id(docs), *extra, "text").mapInArrow(_fingerprint_batches(ngram, bits // 64), "doc_id long, key long, fp array<long>, shingles long" if keyed else "doc_id long, fp array<long>")
+
+
+def _text_key():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+
+
+def _set_batches(ngram: int):
+    def task(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(_shingle_hashes(x.as_py(), ngram)).view(np.int64) for x in batch.column("text")]
+            ends = np.append(0, np.cumsum([len(x) for x in sets], dtype=np.int64)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, dtype=np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "shingles"])
+
+    return task
+
+
+def similar_links(links: DataFrame, values: DataFrame, docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """Those of the links a, b whose texts' shingle sets have a Jaccard similarity of at least `similarity`.
+
+    values: id and key of a text with it. Only texts with a link are read.
+    """
+    asked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(values.select("id", "key"), "id")
+    texts = docs.select(_text_key(), "text").join(asked, "key").select("id", "text").groupBy("id").agg(F.first("text").alias("text"))
+    sets = saved(texts.mapInArrow(_set_batches(ngram), "id long, shingles array<long>"), "sets")
+    side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"of_{name}"))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    rated = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
+    return rated.where(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common"))).select("a", "b")
 
 
 def _merge(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,13 +143,37 @@ def _merge(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             comp = up
 
 
-def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth: int, width: int, budget: int, wide: np.ndarray | None, most: int) -> np.ndarray:
+def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth: int, width: int, budget: int, wide: np.ndarray | None, most: int, fan: int = 0, pairs: list | None = None) -> np.ndarray:
     """Least linked companion of each place in `values`.
 
     values: sorted within each root node; roots: (first, end, first, end, differing bits) of node pairs `depth`
     bits down. With `wide`, rows of whole fingerprints, a pair within budget must also differ in at most `most` bits there.
+    `pairs` takes the linked pairs; one is left out only where both values have `fan` pairs and are connected by them.
     """
     comp = np.arange(len(values))
+    found, done = np.zeros(len(values), dtype=np.int64), -1
+
+    def rank(x):
+        """How many pairs each value of x has before this one."""
+        order = np.argsort(x, kind="stable")
+        first = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1]))
+        out = np.empty(len(x), dtype=np.int64)
+        out[order] = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+        return out + found[x]
+
+    def keep(a, b):
+        nonlocal comp
+        few = (rank(a) < fan) | (rank(b) < fan)
+        comp = _merge(comp, a[few], b[few])
+        new = np.flatnonzero(~few)
+        new = new[comp[a[new]] != comp[b[new]]]
+        if len(new):
+            _, first = np.unique(np.sort(np.stack([comp[a[new]], comp[b[new]]]), axis=0), axis=1, return_index=True)
+            few[new[first]] = True
+            comp = _merge(comp, a[new[first]], b[new[first]])
+        pairs.append((a[few], b[few]))
+        np.add.at(found, a[few], 1)
+        np.add.at(found, b[few], 1)
     one = np.uint64(1)
 
     def compare(lo1, hi1, lo2, hi2, allowed):
@@ -117,7 +183,7 @@ def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth:
             wide2 = int(hi2[i] - lo2[i])
             for s in range(int(lo1[i]), int(hi1[i]), rows := max(1, FRONT // wide2)):
                 e = min(s + rows, int(hi1[i]))
-                if (comp[s:e] != comp[lo1[i]]).any() or (comp[lo2[i] : hi2[i]] != comp[lo1[i]]).any():
+                if (comp[s:e] != comp[lo1[i]]).any() or (comp[lo2[i] : hi2[i]] != comp[lo1[i]]).any() or (found[s:e] < fan).any() or (found[lo2[i] : hi2[i]] < fan).any():
                     for t in range(int(lo2[i]), int(hi2[i]), FRONT):
                         compare(*(np.array([x]) for x in (s, e, t, min(t + FRONT, int(hi2[i])))), allowed)
         if large.any():
@@ -133,14 +199,17 @@ def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth:
             k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             w = (hi2 - lo2)[at]
             a, b = lo1[at] + k // w, lo2[at] + k % w
-            near = (a < b) & (np.bitwise_count(values[a] ^ values[b]) <= allowed)
+            bits = np.bitwise_count(values[a] ^ values[b])
+            near = (a < b) & (bits <= allowed) & (bits > done)  # fewer bits: compared with a lower budget
             a, b = a[near], b[near]
             if wide is not None and len(a):
-                fresh = comp[a] != comp[b]
+                fresh = (comp[a] != comp[b]) | (found[a] < fan) | (found[b] < fan)
                 a, b = a[fresh], b[fresh]
                 good = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= most
                 a, b = a[good], b[good]
-            if len(a):
+            if len(a) and pairs is not None:
+                keep(a, b)
+            elif len(a):
                 comp = _merge(comp, a, b)
 
     for allowed in range(min(1, budget), budget + 1) if budget else (0,):
@@ -152,6 +221,9 @@ def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth:
             # A node whose values are one component has no inner change; such pairs of one component need no more work.
             change = np.append(0, np.cumsum(comp[1:] != comp[:-1]))
             known = (change[hi1 - 1] == change[lo1]) & (change[hi2 - 1] == change[lo2]) & (comp[lo1] == comp[lo2])
+            if fan:
+                open_ = np.append(0, np.cumsum(found < fan))
+                known &= (open_[hi1] == open_[lo1]) & (open_[hi2] == open_[lo2])
             small = ~known & (((hi1 - lo1) * (hi2 - lo2) <= LEAF) | (level >= width))
             if small.any():
                 compare(lo1[small], hi1[small], lo2[small], hi2[small], allowed)
@@ -178,10 +250,11 @@ def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth:
             kids = [x[kept] for x in kids]
             for s in range(0, len(kids[0]), FRONT):
                 stack.append((level + 1, *(x[s : s + FRONT] for x in kids)))
+        done = allowed
     return comp
 
 
-def _block_task(depth: int, width: int, budget: int, most: int | None):
+def _block_task(depth: int, width: int, budget: int, most: int | None, fan: int):
     def task(table):
         import pyarrow as pa
 
@@ -199,16 +272,20 @@ def _block_task(depth: int, width: int, budget: int, most: int | None):
         if most is not None:
             lists = table.column("fp").combine_chunks()
             wide = lists.flatten().to_numpy().view(np.uint64).reshape(len(values), -1)[order]
-        comp = walk(values, roots, depth, width, budget, wide, most or 0)
+        pairs = [] if fan else None
+        comp = walk(values, roots, depth, width, budget, wide, most or 0, fan, pairs)
         ids = table.column("id").to_numpy()[order]
+        if fan:
+            a, b = (ids[np.concatenate([*x, np.zeros(0, dtype=np.int64)])] for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+            return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
         linked = np.flatnonzero(comp != np.arange(len(comp)))
         return pa.table({"a": ids[linked], "b": ids[comp[linked]]})
 
     return task
 
 
-def trie_links(values: DataFrame, width: int, words: int, budget: int, most: int | None = None) -> DataFrame:
-    """Edges a, b (ids) that connect what links.
+def trie_links(values: DataFrame, width: int, words: int, budget: int, most: int | None = None, fan: int = 0) -> DataFrame:
+    """Edges a, b (ids) that connect what links; with `fan` candidate pairs, of each value that many at least, if it has them.
 
     values: id (long, one per fingerprint) and fp (array of longs). The first `words` words of `width` bits each
     are joined within `budget`; with `most`, whole fingerprints must also differ in at most that many bits.
@@ -226,7 +303,7 @@ def trie_links(values: DataFrame, width: int, words: int, budget: int, most: int
     rows = values.select("id", *(["fp"] if most is not None else []), F.inline(F.array(*parts)))
     own = F.shiftrightunsigned("value", width - depth).cast("int")
     rows = rows.withColumn("own", own).withColumn("block", F.explode(masks)).withColumn("block", F.col("own").bitwiseXOR(F.col("block"))).where("block <= own").drop("own")
-    return rows.groupBy("word", "block").applyInArrow(_block_task(depth, width, budget, most), "a long, b long")
+    return rows.groupBy("word", "block").applyInArrow(_block_task(depth, width, budget, most, fan), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -259,36 +336,41 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, bits: int = 256, width: int = 32, budget: int = 4, similarity: float | None = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, ngram: int = 5, bits: int = 256, width: int = 32, budget: int = 4, similarity: float | None = 0.8, fan: int = 8) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id: the least doc_id reachable over links, the row's own included.
 
     Texts are taken whole with A-Z in lower case; shingles are `ngram` words with repeats, a shorter text is one
     shingle, and a text without words has fingerprint zero and links like any other. With `similarity` (of shingle sets, Jaccard)
-    the fingerprints' words only propose: a pair within the budget in one word links if whole fingerprints
-    differ in no more bits than texts of that similarity do, plus 1.5 standard deviations, so that few true links get lost.
-    The defaults find for certain what differs in (budget + 1) * words - 1 = 39 of 256 bits, where similarity 0.8 is
-    expected. Without `similarity` the first word alone decides.
+    the fingerprints only propose: a pair within the budget in one word is a candidate if whole fingerprints
+    differ in no more bits than texts of that similarity do, plus 3 standard deviations, so that few true links get lost, and it
+    links if the similarity of its shingle sets, without repeats, is that high. Equal sets with equal fingerprints are copies. In a dense group candidates
+    that are connected by others are left out once each has `fan` in a task. The defaults propose for certain what
+    differs in (budget + 1) * words - 1 = 39 of 256 bits, where similarity 0.8 is expected. Without `similarity` the first word alone decides.
 
     A null text is an empty one. Null doc_ids take part like others but never are a component's least id (null where
     nothing else is there). Repeated rows give repeated results. An empty table gives an empty result. Other columns are ignored.
     """
-    prints = saved(fingerprints(docs, ngram, bits), "prints")
-    known = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    if similarity is None:
-        values, words, most = known.select(F.col("fp")[0].alias("id"), "fp", "least"), 1, None
+    keyed = similarity is not None
+    prints = saved(fingerprints(docs, ngram, bits, keyed), "prints")
+    copies = ["fp", "shingles"] if keyed else ["fp"]
+    known = prints.groupBy(*copies).agg(F.min("doc_id").alias("least"), *([F.min("key").alias("key")] if keyed else []))
+    if not keyed:
+        values = saved(known.select(F.col("fp")[0].alias("id"), "fp", "least"), "values")
+        links = trie_links(values, width, 1, budget)
     else:
         # The angle between 0/1 vectors of sets with this Jaccard similarity.
         p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        most = round(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
-        values, words = known.select(F.xxhash64("fp").alias("id"), "fp", "least"), bits // width
-    values = saved(values, "values")
-    roots = components(trie_links(values, width, words, budget, most))
-    of = values.join(roots, values.id == roots.node, "left").select("fp", "least", F.coalesce("root", "id").alias("root"))
+        most = round(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+        values = saved(known.select(F.xxhash64(*copies).alias("id"), *copies, "least", "key"), "values")
+        proposed = saved(trie_links(values, width, bits // width, budget, most, fan).distinct(), "proposed")
+        links = similar_links(proposed, values, docs, ngram, similarity)
+    roots = components(links)
+    of = values.join(roots, values.id == roots.node, "left").select(*copies, "least", F.coalesce("root", "id").alias("root"))
     of = saved(of, "rooted")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
+    named = of.join(least, "root").select(*copies, "component_id")
     hexed = F.array_join(F.transform("fp", lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
-    return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(named, copies).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, **kw) -> DataFrame:

@@ -95,6 +95,30 @@ def test_simhash(spark, docs):
     assert 60 not in kept and 61 not in kept and 3 in kept and not {x for x in range(101, 106)} & kept
 
 
+def test_near_duplicates_are_verified(spark):
+    random = np.random.default_rng(3)
+    rows, texts = [], []
+    for base in range(40):
+        body = [f"b{base}x{k}" for k in range(200)]
+        texts.append(body)
+        for changes in (1, 3, 6, 8, 10, 12):
+            other = list(body)
+            for k in random.choice(200, changes, replace=False):
+                other[k] = f"o{base}x{changes}x{k}"
+            texts.append(other)
+    texts += [["r"] * 100 + [f"p{n}x{k}" for k in range(20)] for n in range(2)]  # one shingle outvotes the others: equal fingerprints
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    rows = [(i, " ".join(w), None, None, None) for i, w in enumerate(texts)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_walk_equals_all_pairs():
     random = np.random.default_rng(1)
     values = np.unique(random.integers(0, 2**16, 700).astype(np.uint64))
