@@ -21,8 +21,14 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import long_id, row_key
 
-#: Weight 5 masks; a passage of 16 words with 3 substitutions nearly always leaves a position of one of them whole.
-MASKS = ("11011001", "1010010011")
+#: Weight 5 masks; a passage of 16 words with 3 substitutions always leaves a position of one of them whole.
+MASKS = ("11011001", "1010010011", "11111")
+#: The same for items of fewer words, by their number and for as many substitutions as an agreement of 0.8 allows; chosen by enumeration.
+SHORT_MASKS = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("111", "1101"), 6: ("1111", "11011"), 7: ("11111", "111011", "110111"), 8: ("111111", "1111011", "1101111"),
+    9: ("1111011", "1101111"), 10: ("111011", "11010011", "11111"), 11: ("1101011", "1110011"), 12: ("11101011", "101100111", "111111"), 13: ("11101011", "11001111"),
+    14: ("111010011", "1111011"), 15: ("1111011", "11001000111", "11010110001"),
+}
 #: Benchmark hashes up to this number are broadcast: 16 bytes each.
 BROADCAST_ROWS = 2_000_000
 
@@ -40,10 +46,10 @@ def seed_hashes(words: Column, mask: str) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.lit(mask), *[F.get(words, i + k) for k in ones]))
 
 
-def _positions(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """All columns of rows, pos and hash: one row per mask and position."""
+def _positions(rows: DataFrame, masks: dict[str, Column]) -> DataFrame:
+    """All columns of rows, pos and hash: one row per mask and position, for masks whose condition holds."""
     # The outer forms: for the others Spark would put a filter on the arrays below the columns they are made of.
-    hashes = F.array(*[seed_hashes(F.col("words"), m) for m in masks])
+    hashes = F.array(*[seed_hashes(F.col("words"), m) if where is None else F.when(where, seed_hashes(F.col("words"), m)) for m, where in masks.items()])
     return rows.withColumn("hashes", hashes).select(*rows.columns, F.explode_outer("hashes").alias("of_mask")).select(*rows.columns, F.posexplode_outer("of_mask").alias("pos", "hash"))
 
 
@@ -66,7 +72,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
     One row per document, item and best window near a hit: where it starts, in words of the lower-case text without punctuation,
     how many words it has (`window`, or all of an item's if those are fewer) and how many agree; at least `agree` of them do.
-    Items of fewer words than the shortest mask can't be found. Null texts have no words; rows with a null doc_id
+    Items of fewer than 16 words have masks of their own, so that whatever
+    an agreement of 0.8 allows is found; a document takes those masks only if the benchmark has items of such lengths. Null texts have no words; rows with a null doc_id
     or item_id are left out, and repeated rows give their result once. Other columns are ignored. `key` tells texts of one doc_id apart.
     """
     # From here on a word is its 64-bit hash.
@@ -74,12 +81,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     known = docs.where("doc_id is not null").select(long_id(docs), row_key().alias("key"), "text")
     texts = known.select("doc_id", "key", coded(F.col("text")).alias("words"))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), coded(F.col("text")).alias("words")).distinct()
-    needles = _positions(items, masks).select("item_id", F.col("pos").alias("item_pos"), "hash").where("hash is not null").distinct()
+    size = F.size("words")
+    short = sorted(r["n"] for r in items.where(size.between(1, max(SHORT_MASKS))).select(size.alias("n")).distinct().collect())  # 15 at most
+    lengths = {m: [n for n in short if m in SHORT_MASKS[n]] for m in dict.fromkeys([*masks, *(m for n in short for m in SHORT_MASKS[n])])}
+    of_item = {m: size.isin(ns) | ((size > max(SHORT_MASKS)) & F.lit(m in masks)) for m, ns in lengths.items()}
+    of_text = dict.fromkeys(lengths)
+    needles = _positions(items, of_item).select("item_id", F.col("pos").alias("item_pos"), "hash").where("hash is not null").distinct()
     if needles.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        at = _positions(texts, masks).join(F.broadcast(needles.select("item_id", "item_pos", "hash")), "hash")
+        at = _positions(texts, of_text).join(F.broadcast(needles.select("item_id", "item_pos", "hash")), "hash")
         hits = at.withColumn("shift", F.col("pos") - F.col("item_pos")).join(F.broadcast(items.withColumnRenamed("words", "item_words")), "item_id")
         return _verified(hits, window, agree, F.col("pos") - window + 1, F.col("pos") + window)
-    at = _positions(texts, masks).select("doc_id", "key", "pos", "hash").join(needles.select("item_id", "item_pos", "hash"), "hash")
+    at = _positions(texts, of_text).select("doc_id", "key", "pos", "hash").join(needles.select("item_id", "item_pos", "hash"), "hash")
     hits = at.select("doc_id", "key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     full = hits.join(items.withColumnRenamed("words", "item_words"), "item_id").join(known, ["doc_id", "key"]).withColumn("words", coded(F.col("text")))
     return _verified(full, window, agree, F.lit(0), F.size("words"))

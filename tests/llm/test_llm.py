@@ -149,6 +149,22 @@ def test_decontamination(spark, docs):
     assert decontamination.contaminated(docs.limit(0), benchmark).count() == 0 and decontamination.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_allowed_substitutions(spark):
+    from itertools import combinations
+
+    items, rows, want = [], [], set()
+    for n in range(1, 17):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for places in combinations(range(n), n - -(-8 * n // 10)):
+            words_ = ["other" if k in places else w for k, w in enumerate(item)]
+            want.add((len(rows), n))
+            rows.append((len(rows), " ".join(["pre", *words_, "post"]), None, None, None))
+    frames = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    for bound in (10**6, 0):
+        assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(*frames, broadcast_rows=bound).collect()} == want
+
+
 def test_packing(spark, docs):
     load = packing.word_bpe(__import__("public_tokenizers").path("word_bpe_49k.json"))
     pieces = packing.pack(clashing(docs), load, size=64, with_ids=True).collect()
