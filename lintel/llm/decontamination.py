@@ -11,7 +11,7 @@ with different gaps make it likely that one of them does.
 
 The benchmark's hashes are counted first. Up to `broadcast_rows` they are broadcast, and hits are verified where they
 are found: nothing of a document but its verified hits is ever shuffled. Beyond that number the join shuffles by
-hash, hits become distinct diagonals (document, item, difference of positions), and those are joined with the texts again.
+hash, hits are gathered by diagonal (document, item, difference of positions), joined with the texts again and verified in the same way.
 """
 
 from __future__ import annotations
@@ -53,8 +53,9 @@ def _positions(rows: DataFrame, masks: dict[str, Column]) -> DataFrame:
     return rows.withColumn("hashes", hashes).select(*rows.columns, F.explode_outer("hashes").alias("of_mask")).select(*rows.columns, F.posexplode_outer("of_mask").alias("pos", "hash"))
 
 
-def _verified(hits: DataFrame, window: int, agree: float, near: Column, far: Column) -> DataFrame:
-    """The best window between the document positions `near` and `far` along the diagonal `shift`, if it agrees enough."""
+def _verified(hits: DataFrame, window: int, agree: float) -> DataFrame:
+    """The best window within `window` words of the document position `pos` along the diagonal `shift`, if it agrees enough."""
+    near, far = F.col("pos") - window + 1, F.col("pos") + window
     length = F.least(F.lit(window), F.size("item_words"))
     first = F.greatest(F.lit(0), F.col("shift"), near)
     last = F.least(F.size("words"), F.size("item_words") + F.col("shift"), far)
@@ -90,11 +91,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     if needles.limit(broadcast_rows + 1).count() <= broadcast_rows:
         at = _positions(texts, of_text).join(F.broadcast(needles.select("item_id", "item_pos", "hash")), "hash")
         hits = at.withColumn("shift", F.col("pos") - F.col("item_pos")).join(F.broadcast(items.withColumnRenamed("words", "item_words")), "item_id")
-        return _verified(hits, window, agree, F.col("pos") - window + 1, F.col("pos") + window)
+        return _verified(hits, window, agree)
     at = _positions(texts, of_text).select("doc_id", "key", "pos", "hash").join(needles.select("item_id", "item_pos", "hash"), "hash")
-    hits = at.select("doc_id", "key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    hits = at.groupBy("doc_id", "key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("pos").alias("at"))
     full = hits.join(items.withColumnRenamed("words", "item_words"), "item_id").join(known, ["doc_id", "key"]).withColumn("words", coded(F.col("text")))
-    return _verified(full, window, agree, F.lit(0), F.size("words"))
+    return _verified(full.withColumn("pos", F.explode("at")), window, agree)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

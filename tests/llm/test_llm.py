@@ -165,6 +165,16 @@ def test_decontamination_finds_all_allowed_substitutions(spark):
         assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(*frames, broadcast_rows=bound).collect()} == want
 
 
+def test_decontamination_is_the_same_beyond_the_bound(spark):
+    item = [f"b{k}" for k in range(60)]
+    changed = [w if k % 9 else "other" for k, w in enumerate(item)]
+    texts = [" ".join(["pre", *item]), " ".join(changed), " ".join([*item[5:30], "x", *changed[20:]])]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = [sorted(map(tuple, decontamination.overlaps(docs, benchmark, broadcast_rows=bound).collect())) for bound in (10**6, 0)]
+    assert got[0] == got[1] and len(got[0]) > 3
+
+
 def test_packing(spark, docs):
     load = packing.word_bpe(__import__("public_tokenizers").path("word_bpe_49k.json"))
     pieces = packing.pack(clashing(docs), load, size=64, with_ids=True).collect()
