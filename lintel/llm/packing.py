@@ -12,17 +12,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import long_id, row_key, saved
+from lintel.llm.common import long_id, row_key, saved, steps, text_bytes
 
-#: Distinct words whose ids a task remembers, and pieces of one length that share a bucket.
-WORDS_KEPT, BUCKET_ROWS = 300_000, 20_000
+#: Words a generation of a task's memory holds, bytes of text that share a look-up, and pieces of one length that share a bucket.
+WORDS_KEPT, LOOKUP_BYTES, BUCKET_ROWS = 400_000, 12 << 20, 20_000
 
 
 #: Letters that have one lower-case form everywhere, and signs after them that no contraction begins with.
@@ -32,69 +31,79 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*#$&|]*)")
 class WordIds:
     """Token ids of texts through their distinct white-space words; for tokenizers that never join words.
 
-    They must also ignore case and split words from punctuation: a word of plain letters with punctuation after it is looked up as two.
+    They must also ignore case and split words from punctuation: a word of plain letters with punctuation after it is looked up
+    as two. Ids are remembered in two generations: once the younger is full it becomes the older, and words still in use move
+    to the younger again, so that frequent words stay known however many rare ones pass.
     """
 
     def __init__(self, load: Callable):
-        self.encode, self.mark = load()
-        self._clear()
-
-    def _clear(self):
-        self.slot: dict[str, int] = {}
-        self.start, self.pool = array("q", [0]), array("I")
-
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self.start) - 1
-        self.slot.update(zip(words, range(first, first + len(words)), strict=True))
-        self.start.frombytes((len(self.pool) + np.cumsum(lengths)).astype(np.int64).tobytes())
-        self.pool.frombytes(ids.astype(np.uint32).tobytes())
+        self.encode, self.letters, self.mark = load()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        """Many words at once, the mark's token between them; words with the mark in them one by one."""
-        if len(self.slot) > WORDS_KEPT:
-            self._clear()
+        """Ids of new words: plain ones by the model alone, others many at once with the mark's token between them, or one by one."""
         sign, token = self.mark
-        new = [w for w in words if w not in self.slot]
-        alone, plain = [w for w in new if sign in w], [w for w in new if sign not in w]
-        for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
-            ids = np.array(self.encode(f" {sign} ".join(part)), dtype=np.uint32)
+        alone, odd = [], []
+        for w in words:
+            if w in self.old:
+                self.young[w] = self.old[w]
+            elif w and w.isalpha() and PLAIN.fullmatch(w) and w == w.lower():
+                self.young[w] = self.letters(w)
+            else:
+                (alone if sign in w else odd).append(w)
+        for i in range(0, len(odd), 5000):
+            part = odd[i : i + 5000]
+            ids = np.array(self.encode(f" {sign} ".join(part)), dtype="<u4")
             at = np.flatnonzero(ids == token)
             if len(at) != len(part) - 1:
                 alone += part
                 continue
-            self._add(part, ids[ids != token], np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
-        for w in alone:
-            ids = np.array(self.encode(w), dtype=np.uint32)
-            self._add([w], ids, np.array([len(ids)]))
+            bounds = [-1, *at.tolist(), len(ids)]
+            self.young.update((w, ids[a + 1 : b].tobytes()) for w, a, b in zip(part, bounds, bounds[1:], strict=False))
+        self.young.update((w, np.array(self.encode(w), dtype="<u4").tobytes()) for w in alone)
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin."""
         from lintel.llm.toxicity import distinct_words
 
+        if len(self.young) > WORDS_KEPT:
+            self.young, self.old = {}, self.young
         words, index, bounds = distinct_words(texts)
         parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w, "") for w in words]
-        self._learn(list({x for p in parts for x in p}))
-        slots = np.fromiter((self.slot[x] for p in parts for x in p), dtype=np.int64, count=2 * len(parts)).reshape(-1, 2)[index].ravel()
-        start, pool = np.frombuffer(self.start, dtype=np.int64), np.frombuffer(self.pool, dtype=np.uint32) if len(self.pool) else np.zeros(0, dtype=np.uint32)
-        n = start[slots + 1] - start[slots]
+        known = self.young
+        self._learn([x for x in dict.fromkeys(x for p in parts for x in p) if x not in known])
+        found = [known[a] + known[b] if b else known[a] for a, b in parts]
+        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        pool, starts = np.frombuffer(b"".join(found), dtype="<u4"), np.append(0, np.cumsum(n))
+        n = n[index]
         ends = np.append(0, np.cumsum(n))
-        return pool[np.repeat(start[slots] - ends[:-1], n) + np.arange(int(ends[-1]))], ends[2 * bounds]
+        return pool[np.repeat(starts[index] - ends[:-1], n) + np.arange(int(ends[-1]))], ends[bounds]
 
 
 #: By loader, for all tasks of a Python worker.
 _LOADED: dict[object, WordIds] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins that byte-level vocabularies use: a byte's own character, or for blanks and controls the next free ones from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def word_bpe(path: str, sign: str = "|") -> Callable:
-    """Loader of a tokenizer file: ids of a text without special tokens, and a sign that is one token wherever it stands alone."""
+    """Loader of a tokenizer file: ids of a text without special tokens, ids (as bytes) of a lower-case word of plain letters, and a sign that is one token wherever it stands alone."""
 
     def load():
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer, shown = Tokenizer.from_file(path), _byte_letters()
         encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        return encode, (sign, encode(sign)[0])
+        merge = tokenizer.model.tokenize
+        # What stands before the model has nothing to do on such a word but to spell its bytes.
+        letters = lambda w: np.array([t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(shown))], dtype="<u4").tobytes()
+        return encode, letters, (sign, encode(sign)[0])
 
     load.key = path, sign
     return load
@@ -108,8 +117,8 @@ def _piece_batches(load: Callable, size: int, end_id: int, with_ids: bool):
             _LOADED[load.key] = WordIds(load)
         encode = _LOADED[load.key]
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i, j in steps(text_bytes(batch.column("text"))[1], LOOKUP_BYTES):
+                part = batch.slice(i, j - i)
                 ids, at = encode(part.column("text"))
                 rows, start, length, crc, total, own = [], [], [], [], [], []
                 for k in range(part.num_rows):
@@ -186,7 +195,7 @@ def pack(docs: DataFrame, load: Callable, size: int = 2048, end_id: int = 1, wit
     table gives no pieces. Other columns are ignored. Sequences are numbered from 0 and filled without gaps from 0.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, key int, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, key long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     pieces = saved(docs.select(long_id(docs), "text", row_key().alias("key")).mapInArrow(_piece_batches(load, size, end_id, with_ids), schema), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     slots = spark.createDataFrame(plan(histogram, size), "length long, first long, n long, sequence long, offset long")

@@ -218,12 +218,12 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = saved(digests.join(least.select("digest", "least"), "digest").where("doc_id > least").select("doc_id", "key").distinct(), "copies")
 
-    spots = saved(known.mapInArrow(_anchor_batches(width), "doc_id long, key int, anchor long, start int, n int"), "anchors")
+    spots = saved(known.mapInArrow(_anchor_batches(width), "doc_id long, key long, anchor long, start int, n int"), "anchors")
     shared = spots.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     found = spots.join(shared, "anchor").join(copies, ["doc_id", "key"], "left_anti").select("doc_id", "key", "start", "n").distinct()
     spans = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     # Not written to disk: both uses and the last join read one shuffle of the texts.
-    windows = known.join(spans, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_window_batches(width), "doc_id long, key int, h1 long, h2 int, start int")
+    windows = known.join(spans, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_window_batches(width), "doc_id long, key long, h1 long, h2 int, start int")
     sources = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     hits = windows.join(sources, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
     marked = known.join(hits, ["doc_id", "key"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "key"], "left")

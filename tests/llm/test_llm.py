@@ -178,7 +178,7 @@ def test_decontamination_is_the_same_beyond_the_bound(spark):
 def test_packing(spark, docs):
     load = packing.word_bpe(__import__("public_tokenizers").path("word_bpe_49k.json"))
     pieces = packing.pack(clashing(docs), load, size=64, with_ids=True).collect()
-    encode, _ = load()
+    encode = load()[0]
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in pieces:
         by_doc[r["doc_id"]].append(r)
@@ -192,9 +192,19 @@ def test_packing(spark, docs):
         assert [r["offset"] for r in parts] == np.cumsum([0, *[r["length"] for r in parts]])[:-1].tolist() and sum(r["length"] for r in parts) <= 64
     assert sorted(by_sequence) == list(range(len(by_sequence)))
     assert packing.pack(docs.limit(0), load).count() == 0
+    odd = ["", None, "'s x's can't <|endoftext|> a<|startoftext|>b", "É é ÉTÉ é ﬁ ß ÿŸ x|y | ||", "İstanbul ǅ 中文abc 12ab3", "a b c\u0085d\x1cq", "hello,world!! $$$ don't---x ...", "x\x00y \ufeffz ab'll. we've,", "wörter " * 9000 + "y" * 5000] * 2
+    rows = packing.pack(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(odd)] + [(None, "x", None, None, None)] * 2, SCHEMA), load, with_ids=True).collect()
+    for i, text in enumerate(odd):
+        assert [x for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]) for x in r["ids"]] == [*encode(text or ""), 1]
+    assert sum(r["length"] for r in rows if r["doc_id"] is None) == 2 * (len(encode("x")) + 1)
+    remembered = packing.WordIds(load)
+    remembered.young, remembered.old = {}, {"x": b""}  # a word of the older generation is not learned again
+    assert len(remembered(__import__("pyarrow").array(["x y"]))[0]) == len(encode("y"))
     histogram = {k: int(c) for k, c in enumerate(np.random.default_rng(2).integers(1, 500, 2047), 1)}
     slots = packing.plan(histogram, 2048)
-    assert all(sum(n for length, _, n, *_ in slots if length == k) == c for k, c in list(histogram.items())[:50])
+    assert all(sum(n for length, _, n, *_ in slots if length == k) == c for k, c in histogram.items())
+    sequences = max(first + n for _, _, n, first, _ in slots)
+    assert sequences * 2048 <= 1.02 * sum(k * c for k, c in histogram.items())  # padding
 
 
 def test_secret_scan(spark, sf, docs):
