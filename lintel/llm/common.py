@@ -150,6 +150,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_names(words: Words, salt: int = 0) -> np.ndarray:
+    """A 64-bit name for each word: its bytes, eight at a time, mixed into a state one after the other; those of long words by XXH64."""
+    import xxhash
+
+    size, short = words.end - words.start, 64
+    padded = np.append(words.data, np.zeros(8, dtype=np.uint8))
+    eights = np.ndarray(len(words.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    masks = np.append((np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))) - np.uint64(1), np.uint64(2**64 - 1))
+    names = mix(size.astype(np.uint64) + np.uint64(1 + 0x9E3779B97F4A7C15 * salt & (2**64 - 1)))
+    live, done = np.flatnonzero(size <= short), 0
+    while len(live):
+        left = size[live] - done
+        names[live] = mix((names[live] ^ (eights[words.start[live] + done] & masks[np.minimum(left, 8)])) + np.uint64(0xD6E8FEB86659FD93))
+        live, done = live[left > 8], done + 8
+    for i in np.flatnonzero(size > short).tolist():
+        names[i] = xxhash.xxh64_intdigest(padded[words.start[i] : words.end[i]].data, salt)
+    return names
+
+
 class Rolling:
     """Hashes of any stretch of a sequence by one polynomial modulo 2^64 over spread values."""
 

@@ -1,8 +1,8 @@
 """Substring dedup by recompression.
 
 Rounds rename a text's symbols: first each run of one symbol, then each pair of a "left" and a "right"
-symbol. A name is a 64-bit hash of what it stands for, so every task on every executor gives equal stretches
-equal names without exchanging a table of names. Whether a symbol is renamed hangs only on its neighbours,
+symbol. A name is a 64-bit hash of what it stands for (a word's bytes, a run's symbol and length, a pair's two symbols), so
+every task on every executor gives equal stretches equal names without exchanging a table of names. Whether a symbol is renamed hangs only on its neighbours,
 so two equal stretches of words agree on all symbols but a few at their ends. With each symbol go the bounds
 of the words its name depends on; a symbol whose bounds lie inside a window is the same wherever that window
 stands.
@@ -10,12 +10,14 @@ stands.
 1. For each window of `width` words: the highest round with such a symbol, and there the longest, of those the
    one with the least name. That is the window's anchor; single words are round 0, so every window has one. Equal windows have equal anchors.
 2. Anchors that stand in documents with different ids *reveal* possible repeats (one grouping by anchor).
-3. Only windows below such anchors are *verified*, by a 96-bit hash of their words (one grouping by hash):
-   a window is removed where a smaller doc_id has the same hash.
+3. Only windows below such anchors are *verified*, by a 96-bit name of all their words (one grouping by name): words are paired,
+   pairs of words paired again and so on, each time through a mixing function, so that no structure of a text makes names meet.
+   A window is removed where a smaller doc_id has the same name. Windows of one text with one name at equal distances, as in a
+   passage that repeats a word or two, are one row.
 
 Documents whose whole text equals that of a smaller doc_id need no windows: all their words go if there are at
-least `width`. All groupings aggregate before they shuffle; joins back to the rows are ordinary sort-merge
-joins that adaptive execution can split, so a passage in a third of all documents stays harmless.
+least `width`. All groupings aggregate before they shuffle. Joins back to the rows are sort-merge joins between two plain
+exchanges or saved tables, which adaptive execution can split, so a passage in a third of all documents stays harmless.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import Rolling, Words, long_id, mix, row_key, saved, steps, text_bytes
+from lintel.llm.common import Words, long_id, mix, row_key, saved, steps, text_bytes, word_names
 
 #: Rounds of renaming; a symbol stands for about (4/3)^rounds words.
 ROUNDS = 4
@@ -123,20 +125,15 @@ def anchors(word_names: np.ndarray, first: np.ndarray, width: int):
     return text[at], place[at], np.diff(np.append(at, len(starts))), anchor[at]
 
 
-def _step_anchors(data, bounds, width, rolling):
-    words = Words(data, bounds)
-    return anchors(rolling.words(words), words.first, width)
-
-
 def _anchor_batches(width: int):
     def task(batches):
         import pyarrow as pa
 
-        rolling = Rolling()
         for batch in batches:
             data, bounds = text_bytes(batch.column("text"))
             for i, j in steps(bounds):
-                text, start, n, name = _step_anchors(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], width, rolling)
+                words = Words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                text, start, n, name = anchors(word_names(words), words.first, width)
                 if len(text):
                     rows = pa.array(text + i)
                     yield pa.RecordBatch.from_arrays(
@@ -147,19 +144,46 @@ def _anchor_batches(width: int):
     return task
 
 
+def window_names(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Names of the `width` words from each place in `at`, from names of 1, 2, 4 and so on words."""
+    out, block, size = np.full(len(at), width, dtype=np.uint64), words, 1
+    at = at.copy()
+    while size <= width:
+        if width & size:
+            out = mix(out * np.uint64(0x9FB21C651E98DF25) + block[at])
+            at += size
+        block = mix(block[:-size] * np.uint64(0xA24BAED4963EE407) + block[size:])
+        size *= 2
+    return out
+
+
+def progressions(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by group and place as progressions: the first row of each, its step and length. Neighbours may share a row."""
+    n = len(group)
+    gap = np.append(0, np.diff(place))
+    same = np.append(False, group[1:] == group[:-1])
+    goes = np.zeros(n, dtype=bool)
+    goes[2:] = same[2:] & same[1:-1] & (gap[2:] == gap[1:-1])
+    inside = goes.copy()
+    inside[:-1] |= goes[1:]
+    inside[:-2] |= goes[2:]
+    begin = np.flatnonzero(goes & ~np.append(False, goes[:-1]))
+    end = np.flatnonzero(goes & ~np.append(goes[1:], False))
+    alone = np.flatnonzero(~inside)
+    return np.append(begin - 2, alone), np.append(gap[begin], np.zeros(len(alone), dtype=np.int64)), np.append(end - begin + 3, np.ones(len(alone), dtype=np.int64))
+
+
 def _window_batches(width: int):
-    """96-bit hashes of the windows named in `spans`."""
+    """96-bit names of the windows in `spans`: doc_id, key, h1, h2, and where they start: start, start + step, ... n times."""
 
     def task(batches):
         import pyarrow as pa
 
-        one, two, letters = Rolling(1), Rolling(2), (Rolling(3), Rolling(4))
         for batch in batches:
             data, bounds = text_bytes(batch.column("text"))
             spans = batch.column("spans")
             for i, j in steps(bounds):
                 words = Words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                sums = [r.sums(x.words(words)) for r, x in zip((one, two), letters, strict=True)]
                 part = spans.slice(i, j - i)
                 flat = part.flatten()
                 start, n = (np.asarray(flat.field(x), dtype=np.int64) for x in ("start", "n"))
@@ -167,12 +191,17 @@ def _window_batches(width: int):
                 text = np.repeat(text, n)
                 place = np.repeat(start - np.append(0, np.cumsum(n))[:-1], n) + np.arange(int(n.sum()))
                 at = words.first[:-1][text] + place
-                rows = pa.array(text + i)
+                one, two = (window_names(word_names(words, salt), at, width) for salt in (1, 2))
+                group = mix(one ^ mix(text.astype(np.uint64) + np.uint64(1)))
+                order = np.lexsort((place, group))
+                first, step, times = progressions(group[order], place[order])
+                first = order[first]
+                rows = pa.array(text[first] + i)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(rows), batch.column("key").take(rows)]
-                    + [pa.array(one.stretches(sums[0], at, at + width).view(np.int64)), pa.array((two.stretches(sums[1], at, at + width) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-                    + [pa.array(place.astype(np.int32))],
-                    ["doc_id", "key", "h1", "h2", "start"],
+                    + [pa.array(one[first].view(np.int64)), pa.array((two[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+                    + [pa.array(x.astype(np.int32)) for x in (place[first], step, times)],
+                    ["doc_id", "key", "h1", "h2", "start", "step", "n"],
                 )
 
     return task
@@ -191,7 +220,9 @@ def _keep_batches(width: int):
                 if copies[i] and len(words) >= width:
                     gone[0], gone[-1] = 1, -1
                 elif starts[i].is_valid:
-                    at = np.asarray(starts[i].values, dtype=np.int64)
+                    start, step, n = (np.asarray(starts[i].values.field(x), dtype=np.int64) for x in ("start", "step", "n"))
+                    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    at = np.repeat(start, n) + k * np.repeat(step, n)
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + width, -1)
                 gone = np.cumsum(gone)[:-1] > 0
@@ -209,7 +240,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     kept (the kept words joined by one space). Judged on the input, not on what is left.
     A null or blank text has no words and stays. A null doc_id is not smaller or larger than any: such rows
     neither lose words nor take any. Rows that share a doc_id are judged each on its own and never against each
-    other. An empty table gives an empty result.
+    other. An empty table gives an empty result. A very long text is handled whole, in a step of its own: memory follows the longest text.
     """
     docs = docs.select(long_id(docs), "text", row_key().alias("key"))
     known = docs.where("doc_id is not null")
@@ -219,14 +250,16 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     copies = saved(digests.join(least.select("digest", "least"), "digest").where("doc_id > least").select("doc_id", "key").distinct(), "copies")
 
     spots = saved(known.mapInArrow(_anchor_batches(width), "doc_id long, key long, anchor long, start int, n int"), "anchors")
-    shared = spots.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    found = spots.join(shared, "anchor").join(copies, ["doc_id", "key"], "left_anti").select("doc_id", "key", "start", "n").distinct()
-    spans = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    shared = saved(spots.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "shared")
+    found = spots.join(shared, "anchor").join(copies, ["doc_id", "key"], "left_anti")
+    spans = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     # Not written to disk: both uses and the last join read one shuffle of the texts.
-    windows = known.join(spans, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_window_batches(width), "doc_id long, key long, h1 long, h2 int, start int")
-    sources = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    hits = windows.join(sources, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
+    windows = known.join(spans, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_window_batches(width), "doc_id long, key long, h1 long, h2 int, start int, step int, n int")
+    sources = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "least")
+    # By h1 alone: the grouping above is by both, so that both sides of the join get an exchange of their own and a name that many texts have can be split.
+    same = (F.col("h1") == F.col("s1")) & (F.col("h2") <= F.col("s2")) & (F.col("h2") >= F.col("s2"))
+    hits = windows.join(sources, same).where("doc_id > least").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "step", "n")).alias("starts"))
     marked = known.join(hits, ["doc_id", "key"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "key"], "left")
-    loose = docs.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
+    loose = docs.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast(dict(hits.dtypes)["starts"]).alias("starts"))
     rows = marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").unionByName(loose)
     return rows.mapInArrow(_keep_batches(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -65,6 +65,43 @@ def test_substring_dedup(spark, docs):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def removed(texts, width=50):
+    """n_removed of each text, by brute force."""
+    seen, out = set(), []
+    for text in texts:
+        w = words(text)
+        spans = [tuple(w[k : k + width]) for k in range(len(w) - width + 1)]
+        gone = [False] * len(w)
+        for k, s in enumerate(spans):
+            if s in seen:
+                gone[k : k + width] = [True] * width
+        seen.update(spans)
+        out.append(sum(gone))
+    return out
+
+
+def test_substring_dedup_of_odd_texts(spark):
+    random = np.random.default_rng(9)
+    fill = lambda n: ["f" + format(i, "x") for i in random.integers(0, 10**9, n)]
+    thue = lambda n, flip: "".join("ab"[k.bit_count() + flip & 1] for k in range(n))
+    texts = []
+    for n in (1024, 2048, 4096):  # alike to any polynomial modulo a power of two, and different
+        body = fill(60)
+        texts += [" ".join([*body[:30], thue(n, flip), *body[30:]]) for flip in (0, 1)]
+    long = fill(30_000)
+    texts += [" ".join(long), " ".join([*fill(5), *long[29_000:], *fill(3)]), "x y " * 400, "x y " * 90 + "z", "q " + "x y " * 30, ("p " * 60 + "r ") * 9, "p " * 55 + "r p p"]
+    texts += ["w" * 100_000 + " " + " ".join(fill(49)), *(" ".join([*long[100:148], "é" * 70, *long[149:200]]) for _ in range(2))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert [got[i] for i in range(len(texts))] == removed(texts) and got[1] == got[3] == got[5] == 0
+
+
+def test_progressions():
+    group, place = np.array([0, 1, 1, 1, 1, 1, 1, 2, 2, 3, 3, 3]), np.array([4, 0, 2, 4, 6, 9, 12, 0, 5, 1, 2, 9])
+    first, step, n = substring_dedup.progressions(group, place)
+    rows = {(int(group[f]), int(place[f]) + k * int(s)) for f, s, m in zip(first, step, n) for k in range(m)}
+    assert rows == set(zip(group.tolist(), place.tolist())) and len(first) < len(group)
+
+
 def test_simhash(spark, docs):
     import xxhash
 
