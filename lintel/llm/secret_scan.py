@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import long_id
+from lintel.llm.common import long_id, saved
 
 # What the three kinds of the base look like.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,8 +26,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Characters of candidates; a place before the first stands for the start.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Candidates have a letter, a digit and at least 20 characters.
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: Candidates have a letter, a digit and at least 20 characters. Looked for only where a run of such characters begins, so that a long run is read a bounded number of times.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 #: Documents and generated strings that the models are counted on; threshold in nats per character.
 SAMPLE_DOCS, SAMPLE_STRINGS, THRESHOLD = 2000, 4000, 1.6
 
@@ -51,9 +51,9 @@ def spans(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
 
 def _pairs(strings: DataFrame) -> DataFrame:
     """a, b: characters in a row; '' stands before the first."""
-    at = F.sequence(F.lit(1), F.char_length("s"))
-    pairs = F.transform(at, lambda i: F.struct(F.when(i == 1, "").otherwise(F.substring(F.col("s"), i - 1, F.lit(1))).alias("a"), F.substring(F.col("s"), i, F.lit(1)).alias("b")))
-    return strings.where("s <> ''").select("label", F.inline(pairs))
+    split = strings.where("s <> ''").select("label", F.filter(F.split("s", ""), lambda c: c != "").alias("chars"))
+    before = F.concat(F.array(F.lit("")), F.slice("chars", 1, F.size("chars") - 1))
+    return split.select("label", F.inline(F.arrays_zip(before.alias("a"), F.col("chars").alias("b"))))
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> list[float]:
@@ -62,7 +62,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int =
     known = docs.where("doc_id is not null and text is not null").select(long_id(docs), "text")
     # Ids are picked first, so that no texts meet in one task; they are at most `sample_docs`.
     ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    picked = known.join(F.broadcast(ids), "doc_id", "left_semi")
+    # Saved, or the optimizer would run the patterns on all texts and pick then.
+    picked = saved(known.join(F.broadcast(ids), "doc_id", "left_semi"), "sample")
     picked = picked.withColumn("values", F.concat(*[F.coalesce(spans(F.col("text"), p, 0, v), F.array().cast(_SPAN)) for p, v in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0))]))
     matched = picked.select(F.lit(1).alias("label"), F.explode(F.col("values.value")).alias("s")).where("length(s) >= 20")
     words = picked.where("size(values) = 0").select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("s"))
@@ -94,7 +95,8 @@ def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> D
     """row (all columns of docs, as they are), text and found: all spans in order of start, then kind.
 
     Null text is empty and has no spans. Base kinds: `assign` with values of 6 or more characters, `access`, `hex`.
-    `markov` spans never overlap base ones. Null and repeated doc_ids are scanned like any others.
+    `markov` spans never overlap base ones. Null and repeated doc_ids are scanned like any others, equal rows alike. Spans of one start
+    are in order of kind. Very long texts and runs take time in proportion, many spans in one text a little of their square. An empty table gives an empty result.
     """
     none = F.array().cast(_SPAN)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))

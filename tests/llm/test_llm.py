@@ -256,6 +256,35 @@ def test_secret_scan(spark, sf, docs):
     assert secret_scan.scan(docs.limit(0), secret_scan.train(docs.limit(0))).count() == 0
 
 
+def test_secret_scan_base_by_brute_force(spark, sf):
+    """Base spans against Python's own matching, over whole tables and odd texts."""
+    kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
+    real = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    digest = hashlib.sha256(b"x").hexdigest()
+    odd = ["𝒳é token=" + digest, "secret='" + digest[:30] + "' " * 3, "AKIAAKIA" + "A" * 16, "AKIA" + "a" * 20, digest + "Z" + digest, "token:" * 40 + "abcdefgh", "API_KEY = abc.def PASSWD:12345", "\n".join([digest[:23], digest[:24]]), None, "", digest * 2000]
+    rows = real + [(10**6 + i, t) for i, t in enumerate(odd)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in secret_scan.scan(frame, secret_scan.train(frame)).select(F.col("row.doc_id").alias("id"), "found", secret_scan.named(F.filter("found", lambda x: x["kind"] < 3)).alias("s")).collect():
+        got[r["id"]].add(r["s"])
+        base = [(x["start"], x["end"]) for x in r["found"] if x["kind"] < 3]
+        assert not any(x["start"] < e and s < x["end"] for x in r["found"] if x["kind"] == 3 for s, e in base)
+    for i, text in rows:
+        spans = sorted((m.start(), k, m.end()) for k, (_, pattern, good) in enumerate(kinds) for m in pattern.finditer(text or "") if good(m))
+        assert got[i] == {",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in spans)}, i
+
+
+def test_secret_scan_takes_linear_time(spark):
+    import time
+
+    texts = ["a" * 1_000_000, "ab1-" * 250_000, "0123456789" * 100_000, "AKIA" * 250_000, "token" + " " * 1_000_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = [0.0] * (len(secret_scan.ALPHABET) + 1) * len(secret_scan.ALPHABET)
+    began = time.time()
+    assert secret_scan.scan(frame, table).count() == 5 and secret_scan.scan(frame, table).select(F.sum(F.size("found"))).first()[0] == 3
+    assert time.time() - began < 60
+
+
 def test_quality_rules(spark, docs):
     got = {r["doc_id"]: r for r in quality_rules.judge(clashing(docs)).collect()}
     for i, text, *_ in corpus():
