@@ -10,10 +10,11 @@ stands.
 1. For each window of `width` words: the highest round with such a symbol, and there the longest, of those the
    one with the least name. That is the window's anchor; single words are round 0, so every window has one. Equal windows have equal anchors.
 2. Anchors that stand in documents with different ids *reveal* possible repeats (one grouping by anchor).
-3. Only windows below such anchors are *verified*, by a 96-bit name of all their words (one grouping by name): words are paired,
-   pairs of words paired again and so on, each time through a mixing function, so that no structure of a text makes names meet.
-   A window is removed where a smaller doc_id has the same name. Windows of one text with one name at equal distances, as in a
-   passage that repeats a word or two, are one row.
+3. Only windows below such anchors are *verified*, by 96-bit names of all their words: words are paired, pairs of words paired
+   again and so on, each time through a mixing function, so that no structure of a text makes names meet. First whole spans
+   (windows in a row with one anchor) are compared: where a smaller doc_id has an equal span, all of it goes. Of equal spans only
+   that of the least doc_id goes on as single windows, and a window is removed where a smaller doc_id has one of the same name.
+   Windows of one text with one name at equal distances, as in a passage that repeats a word or two, are one row.
 
 Documents whose whole text equals that of a smaller doc_id need no windows: all their words go if there are at
 least `width`. All groupings aggregate before they shuffle. Joins back to the rows are sort-merge joins between two plain
@@ -125,6 +126,39 @@ def anchors(word_names: np.ndarray, first: np.ndarray, width: int):
     return text[at], place[at], np.diff(np.append(at, len(starts))), anchor[at]
 
 
+def window_names(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Names of the `width` words from each place in `at`, from names of 1, 2, 4 and so on words."""
+    out, block, size = np.full(len(at), width, dtype=np.uint64), words, 1
+    at = at.copy()
+    while size <= width:
+        if width & size:
+            out = mix(out * np.uint64(0x9FB21C651E98DF25) + block[at])
+            at += size
+        block = mix(block[:-size] * np.uint64(0xA24BAED4963EE407) + block[size:])
+        size *= 2
+    return out
+
+
+def span_windows(first: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans (first word of the text, first window, windows) each window's first word, counted over all texts and in its own."""
+    place = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return np.repeat(first, n) + place, place
+
+
+def span_names(words: Words, at: np.ndarray, n: np.ndarray, width: int) -> list[np.ndarray]:
+    """Two names of each span of `n` windows in a row: sums of its windows' names, each mixed with its place in the span."""
+    begin = np.cumsum(n) - n
+    place = mix(np.arange(len(at), dtype=np.uint64) - np.repeat(begin, n).astype(np.uint64))
+    return [np.add.reduceat(mix(window_names(word_names(words, salt), at, width) + place), begin) for salt in (1, 2)]
+
+
+def _name_columns(one: np.ndarray, two: np.ndarray) -> list:
+    """64 bits of the first name, 32 of the second."""
+    import pyarrow as pa
+
+    return [pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+
+
 def _anchor_batches(width: int):
     def task(batches):
         import pyarrow as pa
@@ -135,28 +169,16 @@ def _anchor_batches(width: int):
                 words = Words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 text, start, n, name = anchors(word_names(words), words.first, width)
                 if len(text):
-                    rows = pa.array(text + i)
+                    rows, (at, _) = pa.array(text + i), span_windows(words.first[:-1][text], start, n)
+                    spans = span_names(words, at, n, width)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(name.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                        ["doc_id", "key", "anchor", "start", "n"],
+                        [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(name.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (start, n)), *_name_columns(*spans)],
+                        ["doc_id", "key", "anchor", "start", "n", "h1", "h2"],
                     )
 
     return task
 
 
-def window_names(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Names of the `width` words from each place in `at`, from names of 1, 2, 4 and so on words."""
-    out, block, size = np.full(len(at), width, dtype=np.uint64), words, 1
-    at = at.copy()
-    while size <= width:
-        if width & size:
-            out = mix(out * np.uint64(0x9FB21C651E98DF25) + block[at])
-            at += size
-        block = mix(block[:-size] * np.uint64(0xA24BAED4963EE407) + block[size:])
-        size *= 2
-    return out
-
-
 def progressions(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows sorted by group and place as progressions: the first row of each, its step and length. Neighbours may share a row."""
     n = len(group)
@@ -188,9 +210,8 @@ def _window_batches(width: int):
                 flat = part.flatten()
                 start, n = (np.asarray(flat.field(x), dtype=np.int64) for x in ("start", "n"))
                 text = np.repeat(np.arange(j - i), np.asarray(part.value_lengths(), dtype=np.int64))
+                at, place = span_windows(words.first[:-1][text], start, n)
                 text = np.repeat(text, n)
-                place = np.repeat(start - np.append(0, np.cumsum(n))[:-1], n) + np.arange(int(n.sum()))
-                at = words.first[:-1][text] + place
                 one, two = (window_names(word_names(words, salt), at, width) for salt in (1, 2))
                 group = mix(one ^ mix(text.astype(np.uint64) + np.uint64(1)))
                 order = np.lexsort((place, group))
@@ -198,9 +219,7 @@ def _window_batches(width: int):
                 first = order[first]
                 rows = pa.array(text[first] + i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("key").take(rows)]
-                    + [pa.array(one[first].view(np.int64)), pa.array((two[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-                    + [pa.array(x.astype(np.int32)) for x in (place[first], step, times)],
+                    [batch.column("doc_id").take(rows), batch.column("key").take(rows), *_name_columns(one[first], two[first]), *(pa.array(x.astype(np.int32)) for x in (place[first], step, times))],
                     ["doc_id", "key", "h1", "h2", "start", "step", "n"],
                 )
 
@@ -249,16 +268,20 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = saved(digests.join(least.select("digest", "least"), "digest").where("doc_id > least").select("doc_id", "key").distinct(), "copies")
 
-    spots = saved(known.mapInArrow(_anchor_batches(width), "doc_id long, key long, anchor long, start int, n int"), "anchors")
+    spots = saved(known.mapInArrow(_anchor_batches(width), "doc_id long, key long, anchor long, start int, n int, h1 long, h2 int"), "anchors")
     shared = saved(spots.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "shared")
-    found = spots.join(shared, "anchor").join(copies, ["doc_id", "key"], "left_anti")
-    spans = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    found = saved(spots.join(shared, "anchor").join(copies, ["doc_id", "key"], "left_anti").drop("anchor"), "spans")
+    equal = saved(found.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")).where("times > 1").drop("times"), "equal")
+    found = saved(found.join(equal, ["h1", "h2", "n"], "left").withColumn("gone", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).select("doc_id", "key", "start", "n", "gone"), "spans")
+    spans = found.where("not gone").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     # Not written to disk: both uses and the last join read one shuffle of the texts.
     windows = known.join(spans, ["doc_id", "key"]).select("doc_id", "key", "text", "spans").mapInArrow(_window_batches(width), "doc_id long, key long, h1 long, h2 int, start int, step int, n int")
-    sources = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "least")
+    sources = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")).where("times > 1").select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "least")
     # By h1 alone: the grouping above is by both, so that both sides of the join get an exchange of their own and a name that many texts have can be split.
     same = (F.col("h1") == F.col("s1")) & (F.col("h2") <= F.col("s2")) & (F.col("h2") >= F.col("s2"))
-    hits = windows.join(sources, same).where("doc_id > least").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "step", "n")).alias("starts"))
+    single = windows.join(sources, same).where("doc_id > least").select("doc_id", "key", "start", "step", "n")
+    whole = found.where("gone").select("doc_id", "key", "start", F.lit(1).alias("step"), "n")
+    hits = single.unionByName(whole).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "step", "n")).alias("starts"))
     marked = known.join(hits, ["doc_id", "key"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "key"], "left")
     loose = docs.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast(dict(hits.dtypes)["starts"]).alias("starts"))
     rows = marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").unionByName(loose)
