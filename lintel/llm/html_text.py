@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import sys
-from html.parser import HTMLParser
+from collections import Counter
+from html import unescape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,13 @@ HEAD = frozenset("base basefont bgsound link meta noframes noscript script style
 ISLANDS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 UNDRAWN = frozenset("defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc annotation annotation-xml".split())
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
-#: Elements nested deeper become siblings.
-DEPTH = 200
+# Elements whose content is text up to their own end tag: as it stands, or with character references.
+RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
+REFERENCES = frozenset("textarea title".split())
+#: Elements nested deeper become siblings, as in the usual browsers.
+DEPTH = 512
+#: A name in a tag, and the blanks and strokes before it.
+NAME = re.compile(r"[\s/]*+(=?[^\s/>=]*+)\s*+")
 
 
 class Node:
@@ -46,12 +52,106 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
-class TreeBuilder(HTMLParser):
+def attributes(html: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """Attributes of a tag from behind its name on, whether it ends itself, and where it ends; -1 if the page ends first."""
+    found: dict[str, str] = {}
+    while True:
+        m = NAME.match(html, at)
+        name, at = m[1].lower(), m.end()
+        value = ""
+        if html.startswith("=", at) and name:
+            at += 1
+            while html[at : at + 1].isspace():
+                at += 1
+            quote = html[at : at + 1]
+            if quote in ("'", '"'):
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return found, False, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                end = UNQUOTED.match(html, at).end()
+                value, at = html[at:end], end
+        if name:
+            found.setdefault(name, unescape(value))
+        elif at >= len(html):
+            return found, False, -1
+        elif html[at] == ">":
+            return found, html[at - 1] == "/", at + 1
+
+
+UNQUOTED = re.compile(r"[^\s>]*+")
+
+
+class TreeBuilder:
+    """Reads markup once from left to right. What a browser drops (comments, declarations, a tag or comment that the page ends in) is dropped."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
-        self.drawn = False
+        self.count: Counter[str] = Counter()
+        self.drawn = self.fresh = False
+
+    def push(self, node: Node):
+        self.open.append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, at: int):
+        for x in self.open[at:]:
+            self.count[x.tag] -= 1
+        del self.open[at:]
+
+    def feed(self, html: str):
+        html = html.replace("\r\n", "\n").replace("\r", "\n")
+        i, n = 0, len(html)
+        while i < n:
+            j = html.find("<", i)
+            j = n if j < 0 else j
+            if i < j:
+                self.text(unescape(html[i:j]))
+            next_ = html[j + 1 : j + 2]
+            if j == n:
+                return
+            if next_.isascii() and next_.isalpha():
+                i = self.start(html, j + 1)
+            elif next_ == "/" and html[j + 2 : j + 3].isalpha() and html[j + 2].isascii():
+                end = TAG.match(html, j + 2).end()
+                i = attributes(html, end)[2]
+                if i > 0:
+                    self.end_tag(html[j + 2 : end].lower())
+            elif html.startswith("<!--", j):
+                ends = [x for x in ((html.find("-->", j + 2), 3), (html.find("--!>", j + 4), 4)) if x[0] >= 0]
+                i = sum(min(ends)) if ends else -1
+            elif html.startswith("<![CDATA[", j) and self.foreign():
+                end = html.find("]]>", j)
+                self.text(html[j + 9 : end if end >= 0 else n])
+                i = end + 3 if end >= 0 else -1
+            elif next_ in ("!", "?", "/") and next_:
+                i = html.find(">", j) + 1 or -1
+            else:
+                self.text("<")
+                i = j + 1
+            if i < 0:
+                return
+
+    def start(self, html: str, at: int) -> int:
+        end = TAG.match(html, at).end()
+        tag = html[at:end].lower()
+        attrs, empty, i = attributes(html, end)
+        if i < 0:
+            return i
+        plain = not self.foreign()
+        self.start_tag(tag, attrs, empty)
+        if plain and tag == "plaintext":
+            self.text(html[i:])
+            return -1
+        if plain and (tag in RAW or tag in REFERENCES):
+            close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, i)
+            stop = close.start() if close else len(html)
+            if tag not in UNSEEN:
+                self.text(html[i:stop] if tag in RAW else unescape(html[i:stop]))
+            return stop
+        return i
 
     def foreign(self) -> int:
         """Place of the open svg or math that a new element belongs to, or 0."""
@@ -62,60 +162,72 @@ class TreeBuilder(HTMLParser):
                 return 0
         return 0
 
-    def handle_starttag(self, tag, attrs, empty=False):
+    def start_tag(self, tag: str, attrs: dict, empty: bool):
+        self.fresh = False
         while (at := self.foreign()) and tag in BREAKOUT:
-            del self.open[at:]
+            self.cut(at)
         if at or tag in ("svg", "math"):
             self.drawn = True
             if self.open[-1].tag == "head":
-                self.open.pop()
-            node = Node(tag, {k: v or "" for k, v in attrs} | ({"hidden": ""} if tag in UNDRAWN else {}))
+                self.cut(-1)
+            node = Node(tag, attrs | ({"hidden": ""} if tag in UNDRAWN else {}))
             self.open[-1].kids.append(node)
             if not empty and len(self.open) < DEPTH:
-                self.open.append(node)
+                self.push(node)
             return
         if tag == "head" and (len(self.open) > 1 or any(not isinstance(x, str) or x.strip() for x in self.root.kids)):
             return
         if self.open[-1].tag == "head" and tag not in HEAD and tag != "html":
-            self.open.pop()
+            self.cut(-1)
         closes, walls = CLOSES.get(tag, ()), SCOPES.get(tag, WALLS)
-        for i in range(len(self.open) - 1, 0, -1):
+        left, lowest = sum(self.count[x] for x in closes), 0
+        for i in range(len(self.open) - 1, 0, -1) if left else ():
             if self.open[i].tag in walls:
                 break
             if self.open[i].tag in closes:
-                del self.open[i:]
-        if tag in ("html", "body") and any(x.tag == tag for x in self.open):
+                lowest, left = i, left - 1
+                if not left:
+                    break
+        if lowest:
+            self.cut(lowest)
+        if tag == "html" or (tag == "body" and self.count["body"]):
             return
         if tag in ("tr", "td", "th"):  # whatever is open between a row and its cell, or a table and its row, ends here
-            for i in range(len(self.open) - 1, 0, -1):
+            for i in range(len(self.open) - 1, 0, -1) if self.count["table"] or self.count["tr"] else ():
                 if self.open[i].tag in (("table", "thead", "tbody", "tfoot") if tag == "tr" else ("table", "tr")):
                     if self.open[i].tag != "table" or tag == "tr":
-                        del self.open[i + 1 :]
+                        self.cut(i + 1)
                     break
-        node = Node(tag, {k: v or "" for k, v in attrs})
+        node = Node(tag, attrs)
         self.open[-1].kids.append(node)
         if tag == "form" and self.open[-1].tag in ("table", "thead", "tbody", "tfoot", "tr"):
             return
         if tag not in VOID and len(self.open) < DEPTH:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs, True)
+            self.push(node)
+            self.fresh = tag in ("pre", "listing", "textarea")
 
-    def handle_endtag(self, tag):
-        if tag in ("html", "body"):
+    def end_tag(self, tag: str):
+        self.fresh = False
+        if tag in ("html", "body") or not self.count[tag]:
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self.cut(i)
                 return
             if self.open[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 return
 
-    def handle_data(self, data):
+    def text(self, data: str):
+        if self.fresh and data.startswith("\n"):
+            data = data[1:]
+        self.fresh = False
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
-        self.open[-1].kids.append(data)
+            self.cut(-1)
+        if data:
+            self.open[-1].kids.append(data)
+
+
+TAG = re.compile(r"[^\s/>]++")
 
 
 def hidden(node: Node) -> bool:
@@ -193,6 +305,8 @@ def render(node: Node, page: Page, raw: bool = False) -> None:
                 page.text(line, True)
                 page.end_line()
         elif kid.tag == "li":
+            if re.fullmatch(r"-?\d{1,9}", kid.attrs.get("value", "")):
+                number = int(kid.attrs["value"])
             mark = f"{number}. " if node.tag == "ol" else "* "
             number += 1
             inner = Page()
@@ -221,9 +335,18 @@ def render_drawing(node: Node, page: Page) -> None:
             render_drawing(kid, page)
 
 
+def _count(node: Node, name: str, most: int) -> int:
+    """A number of rows or columns; 1 unless it is a number from 0 on."""
+    value = node.attrs.get(name, "").strip()
+    return min(int(value), most) if re.fullmatch(r"\d{1,9}", value) else 1
+
+
 def table_lines(table: Node) -> list[str]:
-    """Rows of cells padded to the widest of their column; a cell over several columns doesn't widen them. What is misplaced stands before them."""
-    rows, before = [], []
+    """Rows of cells padded to the widest of their column; a cell over several columns doesn't widen them.
+
+    A cell over several rows stands in the first of them and leaves its columns blank in the others. What is misplaced stands before the rows.
+    """
+    rows, before = [], []  # the section and the cells of each row
 
     def outside(kids: list):
         page, holder = Page(), Node("div", {})
@@ -237,7 +360,7 @@ def table_lines(table: Node) -> list[str]:
                 continue
             if kid.tag == "tr":
                 cell = lambda c: not isinstance(c, str) and c.tag in ("td", "th")
-                rows.append([c for c in kid.kids if cell(c) and not hidden(c)])
+                rows.append((node, [c for c in kid.kids if cell(c) and not hidden(c)]))
                 outside([c for c in kid.kids if not cell(c)])
             elif kid.tag in ("thead", "tbody", "tfoot"):
                 collect(kid)
@@ -246,26 +369,35 @@ def table_lines(table: Node) -> list[str]:
         outside([x for x in node.kids if isinstance(x, str) and x.strip()])
 
     collect(table)
-    grid, width = [], {}
-    for row in rows:
+    grid, width, section, taken = [], {}, None, {}
+    for of, row in rows:
+        if of is not section:
+            section, taken = of, {}
         cells, column = [], 0
         for cell in row:
             page = Page()
             render(cell, page)
             lines = page.done()
-            span = int(cell.attrs["colspan"]) if re.fullmatch(r"[1-9]\d{0,2}", cell.attrs.get("colspan", "")) else 1
+            while taken.get(column):
+                column += 1
+            span, down = _count(cell, "colspan", 1000) or 1, _count(cell, "rowspan", 65534) or 65534
             if span == 1:
-                width[column] = max(width.get(column, 0), *map(len, lines), 0) if lines else width.get(column, 0)
+                width[column] = max([width.get(column, 0), *map(len, lines)])
+            if down > 1:
+                taken.update((column + i, max(taken.get(column + i, 0), down)) for i in range(span))
             cells.append((column, span, lines))
             column += span
+        taken = {k: v - 1 for k, v in taken.items() if v > 1}
         grid.append(cells)
     out = before
     for cells in grid:
         for k in range(max((len(lines) for *_, lines in cells), default=0)):
-            parts = []
+            parts, at = [], 0
             for column, span, lines in cells:
+                parts += [" " * width.get(i, 0) for i in range(at, column)]
                 room = sum(width.get(column + i, 0) for i in range(span)) + 3 * (span - 1)
                 parts.append((lines[k] if k < len(lines) else "").ljust(room))
+                at = column + span
             out.append(" | ".join(parts).rstrip())
     return out
 
@@ -273,7 +405,6 @@ def table_lines(table: Node) -> list[str]:
 def page_text(html: str) -> str:
     builder = TreeBuilder()
     builder.feed(html)
-    builder.close()
     page = Page()
     render(builder.root, page)
     return "\n".join(page.done()).strip("\n")
@@ -291,6 +422,8 @@ def _text_batches(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id and text, all visible text of the page's html.
 
-    Null or empty html gives an empty text. Null and repeated page_ids give a row each. Other columns are ignored.
+    Null or empty html gives an empty text. Null and repeated page_ids give a row each. Other columns are ignored; an empty table gives
+    an empty result. Malformed markup never fails: what is open at the end of the page is closed, what a browser would drop is dropped.
+    Very long pages take time in proportion; one page is held in memory at a time.
     """
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_text_batches, "page_id long, text string")

@@ -368,6 +368,48 @@ def test_html_loses_no_visible_text():
     assert text("<p>a<svg/><math/>b<svg><g><p>c<table><tr><td>d<svg><path/></svg></table>e") == "ab\n\nc\n\nd\n\ne"
 
 
+def test_html_malformed_pages():
+    text = html_text.page_text
+    assert text("<![x[y]]>a") == "a" and text("a<![ b>c") == "ac" and text("<![>a") == "a" and text("a<!-- x") == "a" and text("<!--[if IE]>no<![endif]-->yes<![endif]-->!") == "yes!"
+    assert text("a<!-->b<!--->c<!-- d --!>e") == "abce" and text("a<?php x ?>b</>c</ d>e<3 f < g") == "abce<3 f < g" and text("x<div class='y") == "x"
+    assert text("<textarea>\n<b>x</b> &amp;</textarea><title><p>no</title>") == "<b>x</b> &" and text("<script>a</b><p>no</SCRIPT >yes<style>no") == "yes"
+    assert text('<p title="a>b" hidden=>no<p title=a"b>yes<p =x/y=1 z>also') == "yes\n\nalso" and text("<ol><li>a<li value=7>b<li>c") == "1. a\n7. b\n8. c"
+    assert text("<pre>\n a\r\n b</pre>") == " a\n b".strip("\n")
+    pieces = ["<", ">", "/", "!", "--", "[", "]]>", "<p>", "</p>", "<table>", "<tr>", "<td rowspan=2 colspan=0>", "</table>", "<svg>", "<![CDATA[", "<math>", "'", '"', "=", " ", "a", "&amp", "&#x;", "<!--", "-->", "<li>", "<ul", "\n", "<?", "<textarea>", "<head>", "<title>", "\x00", "é"]
+    random = np.random.default_rng(11)
+    for n in (3, 8, 40):
+        for _ in range(700):
+            text("".join(pieces[i] for i in random.integers(0, len(pieces), n)))
+
+
+def test_html_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<b>" * 100_000, "<b><p>" * 50_000, "<a '" * 100_000, "<!--" * 100_000, "</b" * 100_000, "<li>" * 50_000, "x" * 5_000_000, "<table><tr>" + "<td>" * 50_000):
+        html_text.page_text(page)
+    assert time.time() - began < 60
+
+
+def test_html_cells_over_rows_and_columns():
+    text = html_text.page_text
+    assert text("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>") == "A | B\n  | C\nD | E"
+    assert text("<table><tr><td>A<td rowspan=0>B<tr><td>C<tbody><tr><td>D<td>E</table>") == "A | B\nC\nD | E"
+    assert text("<table><tr><td colspan=2>wide<td>x<tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e</table>") == "wide  | x\na | b | c\nd |   | e"
+
+
+def test_html_of_the_given_pages(spark, sf):
+    """Every visible word of the pages, by a plain reading of tags, stands in the text in the same order."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    texts = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    hidden = re.compile(r"<(script|style|title|noscript|template|head)\b.*?</\1>|<!--.*?-->", re.S | re.I)
+    for r in pages.collect():
+        if not re.search(r"hidden|display|<svg|<details|<input|<object|<iframe|<video|<audio|<canvas|<datalist", r["html"] or ""):
+            want = collections.Counter(re.findall(r"\w+", __import__("html").unescape(re.sub(r"<[^>]*>", " ", hidden.sub(" ", r["html"] or "")))))
+            got = collections.Counter(re.findall(r"\w+", texts[r["page_id"]]))
+            assert not {k: v for k, v in (want - got).items() if not k.isdigit() and k not in "".join(got)}, r["page_id"]
+
+
 def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
