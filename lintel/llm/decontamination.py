@@ -99,7 +99,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """doc_id, item_id, n_diagonals, matches, length of each document and item with a verified overlap."""
+    """doc_id, item_id, n_overlaps, matches, length of each document and item with a verified overlap; the last two of the best.
+
+    Texts of any length are read whole; nulls, ties, repeated rows, empty tables and other columns as in overlaps().
+    """
     return overlaps(docs, benchmark, **kw).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_overlaps"), F.max(F.struct("matches", "length")).alias("best")).select("doc_id", "item_id", "n_overlaps", "best.matches", "best.length")
 
 

@@ -70,7 +70,7 @@ def _shingle_hashes(text: str | None, ngram: int) -> np.ndarray:
     return np.fromiter((digest(joined[x:y], 42) for x, y in zip(a, b, strict=True)), dtype=np.uint64, count=len(a))
 
 
-def _fingerprint_batches(ngram: int, lanes: int):
+def _fingerprint_batches(ngram: int, lanes: int, keyed: bool):
     def task(batches):
         import pyarrow as pa
 
@@ -80,24 +80,24 @@ def _fingerprint_batches(ngram: int, lanes: int):
                 hashes = _shingle_hashes(text.as_py(), ngram)
                 if len(hashes):
                     out[i] = _counts_over_half(hashes, lanes)
-                    if "key" in batch.schema.names:
+                    if keyed:
                         sets[i] = mix(np.unique(hashes)).sum()
             flat = pa.array(out.view(np.int64).ravel())
             made = {"fp": pa.ListArray.from_arrays(pa.array(np.arange(0, lanes * batch.num_rows + 1, lanes, dtype=np.int32)), flat), "shingles": pa.array(sets.view(np.int64))}
-            rest = {n: batch.column(n) for n in batch.schema.names if n != "text"} | (made if "key" in batch.schema.names else {"fp": made["fp"]})
+            rest = {n: batch.column(n) for n in batch.schema.names if n != "text"} | (made if keyed else {"fp": made["fp"]})
             yield pa.RecordBatch.from_arrays(list(rest.values()), list(rest))
 
     return task
 
 
 def fingerprints(docs: DataFrame, ngram: int, bits: int, keyed: bool = False) -> DataFrame:
-    """doc_id and fp, an array of bits/64 longs. No words: all zero. With `keyed` also key (of the text) and shingles (of their set)."""
-    extra = [_text_key()] if keyed else []
-    return docs.select(long_id(docs), *extra, "text").mapInArrow(_fingerprint_batches(ngram, bits // 64), "doc_id long, key long, fp array<long>, shingles long" if keyed else "doc_id long, fp array<long>")
+    """doc_id, key (of the text) and fp, an array of bits/64 longs. No words: all zero. With `keyed` also shingles (a hash of their set)."""
+    schema = "doc_id long, key long, fp array<long>" + ", shingles long" * keyed
+    return docs.select(long_id(docs), _text_key(), "text").mapInArrow(_fingerprint_batches(ngram, bits // 64, keyed), schema)
 
 
 def _text_key():
-    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key")
 
 
 def _set_batches(ngram: int):
@@ -295,7 +295,7 @@ def trie_links(values: DataFrame, width: int, words: int, budget: int, most: int
     while depth < min(width, 20) and (depth < 4 or n / 2**depth * sum(comb(depth, k) for k in range(budget + 1)) / 2 > TASK_ROWS):
         depth += 1
     per = 64 // width
-    masks = F.filter(F.sequence(F.lit(0), F.lit(2**depth - 1)), lambda m: F.bit_count(m) <= budget)
+    masks = F.split(F.lit(",".join(str(m) for m in range(2**depth) if m.bit_count() <= budget)), ",").cast("array<int>")
     parts = [
         F.struct(F.lit(w).alias("word"), (F.shiftrightunsigned(F.element_at("fp", w // per + 1), (w % per) * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))).alias("value"))
         for w in range(words)
@@ -311,7 +311,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps; each halves the way to the root or better, and a step's table is
     written to the shared folder, so lineage stays short. Hot nodes only meet in aggregations with partial sums and in
-    joins that adaptive execution may split.
+    joins of two plain exchanges, which adaptive execution may split. Raises an error if `rounds` steps are not enough.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -319,7 +319,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         joined = both.join(least, "a")
         if large:
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -328,32 +328,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     pairs = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     for _ in range(rounds):
-        pairs = saved(star(star(pairs, True), False), "links")
+        pairs = saved(star(saved(star(pairs, True), "links"), False), "links")
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, bits: int = 256, width: int = 32, budget: int = 4, similarity: float | None = 0.8, fan: int = 8) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id: the least doc_id reachable over links, the row's own included.
-
-    Texts are taken whole with A-Z in lower case; shingles are `ngram` words with repeats, a shorter text is one
-    shingle, and a text without words has fingerprint zero and links like any other. With `similarity` (of shingle sets, Jaccard)
-    the fingerprints only propose: a pair within the budget in one word is a candidate if whole fingerprints
-    differ in no more bits than texts of that similarity do, plus 3 standard deviations, so that few true links get lost, and it
-    links if the similarity of its shingle sets, without repeats, is that high. Equal sets with equal fingerprints are copies. In a dense group candidates
-    that are connected by others are left out once each has `fan` in a task. The defaults propose for certain what
-    differs in (budget + 1) * words - 1 = 39 of 256 bits, where similarity 0.8 is expected. Without `similarity` the first word alone decides.
-
-    A null text is an empty one. Null doc_ids take part like others but never are a component's least id (null where
-    nothing else is there). Repeated rows give repeated results. An empty table gives an empty result. Other columns are ignored.
-    """
+def _grouped(docs: DataFrame, ngram: int = 5, bits: int = 256, width: int = 32, budget: int = 4, similarity: float | None = 0.8, fan: int = 8) -> DataFrame:
+    """near_duplicates() with the rows' key and fp instead of the fingerprint."""
     keyed = similarity is not None
     prints = saved(fingerprints(docs, ngram, bits, keyed), "prints")
     copies = ["fp", "shingles"] if keyed else ["fp"]
-    known = prints.groupBy(*copies).agg(F.min("doc_id").alias("least"), *([F.min("key").alias("key")] if keyed else []))
+    known = prints.groupBy(*copies).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"))
     if not keyed:
         values = saved(known.select(F.col("fp")[0].alias("id"), "fp", "least"), "values")
         links = trie_links(values, width, 1, budget)
@@ -367,13 +355,36 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, bits: int = 256, width: int
     roots = components(links)
     of = values.join(roots, values.id == roots.node, "left").select(*copies, "least", F.coalesce("root", "id").alias("root"))
     of = saved(of, "rooted")
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Saved, so that the join has two plain sides and a large component can be split.
+    least = saved(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = of.join(least, "root").select(*copies, "component_id")
+    return prints.join(named, copies).select("doc_id", "key", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id: the least doc_id reachable over links, the row's own included.
+
+    Parameters: ngram, bits, width, budget, similarity, fan, as in _grouped.
+    Texts are taken whole with A-Z in lower case; shingles are `ngram` words with repeats, a shorter text is one
+    shingle, and a text without words has fingerprint zero and links like any other. With `similarity` (of shingle sets, Jaccard)
+    the fingerprints only propose: a pair within the budget in one word is a candidate if whole fingerprints
+    differ in no more bits than texts of that similarity do, plus 3 standard deviations, so that few true links get lost, and it
+    links if the similarity of its shingle sets, without repeats, is that high. Equal sets with equal fingerprints are copies. In a dense group candidates
+    that are connected by others are left out once each has `fan` in a task. The defaults propose for certain what
+    differs in (budget + 1) * words - 1 = 39 of 256 bits, where similarity 0.8 is expected. Without `similarity` the first word alone decides.
+
+    A null text is an empty one. Null doc_ids take part like others but never are a component's least id (null where
+    nothing else is there). Repeated rows give repeated results. An empty table gives an empty result. Other columns are ignored.
+    Very long texts are read whole, one at a time.
+    """
     hexed = F.array_join(F.transform("fp", lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
-    return prints.join(named, copies).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return _grouped(docs, **kw).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of `docs` that are the least of their group; all columns stay. Rows with a null doc_id stay."""
-    groups = near_duplicates(docs, **kw).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(groups, docs.doc_id == groups.gone, "left_anti")
+    """The rows of `docs` that are of their group's least doc_id; all columns stay. Rows with a null doc_id stay.
+
+    Rows of one doc_id with different texts are judged each on its own; rows that are equal in both stay or go together.
+    """
+    gone = _grouped(docs, **kw).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"), F.col("key").alias("gone_key")).distinct()
+    return docs.join(gone, (docs.doc_id == gone.gone) & (_text_key() == gone.gone_key), "left_anti")

@@ -156,6 +156,22 @@ def test_near_duplicates_are_verified(spark):
     assert got == dict(enumerate(root))
 
 
+def test_keep_first_tells_texts_of_one_id_apart(spark):
+    body = lambda tag, n=60: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [(1, body("a")), (2, body("a")), (2, body("b")), (2, body("b")), (None, body("a")), (3, body("c", 30_000)), (4, body("c", 30_000) + " end"), (5, ""), (6, None)]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    left = sorted((r["doc_id"] or 0, (r["text"] or "")[:2]) for r in simhash.keep_first(frame).collect())
+    assert left == [(0, "a0"), (1, "a0"), (2, "b0"), (2, "b0"), (3, "c0"), (5, "")]
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 300)] + [(7, 7)]
+    edges = spark.createDataFrame(chain, "a long, b long")
+    assert {r["node"]: r["root"] for r in simhash.components(edges).collect()} == {**{i: 0 for i in range(1, 41)}, **{100 + k: 100 for k in range(1, 300)}}
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, rounds=1)
+
+
 def test_walk_equals_all_pairs():
     random = np.random.default_rng(1)
     values = np.unique(random.integers(0, 2**16, 700).astype(np.uint64))
