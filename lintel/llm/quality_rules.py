@@ -1,14 +1,15 @@
 """Quality rules in DataFrame functions alone: counts per text, two fixed limits, and robust multivariate outliers.
 
 Texts within the limits become vectors of transformed statistics. For each language and source, the minimum
-covariance determinant is approached by concentration steps from coordinate-wise medians: take the `SHARE` of rows with the
-least Mahalanobis distances, estimate mean and covariance on those, and again. A row is rejected if its distance from the last
-estimate is beyond `CUT`. Groups of fewer than `LEAST` rows share one estimate per language; where even that has fewer,
-all rows are kept.
+covariance determinant is approached from three starts (coordinate-wise medians, all rows, the rows near all medians) by
+concentration steps: take the `SHARE` of rows with the least Mahalanobis distances, estimate mean and covariance on those, and
+again until no determinant changes by more than `SETTLED`. Of the three the one with the least determinant counts. A row
+is rejected if its distance from that estimate is beyond `CUT`. A covariance of five statistics needs some rows: groups of fewer than
+`LEAST` share one estimate per language, and where even that has fewer there is none and all rows are kept.
 
 Each step is two aggregations with partial sums (a histogram of distances that gives the group's quantile, then means and
-covariances), so one source with a third of all rows is no more work for any one task. Estimates are one row per group;
-they are written after every step.
+covariances), so one source with a third of all rows is no more work for any one task. Estimates and quantiles are one row per
+group and start; they are written after every step, and rows are joined with those tables only.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import long_id, saved
 
-#: Rows that a concentration step keeps, steps, rows a group needs, bins of a distance histogram per unit of its logarithm.
-SHARE, STEPS, LEAST, BINS = 0.75, 3, 50, 40
+#: Rows that a concentration step keeps, most steps, change of a determinant's logarithm that counts as none, rows a group needs (ten for each statistic), bins of a distance histogram per unit of its logarithm.
+SHARE, STEPS, SETTLED, LEAST, BINS = 0.75, 12, 0.02, 50, 40
 #: Squared distance beyond which a row is rejected (chi-square with 5 degrees of freedom: 0.999999), and the median of that distribution.
 CUT, MEDIAN = 35.9, 4.351
-#: Least standard deviation of each statistic: constants in a group don't make every other value an outlier.
+#: Least standard deviation of each statistic, so that a group of near-constants rejects nothing for a trifle: 5 % of the number of words and of their
+#: length, and shares of the words of 1 % (symbols), 1 % (repeated lines) and 2 % (repeated windows), as square roots.
 FLOORS = (0.05, 0.05, 0.1, 0.1, 0.15)
 STATS = ("x1", "x2", "x3", "x4", "x5")
 
@@ -83,53 +85,68 @@ def _vectors(rows: DataFrame) -> DataFrame:
     )
 
 
-def _quantile(rows: DataFrame, value: str, share: float) -> DataFrame:
-    """g, limit: the upper edge of the histogram bin in which `share` of a group's rows is reached. The same at every run."""
-    bins = rows.groupBy("g", F.ceil(F.log(F.col(value) + 1e-6) * BINS).alias("bin")).agg(F.count("*").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("g").orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy("g"))
-    reached = bins.select("g", "bin", so_far.alias("so_far"), total.alias("total")).where(F.col("so_far") >= share * F.col("total"))
-    return reached.groupBy("g").agg((F.exp(F.min("bin") / BINS) - 1e-6).alias("limit"))
+def _quantile(rows: DataFrame, value: str, share: float, keys: tuple[str, ...] = ("g",)) -> DataFrame:
+    """keys, limit: the upper edge of the histogram bin in which `share` of a group's rows is reached. The same at every run."""
+    bins = rows.groupBy(*keys, F.ceil(F.log(F.col(value) + 1e-6) * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    reached = bins.select(*keys, "bin", so_far.alias("so_far"), total.alias("total")).where(F.col("so_far") >= share * F.col("total"))
+    return saved(reached.groupBy(*keys).agg((F.exp(F.min("bin") / BINS) - 1e-6).alias("limit")), "quantiles")
 
 
 def _factor(moments: DataFrame) -> DataFrame:
-    """Means and the lower Cholesky factor of each group's covariance, as columns."""
+    """g, start, means, the lower Cholesky factor of each covariance as columns, and the logarithm of its determinant."""
     out = moments
     for i in range(len(STATS)):
         for j in range(i + 1):
             inner = reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))
             left = F.col(f"c{i}{j}") - inner
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(0.0)) + FLOORS[i] ** 2) if i == j else left / F.col(f"l{j}{j}"))
-    return out.select("g", *[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)])
+    det = reduce(lambda a, b: a + b, [2 * F.log(f"l{i}{i}") for i in range(len(STATS))])
+    return out.select("g", "start", *[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)], det.alias("det"))
 
 
 def _distances(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance by forward substitution."""
+    """rows with start and d2, the squared Mahalanobis distance by forward substitution, for each start."""
     out = rows.join(factors, "g")
     for i, x in enumerate(STATS):
         inner = reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)], F.lit(0.0))
         out = out.withColumn(f"y{i}", (F.col(x) - F.col(f"m{i}") - inner) / F.col(f"l{i}{i}"))
     d2 = reduce(lambda a, b: a + b, [F.col(f"y{i}") ** 2 for i in range(len(STATS))])
-    return out.select(*rows.columns, d2.alias("d2"))
+    return out.select(*rows.columns, "start", d2.alias("d2"))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("g").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in range(len(STATS)) for j in range(i + 1)])
+    return rows.groupBy("g", "start").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in range(len(STATS)) for j in range(i + 1)])
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Robust mean, Cholesky factor and scale of each group g of vectors x1 to x5."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """First estimates of each group: medians with mean deviations, all rows, rows within two mean deviations of every median."""
     shifted = rows
     for i, x in enumerate(STATS):
         # Medians from histograms; every statistic is at least 0.
         shifted = shifted.join(_quantile(rows.select("g", F.greatest(F.col(x), F.lit(0.0)).alias("v")), "v", 0.5).select("g", F.col("limit").alias(f"m{i}")), "g")
     spread = shifted.groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(len(STATS))], *[F.avg(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"s{i}") for i, x in enumerate(STATS)])
-    flat = spread.select("g", *[f"m{i}" for i in range(len(STATS))], *[(F.pow(f"s{i}", F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(len(STATS)) for j in range(i + 1)])
-    factors = saved(_factor(flat), "estimates")
+    spread = saved(spread, "spreads")
+    pairs = [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
+    flat = spread.select("g", F.lit(1).alias("start"), *[f"m{i}" for i in range(len(STATS))], *[(F.pow(f"s{i}", F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs])
+    near = reduce(lambda a, b: a & b, [F.abs(F.col(x) - F.col(f"m{i}")) <= 2 * F.greatest(F.col(f"s{i}"), F.lit(FLOORS[i])) for i, x in enumerate(STATS)])
+    inner = F.explode(F.when(near, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(2))))
+    return flat.unionByName(_moments(rows.join(spread, "g").select("g", *STATS, inner.alias("start"))))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Robust mean, Cholesky factor and scale of each group g of vectors x1 to x5."""
+    factors = saved(_factor(_starts(rows)), "estimates")
     for _ in range(STEPS):
         near = _distances(rows, factors)
-        near = near.join(_quantile(near, "d2", SHARE), "g").where("d2 <= limit")
-        factors = saved(_factor(_moments(near)), "estimates")
+        near = near.join(_quantile(near, "d2", SHARE, ("g", "start")), ["g", "start"]).where("d2 <= limit")
+        new = saved(_factor(_moments(near)), "estimates")
+        change = new.join(factors.select("g", "start", F.col("det").alias("old")), ["g", "start"]).agg(F.max(F.abs(F.col("det") - F.col("old")))).first()[0]
+        factors = new
+        if change is None or change <= SETTLED:
+            break
+    factors = saved(factors.groupBy("g").agg(F.min_by(F.struct(*[c for c in factors.columns if c != "g"]), F.struct("det", "start")).alias("best")).select("g", "best.*"), "estimates")
     # The kept share is too narrow; its median distance says by how much.
     scale = _quantile(_distances(rows, factors), "d2", 0.5).select("g", F.greatest(F.col("limit") / MEDIAN, F.lit(1.0)).alias("scale"))
     return factors.join(scale, "g")
@@ -140,7 +157,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated 8-word windows. kept: false if base_failed, else
     whether the vector is within CUT of its group's robust centre. Null lang or source is a group of its own. An empty table gives an empty
-    result; columns other than doc_id, text, lang and source are ignored.
+    result; columns other than doc_id, text, lang and source are ignored. Null texts are empty, null and repeated doc_ids are judged like any
+    others, equal rows alike, very long texts whole.
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = saved(statistics(docs).withColumn("base_failed", failed), "statistics")
@@ -152,7 +170,7 @@ def judge(docs: DataFrame) -> DataFrame:
     groups = saved(groups.select("lang", "source", F.to_json("g").alias("g")), "groups").select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "g")
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     vectors = _vectors(rows.where("not base_failed")).join(groups, same).select("g", *STATS)
-    factors = estimates(vectors)
+    factors = saved(estimates(saved(vectors, "vectors")), "estimates")
     marked = _vectors(rows).join(groups, same & ~F.col("base_failed"), "left").drop("g_lang", "g_source")
     scaled = _distances(marked.where("g is not null"), factors.drop("scale")).join(factors.select("g", "scale"), "g").withColumn("d2", F.col("d2") / F.col("scale"))
     columns = [*rows.columns]
