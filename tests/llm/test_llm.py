@@ -361,10 +361,66 @@ def test_warc(spark, tmp_path):
     assert bytes(got[7]["payload"]).decode() == rows[6][2]
     found = warc.read(spark, f"file://{tmp_path}/w").where("record_type = 'revisit' and page_id = 2")
     assert "BatchScan warc" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
-    assert warc.read(spark, f"file://{tmp_path}/w", payload=False).where("payload is null").count() == len(rows)
+    assert warc.read(spark, f"file://{tmp_path}/w", payload=False).where("payload is null and record_type <> 'warcinfo'").count() == len(rows)
     assert warc.round_trip(pages.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def warc_rows(path, payload=True, **equal):
+    from pyspark.sql.datasource import EqualTo
+
+    reader = warc.WarcReader(str(path), payload)
+    assert list(reader.pushFilters([EqualTo((k,), v) for k, v in equal.items()])) == []
+    return [dict(zip(warc.NAMES, r, strict=True)) for part in reader.partitions() for r in reader.read(part)]
+
+
+def test_warc_skips_what_is_not_wanted(spark, tmp_path):
+    random = np.random.default_rng(2)
+    noise = lambda n: random.bytes(n).hex()
+    rows = [(i, f"http://{i}", noise(200_000) if i < 3 else noise(60)) for i in range(6)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    file = next((tmp_path / "w").glob("*.warc.gz"))
+    whole = warc_rows(tmp_path / "w")
+    assert [r["record_type"] for r in whole] == ["warcinfo"] + ["response"] * 6 and all(r["date"] for r in whole)
+    assert {r["page_id"]: r["payload"].decode() for r in whole[1:]} == {i: t for i, _, t in rows}
+    data = bytearray(file.read_bytes())
+    for at in range(20_000, 60_000):  # inside the first long payload
+        data[at] ^= 255
+    file.write_bytes(bytes(data))
+    with pytest.raises(Exception):
+        warc_rows(tmp_path / "w")
+    assert [r["page_id"] for r in warc_rows(tmp_path / "w", page_id=4)] == [4] and [r["page_id"] for r in warc_rows(tmp_path / "w", record_type="response", payload=False)] == list(range(6))
+    found = warc.read(spark, f"file://{tmp_path}/w").where("page_id = 5 and record_type = 'response'")
+    assert [r["payload"].decode() for r in found.collect()] == [rows[5][2]]  # Spark hands the predicates on, or the broken payload would fail
+
+
+def test_warc_reads_foreign_archives(tmp_path):
+    import gzip
+
+    record = lambda kind, block, **head: b"WARC/1.0\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in {"WARC-Type": kind, "warc-record-id": "<urn:uuid:12-3>", **head, "Content-Length": len(block)}.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+    one = record("warcinfo", b"software: x\r\n") + record("response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>hi\r\n\r\nho", Content_Type="application/http; msgtype=response", WARC_Target_URI="http://x", WARC_Payload_Digest="sha1:ABC")
+    two = record("resource", "é".encode() * 100_000, Content_Type="text/plain") + record("request", b"")
+    (tmp_path / "a.warc").write_bytes(one + two)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two))  # two records a member
+    (tmp_path / "c.txt").write_text("no")
+    (tmp_path / "part-x.warc.gz.open").write_text("no")
+    rows = warc_rows(tmp_path)
+    assert rows[:4] == rows[4:] and [r["record_type"] for r in rows[:4]] == ["warcinfo", "response", "resource", "request"]
+    assert (rows[1]["payload"], rows[1]["payload_bytes"], rows[1]["page_id"], rows[1]["record_id"], rows[1]["payload_digest"]) == (b"<p>hi\r\n\r\nho", 11, None, "<urn:uuid:12-3>", "sha1:ABC")
+    assert rows[2]["payload"].decode() == "é" * 100_000 and warc_rows(tmp_path, record_type="request")[0]["payload"] == b""
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(one)[:-30])
+    with pytest.raises(EOFError):
+        warc_rows(tmp_path)
+
+
+def test_warc_leaves_no_files_of_failed_attempts(tmp_path):
+    writer = warc.WarcWriter(str(tmp_path))
+    row = type("Row", (), {"asDict": lambda self: {"page_id": 1, "url": "u", "record_type": "response", "refers_to": None, "payload_digest": "d", "payload_bytes": 1, "payload": b"x"}})()
+    first, second = writer.write([row]), writer.write([row])
+    assert len(list(tmp_path.glob("*.open"))) == 2 and first.path != second.path
+    writer.commit([second, None])
+    assert [x.name for x in tmp_path.iterdir()] == [second.path.rsplit("/", 1)[1]] and warc_rows(tmp_path)[1]["page_id"] == 1
+
+
 def test_html(spark):
     page = "<title>t</title><p>One <b>two</b>\n three<p>Four<br>five<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul><table><tr><th>Name<th>Value<tr><td>long name<td>1</table><div hidden>no</div><div style='display: none'>no</div><pre> a\n  b</pre>&amp; end"
     assert html_text.page_text(page) == "One two three\n\nFour\nfive\n\n* a\n* b\n  3. x\n  4. y\n\nName      | Value\nlong name | 1\n\n a\n  b\n\n& end"
