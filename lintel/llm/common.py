@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a longest run of anything but ASCII white space.
@@ -74,11 +74,16 @@ def fold(id_: "F.Column", folds: int = 5) -> "F.Column":
     return F.pmod(F.crc32(id_.cast("string")), F.lit(folds))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int):
+#: Bytes of training texts of one class that come to the driver.
+TRAINING_BYTES = 32 << 20
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class_bytes: int = TRAINING_BYTES):
     """Texts (an Arrow column), 0/1 labels and weights of a bounded sample of labelled rows outside fold 0.
 
-    Of each class the `per_class` ids with the least hash; a class's weights add up to its number of labelled rows.
-    Null labels and ids are left out; an id with several labels counts once, with the greatest.
+    Of each class the `per_class` ids with the least hash, as many of them in that order as hold `class_bytes` bytes of text; a class's weights
+    add up to its number of labelled rows. Null labels and ids are left out; an id with several labels counts once, with the greatest;
+    of several texts of one id the one with the least hash counts.
     """
     import pyarrow as pa
 
@@ -87,8 +92,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picks = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     ids = F.broadcast(picks[0].unionByName(picks[1]))  # at most 2 * per_class rows
-    rows = docs.select(long_id(docs), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"])
-    found = rows.select("doc_id", "text", "label").toArrow().sort_by("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(long_id(docs), text.alias("text")).join(ids, "doc_id").withColumn("key", F.xxhash64("text"))
+    rows = saved(rows, "labelled")
+    # One row per id, without texts: 2 * per_class at most.
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    texts = rows.groupBy("doc_id", "label").agg(F.min(F.struct("key", F.octet_length("text").alias("n"))).alias("of")).select("doc_id", "label", "of.key", F.sum("of.n").over(order).alias("so_far"))
+    texts = texts.where(F.col("so_far") <= class_bytes).select("doc_id", "key")
+    found = rows.join(F.broadcast(texts), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "text", "label").toArrow().sort_by("doc_id")
     values = np.asarray(found.column("label"), dtype=np.int64)
     counts = np.bincount(values, minlength=2)
     weights = np.array([sizes.get(c, 0) / max(1, counts[c]) for c in (0, 1)])[values] if len(values) else np.zeros(0)
