@@ -6,10 +6,11 @@ which adaptive execution can split; `star_edges` is the linear alternative for c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.functions.values import escaped, literal_type
+from lintel.operators.ranks import dense_index
 
 
 def property_graph_nodes(elements: DataFrame, properties: DataFrame) -> DataFrame:
@@ -92,14 +93,9 @@ def gnn_edges(elements: DataFrame, spatial: DataFrame) -> DataFrame:
     return both.unionByName(made).distinct()
 
 
-def node_index(nodes: DataFrame, order: str, buckets: int = 64) -> DataFrame:
-    """id and idx, dense from 0 in the order of a unique number: ranks inside ranges of it, offset by the counts of earlier ranges."""
-    bounds = nodes.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    rows = nodes.join(F.broadcast(bounds)).withColumn("bucket", F.floor((F.col(order) - F.col("lo")) * buckets / (F.col("hi") - F.col("lo") + 1)))  # bounds: one row
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    offsets = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))  # one row per bucket
-    local = F.row_number().over(Window.partitionBy("bucket").orderBy(order))
-    return rows.withColumn("local", local).join(F.broadcast(offsets), "bucket").select("id", (F.col("before") + F.col("local") - 1).alias("idx"))
+def node_index(nodes: DataFrame, order: str) -> DataFrame:
+    """id and idx, dense from 0 in the order of a unique column."""
+    return dense_index(nodes.select("id", order), [F.col(order)]).select("id", "idx")
 
 
 def edge_index(edges: DataFrame, index: DataFrame) -> DataFrame:

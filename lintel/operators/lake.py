@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintel.operators.ranks import dense_index
+
 # Words that are no keywords, and the pattern of a word.
 STOPWORDS = (
     "the and for that this with from are was were been have has had not but what all can will one each which their there about other into more "
@@ -53,12 +58,18 @@ def stage_timeline(runs: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFra
 
 
 def document_keywords(docs: DataFrame, top: int = 30, stopwords: list[str] = STOPWORDS) -> DataFrame:
-    """doc_id, word, n, rank: the most frequent words of each text, ties by first appearance."""
-    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(KEYWORD), F.lit(1))).alias("pos", "raw"))
-    rows = words.select("doc_id", "pos", F.lower("raw").alias("word")).where(~F.col("word").isin(*stopwords))
-    counts = rows.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    return counts.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("doc_id", "word", "n", "rank")
+    """doc_id, word, n, rank: the most frequent words of each text, ties by first appearance.
+
+    Words are counted inside their row, as runs of equal words in sorted order; only the `top` words leave it, and nothing is shuffled.
+    """
+    found = F.transform(F.regexp_extract_all("text", F.lit(KEYWORD), F.lit(1)), lambda w: F.lower(w))
+    wanted = F.filter(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: ~x["word"].isin(*stopwords))
+    rows = docs.select("doc_id", F.array_sort(wanted).alias("words"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("words", i)["word"] != F.get("words", i - 1)["word"]))
+    rows = rows.where(F.size("words") > 0).select("doc_id", "words", begins.alias("begins"))
+    counts = F.transform("begins", lambda b, i: F.struct((b - F.coalesce(F.get("begins", i + 1), F.size("words"))).alias("less"), F.get("words", b)["pos"].alias("first"), F.get("words", b)["word"].alias("word")))
+    best = rows.select("doc_id", F.posexplode(F.slice(F.array_sort(counts), 1, top)).alias("rank", "w"))
+    return best.select("doc_id", "w.word", (-F.col("w.less")).cast("long").alias("n"), (F.col("rank") + 1).cast("long").alias("rank"))
 
 
 def corpus_keywords(keywords: DataFrame, top: int = 100) -> DataFrame:
@@ -66,16 +77,27 @@ def corpus_keywords(keywords: DataFrame, top: int = 100) -> DataFrame:
     return keywords.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")).orderBy(F.desc("n"), "word").limit(top)
 
 
-def search_documents(docs: DataFrame, phrase: str, top: int = 20) -> DataFrame:
-    """doc_id, score, snippet: 10 for the phrase, up to 5 for each occurrence of a word, per hundred words; the best `top`."""
+def search_documents(docs: DataFrame, phrase: str, top: int = 20, phase: str | None = None) -> DataFrame:
+    """doc_id, score, snippets of the best `top` completed documents with text, of one phase if it is given.
+
+    score: 10 for the whole phrase and up to 5 for the occurrences of each of its words, over the number of words. snippets: of the first
+    three words found (in order of the alphabet) 80 characters to either side, dots where the text goes on. docs: doc_id, text, and status and phase if there.
+    """
+    words = sorted(set(re.findall(KEYWORD, phrase.lower())))
+    rows = docs.where("status = 'completed'") if "status" in docs.columns else docs
+    rows = rows.where(F.col("phase") == phase) if phase else rows
     low = F.lower(F.coalesce("text", F.lit("")))
     count = lambda w: F.least(F.lit(5), ((F.char_length(low) - F.char_length(F.replace(low, F.lit(w)))) / len(w)).cast("int"))
-    score = F.when(F.contains(low, F.lit(phrase.lower())), 10).otherwise(0)
-    for w in sorted(set(phrase.lower().split())):
-        score = score + count(w)
-    at = F.instr(low, sorted(set(phrase.lower().split()))[0])
-    snippet = F.substring("text", F.greatest(F.lit(1), at - 80), F.lit(160))
-    return docs.withColumn("score", score).where("score > 0").select("doc_id", "score", snippet.alias("snippet")).orderBy(F.desc("score"), "doc_id").limit(top)
+    score = reduce(lambda a, b: a + b, map(count, words), F.when(F.contains(low, F.lit(phrase.lower())), 10).otherwise(0))
+
+    def snippet(w: str):
+        at = F.instr(low, w) - 1
+        start, end = F.greatest(F.lit(0), at - 80), F.least(F.char_length("text"), at + len(w) + 80)
+        dots = lambda cut: F.when(cut, "...").otherwise("")
+        return F.when(at >= 0, F.concat(dots(start > 0), F.trim(F.substring("text", start + 1, end - start)), dots(end < F.char_length("text"))))
+
+    best = rows.select("doc_id", "text", score.alias("points")).where("points > 0").orderBy(F.desc("points"), "doc_id").limit(top)
+    return best.select("doc_id", F.round(F.col("points") / max(1, len(words)), 2).alias("score"), F.slice(F.array_compact(F.array(*map(snippet, words))), 1, 3).alias("snippets"))
 
 
 def sort_rows(rows: DataFrame, column: str) -> DataFrame:
@@ -84,6 +106,12 @@ def sort_rows(rows: DataFrame, column: str) -> DataFrame:
     return rows.orderBy(number.isNull(), number, column)
 
 
+def sorted_ranks(rows: DataFrame, column: str) -> DataFrame:
+    """rows with rank, from 1, in the order of sort_rows; values are distinct."""
+    number = F.col(column).try_cast("double")
+    return dense_index(rows.select("*", number.isNull().alias("is_text_"), number.alias("number_")), [F.col("is_text_"), F.col("number_"), F.col(column)], "rank").withColumn("rank", F.col("rank") + 1).drop("is_text_", "number_")
+
+
 def paginate(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
     """One page of a total order."""
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)

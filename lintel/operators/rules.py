@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.operators.ranks import index_within
+
 # Required and optional properties of each class.
 REQUIREMENTS = [
     ("IfcWall", "Pset_WallCommon", "FireRating", True), ("IfcWall", "Pset_WallCommon", "IsExternal", True), ("IfcWall", "Pset_WallCommon", "LoadBearing", True), ("IfcWall", "Pset_WallCommon", "ThermalTransmittance", False),
@@ -21,7 +23,8 @@ REQUIREMENTS = [
 ]
 MATERIAL_REQUIRED = ("IfcBeam", "IfcColumn")
 # Classes and their ancestors, nearest first.
-ANCESTORS = {"IfcWall": ["IfcBuildingElement"], "IfcDoor": ["IfcBuildingElement"], "IfcWindow": ["IfcBuildingElement"], "IfcSlab": ["IfcBuildingElement"], "IfcBeam": ["IfcBuildingElement"], "IfcColumn": ["IfcBuildingElement"], "IfcRoof": ["IfcBuildingElement"], "IfcStair": ["IfcBuildingElement"], "IfcCovering": ["IfcBuildingElement"]}
+BUILDING = ["IfcBuildingElement", "IfcElement", "IfcProduct"]
+ANCESTORS = {"IfcWall": BUILDING, "IfcDoor": BUILDING, "IfcWindow": BUILDING, "IfcSlab": BUILDING, "IfcBeam": BUILDING, "IfcColumn": BUILDING, "IfcSpace": ["IfcSpatialElement", "IfcProduct"]}
 
 
 def requirements(spark: SparkSession) -> DataFrame:
@@ -158,10 +161,19 @@ def loin_completeness(elements: DataFrame, properties: DataFrame, required: Data
 
 
 def issue_topics(found: DataFrame) -> DataFrame:
-    """One open topic per failed check, with a stable id; numbered within its class."""
-    from pyspark.sql import Window
-
+    """One open topic per failed check, with a stable id; numbered from 1 within its class."""
     rows = found.where("result = 'FAIL'").withColumn("rule", F.concat_ws(": ", "facet", F.coalesce("prop", "facet")))
+    rows = index_within(rows.select("ifc_class", "global_id", "rule"), "ifc_class", [F.col("global_id"), F.col("rule")])
     guid = F.md5(F.concat_ws("|", "global_id", "rule"))
-    idx = F.row_number().over(Window.partitionBy("ifc_class").orderBy("global_id", "rule"))
-    return rows.select(guid.alias("guid"), idx.cast("long").alias("idx"), F.concat(F.lit("Missing "), F.col("rule")).alias("title"), F.lit("Error").alias("topic_type"), F.lit("Open").alias("topic_status"), "ifc_class", F.col("global_id").alias("element"))
+    return rows.select(guid.alias("guid"), (F.col("idx") + 1).alias("idx"), F.concat(F.lit("Missing "), F.col("rule")).alias("title"), F.lit("Error").alias("topic_type"), F.lit("Open").alias("topic_status"), "ifc_class", F.col("global_id").alias("element"))
+
+
+#: Share of a class's elements that carry a property from which on it counts as required.
+REQUIRED_SHARE = 0.6
+
+
+def observed_requirements(elements: DataFrame, properties: DataFrame, share: float = REQUIRED_SHARE) -> DataFrame:
+    """ifc_class, pset, prop, required of what a model itself carries: required where `share` of the class's elements have a value."""
+    size = elements.groupBy("ifc_class").agg(F.count("*").alias("n"))
+    carried = properties.where("value is not null").groupBy("ifc_class", "pset", "prop").agg(F.count_distinct("global_id").alias("with_value"))
+    return carried.join(size, "ifc_class").select("ifc_class", "pset", "prop", (F.col("with_value") >= share * F.col("n")).alias("required"))

@@ -145,11 +145,8 @@ def w6_paginate(spark, sf):
 
 @query("""select value, row_number() over (order by try_cast(value as double) is null, try_cast(value as double), value) as rank from (select distinct value from v_properties where value is not null) t""")
 def w5_sort_table(spark, sf):
-    from pyspark.sql import Window
-
     values = view(spark, sf, "v_properties").where("value is not null").select("value").distinct()
-    number = F.col("value").try_cast("double")
-    return lake.sort_rows(values, "value").select("value", F.row_number().over(Window.orderBy(number.isNull(), number, "value")).cast("long").alias("rank"))
+    return lake.sorted_ranks(values, "value").select("value", "rank")
 
 
 STOP = ", ".join(f"'{w}'" for w in lake.STOPWORDS)
@@ -172,10 +169,17 @@ def a4_document_statistics(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).cast("long").alias("n_words"), F.char_length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), X.sentences(F.col("text")).cast("long").alias("n_sentences"))
 
 
-@query("""select doc_id, score, substr(text, greatest(1, cast(instr(lower(text), 'apache') as int) - 80), 160) as snippet from (select doc_id, text, case when contains(lower(text), 'license apache') then 10 else 0 end + least(5, cast((length(text) - length(replace(lower(text), 'apache', ''))) / 6 as int)) + least(5, cast((length(text) - length(replace(lower(text), 'license', ''))) / 7 as int)) as score from documents) t
-    where score > 0 order by score desc, doc_id limit 20""")
+def _snippet(w: str) -> str:
+    at = f"(cast(instr(lower(text), '{w}') as int) - 1)"
+    start, end = f"greatest(0, {at} - 80)", f"least(length(text), {at} + {len(w) + 80})"
+    return f"case when {at} >= 0 then case when {start} > 0 then '...' else '' end || trim(substr(text, {start} + 1, {end} - {start}), ' ') || case when {end} < length(text) then '...' else '' end end"
+
+
+@query(f"""select doc_id, round(points / 2.0e0, 2) as score, concat_ws(' / ', {_snippet('apache')}, {_snippet('license')}) as snippets from (select doc_id, text, case when contains(lower(text), 'license apache') then 10 else 0 end
+      + least(5, cast((length(text) - length(replace(lower(text), 'apache', ''))) / 6 as int)) + least(5, cast((length(text) - length(replace(lower(text), 'license', ''))) / 7 as int)) as points from v_documents where status = 'completed' and phase = 'design') t
+    where points > 0 order by points desc, doc_id limit 20""")
 def w4_search_documents(spark, sf):
-    return lake.search_documents(table(spark, sf, "documents"), "license apache")
+    return lake.search_documents(docs(spark, sf), "license apache", phase="design").withColumn("snippets", F.array_join("snippets", " / "))
 
 
 GRAPH_TERMS = "(values ('apache', 'License'), ('license', 'License'), ('der', 'German'), ('les', 'French')) g(word, class)"
