@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.plans.model_queries import EDGES, TRIPLES, all_checks, all_rules, all_triples, edges, nodes
+from lintel.operators import rules
+from lintel.plans.model_queries import EDGES, OBSERVED, SPEC_ROWS, TRIPLES, all_checks, all_triples, edges, ids_specs, nodes, specifications
 from lintel.plans.registry import ORACLES, query
 from lintel.plans.views import table, view
 from lintel.sources import readers, sinks, step
@@ -101,7 +102,7 @@ def s1_read_parsed_documents(spark, sf):
     rows = view(spark, sf, "v_documents").select(F.col("doc_id").cast("string").alias("file_id"), "status", F.col("text").alias("full_text"))
     # One file per task, each a sequence of documents.
     rows.write.json(path)
-    back = spark.read.schema(readers.DOCUMENT).json(path).where("status = 'completed' and trim(full_text) <> ''")
+    back = readers.read_parsed_documents(spark, path, "*.json", one_per_file=False)
     return back.select(F.col("file_id").cast("long").alias("doc_id"), F.char_length("full_text").cast("long").alias("n_chars"))
 
 
@@ -148,13 +149,27 @@ def s11_write_topics(spark, sf):
     return spark.read.schema("guid string, idx long, title string, topic_status string, element string").json(path)
 
 
-@query()
-def s5_ids_rules_round_trip(spark, sf):
-    path = scratch(spark, "ids")
-    some = table(spark, sf, "part").agg(F.count("*").alias("n")).where("n > 0")
-    sinks.ids_rules(all_rules(spark)).join(F.broadcast(some)).select("xml").write.text(path)
-    rows = spark.read.text(path)
-    return rows.select(F.regexp_extract("value", "<name>([^<]*)</name>", 1).alias("entity"), F.explode(F.regexp_extract_all("value", F.lit("<baseName>([^<]*)</baseName>"), F.lit(1))).alias("prop"))
+@query(f"select spec, entity, facet, pset, name, kind, expected, array_to_string(options, '|') as options from {SPEC_ROWS} s")
+def s5_ids_round_trip(spark, sf):
+    return ids_specs(spark, sf).withColumn("options", F.array_join("options", "|"))
+
+
+@query(f"""select facet, count(*) as n_requirements, count(distinct spec) as n_specs from {SPEC_ROWS} s group by 1""")
+def s12_write_ids_rules(spark, sf):
+    path = scratch(spark, "specifications")
+    sinks.write_ids(specifications(spark, sf), path)
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.explode(F.regexp_extract_all("value", F.lit("<(property|attribute|material|classification|partOf)[ >/]"), F.lit(1))).alias("facet"))
+    specs = readers.read_ids(spark, path).groupBy("facet").agg(F.count_distinct("spec").alias("n_specs"))
+    return lines.groupBy(F.lower("facet").alias("facet")).agg(F.count("*").alias("n_requirements")).join(specs, "facet")
+
+
+@query(f"select ifc_class, pset, prop, required from {OBSERVED} o")
+def s4_read_rule_config(spark, sf):
+    path = scratch(spark, "requirements")
+    item = F.struct(F.col("pset").alias("propertySet"), F.col("prop").alias("name"), "required")
+    classes = rules.observed_requirements(view(spark, sf, "v_elements"), view(spark, sf, "v_properties")).groupBy("ifc_class").agg(F.struct(F.collect_list(item).alias("properties")).alias("r"))
+    classes.agg(F.map_from_entries(F.collect_list(F.struct("ifc_class", "r"))).alias("requirements")).write.json(path)  # a rule file is one object
+    return readers.read_rule_config(spark, path)
 
 
 @query()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintel.functions import values as V
-from lintel.operators import enrich, features, graph, rules
+from lintel.operators import enrich, features, graph, ids, rules
 from lintel.plans.registry import query
 from lintel.plans.views import view
+from lintel.sources import readers, sinks
+from lintel.sources.scratch import scratch
 
 
 def literals(rows, columns: str) -> str:
@@ -284,35 +286,59 @@ def j8_elements_in_space(spark, sf):
     return elements(spark, sf).join(storeys, "container", "left_semi").select("container", "global_id", "name")
 
 
-SPECS = literals([("walls", "IFCWALL", "IsExternal"), ("doors", "IFCDOOR", None), ("beams", "IFCBEAM", "LoadBearing")], "spec, entity, prop")
+SPECS = literals([("walls", "simple", "IFCWALL", None, "IsExternal"), ("openings", "enumeration", None, "IFCDOOR,IFCWINDOW", None), ("stairs and slabs", "pattern", "IFCS(TAIR|LAB)$", None, "LoadBearing")], "spec, kind, entity, options, prop")
 
 
-@query(f"""select s.spec, e.global_id from v_elements e join {SPECS} s on upper(e.ifc_class) = s.entity where s.prop is null or exists (select 1 from v_properties p where p.global_id = e.global_id and p.prop = s.prop)""")
+@query(f"""select s.spec, e.global_id from v_elements e join {SPECS} s on case s.kind when 'simple' then upper(e.ifc_class) = s.entity when 'pattern' then regexp_matches(upper(e.ifc_class), '^(?:' || s.entity || ')') else list_contains(string_split(s.options, ','), upper(e.ifc_class)) end
+    where s.prop is null or exists (select 1 from v_properties p where p.global_id = e.global_id and p.prop = s.prop)""")
 def j9_ids_applicability(spark, sf):
-    from lintel.operators.ids import applicable
+    specs = [("walls", "simple", "IFCWALL", None, "IsExternal"), ("openings", "enumeration", None, ["IFCDOOR", "IFCWINDOW"], None), ("stairs and slabs", "pattern", "IFCS(TAIR|LAB)$", None, "LoadBearing")]
+    return ids.applicable(elements(spark, sf), properties(spark, sf), spark.createDataFrame(specs, "spec string, kind string, entity string, options array<string>, prop string"))
 
-    specs = spark.createDataFrame([("walls", "IFCWALL", "IsExternal"), ("doors", "IFCDOOR", None), ("beams", "IFCBEAM", "LoadBearing")], "spec string, entity string, prop string")
-    return applicable(elements(spark, sf), properties(spark, sf), specs)
 
+SPEC_ROWS = f"""(select ifc_class || ' property' as spec, upper(ifc_class) as entity, 'property' as facet, pset, prop as name, case when len(v) <= {ids.MOST_OPTIONS} then 'enumeration' end as kind, cast(null as string) as expected, case when len(v) <= {ids.MOST_OPTIONS} then list_sort(v) end as options
+      from (select r.ifc_class, r.pset, r.prop, list(distinct p.value) as v from {OWN_RULES} r join v_properties p on p.ifc_class = r.ifc_class and p.pset = r.pset and p.prop = r.prop where r.facet = 'property' and r.required and p.value is not null group by 1, 2, 3) t
+    union all select ifc_class || ' material', upper(ifc_class), 'material', null, null, null, null, null from {OWN_RULES} r where facet = 'material'
+    union all select ifc_class || ' attribute', upper(ifc_class), 'attribute', null, 'name', 'pattern', '[a-z]+( [a-z]+)+$', null from (select distinct ifc_class from v_elements) c
+    union all select ifc_class || ' classification', upper(ifc_class), 'classification', null, 'Uniclass2015', null, null, null from (select distinct ifc_class from v_elements) c
+    union all select ifc_class || ' partof', upper(ifc_class), 'partof', null, null, null, 'IfcBuildingStorey', null from (select distinct ifc_class from v_elements) c)"""
+IDS_RESULTS = f"""(select s.spec, e.global_id, s.facet, s.pset, s.name, case when case s.facet when 'property' then p.value is not null and (s.kind is null or list_contains(s.options, p.value)) when 'attribute' then regexp_matches(e.name, '^(?:' || s.expected || ')')
+      when 'material' then e.material is not null when 'classification' then c.uniclass is not null else w.source is not null end then 'PASS' else 'FAIL' end as result
+    from v_elements e join {SPEC_ROWS} s on s.entity = upper(e.ifc_class) left join v_properties p on s.facet = 'property' and p.global_id = e.global_id and p.pset = s.pset and p.prop = s.name
+    left join {CROSS} c on c.ifc_class = e.ifc_class left join (select distinct source from v_relationships where type in ('contained_in', 'aggregated_by') and target_class = 'IfcBuildingStorey') w on w.source = e.global_id)"""
 
-IDS = literals([("walls", "IFCWALL", "FireRating", None), ("walls", "IFCWALL", "IsExternal", "true"), ("doors", "IFCDOOR", "FireRating", "2HR")], "spec, entity, prop, expected")
 
+def specifications(spark, sf):
+    return ids.specifications(own_rules(spark, sf), properties(spark, sf))
 
-@query(f"""select s.spec, e.global_id, s.prop, case when p.value is null then 'FAIL' when s.expected is null or p.value = s.expected then 'PASS' else 'FAIL' end as result
-    from v_elements e join {IDS} s on upper(e.ifc_class) = s.entity left join v_properties p on p.global_id = e.global_id and p.prop = s.prop""")
+
+def ids_specs(spark, sf):
+    """The model's specifications, written as XML and read back."""
+    path = scratch(spark, "ids")
+    sinks.write_ids(specifications(spark, sf), path)
+    return readers.read_ids(spark, path)
+
+
+def ids_results(spark, sf):
+    rows = with_materials(spark, sf).join(enrich.crosswalk(spark), "ifc_class", "left").withColumn("systems", F.array_compact(F.array(F.when(F.col("uniclass").isNotNull(), "Uniclass2015"), F.when(F.col("omniclass").isNotNull(), "OmniClass"))))
+    return ids.validate(rows, properties(spark, sf), view(spark, sf, "v_relationships"), ids_specs(spark, sf))
+
+
+@query(f"select spec, global_id, facet, pset, name, result from {IDS_RESULTS} r")
 def v9_ids_validate(spark, sf):
-    from lintel.operators.ids import validate
+    return ids_results(spark, sf)
+
 
-    specs = spark.createDataFrame([("walls", "IFCWALL", "FireRating", None), ("walls", "IFCWALL", "IsExternal", "true"), ("doors", "IFCDOOR", "FireRating", "2HR")], "spec string, entity string, prop string, expected string")
-    return validate(elements(spark, sf), properties(spark, sf), specs)
+@query(f"""select count(*) as total, count(*) filter (where good) as n_passed, count(*) filter (where not good) as n_failed, round(count(*) filter (where good) * 100.0e0 / count(*), 6) as pass_rate
+    from (select spec, global_id, bool_and(result = 'PASS') as good from {IDS_RESULTS} r group by 1, 2) t""")
+def v9_ids_summary(spark, sf):
+    return ids.summary(ids_results(spark, sf))
 
 
 @query("""select e.global_id, case when count(r.source) = 0 then 'FAIL' when count(*) filter (where r.target_class = 'IfcBuildingStorey') > 0 then 'PASS' else 'FAIL' end as result
     from v_elements e left join v_relationships r on r.source = e.global_id and r.type in ('contained_in', 'aggregated_by') group by 1""")
 def j10_part_of_check(spark, sf):
-    from lintel.operators.ids import part_of
-
-    return part_of(elements(spark, sf), view(spark, sf, "v_relationships"), "IfcBuildingStorey")
+    return ids.part_of(elements(spark, sf), view(spark, sf, "v_relationships"), "IfcBuildingStorey")
 
 
 SUGGEST = literals([("Ss_25_10_30", "Wall systems", "IfcWall"), ("Pr_30_59_29", "Doors", "IfcDoor"), ("Ss_25_10_31", "Curtain wall systems", "IfcCurtainWall"), ("X_1", "Wall coverings", "IfcCovering")], "code, class_name, related")

@@ -13,9 +13,9 @@ ELEMENT = "global_id string, ifc_class string, name string, container struct<glo
 EXTENSIONS = [(".ifc", "bim_model"), (".pdf", "document"), (".docx", "document"), (".doc", "document"), (".hwpx", "document"), (".hwp", "document"), (".xlsx", "spreadsheet"), (".xls", "spreadsheet"), (".csv", "spreadsheet"), (".pptx", "presentation"), (".ppt", "presentation"), (".png", "image"), (".jpg", "image"), (".jpeg", "image"), (".tiff", "image"), (".ids", "standard"), (".bcf", "standard"), (".bcfzip", "standard")]
 
 
-def read_parsed_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Completed documents with text among all files *_parsed.json below a path."""
-    rows = spark.read.schema(DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_parsed.json").json(path)
+def read_parsed_documents(spark: SparkSession, path: str, pattern: str = "*_parsed.json", one_per_file: bool = True) -> DataFrame:
+    """Completed documents with text among all files of a pattern below a path; not `one_per_file`: one on each line, so that files can be split."""
+    rows = spark.read.schema(DOCUMENT).option("multiLine", one_per_file).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
     return rows.where("status = 'completed' and trim(full_text) <> ''")
 
 
@@ -26,6 +26,20 @@ def read_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return rows, sets.select("global_id", "pset", F.explode("values").alias("prop", "value"))
 
 
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """ord, ifc_class, pset, name, data_type, unit of a dictionary file: classes by name, each with lists of properties."""
+    schema = "classes map<string,struct<properties:array<struct<propertySet:string,name:string,dataType:string,unit:string>>>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    entries = rows.select(F.explode("classes").alias("ifc_class", "c")).select("ifc_class", F.posexplode("c.properties").alias("ord", "p"))
+    return entries.select("ord", "ifc_class", F.col("p.propertySet").alias("pset"), "p.name", F.col("p.dataType").alias("data_type"), "p.unit")
+
+
+def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
+    """ifc_class, uniclass, omniclass of a crosswalk file."""
+    rows = spark.read.schema("crosswalk map<string,struct<uniclass:string,omniclass:string>>").option("multiLine", True).json(path)
+    return rows.select(F.explode("crosswalk").alias("ifc_class", "c")).select("ifc_class", "c.uniclass", "c.omniclass")
+
+
 def read_rule_config(spark: SparkSession, path: str) -> DataFrame:
     """ifc_class, pset, prop, required of a requirement file."""
     schema = "requirements map<string,struct<properties:array<struct<propertySet:string,name:string,required:boolean>>>>"
@@ -34,11 +48,34 @@ def read_rule_config(spark: SparkSession, path: str) -> DataFrame:
     return classes.select("ifc_class", F.inline("r.properties")).select("ifc_class", F.col("propertySet").alias("pset"), F.col("name").alias("prop"), "required")
 
 
+VALUE = "struct<simpleValue:string,restriction:struct<pattern:struct<_value:string>,enumeration:array<struct<_value:string>>>>"
+SPECIFICATION = f"""_name string, applicability struct<entity:struct<name:struct<simpleValue:string>>>, requirements struct<
+  property:array<struct<propertySet:struct<simpleValue:string>,baseName:struct<simpleValue:string>,value:{VALUE}>>, attribute:array<struct<name:struct<simpleValue:string>,value:{VALUE}>>,
+  material:array<struct<value:{VALUE}>>, classification:array<struct<system:struct<simpleValue:string>,value:{VALUE}>>, partOf:array<struct<_relation:string,entity:struct<name:struct<simpleValue:string>>>>>"""
+
+
+REQUIREMENT = "array<struct<facet:string,pset:string,name:string,kind:string,expected:string,options:array<string>>>"
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """spec, entity, pset, prop of the property requirements in specification files."""
-    schema = "_name string, applicability struct<entity:struct<name:struct<simpleValue:string>>>, requirements struct<property:array<struct<propertySet:struct<simpleValue:string>,baseName:struct<simpleValue:string>>>>"
-    rows = spark.read.format("xml").option("rowTag", "specification").schema(schema).load(path)
-    return rows.select(F.col("_name").alias("spec"), F.col("applicability.entity.name.simpleValue").alias("entity"), F.explode("requirements.property").alias("p")).select("spec", "entity", F.col("p.propertySet.simpleValue").alias("pset"), F.col("p.baseName.simpleValue").alias("prop"))
+    """Requirements of specification files, a row each, in the columns of lintel.operators.ids. A value is a simple one, a pattern or an enumeration."""
+    rows = spark.read.format("xml").option("rowTag", "specification").option("ignoreNamespace", True).schema(SPECIFICATION).load(path)
+    none, text = F.lit(None).cast("string"), lambda c: c["simpleValue"]
+    value = lambda v: (
+        F.when(v["simpleValue"].isNotNull(), "simple").when(v["restriction"]["pattern"].isNotNull(), "pattern").when(v["restriction"]["enumeration"].isNotNull(), "enumeration").alias("kind"),
+        F.coalesce(v["simpleValue"], v["restriction"]["pattern"]["_value"]).alias("expected"), F.transform(v["restriction"]["enumeration"], lambda x: x["_value"]).alias("options"),
+    )
+    only = lambda c: (F.lit(None).cast("string").alias("kind"), c.alias("expected"), F.lit(None).cast("array<string>").alias("options"))
+    made = {
+        "property": lambda x: (text(x["propertySet"]), text(x["baseName"]), value(x["value"])), "attribute": lambda x: (none, text(x["name"]), value(x["value"])), "material": lambda x: (none, none, value(x["value"])),
+        "classification": lambda x: (none, text(x["system"]), value(x["value"])), "partOf": lambda x: (none, none, only(text(x["entity"]["name"]))),
+    }
+
+    def requirement(facet, parts):
+        return lambda x: F.struct(F.lit(facet).alias("facet"), parts(x)[0].alias("pset"), parts(x)[1].alias("name"), *parts(x)[2])
+
+    lists = [F.coalesce(F.transform(F.col("requirements")[k], requirement(k.lower(), f)), F.array().cast(REQUIREMENT)) for k, f in made.items()]
+    return rows.select(F.col("_name").alias("spec"), F.col("applicability.entity.name.simpleValue").alias("entity"), F.inline(F.concat(*lists)))
 
 
 def catalogue_files(spark: SparkSession, path: str) -> DataFrame:

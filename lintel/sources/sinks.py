@@ -50,11 +50,23 @@ def write_topics(topics: DataFrame, path: str) -> None:
     topics.write.mode("overwrite").json(path)
 
 
-def ids_rules(rules: DataFrame) -> DataFrame:
-    """ifc_class and one XML specification of its required properties and materials. rules: ifc_class, facet, pset, prop, required."""
-    item = F.when(F.col("facet") == "material", "<material/>").otherwise(F.concat(F.lit("<property><propertySet>"), F.col("pset"), F.lit("</propertySet><baseName>"), F.col("prop"), F.lit("</baseName></property>")))
-    rows = rules.where("required and facet in ('property', 'material')").groupBy("ifc_class").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("r"))
-    return rows.select("ifc_class", F.concat(F.lit("<specification><applicability><entity><name>"), F.upper("ifc_class"), F.lit("</name></entity></applicability><requirements>"), F.col("r"), F.lit("</requirements></specification>")).alias("xml"))
+def ids_documents(specs: DataFrame) -> DataFrame:
+    """A row per specification in the nesting of its XML. specs: a requirement per row, in the columns of lintel.operators.ids."""
+    simple = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("simpleValue")))
+    limits = F.struct(F.when(F.col("kind") == "pattern", F.struct(F.col("expected").alias("_value"))).alias("pattern"), F.when(F.col("kind") == "enumeration", F.transform("options", lambda x: F.struct(x.alias("_value")))).alias("enumeration"))
+    value = F.when(F.col("kind").isNotNull(), F.struct(F.when(F.col("kind") == "simple", F.col("expected")).alias("simpleValue"), F.when(F.col("kind") != "simple", limits).alias("restriction"))).alias("value")
+    made = {
+        "property": (simple("pset").alias("propertySet"), simple("name").alias("baseName"), value), "attribute": (simple("name").alias("name"), value), "material": (value,), "classification": (simple("name").alias("system"), value),
+        "partOf": (F.lit("IFCRELCONTAINEDINSPATIALSTRUCTURE").alias("_relation"), F.when(F.col("expected").isNotNull(), F.struct(simple("expected").alias("name"))).alias("entity")),
+    }
+    lists = [F.collect_list(F.when(F.col("facet") == k.lower(), F.struct(*v))).alias(k) for k, v in made.items()]
+    rows = specs.groupBy("spec", "entity").agg(*lists)
+    return rows.select(F.col("spec").alias("_name"), F.struct(F.struct(F.struct(F.col("entity").alias("simpleValue")).alias("name")).alias("entity")).alias("applicability"), F.struct(*made).alias("requirements"))
+
+
+def write_ids(specs: DataFrame, path: str) -> None:
+    """Specifications as XML files."""
+    ids_documents(specs).write.mode("overwrite").format("xml").option("rootTag", "specifications").option("rowTag", "specification").save(path)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

@@ -85,7 +85,23 @@ def test_readers(spark, tmp_path):
     (tmp_path / "rules.json").write_text(json.dumps({"requirements": {"IfcWall": {"properties": [{"propertySet": "P", "name": "N", "required": True}]}}}))
     assert readers.read_rule_config(spark, str(tmp_path / "rules.json")).first()["ifc_class"] == "IfcWall"
     (tmp_path / "r.ids").write_text('<ids><specification name="s"><applicability><entity><name><simpleValue>IFCWALL</simpleValue></name></entity></applicability><requirements><property><propertySet><simpleValue>P</simpleValue></propertySet><baseName><simpleValue>N</simpleValue></baseName></property></requirements></specification></ids>')
-    assert tuple(readers.read_ids(spark, str(tmp_path / "r.ids")).first()) == ("s", "IFCWALL", "P", "N")
+    assert tuple(readers.read_ids(spark, str(tmp_path / "r.ids")).first()) == ("s", "IFCWALL", "property", "P", "N", None, None, None)
+    (tmp_path / "x.ids").write_text('''<ids xmlns="http://standards.buildingsmart.org/IDS" xmlns:xs="http://www.w3.org/2001/XMLSchema"><specifications><specification name="t"><applicability><entity><name><simpleValue>IFCDOOR</simpleValue></name></entity></applicability><requirements>
+      <property><propertySet><simpleValue>P</simpleValue></propertySet><baseName><simpleValue>N</simpleValue></baseName><value><xs:restriction base="xs:string"><xs:enumeration value="a"/><xs:enumeration value="b"/></xs:restriction></value></property>
+      <attribute><name><simpleValue>Name</simpleValue></name><value><xs:restriction><xs:pattern value="D.*"/></xs:restriction></value></attribute><material><value><simpleValue>oak</simpleValue></value></material>
+      <classification><system><simpleValue>U</simpleValue></system></classification><partOf relation="R"><entity><name><simpleValue>IfcBuildingStorey</simpleValue></name></entity></partOf></requirements></specification></specifications></ids>''')
+    specs = readers.read_ids(spark, str(tmp_path / "x.ids"))
+    assert [tuple(r)[2:] for r in specs.collect()] == [("property", "P", "N", "enumeration", None, ["a", "b"]), ("attribute", None, "Name", "pattern", "D.*", None), ("material", None, None, "simple", "oak", None), ("classification", None, "U", None, None, None), ("partof", None, None, None, "IfcBuildingStorey", None)]
+    doors = spark.createDataFrame([("d1", "IfcDoor", "Door 1", ["oak"], ["U"]), ("d2", "IfcDoor", None, ["ash"], []), ("w", "IfcWall", "D", [], [])], "global_id string, ifc_class string, name string, materials array<string>, systems array<string>")
+    values = spark.createDataFrame([("d1", "P", "N", "b", 1), ("d2", "P", "N", "c", 1)], "global_id string, pset string, prop string, value string, ord int")
+    ends = spark.createDataFrame([("d1", "contained_in", "IfcBuildingStorey"), ("d2", "contained_in", "IfcSite")], "source string, type string, target_class string")
+    results = ids.validate(doors, values, ends, specs)
+    assert {(r["global_id"], r["result"]) for r in results.collect()} == {("d1", "PASS"), ("d2", "FAIL")} and results.count() == 10
+    assert tuple(ids.summary(results).first()) == (2, 1, 1, 50.0) and tuple(ids.summary(results.limit(0)).first()) == (0, 0, 0, 0.0)
+    (tmp_path / "dictionary.json").write_text(json.dumps({"classes": {"IfcWall": {"properties": [{"propertySet": "P", "name": "N", "dataType": "string", "unit": None}]}}}))
+    (tmp_path / "crosswalk.json").write_text(json.dumps({"crosswalk": {"IfcWall": {"uniclass": "U1", "omniclass": "O1"}}}))
+    assert tuple(readers.read_dictionary(spark, str(tmp_path / "dictionary.json")).first()) == (0, "IfcWall", "P", "N", "string", None)
+    assert tuple(readers.read_crosswalk(spark, str(tmp_path / "crosswalk.json")).first()) == ("IfcWall", "U1", "O1")
     rows = spark.createDataFrame([("s", "p", "a b", "uri"), ("s", "q", 'x"y', "literal")], "subject string, predicate string, object string, object_type string").withColumn("datatype", F.lit(None).cast("string"))
     assert sorted(r["value"] for r in graph.ntriples(rows).collect()) == ['<s> <p> <a b> .', '<s> <q> "x\\"y" .']
     assert sinks.json_ld(rows).count() == 1
