@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Groups of words in file names, in the order that decides, and what they mean.
@@ -96,6 +96,12 @@ def sentences(text: Column) -> Column:
     return F.size(F.split(text, r"[.!?。]\s", -1))
 
 
+def section_features(docs: DataFrame) -> DataFrame:
+    """doc_id, idx, content_length, n_words, has_table of every section that isn't blank. docs: doc_id, sections (array of texts)."""
+    rows = docs.select("doc_id", F.posexplode("sections").alias("idx", "s")).where(F.trim("s") != "")
+    return rows.select("doc_id", "idx", F.char_length("s").cast("long").alias("content_length"), F.size(F.regexp_extract_all("s", F.lit(r"(\S+)"), F.lit(1))).cast("long").alias("n_words"), F.contains("s", F.lit(" | ")).alias("has_table"))
+
+
 def clean(text: Column) -> Column:
     """Without control characters other than tabs and line ends."""
     return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")

@@ -25,23 +25,63 @@ def loin_gap(level: Column, phase: Column) -> Column:
     return rank < needed
 
 
+# Least words of a document by phase.
+LEAST_WORDS = {"design": 200, "construction": 100, "operation": 100}
+OFFICE, SHEETS, SLIDES = (".docx", ".hwpx", ".hwp"), (".xlsx", ".xls", ".csv"), (".pptx", ".ppt")
+
+
 def document_checks(docs: DataFrame) -> DataFrame:
-    """doc_id, facet, result: checks of every document, and some by its extension.
+    """doc_id, facet, check, result (PASS or FAIL), note, fix: checks of every document and of its format, one pass over the rows.
 
-    docs: doc_id, filename, ext, phase, words, lines, title (may be null).
+    fix names what can mend a failed check, null where nothing can. docs: doc_id, filename, ext, phase, type_id, words, title, author, dated,
+    n_sections, levels (array), n_tables, has_headers, n_rows, sheet_names (array), pages, revision, model_schema, entities (array, upper case), slides; nulls count
+    as missing.
     """
-    result = lambda good, bad: F.when(good, "PASS").otherwise(bad)
-    named = F.size(F.split("filename", "-", -1)) >= 7
-    each = [("naming", result(named, "WARNING")), ("text", result(F.col("words") > 0, "FAIL")), ("phase", result(F.col("phase").isNotNull(), "WARNING")), ("title", result(F.col("title").isNotNull(), "WARNING")), ("structure", result(F.col("lines") > 1, "WARNING")), ("extension", result(F.col("ext") != "", "FAIL"))]
-    by_ext = [(".pdf", "pages", result(F.col("words") >= 50, "WARNING")), (".docx", "headings", result(F.col("lines") >= 3, "WARNING")), (".xlsx", "rows", result(F.col("lines") >= 5, "FAIL")), (".ifc", "entities", result(F.col("words") >= 100, "FAIL"))]
-    checks = [F.struct(F.lit(f).alias("facet"), r.alias("result")) for f, r in each] + [F.when(F.col("ext") == e, F.struct(F.lit(f).alias("facet"), r.alias("result"))) for e, f, r in by_ext]
-    return docs.select("doc_id", F.inline(F.array_compact(F.array(*checks))))
+    c, n = F.col, lambda x: F.coalesce(F.col(x), F.lit(0))
+    size = lambda x: F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0))
+    text = lambda x: F.coalesce(F.col(x), F.lit("")) != ""
+    said = lambda cond, yes, no: F.when(cond, yes).otherwise(no)
+    counted = lambda x, what: F.concat(x.cast("string"), F.lit(what))
+    least = F.coalesce(F.element_at(F.create_map(*[x for k, v in LEAST_WORDS.items() for x in (F.lit(k), F.lit(v))]), c("phase")), F.lit(50))
+    parts = F.size(F.split(F.replace("filename", F.lit("."), F.lit("_")), "_", -1))
+    named = lambda word: F.exists("entities", lambda e: F.contains(e, F.lit(word)))
+    spatial = F.size(F.array_intersect(F.coalesce("entities", F.array().cast("array<string>")), F.array(*[F.lit(x) for x in ("IFCSITE", "IFCBUILDING", "IFCBUILDINGSTOREY", "IFCSPACE")])))
+    of = lambda *exts: c("ext").isin(*exts)
+    checks = [  # when it applies, facet, check, whether it holds, note, fix
+        (None, "Attribute", "title", text("title"), said(text("title"), F.concat(F.lit("Title: "), c("title")), "no title"), "fix_title"),
+        (None, "Attribute", "author", text("author"), said(text("author"), F.concat(F.lit("Author: "), c("author")), "no author"), "fix_author"),
+        (None, "Attribute", "date", F.coalesce("dated", F.lit(False)), said(c("dated"), "dated", "no date"), "fix_date"),
+        (None, "Entity", "structure", (n("n_sections") > 0) | (of(".xlsx", ".xls") & (n("n_tables") > 0)), counted(n("n_sections"), " sections"), "fix_structure"),
+        (None, "Property", "content", n("words") >= least, F.concat(counted(n("words"), " words of "), least.cast("string")), "fix_content"),
+        (None, "Attribute", "naming", parts >= 3, counted(parts, " parts"), "fix_naming"),
+        (of(".pdf"), "Property", "pages", n("pages") > 0, counted(n("pages"), " pages"), None),
+        (of(".pdf") & (c("type_id") == "design_drawing"), "Property", "title block", n("n_tables") > 0, counted(n("n_tables"), " tables"), "fix_titleblock"),
+        (of(*OFFICE), "Entity", "heading hierarchy", F.size(F.array_distinct("levels")) >= 2, counted(size("levels"), " headings"), "fix_headings"),
+        (of(*OFFICE), "Attribute", "revision", n("revision") > 0, counted(n("revision"), ". revision"), "fix_revision"),
+        (of(*SHEETS), "Entity", "header row", F.coalesce("has_headers", F.lit(False)), said(c("has_headers"), "headers", "no headers"), "fix_headers"),
+        (of(*SHEETS), "Property", "data rows", n("n_rows") >= 3, counted(n("n_rows"), " rows"), None),
+        (of(*SHEETS), "Attribute", "sheet names", F.exists("sheet_names", lambda x: F.char_length(x) > 6), F.concat_ws(", ", F.slice("sheet_names", 1, 5)), "fix_sheetnames"),
+        (of(".ifc"), "Classification", "schema", text("model_schema"), said(text("model_schema"), c("model_schema"), "no schema"), None),
+        (of(".ifc"), "Entity", "entity types", size("entities") >= 3, counted(size("entities"), " types"), "fix_entities"),
+        (of(".ifc"), "PartOf", "spatial structure", spatial >= 2, counted(spatial, " spatial types"), "fix_spatial"),
+        (of(".ifc"), "Property", "property sets", named("PROPERTYSET") | named("PSET"), F.lit(None), "fix_pset"),
+        (of(".ifc"), "Material", "materials", named("MATERIAL"), F.lit(None), "fix_material"),
+        (of(".ifc"), "Classification", "classification", named("CLASSIFICATION"), F.lit(None), "fix_classification"),
+        (of(*SLIDES), "Property", "slides", n("slides") >= 2, counted(n("slides"), " slides"), None),
+    ]
+    rows = []
+    for when, facet, check, good, note, fix in checks:
+        good = F.coalesce(good, F.lit(False))
+        row = F.struct(F.lit(facet).alias("facet"), F.lit(check).alias("check"), said(good, "PASS", "FAIL").alias("result"), note.cast("string").alias("note"), F.when(~good, F.lit(fix)).cast("string").alias("fix"))
+        rows.append(row if when is None else F.when(when, row))
+    return docs.select("doc_id", F.inline(F.array_compact(F.array(*rows))))
 
 
 def ng_items(checks: DataFrame, levels: DataFrame) -> DataFrame:
-    """doc_id, severity, facet: failed checks and warnings, and documents below their phase's level. levels: doc_id, level, phase."""
-    found = checks.where("result <> 'PASS'").select("doc_id", F.when(F.col("result") == "FAIL", "NG").otherwise("WARNING").alias("severity"), "facet")
-    return found.unionByName(levels.where(loin_gap(F.col("level"), F.col("phase"))).select("doc_id", F.lit("NG").alias("severity"), F.lit("Information Level").alias("facet")))
+    """doc_id, severity, facet, check: failed checks, and documents below their phase's level. levels: doc_id, level, phase."""
+    found = checks.where("result = 'FAIL'").select("doc_id", F.lit("NG").alias("severity"), "facet", "check")
+    low = levels.where(loin_gap(F.col("level"), F.col("phase")))
+    return found.unionByName(low.select("doc_id", F.lit("NG").alias("severity"), F.lit("Information Level").alias("facet"), F.col("level").alias("check")))
 
 
 def compliance(checks: DataFrame, passing: tuple[str, ...] = ("PASS",)) -> DataFrame:
@@ -50,14 +90,26 @@ def compliance(checks: DataFrame, passing: tuple[str, ...] = ("PASS",)) -> DataF
     return checks.groupBy("doc_id").agg(F.count("*").alias("n_checks"), good.alias("n_passed"), F.bround(good * 100.0 / F.count("*")).cast("long").alias("percent"))
 
 
-def auto_fix(checks: DataFrame, facets: list[str]) -> DataFrame:
-    """Failing checks of the given facets become FIXED."""
-    return checks.withColumn("result", F.when(F.col("facet").isin(*facets) & (F.col("result") != "PASS"), "FIXED").otherwise(F.col("result")))
+def auto_fix(checks: DataFrame, fixes: list[str]) -> DataFrame:
+    """Failed checks that one of the given fixes mends become FIXED."""
+    return checks.withColumn("result", F.when(F.col("fix").isin(*fixes), "FIXED").otherwise(F.col("result")))
 
 
-def missing_requirements(docs: DataFrame, required: DataFrame) -> DataFrame:
-    """doc_id, requirement: words that a phase's documents need and the text lacks. required: phase, requirement."""
-    return docs.join(required, "phase").where(~F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower("requirement"))).select("doc_id", "requirement")
+def standard_warnings(docs: DataFrame, required: DataFrame | None = None) -> DataFrame:
+    """doc_id, warning: naming, author and date of every document, a title where it is a design, a scope section in construction.
+
+    docs: doc_id, filename, phase, title, author, dated, headings (array). required: phase, requirement: further words that a heading of
+    such a phase's documents needs; a table of rules.
+    """
+    lost = lambda x: F.coalesce(F.col(x), F.lit("")) == ""
+    headings = F.lower(F.array_join(F.coalesce("headings", F.array().cast("array<string>")), " "))
+    parts = F.size(F.split(F.get(F.split("filename", r"\."), 0), "-", -1))
+    found = [("naming", parts < 7), ("author", lost("author")), ("created", ~F.coalesce("dated", F.lit(False))), ("title", (F.col("phase") == "design") & lost("title")), ("scope", (F.col("phase") == "construction") & ~F.contains(headings, F.lit("scope")))]
+    rows = docs.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in found]))).alias("warning"))
+    if required is None:
+        return rows
+    asked = docs.select("doc_id", "phase", headings.alias("h")).join(required, "phase").where(~F.contains("h", F.lower("requirement")))
+    return rows.unionByName(asked.select("doc_id", F.concat(F.lit("section "), F.col("requirement")).alias("warning")))
 
 
 def table_schema_check(expected: DataFrame, found: DataFrame) -> DataFrame:

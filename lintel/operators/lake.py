@@ -72,6 +72,14 @@ def document_keywords(docs: DataFrame, top: int = 30, stopwords: list[str] = STO
     return best.select("doc_id", "w.word", (-F.col("w.less")).cast("long").alias("n"), (F.col("rank") + 1).cast("long").alias("rank"))
 
 
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_chars, n_lines, n_sentences, n_tables, n_sections. docs: doc_id, text, tables and sections (arrays)."""
+    from lintel.functions.text import sentences
+
+    count = lambda c, name: F.size(c).cast("long").alias(name)
+    return docs.select("doc_id", count(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)), "n_words"), F.char_length("text").cast("long").alias("n_chars"), count(F.split("text", "\n", -1), "n_lines"), sentences(F.col("text")).cast("long").alias("n_sentences"), count("tables", "n_tables"), count("sections", "n_sections"))
+
+
 def corpus_keywords(keywords: DataFrame, top: int = 100) -> DataFrame:
     """word, n, n_docs of the most frequent words over all documents' keywords."""
     return keywords.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")).orderBy(F.desc("n"), "word").limit(top)

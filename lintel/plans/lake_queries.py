@@ -164,9 +164,12 @@ def a3_corpus_keywords(spark, sf):
     return lake.corpus_keywords(lake.document_keywords(table(spark, sf, "documents")))
 
 
-@query("""select doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) as n_words, length(text) as n_chars, len(string_split(text, chr(10))) as n_lines, len(regexp_split_to_array(text, '[.!?。][ \\t\\n\\r\\f\\v]')) as n_sentences from documents""")
+@query(r"""select doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) as n_words, length(text) as n_chars, len(string_split(text, chr(10))) as n_lines, len(regexp_split_to_array(text, '[.!?。][ \t\n\r\f\v]')) as n_sentences,
+    len(list_filter(string_split(text, chr(10)), lambda x: contains(x, ','))) as n_tables, len(list_filter(string_split(text, chr(10)), lambda x: length(x) between 1 and 60)) as n_sections from documents""")
 def a4_document_statistics(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).cast("long").alias("n_words"), F.char_length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), X.sentences(F.col("text")).cast("long").alias("n_sentences"))
+    lines = F.split("text", "\n", -1)
+    rows = table(spark, sf, "documents").withColumns({"tables": F.filter(lines, lambda x: F.contains(x, F.lit(","))), "sections": F.filter(lines, lambda x: F.char_length(x).between(1, 60))})
+    return lake.document_statistics(rows)
 
 
 def _snippet(w: str) -> str:
@@ -215,47 +218,85 @@ def u3_union_tables(spark, sf):
 # Document checks
 
 
-COUNTED = """(select doc_id, filename, phase, text, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) as words, len(string_split(text, chr(10))) as lines, case when doc_id % 5 = 0 then null else lang end as title,
-    case doc_id % 4 when 0 then '.pdf' when 1 then '.docx' when 2 then '.xlsx' else '.ifc' end as ext from v_documents)"""
-DOC_CHECKS = f"""(select doc_id, 'naming' as facet, case when len(string_split(filename, '-')) >= 7 then 'PASS' else 'WARNING' end as result from {COUNTED} c
-    union all select doc_id, 'text', case when words > 0 then 'PASS' else 'FAIL' end from {COUNTED} c union all select doc_id, 'phase', 'PASS' from {COUNTED} c union all select doc_id, 'title', case when title is not null then 'PASS' else 'WARNING' end from {COUNTED} c
-    union all select doc_id, 'structure', case when lines > 1 then 'PASS' else 'WARNING' end from {COUNTED} c union all select doc_id, 'extension', 'PASS' from {COUNTED} c
-    union all select doc_id, 'pages', case when words >= 50 then 'PASS' else 'WARNING' end from {COUNTED} c where ext = '.pdf' union all select doc_id, 'headings', case when lines >= 3 then 'PASS' else 'WARNING' end from {COUNTED} c where ext = '.docx'
-    union all select doc_id, 'rows', case when lines >= 5 then 'PASS' else 'FAIL' end from {COUNTED} c where ext = '.xlsx' union all select doc_id, 'entities', case when words >= 100 then 'PASS' else 'FAIL' end from {COUNTED} c where ext = '.ifc')"""
-LEVEL = "case when words > 5000 or words % 8 > 5 then 'LOI High' when words > 500 then 'LOI Medium' else 'LOI Low' end"
+# What a parser says of a document, made from its text: short lines are headings, lines with a comma are tables.
+FACTS = """(select doc_id, filename, phase, text, case doc_id % 4 when 0 then '.pdf' when 1 then '.docx' when 2 then '.xlsx' else '.ifc' end as ext, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) as words,
+    case when doc_id % 5 = 0 then null else lang end as title, case when doc_id % 7 = 0 then '' else 'writer of ' || lang end as author, doc_id % 3 <> 0 as dated,
+    list_filter(string_split(text, chr(10)), lambda x: length(x) between 1 and 60) as headings, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, ','))) as n_tables, string_split(text, chr(10))[1] <> '' as has_headers,
+    len(string_split(text, chr(10))) as n_rows, doc_id % 4 as revision, case when lang = 'en' then 'IFC4' end as model_schema, doc_id % 6 as k, lang, case when doc_id % 8 = 0 then 'design_drawing' else 'other' end as type_id from v_documents)"""
+ENTITIES = "list_filter(['IFCSITE', case when k > 0 then 'IFCBUILDING' end, case when k > 1 then 'IFCPROPERTYSET' end, case when k > 2 then 'IFCMATERIAL' end, case when k > 3 then 'IFCRELASSOCIATESCLASSIFICATION' end], lambda x: x is not null)"
 
 
-def counted(spark, sf):
-    return docs(spark, sf).select("doc_id", "filename", "phase", "text", X.extension(F.col("filename")).alias("ext"), F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).alias("words"), F.size(F.split("text", "\n", -1)).alias("lines"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("title"))
+def _check(facet: str, name: str, good: str, note: str, fix: str | None, when: str = "true") -> str:
+    mend = f"'{fix}'" if fix else "cast(null as string)"
+    return f"select doc_id, '{facet}' as facet, '{name}' as \"check\", case when {good} then 'PASS' else 'FAIL' end as result, {note} as note, case when not ({good}) then {mend} end as fix from {FACTS} f where {when}"
 
 
-@query(f"select doc_id, facet, result from {DOC_CHECKS} d")
+DOC_CHECKS = "(" + " union all ".join([
+    _check("Attribute", "title", "coalesce(title, '') <> ''", "case when coalesce(title, '') <> '' then 'Title: ' || title else 'no title' end", "fix_title"),
+    _check("Attribute", "author", "author <> ''", "case when author <> '' then 'Author: ' || author else 'no author' end", "fix_author"), _check("Attribute", "date", "dated", "case when dated then 'dated' else 'no date' end", "fix_date"),
+    _check("Entity", "structure", "len(headings) > 0 or (ext = '.xlsx' and n_tables > 0)", "len(headings) || ' sections'", "fix_structure"),
+    _check("Property", "content", "words >= case phase when 'design' then 200 else 100 end", "words || ' words of ' || case phase when 'design' then 200 else 100 end", "fix_content"),
+    _check("Attribute", "naming", "len(string_split(replace(filename, '.', '_'), '_')) >= 3", "len(string_split(replace(filename, '.', '_'), '_')) || ' parts'", "fix_naming"),
+    _check("Property", "pages", "words // 300 > 0", "words // 300 || ' pages'", None, "ext = '.pdf'"), _check("Property", "title block", "n_tables > 0", "n_tables || ' tables'", "fix_titleblock", "ext = '.pdf' and type_id = 'design_drawing'"),
+    _check("Entity", "heading hierarchy", "len(list_distinct(list_transform(headings, lambda x: length(x) % 3))) >= 2", "len(headings) || ' headings'", "fix_headings", "ext = '.docx'"), _check("Attribute", "revision", "revision > 0", "revision || '. revision'", "fix_revision", "ext = '.docx'"),
+    _check("Entity", "header row", "has_headers", "case when has_headers then 'headers' else 'no headers' end", "fix_headers", "ext = '.xlsx'"), _check("Property", "data rows", "n_rows >= 3", "n_rows || ' rows'", None, "ext = '.xlsx'"),
+    _check("Attribute", "sheet names", "length(lang || phase) > 6", "lang || phase", "fix_sheetnames", "ext = '.xlsx'"), _check("Classification", "schema", "model_schema is not null", "coalesce(model_schema, 'no schema')", None, "ext = '.ifc'"),
+    _check("Entity", "entity types", f"len({ENTITIES}) >= 3", f"len({ENTITIES}) || ' types'", "fix_entities", "ext = '.ifc'"), _check("PartOf", "spatial structure", "k > 0", "case when k > 0 then '2' else '1' end || ' spatial types'", "fix_spatial", "ext = '.ifc'"),
+    _check("Property", "property sets", "k > 1", "cast(null as string)", "fix_pset", "ext = '.ifc'"), _check("Material", "materials", "k > 2", "cast(null as string)", "fix_material", "ext = '.ifc'"), _check("Classification", "classification", "k > 3", "cast(null as string)", "fix_classification", "ext = '.ifc'"),
+]) + ")"
+LEVEL = "case when ext = '.ifc' then case when words > 1000 then 'LOI High' when words > 100 then 'LOI Medium' else 'LOI Low' end when words > 5000 or n_tables > 5 then 'LOI High' when words > 500 then 'LOI Medium' else 'LOI Low' end"
+BELOW = f"case {LEVEL} when 'LOI High' then 3 when 'LOI Medium' then 2 else 1 end < case phase when 'construction' then 3 else 2 end"
+
+
+def facts(spark, sf):
+    lines = F.split("text", "\n", -1)
+    rows = docs(spark, sf).select(
+        "doc_id", "filename", "phase", "text", X.extension(F.col("filename")).alias("ext"), F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).alias("words"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("title"),
+        F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("writer of "), F.col("lang"))).alias("author"), (F.col("doc_id") % 3 != 0).alias("dated"),
+        F.filter(lines, lambda x: F.char_length(x).between(1, 60)).alias("headings"), F.size(F.filter(lines, lambda x: F.contains(x, F.lit(",")))).alias("n_tables"), (F.get(lines, 0) != "").alias("has_headers"), F.size(lines).alias("n_rows"),
+        (F.col("doc_id") % 4).alias("revision"), F.when(F.col("lang") == "en", "IFC4").alias("model_schema"), F.array(F.concat("lang", "phase")).alias("sheet_names"), F.when(F.col("doc_id") % 8 == 0, "design_drawing").otherwise("other").alias("type_id"),
+        F.slice(F.array(*[F.lit(x) for x in ("IFCSITE", "IFCBUILDING", "IFCPROPERTYSET", "IFCMATERIAL", "IFCRELASSOCIATESCLASSIFICATION")]), 1, F.least((F.col("doc_id") % 6 + 1).cast("int"), F.lit(5))).alias("entities"),
+    )
+    return rows.withColumns({"n_sections": F.size("headings"), "levels": F.transform("headings", lambda x: F.char_length(x) % 3), "pages": F.floor(F.col("words") / 300), "slides": F.lit(None).cast("int")})
+
+
+def levels(spark, sf):
+    level = F.when(F.col("ext") == ".ifc", D.model_level(F.col("words"))).otherwise(D.loin_level(F.col("words"), F.col("n_tables")))
+    return facts(spark, sf).select("doc_id", "phase", level.alias("level"))
+
+
+@query(f"select * from {DOC_CHECKS} d")
 def v14_document_checks(spark, sf):
-    return D.document_checks(counted(spark, sf))
+    return D.document_checks(facts(spark, sf))
 
 
-@query(f"select doc_id, {LEVEL} as level, case {LEVEL} when 'LOI High' then 3 when 'LOI Medium' then 2 else 1 end < case phase when 'construction' then 3 else 2 end as below from {COUNTED} c")
+@query(f"select doc_id, {LEVEL} as level, {BELOW} as below from {FACTS} c")
 def v15_loin_level(spark, sf):
-    rows = counted(spark, sf).select("doc_id", "phase", D.loin_level(F.col("words"), F.col("words") % 8).alias("level"))
-    return rows.select("doc_id", "level", D.loin_gap(F.col("level"), F.col("phase")).alias("below"))
+    return levels(spark, sf).select("doc_id", "level", D.loin_gap(F.col("level"), F.col("phase")).alias("below"))
 
 
-@query(f"""select doc_id, case result when 'FAIL' then 'NG' else 'WARNING' end as severity, facet from {DOC_CHECKS} d where result <> 'PASS'
-    union all select doc_id, 'NG', 'Information Level' from {COUNTED} c where case {LEVEL} when 'LOI High' then 3 when 'LOI Medium' then 2 else 1 end < case phase when 'construction' then 3 else 2 end""")
+@query(f"""select doc_id, 'NG' as severity, facet, "check" from {DOC_CHECKS} d where result = 'FAIL' union all select doc_id, 'NG', 'Information Level', {LEVEL} from {FACTS} c where {BELOW}""")
 def v16_ng_items(spark, sf):
-    rows = counted(spark, sf)
-    return D.ng_items(D.document_checks(rows), rows.select("doc_id", "phase", D.loin_level(F.col("words"), F.col("words") % 8).alias("level")))
+    return D.ng_items(D.document_checks(facts(spark, sf)), levels(spark, sf))
+
+
+FIXED = "result = 'PASS' or fix in ('fix_title', 'fix_naming', 'fix_pset')"
 
 
-@query(f"select doc_id, count(*) as n_checks, count(*) filter (where result = 'PASS' or facet in ('title', 'naming')) as n_passed, cast(round_even(count(*) filter (where result = 'PASS' or facet in ('title', 'naming')) * 100.0e0 / count(*), 0) as bigint) as percent from {DOC_CHECKS} d group by 1")
+@query(f"select doc_id, count(*) as n_checks, count(*) filter (where {FIXED}) as n_passed, cast(round_even(count(*) filter (where {FIXED}) * 100.0e0 / count(*), 0) as bigint) as percent from {DOC_CHECKS} d group by 1")
 def v17_auto_fix(spark, sf):
-    return D.compliance(D.auto_fix(D.document_checks(counted(spark, sf)), ["title", "naming"]), ("PASS", "FIXED"))
+    return D.compliance(D.auto_fix(D.document_checks(facts(spark, sf)), ["fix_title", "fix_naming", "fix_pset"]), ("PASS", "FIXED"))
+
+
+HEADINGS = "lower(array_to_string(headings, ' '))"
 
 
-@query("""select doc_id, r.requirement from v_documents d join (values ('design', 'the'), ('design', 'scope'), ('construction', 'und'), ('operation', 'license')) r(phase, requirement) on r.phase = d.phase where not contains(lower(text), r.requirement)""")
+@query(f"""select doc_id, unnest(list_filter([case when len(string_split(split_part(filename, '.', 1), '-')) < 7 then 'naming' end, case when author = '' then 'author' end, case when not dated then 'created' end,
+      case when phase = 'design' and coalesce(title, '') = '' then 'title' end, case when phase = 'construction' and not contains({HEADINGS}, 'scope') then 'scope' end], lambda x: x is not null)) as warning from {FACTS} f
+    union all select doc_id, 'section ' || r.requirement from {FACTS} f join (values ('design', 'the'), ('construction', 'und'), ('operation', 'license')) r(phase, requirement) on r.phase = f.phase where not contains({HEADINGS}, r.requirement)""")
 def v18_document_standard_warnings(spark, sf):
-    required = spark.createDataFrame([("design", "the"), ("design", "scope"), ("construction", "und"), ("operation", "license")], "phase string, requirement string")
-    return D.missing_requirements(docs(spark, sf), required)
+    required = spark.createDataFrame([("design", "the"), ("construction", "und"), ("operation", "license")], "phase string, requirement string")
+    return D.standard_warnings(facts(spark, sf), required)
 
 
 @query("""select e.sheet, e.col as "column", case when not exists (select 1 from v_documents d where d.lang = e.sheet) then 'missing sheet' else 'missing column' end as problem
@@ -308,9 +349,9 @@ def x20_fill_headers(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.fill_headers(F.array(first, F.lit(""), F.col("lang"))), "|").alias("headers"))
 
 
-@query("select doc_id, length(text) as content_length, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) as n_words, contains(text, ' | ') as has_table from documents")
+@query(r"""select doc_id, cast(i as bigint) as idx, length(s) as content_length, len(regexp_extract_all(s, '[^ \t\n\r\f\v]+')) as n_words, contains(s, ' | ') as has_table from (select doc_id, u.i as i, u.s as s from (select doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: struct_pack(i := i - 1, s := x))) as u from documents) t) v where trim(s, ' ') <> ''""")
 def x21_section_features(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.char_length("text").cast("long").alias("content_length"), F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).cast("long").alias("n_words"), F.contains("text", F.lit(" | ")).alias("has_table"))
+    return X.section_features(table(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("sections"))).withColumn("idx", F.col("idx").cast("long"))
 
 
 # Events
