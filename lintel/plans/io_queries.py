@@ -15,66 +15,92 @@ from lintel.sources.scratch import scratch
 GUID = "substr(md5({}), 1, 22)"
 
 
+# Records of the model as STEP: element E is #100*ord+1, its properties #..10 to 13, their set #..2, relations #..3 to 5, materials from #..20 on; storeys, buildings, sites and
+# their relations count from 1, 2, 3 and 4 thousand million on. The kind of material goes by ord % 7.
+STOREYS = """(select storey, cast(substr(storey, 2) as bigint) as n, min(building) as building from (select storey, building from v_spatial union all select container, null from v_elements where container is not null) t group by 1, 2)"""
+PLACES = f"""(select 1000000000 + n as id, 'IFCBUILDINGSTOREY' as type, storey as place from {STOREYS} s union all select 2000000000 + cast(substr(building, 2) as bigint), 'IFCBUILDING', building from (select distinct building from v_spatial) b
+    union all select 3000000000 + cast(substr(site, 2) as bigint), 'IFCSITE', site from (select distinct site from v_spatial) c)"""
+PARTS = f"""(select 4000000000 + n as id, 2000000000 + cast(substr(building, 2) as bigint) as whole, 1000000000 + n as part, building as a, storey as b, 'IFCBUILDING' as ca, 'IFCBUILDINGSTOREY' as cb from {STOREYS} s where building is not null
+    union all select 5000000000 + cast(substr(building, 2) as bigint), 3000000000 + cast(substr(site, 2) as bigint), 2000000000 + cast(substr(building, 2) as bigint), site, building, 'IFCSITE', 'IFCBUILDING' from (select distinct site, building from v_spatial) t)"""
+KIND = "case ord % 7 when 0 then 'list' when 1 then 'layer' when 2 then 'layer usage' when 3 then 'profile' when 4 then 'profile usage' else 'single' end"
+HAS = "material is not null"
+# id, type and references (in order) of every record.
+STEP = f"""(select ord * 100 + 1 as id, upper(ifc_class) as type, [] as refs from v_elements
+    union all select (ord // 4) * 100 + 10 + ord % 4, 'IFCPROPERTYSINGLEVALUE', [] from v_properties union all select (ord // 4) * 100 + 2, 'IFCPROPERTYSET', list((ord // 4) * 100 + 10 + ord % 4 order by ord) from v_properties group by 1
+    union all select ord * 100 + 3, 'IFCRELDEFINESBYPROPERTIES', [ord * 100 + 1, ord * 100 + 2] from v_elements
+    union all select ord * 100 + 4, 'IFCRELCONTAINEDINSPATIALSTRUCTURE', [ord * 100 + 1, 1000000000 + cast(substr(container, 2) as bigint)] from v_elements where container is not null
+    union all select ord * 100 + 5, 'IFCRELASSOCIATESCLASSIFICATION', [ord * 100 + 1, ord * 100 + 6] from v_elements union all select ord * 100 + 6, 'IFCCLASSIFICATIONREFERENCE', [] from v_elements
+    union all select ord * 100 + 7, 'IFCRELASSOCIATESMATERIAL', [ord * 100 + 1, ord * 100 + case {KIND} when 'single' then 20 when 'list' then 21 when 'layer' then 23 when 'layer usage' then 24 when 'profile' then 26 else 27 end] from v_elements where {HAS}
+    union all select ord * 100 + 20, 'IFCMATERIAL', [] from v_elements where {HAS} union all select ord * 100 + 21, 'IFCMATERIALLIST', [ord * 100 + 20, ord * 100 + 20] from v_elements where {HAS} and {KIND} = 'list'
+    union all select ord * 100 + 22, 'IFCMATERIALLAYER', [ord * 100 + 20] from v_elements where {HAS} and {KIND} like 'layer%' union all select ord * 100 + 23, 'IFCMATERIALLAYERSET', [ord * 100 + 22] from v_elements where {HAS} and {KIND} like 'layer%'
+    union all select ord * 100 + 24, 'IFCMATERIALLAYERSETUSAGE', [ord * 100 + 23] from v_elements where {HAS} and {KIND} = 'layer usage'
+    union all select ord * 100 + 25, 'IFCMATERIALPROFILE', [ord * 100 + 20] from v_elements where {HAS} and {KIND} like 'profile%' union all select ord * 100 + 26, 'IFCMATERIALPROFILESET', [ord * 100 + 25] from v_elements where {HAS} and {KIND} like 'profile%'
+    union all select ord * 100 + 27, 'IFCMATERIALPROFILESETUSAGE', [ord * 100 + 26] from v_elements where {HAS} and {KIND} = 'profile usage'
+    union all select id, type, [] from {PLACES} p union all select id, 'IFCRELAGGREGATES', [whole, part] from {PARTS} a)"""
+
+
 def step_rows(spark, sf) -> DataFrame:
-    """file, value: STEP records of elements, one property, material, class and container each, and of storeys."""
-    e = view(spark, sf, "v_elements").join(view(spark, sf, "v_properties").where("prop = 'IsExternal'").select("global_id", "pset", "value"), "global_id")
-    at = F.col("ord") * 10
-    ref = lambda k: F.concat(F.lit("#"), (at + k).cast("string"))
-    guid = lambda tag: F.substring(F.md5(F.concat(F.lit(tag), F.col("global_id"))), 1, 22)
-    line = lambda k, *parts: F.concat(ref(k), F.lit("="), *[F.lit(p) if isinstance(p, str) else p for p in parts])
-    storey = F.concat(F.lit("#"), (F.lit(1_000_000_000) + F.substring("container", 2, 9).cast("long")).cast("string"))
+    """file, value: STEP records of elements, all their properties, materials of every kind, classes and containers, and of the spatial tree."""
+    e, p, tree = (view(spark, sf, v) for v in ("v_elements", "v_properties", "v_spatial"))
+    number = lambda c: F.substring(c, F.lit(2), F.length(c)).cast("long")
+    ref = lambda n: F.concat(F.lit("#"), n.cast("string"))
+    own = lambda k: ref(F.col("ord") * 100 + k)
+    guid = lambda tag, c: F.substring(F.md5(F.concat(F.lit(tag), c)), 1, 22)
+    line = lambda n, *parts: F.concat(ref(n) if not isinstance(n, int) else own(n), F.lit("="), *[F.lit(x) if isinstance(x, str) else x for x in parts])
+    rel = lambda k, kind, tag, b: line(k, f"{kind}('", guid(tag, F.col("global_id")), "',$,$,$,(", own(1), "),", b, ")")
+    kind, has = F.col("kind"), F.col("material").isNotNull()
+    kinds = F.when(F.col("ord") % 7 == 0, "list").when(F.col("ord") % 7 == 1, "layer").when(F.col("ord") % 7 == 2, "layer usage").when(F.col("ord") % 7 == 3, "profile").when(F.col("ord") % 7 == 4, "profile usage").otherwise("single")
+    at = F.when(kind == "single", own(20)).when(kind == "list", own(21)).when(kind == "layer", own(23)).when(kind == "layer usage", own(24)).when(kind == "profile", own(26)).otherwise(own(27))
     lines = [
-        line(1, F.upper("ifc_class"), "('", guid(""), "',$,'", F.col("name"), "',$,$)"),
-        line(2, "IFCPROPERTYSINGLEVALUE('IsExternal',$,IFCLABEL('", F.col("value"), "'),$)"),
-        line(3, "IFCPROPERTYSET('", guid("p"), "',$,'", F.col("pset"), "',$,(", ref(2), "))"),
-        line(4, "IFCRELDEFINESBYPROPERTIES('", guid("d"), "',$,$,$,(", ref(1), "),", ref(3), ")"),
-        F.when(F.col("material").isNotNull(), line(5, "IFCMATERIAL('", F.col("material"), "')")),
-        F.when(F.col("material").isNotNull(), line(6, "IFCRELASSOCIATESMATERIAL('", guid("m"), "',$,$,$,(", ref(1), "),", ref(5), ")")),
-        F.when(F.col("container").isNotNull(), line(7, "IFCRELCONTAINEDINSPATIALSTRUCTURE('", guid("c"), "',$,$,$,(", ref(1), "),", storey, ")")),
-        line(8, "IFCCLASSIFICATIONREFERENCE($,'", F.col("ifc_class"), "','code',$)"),
-        line(9, "IFCRELASSOCIATESCLASSIFICATION('", guid("k"), "',$,$,$,(", ref(1), "),", ref(8), ")"),
-    ]
-    own = e.select(F.lit("model").alias("file"), F.explode(F.array_compact(F.array(*lines))).alias("value"))
-    storeys = e.where("container is not null").select("container").distinct()
-    made = storeys.select(F.lit("model").alias("file"), F.concat(storey, F.lit("=IFCBUILDINGSTOREY('"), F.substring(F.md5("container"), 1, 22), F.lit("',$,'"), F.col("container"), F.lit("',$,$)")).alias("value"))
-    return own.unionByName(made)
+        line(1, F.upper("ifc_class"), "('", guid("", F.col("global_id")), "',$,'", F.col("name"), "',$,$)"), rel(3, "IFCRELDEFINESBYPROPERTIES", "d", own(2)),
+        F.when(F.col("container").isNotNull(), rel(4, "IFCRELCONTAINEDINSPATIALSTRUCTURE", "c", ref(number("container") + 1_000_000_000))),
+        rel(5, "IFCRELASSOCIATESCLASSIFICATION", "k", own(6)), line(6, "IFCCLASSIFICATIONREFERENCE($,'", F.col("ifc_class"), "','code',$)"),
+        F.when(has, rel(7, "IFCRELASSOCIATESMATERIAL", "m", at)), F.when(has, line(20, "IFCMATERIAL('", F.col("material"), "')")), F.when(has & (kind == "list"), line(21, "IFCMATERIALLIST((", own(20), ",", own(20), "))")),
+        F.when(has & kind.startswith("layer"), line(22, "IFCMATERIALLAYER(", own(20), ",0.25,$,$,$,$,$)")), F.when(has & kind.startswith("layer"), line(23, "IFCMATERIALLAYERSET((", own(22), "),$,$)")), F.when(has & (kind == "layer usage"), line(24, "IFCMATERIALLAYERSETUSAGE(", own(23), ",.AXIS2.,.POSITIVE.,0.,$)")),
+        F.when(has & kind.startswith("profile"), line(25, "IFCMATERIALPROFILE('it''s (a, b)',$,", own(20), ",$,$,$)")), F.when(has & kind.startswith("profile"), line(26, "IFCMATERIALPROFILESET('s',$,(", own(25), "),$)")), F.when(has & (kind == "profile usage"), line(27, "IFCMATERIALPROFILESETUSAGE(", own(26), ",$,$)")),
+    ]
+    rows = e.withColumn("kind", kinds).select(F.explode(F.array_compact(F.array(*lines))).alias("value"))
+    element, single = F.floor(F.col("ord") / 4), F.floor(F.col("ord") / 4) * 100 + 10 + F.col("ord") % 4
+    value = F.coalesce(F.concat(F.lit("IFCLABEL('"), F.col("value"), F.lit("')")), F.lit("$"))
+    rows = rows.unionByName(p.select(line(single, "IFCPROPERTYSINGLEVALUE('", F.col("prop"), "',$,", value, ",$)").alias("value")))
+    sets = p.groupBy(element.alias("n"), "global_id", "pset").agg(F.array_join(F.transform(F.array_sort(F.collect_list(single)), ref), ",").alias("refs"))
+    rows = rows.unionByName(sets.select(line(F.col("n") * 100 + 2, "IFCPROPERTYSET('", guid("p", F.col("global_id")), "',$,'", F.col("pset"), "',$,(", F.col("refs"), "))").alias("value")))
+    storeys = tree.select("storey", "building").unionByName(e.where("container is not null").select(F.col("container").alias("storey"), F.lit(None).cast("string").alias("building"))).groupBy("storey").agg(F.min("building").alias("building"))
+    place = lambda df, c, base, kind: df.select(line(number(c) + base, f"{kind}('", guid("", F.col(c)), "',$,'", F.col(c), "',$,$)").alias("value")).distinct()
+    part = lambda df, n, a, abase, b, bbase: df.select(line(number(b) + n, "IFCRELAGGREGATES('", guid("a", F.col(b)), "',$,$,$,", ref(number(a) + abase), ",(", ref(number(b) + bbase), "))").alias("value")).distinct()
+    one, two, three = 1_000_000_000, 2_000_000_000, 3_000_000_000
+    for more in (place(storeys, "storey", one, "IFCBUILDINGSTOREY"), place(tree, "building", two, "IFCBUILDING"), place(tree, "site", three, "IFCSITE"), part(storeys.where("building is not null"), 4 * one, "building", two, "storey", one), part(tree, 5 * one, "site", three, "building", two)):
+        rows = rows.unionByName(more)
+    return rows.select(F.lit("model").alias("file"), "value")
 
 
 def records(spark, sf):
     return step.parse_records(step_rows(spark, sf))
 
 
-@query("""select 'model' as file, type, n, row_number() over (order by n desc, type) as rank, cast(sum(n) over () as bigint) as total, count(*) over () as n_types from (
-    select upper(ifc_class) as type, count(*) as n from v_elements group by 1
-    union all select t, count(*) from v_elements, (values ('IFCPROPERTYSINGLEVALUE'), ('IFCPROPERTYSET'), ('IFCRELDEFINESBYPROPERTIES'), ('IFCCLASSIFICATIONREFERENCE'), ('IFCRELASSOCIATESCLASSIFICATION')) x(t) group by 1
-    union all select t, count(*) from v_elements, (values ('IFCMATERIAL'), ('IFCRELASSOCIATESMATERIAL')) x(t) where material is not null group by 1
-    union all select 'IFCRELCONTAINEDINSPATIALSTRUCTURE', count(*) from v_elements where container is not null
-    union all select 'IFCBUILDINGSTOREY', count(distinct container) from v_elements) t""")
+@query(f"""select 'model' as file, type, n, row_number() over (order by n desc, type) as rank, cast(sum(n) over () as bigint) as total, count(*) over () as n_types from (select type, count(*) as n from {STEP} s group by 1) t qualify rank <= 30""")
 def p1_step_census(spark, sf):
     return step.census(records(spark, sf))
 
 
-@query("""select count(*) as n_edges, cast(sum(case when target < 1000000000 then target - source else 0 end) as bigint) as spread from (
-    select ord * 10 + 3 as source, ord * 10 + 2 as target from v_elements union all select ord * 10 + 4, ord * 10 + 1 from v_elements union all select ord * 10 + 4, ord * 10 + 3 from v_elements
-    union all select ord * 10 + 9, ord * 10 + 1 from v_elements union all select ord * 10 + 9, ord * 10 + 8 from v_elements
-    union all select ord * 10 + 6, ord * 10 + 1 from v_elements where material is not null union all select ord * 10 + 6, ord * 10 + 5 from v_elements where material is not null
-    union all select ord * 10 + 7, ord * 10 + 1 from v_elements where container is not null union all select ord * 10 + 7, 1000000000 from v_elements where container is not null) t""")
+@query(f"select id as source, u.r as target, cast(u.i as int) as pos from (select id, unnest(list_transform(refs, lambda x, i: struct_pack(i := i - 1, r := x))) as u from {STEP} s) t")
 def p2_step_reference_edges(spark, sf):
-    found = step.reference_edges(records(spark, sf))
-    return found.agg(F.count("*").alias("n_edges"), F.sum(F.when(F.col("target") < 1_000_000_000, F.col("target") - F.col("source")).otherwise(0)).alias("spread"))
+    return step.reference_edges(records(spark, sf)).select("source", "target", "pos")
 
 
-@query(f"select 'model' as file, 'contained_in' as type, {GUID.format('global_id')} as source, {GUID.format('container')} as target, upper(ifc_class) as source_class, 'IFCBUILDINGSTOREY' as target_class from v_elements where container is not null")
+@query(f"""select 'model' as file, 'contained_in' as type, {GUID.format('global_id')} as source, {GUID.format('container')} as target, upper(ifc_class) as source_class, 'IFCBUILDINGSTOREY' as target_class from v_elements where container is not null
+    union all select 'model', 'aggregated_by', {GUID.format('b')}, {GUID.format('a')}, cb, ca from {PARTS} p""")
 def p3_extract_relationships(spark, sf):
     return step.relationships(records(spark, sf))
 
 
-@query(f"select 'model' as file, {GUID.format('global_id')} as global_id, pset, prop, value, false as is_quantity from v_properties where prop = 'IsExternal'")
+@query(f"select 'model' as file, {GUID.format('global_id')} as global_id, pset, prop, value, false as is_quantity from v_properties")
 def p4_extract_properties(spark, sf):
     return step.properties(records(spark, sf))
 
 
-@query(f"select 'model' as file, {GUID.format('global_id')} as global_id, 'single' as kind, material, cast(null as double) as thickness from v_elements where material is not null")
+@query(f"""select 'model' as file, {GUID.format('global_id')} as global_id, split_part({KIND}, ' ', 1) as kind, material, case when {KIND} like 'layer%' then 0.25e0 end as thickness from v_elements where {HAS}
+    union all select 'model', {GUID.format('global_id')}, 'list', material, null from v_elements where {HAS} and {KIND} = 'list'""")
 def p5_extract_materials(spark, sf):
     return step.materials(records(spark, sf))
 
@@ -84,16 +110,20 @@ def p6_extract_classifications(spark, sf):
     return step.classifications(records(spark, sf))
 
 
-@query("select string_agg(concat_ws(' ', ifc_class, name, material), chr(10) order by ord) as text from (select * from v_elements order by ord limit 100) t")
+@query("""select row_number() over (order by part, place, depth) - 1 as line, text from (
+    select distinct 0 as part, site as place, 0 as depth, 'Site: ' || site_name as text from v_spatial union all select distinct 0, site || '/' || building, 1, '  Building: ' || building from v_spatial
+    union all select distinct 0, site || '/' || building || '/' || storey, 2, '    Storey: ' || storey || ' (Elevation: ' || coalesce(cast(elevation as string), 'N/A') || ')' from v_spatial
+    union all select 1, lpad(cast(e.ord as string), 20, '0'), 0, concat_ws(chr(10), ifc_class || ': ' || coalesce(name, 'Unnamed'), p.t, '  Material: ' || material) from (select * from v_elements order by ord limit 100) e
+      left join (select global_id, string_agg('  ' || pset || '.' || prop || ': ' || coalesce(value, 'None'), chr(10) order by ord) as t from v_properties group by 1) p on p.global_id = e.global_id) t""")
 def p10_model_text(spark, sf):
-    return step.model_text(view(spark, sf, "v_elements"))
+    return step.model_text(view(spark, sf, "v_elements"), view(spark, sf, "v_properties"), view(spark, sf, "v_spatial"))
 
 
-@query()
+@query(f"select id, type, len(list_distinct(refs)) > 0 as refers from {STEP} s")
 def s2_read_step(spark, sf):
     path = scratch(spark, "step")
     step_rows(spark, sf).select(F.concat("value", F.lit(";")).alias("value")).write.text(path)
-    return step.read_step(spark, path).select("id", "type", F.size("args").alias("n_args"))
+    return step.read_step(spark, path).select("id", "type", F.exists("args", lambda x: F.contains(x, F.lit("#"))).alias("refers"))
 
 
 @query("select doc_id, length(text) as n_chars from v_documents where status = 'completed' and trim(text) <> ''")

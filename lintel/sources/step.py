@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lintel.operators.ranks import dense_index
+
 #: The text between two records' ends, quotes respected: a record ends at a ';' outside quotes.
 RECORD = r"(?s)#(\d+)\s*=\s*(\w+)\s*\((.*)\)\s*$"
 # Relation types, and at which places their related and relating ends stand.
@@ -19,25 +23,28 @@ def split_args():
 
     @F.pandas_udf("array<string>")
     def split(args):
-        def one(text):
-            out, depth, quoted, now = [], 0, False, []
-            for c in text or "":
-                if c == "'":
-                    quoted = not quoted
-                elif not quoted and c in "()":
-                    depth += 1 if c == "(" else -1
-                elif not quoted and c == "," and depth == 0:
-                    out.append("".join(now).strip())
-                    now = []
-                    continue
-                now.append(c)
-            return [*out, "".join(now).strip()]
-
-        return args.map(one)
+        return args.map(top_level)
 
     return split
 
 
+def top_level(text: str | None) -> list[str]:
+    cuts, depth = [-1], 0
+    for m in TOKEN.finditer(text or ""):
+        c = m[0]
+        if c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "," and depth == 0:
+            cuts.append(m.start())
+    return [text[a + 1 : b].strip() for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)] if text else [""]
+
+
+#: A quoted text as a whole (quotes in it are doubled), or a bracket or comma; anything else is skipped at once.
+TOKEN = re.compile(r"'(?:[^']|'')*'|[(),]")
+
+
 def read_step(spark: SparkSession, path: str) -> DataFrame:
     """file, id, type, args (array) of every record of the STEP files under a path.
 
@@ -108,7 +115,8 @@ def properties(records: DataFrame) -> DataFrame:
     of = lambda kind: records.where(F.col("type") == kind)
     rel = of("IFCRELDEFINESBYPROPERTIES").select("file", F.explode(_refs(F.get("args", 4))).alias("element"), F.get(_refs(F.get("args", 5)), 0).alias("set"))
     sets = of("IFCPROPERTYSET").unionByName(of("IFCELEMENTQUANTITY")).select("file", F.col("id").alias("set"), text_of(F.get("args", 2)).alias("pset"), F.explode(_refs(F.element_at("args", -1))).alias("p"))
-    value = F.regexp_extract(F.get("args", 2), r"(?s)^\w+\(\s*'?(.*?)'?\s*\)$", 1)
+    given = F.get("args", 2)
+    value = F.when(~given.isin("$", "*"), F.regexp_extract(given, r"(?s)^\w+\(\s*'?(.*?)'?\s*\)$", 1))
     single = of("IFCPROPERTYSINGLEVALUE").select("file", F.col("id").alias("p"), text_of(F.get("args", 0)).alias("prop"), value.alias("value"))
     quantity = records.where(F.col("type").startswith("IFCQUANTITY")).select("file", F.col("id").alias("p"), text_of(F.get("args", 0)).alias("prop"), F.get("args", 3).alias("value"))
     owner = objects(records).select("file", F.col("id").alias("element"), "global_id")
@@ -117,18 +125,25 @@ def properties(records: DataFrame) -> DataFrame:
 
 
 def materials(records: DataFrame) -> DataFrame:
-    """file, global_id, kind, material, thickness: single, listed and layered materials."""
+    """file, global_id, kind, material, thickness: single, listed, layered and profile materials, the last two also through their usages."""
     of = lambda kind: records.where(F.col("type") == kind)
-    name = F.coalesce(text_of(F.get("args", 0)), F.lit("Unknown"))
-    rel = of("IFCRELASSOCIATESMATERIAL").select("file", F.explode(_refs(F.get("args", 4))).alias("element"), F.get(_refs(F.get("args", 5)), 0).alias("m"))
-    base = of("IFCMATERIAL").select("file", F.col("id").alias("x"), name.alias("material"))
+    one = lambda k: F.get(_refs(F.get("args", k)), 0)
+    rel = of("IFCRELASSOCIATESMATERIAL").select("file", F.explode(_refs(F.get("args", 4))).alias("element"), one(5).alias("m"))
+    base = of("IFCMATERIAL").select("file", F.col("id").alias("x"), F.coalesce(text_of(F.get("args", 0)), F.lit("Unknown")).alias("material"))
+    columns = lambda df, kind, thickness: df.select("file", "m", F.lit(kind).alias("kind"), F.coalesce("material", F.lit("Unknown")).alias("material"), thickness.alias("thickness"))
     none = F.lit(None).cast("double")
-    single = base.select("file", F.col("x").alias("m"), F.lit("single").alias("kind"), "material", none.alias("thickness"))
-    listed = of("IFCMATERIALLIST").select("file", F.col("id").alias("m"), F.explode(_refs(F.get("args", 0))).alias("x")).join(base, ["file", "x"]).select("file", "m", F.lit("list").alias("kind"), "material", none.alias("thickness"))
-    layers = of("IFCMATERIALLAYER").select("file", F.col("id").alias("layer"), F.get(_refs(F.get("args", 0)), 0).alias("x"), F.get("args", 1).try_cast("double").alias("thickness")).join(base, ["file", "x"], "left")
-    layered = of("IFCMATERIALLAYERSET").select("file", F.col("id").alias("m"), F.explode(_refs(F.get("args", 0))).alias("layer")).join(layers, ["file", "layer"]).select("file", "m", F.lit("layer").alias("kind"), F.coalesce("material", F.lit("Unknown")).alias("material"), "thickness")
+    single = columns(base.withColumnRenamed("x", "m"), "single", none)
+    listed = columns(of("IFCMATERIALLIST").select("file", F.col("id").alias("m"), F.explode(_refs(F.get("args", 0))).alias("x")).join(base, ["file", "x"]), "list", none)
+    layers = of("IFCMATERIALLAYER").select("file", F.col("id").alias("part"), one(0).alias("x"), F.get("args", 1).try_cast("double").alias("t"))
+    profiles = of("IFCMATERIALPROFILE").select("file", F.col("id").alias("part"), one(2).alias("x"), none.alias("t"))
+    sets = of("IFCMATERIALLAYERSET").select("file", F.col("id").alias("m"), F.explode(_refs(F.get("args", 0))).alias("part"), F.lit("layer").alias("k"))
+    sets = sets.unionByName(of("IFCMATERIALPROFILESET").select("file", F.col("id").alias("m"), F.explode(_refs(F.get("args", 2))).alias("part"), F.lit("profile").alias("k")))
+    made = sets.join(layers.unionByName(profiles), ["file", "part"]).join(base, ["file", "x"], "left").select("file", "m", F.col("k").alias("kind"), F.coalesce("material", F.lit("Unknown")).alias("material"), F.col("t").alias("thickness"))
+    usages = records.where(F.col("type").isin("IFCMATERIALLAYERSETUSAGE", "IFCMATERIALPROFILESETUSAGE")).select("file", F.col("id").alias("usage"), one(0).alias("m"))
+    used = made.join(usages, ["file", "m"]).drop("m").withColumnRenamed("usage", "m")
     owner = objects(records).select("file", F.col("id").alias("element"), "global_id")
-    return rel.join(single.unionByName(listed).unionByName(layered), ["file", "m"]).join(owner, ["file", "element"]).select("file", "global_id", "kind", "material", "thickness")
+    every = single.unionByName(listed).unionByName(made).unionByName(used)
+    return rel.join(every, ["file", "m"]).join(owner, ["file", "element"]).select("file", "global_id", "kind", "material", "thickness")
 
 
 def classifications(records: DataFrame) -> DataFrame:
@@ -141,7 +156,20 @@ def classifications(records: DataFrame) -> DataFrame:
     return rel.join(ref, ["file", "ref"]).join(system, ["file", "s"], "left").join(owner, ["file", "element"]).select("file", "global_id", "system", "code", "name")
 
 
-def model_text(elements: DataFrame, first: int = 100) -> DataFrame:
-    """One text: a line for each of the first elements in order."""
-    rows = elements.orderBy("ord").limit(first)
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(" ", "ifc_class", "name", "material").alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+def model_text(elements: DataFrame, properties: DataFrame, spatial: DataFrame, first: int = 100) -> DataFrame:
+    """line, text: the spatial tree (sites, buildings, storeys with elevations), then the first elements in order with properties and materials.
+
+    A text has as many lines as a model has places, so lines are rows in the order of `line`; elements: global_id, ifc_class, name, material, ord; properties:
+    global_id, pset, prop, value, ord; spatial: site, site_name, building, storey, elevation.
+    """
+    site, building = F.coalesce("site_name", "site"), F.concat_ws("/", "site", "building")
+    place = lambda df, depth, key, text: df.select(F.lit(0).alias("part"), key.alias("place"), F.lit(depth).alias("depth"), text.alias("text")).distinct()
+    tree = place(spatial, 0, F.col("site"), F.concat(F.lit("Site: "), site)).unionByName(place(spatial, 1, building, F.concat(F.lit("  Building: "), F.col("building"))))
+    tree = tree.unionByName(place(spatial, 2, F.concat_ws("/", building, "storey"), F.concat(F.lit("    Storey: "), F.col("storey"), F.lit(" (Elevation: "), F.coalesce(F.col("elevation").cast("string"), F.lit("N/A")), F.lit(")"))))
+    some = elements.orderBy("ord").limit(first)
+    listed = properties.join(F.broadcast(some.select("global_id")), "global_id").groupBy("global_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("  "), F.col("pset"), F.lit("."), F.col("prop"), F.lit(": "), F.coalesce("value", F.lit("None"))).alias("t")))).alias("p"))
+    head = F.concat(F.col("ifc_class"), F.lit(": "), F.coalesce("name", F.lit("Unnamed")))
+    lines = F.concat(F.array(head), F.coalesce(F.transform("p", lambda x: x["t"]), F.array().cast("array<string>")), F.array_compact(F.array(F.concat(F.lit("  Material: "), F.col("material")))))
+    own = some.join(listed, "global_id", "left").select(F.lit(1).alias("part"), F.lpad(F.col("ord").cast("string"), 20, "0").alias("place"), F.lit(0).alias("depth"), F.array_join(lines, "\n").alias("text"))
+    rows = dense_index(tree.unionByName(own), [F.col("part"), F.col("place"), F.col("depth")], "line")
+    return rows.select("line", "text")
