@@ -6,10 +6,10 @@ which adaptive execution can split; `star_edges` is the linear alternative for c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.functions.values import escaped, literal_type
+from lintel.functions.values import encode_fire_rating, escaped, literal_type
 from lintel.operators.ranks import dense_index
 
 
@@ -22,18 +22,37 @@ def property_graph_nodes(elements: DataFrame, properties: DataFrame) -> DataFram
     rows = own.unionByName(sets).unionByName(props)
     for part in shared:
         rows = rows.unionByName(part)
-    best = rows.groupBy("id").agg(F.min_by(F.struct("node_type", "label"), "ord").alias("best"))
+    return union_nodes(rows.withColumn("ord", F.abs("ord")))
+
+
+#: Kinds of nodes of which the last writer wins; of all others the first.
+LAST_WINS = ("element", "property")
+
+
+def union_nodes(rows: DataFrame) -> DataFrame:
+    """id, node_type, label, each id once: the last writer of elements and properties, the first of all others. rows: also ord, the order of writing."""
+    node = F.struct("node_type", "label")
+    best = rows.groupBy("id").agg(F.min_by(node, F.struct("ord", "node_type", "label")).alias("first"), F.max_by(node, F.struct("ord", "node_type", "label")).alias("last"))
+    best = best.select("id", F.when(F.col("first.node_type").isin(*LAST_WINS), F.col("last")).otherwise(F.col("first")).alias("best"))
     return best.select("id", "best.node_type", "best.label")
 
 
-def property_graph_edges(elements: DataFrame, properties: DataFrame) -> DataFrame:
-    """src, dst, edge_type, one per pair of nodes; the last type wins."""
+def union_edges(rows: DataFrame) -> DataFrame:
+    """src, dst, edge_type, each pair of nodes once: the last type wins, of several at once the greatest. rows: also seq, the order of writing."""
+    return rows.groupBy("src", "dst").agg(F.max_by("edge_type", F.struct("seq", "edge_type")).alias("edge_type"))
+
+
+def property_graph_edges(elements: DataFrame, properties: DataFrame, same_storey: bool = False) -> DataFrame:
+    """src, dst, edge_type, one per pair of nodes; the last type wins. With `same_storey` also all pairs of elements in one container, the
+    earlier first: they grow with the square of a container, and star_edges connects the same with one edge an element."""
     sets = properties.select(F.col("global_id").alias("src"), F.concat_ws("/", "global_id", "pset").alias("dst"), F.lit("HAS_PSET").alias("edge_type"), F.lit(0).alias("seq"))
     props = properties.select(F.concat_ws("/", "global_id", "pset").alias("src"), F.concat_ws("/", "global_id", "pset", "prop").alias("dst"), F.lit("HAS_PROPERTY").alias("edge_type"), F.lit(1).alias("seq"))
     rows = sets.unionByName(props)
     for k, (c, kind, name) in enumerate((("ifc_class", "class", "CLASSIFIED_AS"), ("material", "material", "HAS_MATERIAL"), ("container", "spatial", "CONTAINED_IN"))):
         rows = rows.unionByName(elements.where(F.col(c).isNotNull()).select(F.col("global_id").alias("src"), F.concat(F.lit(f"{kind}:"), F.col(c)).alias("dst"), F.lit(name).alias("edge_type"), F.lit(2 + k).alias("seq")))
-    return rows.groupBy("src", "dst").agg(F.max_by("edge_type", "seq").alias("edge_type"))
+    if same_storey:
+        rows = rows.unionByName(pairs_sharing(elements, "container").select("src", "dst", F.lit("SAME_STOREY").alias("edge_type"), F.lit(5).alias("seq")))
+    return union_edges(rows)
 
 
 def pairs_sharing(elements: DataFrame, key: str) -> DataFrame:
@@ -74,23 +93,44 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
 
 
-def gnn_nodes(elements: DataFrame, spatial: DataFrame) -> DataFrame:
-    """id, node_type, label of elements, storeys, buildings, sites, materials and classes, each once."""
-    part = lambda df, c, kind, label: df.select(c.alias("id"), F.lit(kind).alias("node_type"), label.alias("label"))
-    rows = part(elements, F.col("global_id"), "element", F.col("ifc_class"))
+# Labels of classes.
+CLASS_LABELS = {"IfcWall": 0, "IfcWallStandardCase": 0, "IfcDoor": 1, "IfcWindow": 2, "IfcSlab": 3, "IfcRoof": 4, "IfcBeam": 5, "IfcColumn": 6, "IfcStair": 7, "IfcRailing": 8, "IfcSpace": 9, "IfcCovering": 10, "IfcCurtainWall": 11}
+
+
+def gnn_nodes(elements: DataFrame, properties: DataFrame, spatial: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, node_type, label, features of elements, spaces, storeys, buildings, sites, materials and classifications, each once.
+
+    features of elements: coded class (-1 if unknown), is external, bears load, hours of fire rating, x, y, z, each 0 where nothing is said; of storeys
+    the elevation. classes: ifc_class, uniclass.
+    """
+    none = F.array().cast("array<double>")
+    part = lambda df, c, kind, label, features=none: df.select(c.alias("id"), F.lit(kind).alias("node_type"), label.alias("label"), features.alias("features"))
+    code = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in CLASS_LABELS.items() for x in (F.lit(k), F.lit(v))]), F.col("ifc_class")), F.lit(-1)).cast("double")
+    value = lambda prop: F.max(F.when(F.col("prop") == prop, F.col("value")))
+    said = properties.where(F.contains("pset", F.lit("Common"))).groupBy("global_id").agg(value("IsExternal").alias("external"), value("LoadBearing").alias("bears"), value("FireRating").alias("fire"))
+    true = lambda c: F.when(F.lower(c).isin("true", "yes", "1"), 1.0).otherwise(0.0)
+    place = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("x", "y", "z")]
+    fire = encode_fire_rating(F.col("fire")).cast("double")
+    own = elements.join(said, "global_id", "left")
+    rows = part(own, F.col("global_id"), "element", F.col("ifc_class"), F.array(code, true("external"), true("bears"), fire, *place)).withColumn("node_type", F.when(F.col("label") == "IfcSpace", "space").otherwise(F.col("node_type")))
     for c, label in (("storey", "IfcBuildingStorey"), ("building", "IfcBuilding"), ("site", "IfcSite")):
-        rows = rows.unionByName(part(spatial, F.col(c), c, F.lit(label)))
+        rows = rows.unionByName(part(spatial, F.col(c), c, F.lit(label), F.array(F.coalesce(F.col("elevation").cast("double"), F.lit(0.0))) if c == "storey" else none))
     rows = rows.unionByName(part(elements.where("material is not null"), F.concat(F.lit("M:"), F.col("material")), "material", F.lit("IfcMaterial")))
-    return rows.groupBy("id", "node_type").agg(F.max("label").alias("label"))
+    coded = elements.select("ifc_class").distinct().join(classes.where("uniclass is not null"), "ifc_class")
+    rows = rows.unionByName(part(coded, F.concat(F.lit("C:"), F.col("uniclass")), "classification", F.lit("Uniclass2015")))
+    best = rows.groupBy("id", "node_type").agg(F.max(F.struct("label", "features")).alias("n"))
+    return best.select("id", "node_type", "n.label", "n.features")
 
 
-def gnn_edges(elements: DataFrame, spatial: DataFrame) -> DataFrame:
-    """src, dst, edge_type: containment both ways down the spatial tree, and materials; each once."""
+def gnn_edges(elements: DataFrame, spatial: DataFrame, relationships: DataFrame, classes: DataFrame) -> DataFrame:
+    """src, dst, edge_type: containment both ways down the spatial tree, materials, classifications, and connections both ways; each once."""
     down = spatial.select(F.inline(F.array(F.struct(F.col("site").alias("a"), F.col("building").alias("b")), F.struct(F.col("building").alias("a"), F.col("storey").alias("b")))))
     down = down.unionByName(elements.where("container is not null").select(F.col("container").alias("a"), F.col("global_id").alias("b")))
-    both = down.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("CONTAINS").alias("edge_type")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.lit("CONTAINED_IN").alias("edge_type")))))
+    both = lambda df, there, back: df.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(there).alias("edge_type")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.lit(back).alias("edge_type")))))
     made = elements.where("material is not null").select(F.col("global_id").alias("src"), F.concat(F.lit("M:"), F.col("material")).alias("dst"), F.lit("HAS_MATERIAL").alias("edge_type"))
-    return both.unionByName(made).distinct()
+    coded = elements.join(classes.where("uniclass is not null"), "ifc_class").select(F.col("global_id").alias("src"), F.concat(F.lit("C:"), F.col("uniclass")).alias("dst"), F.lit("HAS_CLASSIFICATION").alias("edge_type"))
+    joined = relationships.where("type = 'connected_to'").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return both(down, "CONTAINS", "CONTAINED_IN").unionByName(made).unionByName(coded).unionByName(both(joined, "CONNECTS_TO", "CONNECTS_TO")).distinct()
 
 
 def node_index(nodes: DataFrame, order: str) -> DataFrame:
@@ -128,22 +168,54 @@ def subgraph(nodes: DataFrame, edges: DataFrame, types: list[str], label: str |
     return edges.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(kept.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "edge_type")
 
 
-def triples(elements: DataFrame, properties: DataFrame, spatial: DataFrame) -> DataFrame:
-    """subject, predicate, object, object_type, datatype: types, names, containment, materials, properties and the spatial tree. Shared nodes once."""
-    row = lambda s, p, o, kind="uri", datatype=None: F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.cast("string").alias("object"), F.lit(kind).alias("object_type"), (datatype if datatype is not None else F.lit(None).cast("string")).alias("datatype"))
+# Prefixes of names, and classes of the building topology and element vocabularies.
+PREFIXES = {
+    "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "xsd": "http://www.w3.org/2001/XMLSchema#", "bot": "https://w3id.org/bot#", "beo": "https://pi.pauwel.be/voc/buildingelement#",
+    "props": "http://lbd.arch.rwth-aachen.de/props#", "foaf": "http://xmlns.com/foaf/0.1/", "ifc": "https://standards.buildingsmart.org/IFC/DEV/IFC4/ADD2/OWL#", "inst": "https://example.org/inst/", "mat": "https://example.org/material/", "class": "https://example.org/class/",
+}
+TOPOLOGY = {"IfcSpace": "bot:Space", "IfcWall": "beo:Wall", "IfcDoor": "beo:Door", "IfcWindow": "beo:Window", "IfcSlab": "beo:Slab", "IfcRoof": "beo:Roof", "IfcBeam": "beo:Beam"}
+
+
+def triples(elements: DataFrame, properties: DataFrame, spatial: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """subject, predicate, object, object_type, datatype, each once: the project and its sites, buildings, storeys and spaces, elements with classes, labels, places,
+    property sets, materials and classifications, and documents. classes: ifc_class, uniclass; documents: doc_id, filename, phase.
+    """
+    row = lambda s, p, o, kind="uri", datatype=None: F.struct(s.alias("subject"), (F.lit(p) if isinstance(p, str) else p).alias("predicate"), o.cast("string").alias("object"), F.lit(kind).alias("object_type"), (datatype if datatype is not None else F.lit(None).cast("string")).alias("datatype"))
     uri = lambda c: F.concat(F.lit("inst:"), F.col(c))
-    own = elements.select(F.inline(F.array(row(uri("global_id"), "rdf:type", F.concat(F.lit("ifc:"), F.col("ifc_class"))), row(uri("global_id"), "rdfs:label", F.col("name"), "literal"), row(uri("global_id"), "bot:containedIn", uri("container")), row(uri("global_id"), "ifc:hasMaterial", F.concat(F.lit("mat:"), F.col("material"))))))
-    props = properties.select(F.inline(F.array(row(uri("global_id"), "prop", F.concat_ws(".", "pset", "prop"), "literal"), row(F.concat_ws("/", uri("global_id"), F.col("pset"), F.col("prop")), "value", F.col("value"), "typed_literal", literal_type(F.col("value"))))))
-    tree = spatial.select(F.inline(F.array(row(uri("building"), "bot:hasStorey", uri("storey")), row(uri("site"), "bot:hasBuilding", uri("building")))))
-    materials = elements.where("material is not null").select("material").distinct().select(F.inline(F.array(row(F.concat(F.lit("mat:"), F.col("material")), "rdf:type", F.lit("ifc:IfcMaterial")))))
-    return own.unionByName(props).unionByName(tree).unionByName(materials).where("object is not null").distinct()
+    rows = lambda df, *made: df.select(F.inline(F.array(*made)))
+    named = lambda s, kinds, c, label: [row(s, "rdf:type", F.lit(k)) for k in kinds] + [row(s, "ifc:globalId_IfcRoot", F.col(c), "literal"), row(s, "rdfs:label", label, "literal")]
+    e, project, mat, cls = uri("global_id"), F.lit("inst:project"), F.concat(F.lit("mat:"), F.col("material")), F.concat(F.lit("class:"), F.col("uniclass"))
+    topology = F.try_element_at(F.create_map(*[x for k, v in TOPOLOGY.items() for x in (F.lit(k), F.lit(v))]), F.col("ifc_class"))
+    space = F.when(F.col("ifc_class") == "IfcSpace", "bot:hasSpace").otherwise("bot:containsElement")
+    out = rows(elements, *named(e, [], "global_id", F.col("name")), row(e, "rdf:type", F.concat(F.lit("ifc:"), F.col("ifc_class"))), row(e, "rdf:type", topology), row(e, "bot:containedIn", uri("container")), row(uri("container"), space, e), row(e, "ifc:hasMaterial", mat))
+    tree = rows(
+        spatial, row(project, "rdf:type", F.lit("ifc:IfcProject")), row(project, "bot:hasSite", uri("site")), *named(uri("site"), ["bot:Site", "ifc:IfcSite"], "site", F.col("site_name")), *named(uri("building"), ["bot:Building", "ifc:IfcBuilding"], "building", F.col("building")),
+        *named(uri("storey"), ["bot:Storey", "ifc:IfcBuildingStorey"], "storey", F.col("storey")), row(uri("storey"), "props:elevation", F.col("elevation"), "typed_literal", F.lit("xsd:double")), row(uri("building"), "bot:hasStorey", uri("storey")), row(uri("site"), "bot:hasBuilding", uri("building")),
+    )
+    pset = F.concat_ws("/", e, F.col("pset"))
+    name = F.concat(F.lit("props:"), F.replace("prop", F.lit(" "), F.lit("_")))
+    sets = rows(properties, row(pset, "rdf:type", F.lit("ifc:IfcPropertySet")), row(pset, "rdfs:label", F.col("pset"), "literal"), row(e, "ifc:hasPropertySet", pset), row(pset, name, F.col("value"), "typed_literal", literal_type(F.col("value"))))
+    materials = rows(elements.where("material is not null"), row(mat, "rdf:type", F.lit("ifc:IfcMaterial")), row(mat, "rdfs:label", F.col("material"), "literal"))
+    coded = rows(elements.join(classes.where("uniclass is not null"), "ifc_class"), row(e, "ifc:hasClassification", cls), row(cls, "rdf:type", F.lit("ifc:IfcClassificationReference")))
+    doc = F.concat(F.lit("inst:doc/"), F.col("doc_id").cast("string"))
+    papers = rows(documents, row(doc, "rdf:type", F.lit("foaf:Document")), row(doc, "rdfs:label", F.col("filename"), "literal"), row(doc, "props:lifecyclePhase", F.col("phase"), "literal"), row(project, "foaf:topic", doc))
+    for part in (tree, sets, materials, coded, papers):
+        out = out.unionByName(part)
+    return out.where("subject is not null and object is not null").distinct()
+
+
+def full(name: Column) -> Column:
+    """A prefixed name as an address; names of other prefixes stay."""
+    known = F.create_map(*[x for k, v in PREFIXES.items() for x in (F.lit(k), F.lit(v))])
+    base = F.try_element_at(known, F.substring_index(name, ":", 1))
+    return F.when(base.isNotNull(), F.concat(base, F.replace(F.substring(name, F.instr(name, ":") + 1, F.length(name)), F.lit(" "), F.lit("%20")))).otherwise(name)
 
 
 def ntriples(rows: DataFrame) -> DataFrame:
-    """One N-Triples line per row."""
-    text = F.concat(F.lit('"'), escaped(F.col("object")), F.lit('"'))
-    obj = F.when(F.col("object_type") == "uri", F.concat(F.lit("<"), F.col("object"), F.lit(">"))).when(F.col("datatype").isNotNull(), F.concat(text, F.lit("^^<"), F.col("datatype"), F.lit(">"))).otherwise(text)
-    return rows.select(F.concat(F.lit("<"), F.col("subject"), F.lit("> <"), F.col("predicate"), F.lit("> "), obj, F.lit(" .")).alias("value"))
+    """One N-Triples line per row, all names as addresses."""
+    text, address = F.concat(F.lit('"'), escaped(F.col("object")), F.lit('"')), lambda c: F.concat(F.lit("<"), full(F.col(c)), F.lit(">"))
+    obj = F.when(F.col("object_type") == "uri", address("object")).when(F.col("datatype").isNotNull(), F.concat(text, F.lit("^^"), address("datatype"))).otherwise(text)
+    return rows.select(F.concat_ws(" ", address("subject"), address("predicate"), obj, F.lit(".")).alias("value"))
 
 
 def triple_stats(rows: DataFrame) -> DataFrame:

@@ -161,6 +161,8 @@ def dedupe_uploads(files: DataFrame) -> DataFrame:
 
 
 def topic_summary(topics: DataFrame) -> DataFrame:
-    """Topics by status and class, and in all."""
-    sets = topics.groupingSets([("topic_status",), ("ifc_class",), ()], "topic_status", "ifc_class").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
-    return sets.select(F.when(F.col("g") == 1, "status").when(F.col("g") == 2, "class").otherwise("total").alias("dimension"), F.coalesce("topic_status", "ifc_class").alias("value"), "n")
+    """dimension, value, n: topics by status, type and source, in all, open ones, and open critical ones. One pass over the topics."""
+    row = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("value"))
+    none, is_open = F.lit(None), F.col("topic_status") == "Open"
+    made = F.array(row("status", F.col("topic_status")), row("type", F.col("topic_type")), row("source", F.col("source")), row("total", none), F.when(is_open, row("open", none)), F.when(is_open & (F.col("priority") == "Critical"), row("critical", none)))
+    return topics.select(F.inline(F.array_compact(made))).groupBy("dimension", "value").agg(F.count("*").alias("n"))

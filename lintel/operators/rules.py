@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.operators.ranks import index_within
+from lintel.operators.ranks import dense_index
 
 # Required and optional properties of each class.
 REQUIREMENTS = [
@@ -160,12 +160,40 @@ def loin_completeness(elements: DataFrame, properties: DataFrame, required: Data
     return rows.groupBy("global_id").agg(n.alias("n_required"), F.count_if(asked & value.isNull() & F.col("required")).alias("n_missing"), F.count_if(value.isNotNull() & wrong.isNotNull()).alias("n_invalid"), valid.alias("n_valid"), F.when(n == 0, 1.0).otherwise(valid / n).alias("completeness"))
 
 
-def issue_topics(found: DataFrame) -> DataFrame:
-    """One open topic per failed check, with a stable id; numbered from 1 within its class."""
-    rows = found.where("result = 'FAIL'").withColumn("rule", F.concat_ws(": ", "facet", F.coalesce("prop", "facet")))
-    rows = index_within(rows.select("ifc_class", "global_id", "rule"), "ifc_class", [F.col("global_id"), F.col("rule")])
-    guid = F.md5(F.concat_ws("|", "global_id", "rule"))
-    return rows.select(guid.alias("guid"), (F.col("idx") + 1).alias("idx"), F.concat(F.lit("Missing "), F.col("rule")).alias("title"), F.lit("Error").alias("topic_type"), F.lit("Open").alias("topic_status"), "ifc_class", F.col("global_id").alias("element"))
+def topics(found: DataFrame, ids_results: DataFrame | None = None, gaps: DataFrame | None = None, mismatches: DataFrame | None = None) -> DataFrame:
+    """source, title, description, topic_type, priority, topic_status, ifc_class, element of every issue.
+
+    One topic for each failed check (found), each failed or doubtful requirement of a specification (ids_results: global_id, ifc_class, facet, name,
+    result), each element with missing properties (gaps: global_id, ifc_class, phase, missing: an array), each with values against the dictionary (mismatches: global_id, ifc_class, errors: an array).
+    """
+    columns = ("source", "title", "description", "topic_type", "priority", "topic_status", "ifc_class", "element")
+    made = lambda df, *values: df.select(*[(F.lit(v) if isinstance(v, str) else v).alias(c) for c, v in zip(columns, (*values, "Open", F.col("ifc_class"), F.col("global_id")), strict=True)])
+    none, listed = F.lit(None).cast("string"), lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat(F.lit("- "), x)), "\n")
+    rule = F.concat_ws(": ", "facet", F.coalesce("prop", "facet"))
+    out = made(found.where("result = 'FAIL'"), "Rules", F.concat(F.lit("Missing "), rule), none, "Error", "High")
+    if ids_results is not None:
+        bad = F.col("result") == "FAIL"
+        title = F.concat(F.lit("["), F.upper("facet"), F.lit("] "), F.coalesce("name", F.col("facet")))
+        out = out.unionByName(made(ids_results.where("result in ('FAIL', 'WARNING')"), "IDS", title, none, F.when(bad, "Error").otherwise("Warning"), F.when(bad, "High").otherwise("Normal")))
+    if gaps is not None:
+        out = out.unionByName(made(gaps.where(F.size("missing") > 0), "LOIN", F.concat(F.lit("Missing LOIN Properties: "), F.col("ifc_class")), F.concat(F.lit("missing in "), F.col("phase"), F.lit(":\n"), listed("missing")), "Warning", "Normal"))
+    if mismatches is not None:
+        out = out.unionByName(made(mismatches.where(F.size("errors") > 0), "bSDD", F.concat(F.lit("bSDD Value Mismatch: "), F.col("ifc_class")), listed("errors"), "Warning", "Normal"))
+    return out
+
+
+def issue_topics(found: DataFrame, **others: DataFrame) -> DataFrame:
+    """topics() with a stable id, numbered from 1 over all, by source, class, element and title."""
+    rows = dense_index(topics(found, **others), [F.col(c) for c in ("source", "ifc_class", "element", "title")])
+    guid = F.md5(F.concat_ws("|", "source", "element", "title"))
+    return rows.withColumns({"guid": guid, "idx": F.col("idx") + 1})
+
+
+def missing_properties(elements: DataFrame, properties: DataFrame, required: DataFrame) -> DataFrame:
+    """global_id, ifc_class, missing: 'pset.prop' of each required property that an element has no value of. required: ifc_class, pset, prop, required."""
+    rows = elements.select("global_id", "ifc_class").join(required.where("required"), "ifc_class").join(property_map(properties), "global_id", "left")
+    key = F.concat_ws(".", "pset", "prop")
+    return rows.where(F.try_element_at("props", key).isNull()).groupBy("global_id", "ifc_class").agg(F.collect_set(key).alias("missing"))
 
 
 #: Share of a class's elements that carry a property from which on it counts as required.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.operators import rules
-from lintel.plans.model_queries import EDGES, OBSERVED, SPEC_ROWS, TRIPLES, all_checks, all_triples, edges, ids_specs, nodes, specifications
+from lintel.operators import graph, rules
+from lintel.plans.model_queries import EDGES, ESCAPED, FULL, OBSERVED, PREFIXED, SPEC_ROWS, TOPICS, TRIPLES, all_checks, all_triples, edges, ids_specs, issue_topics, nodes, specifications
 from lintel.plans.registry import ORACLES, query
 from lintel.plans.views import table, view
 from lintel.sources import readers, sinks, step
@@ -158,25 +158,30 @@ def s10_write_graph(spark, sf):
     return spark.read.schema("src string, dst string, edge_type string").json(f"{path}/edges")
 
 
-@query(f"""select subject || ' ' || string_agg(p, ' ; ' order by p) || ' .' as value from (select subject, predicate || ' ' || case when object_type = 'uri' then object else '"' || object || '"' end as p from {TRIPLES} t) s group by subject""")
+NAME = "case when regexp_matches({0}, '^[A-Za-z0-9_]+:[A-Za-z0-9_-]+$') then {0} else '<' || " + FULL + " || '>' end"
+
+
+@query(f"""select s || ' ' || string_agg(p, ' ; ' order by p) || ' .' as value from (select {NAME.format('subject')} as s, {NAME.format('predicate')} || ' ' || case when object_type = 'uri' then {NAME.format('object')} when datatype is not null then '"' || {ESCAPED} || '"^^' || datatype else '"' || {ESCAPED} || '"' end as p from {TRIPLES} t) s group by s
+    union all select '@prefix ' || prefix || ': <' || base || '> .' from {PREFIXED} p""")
 def s9_turtle(spark, sf):
-    return sinks.turtle(all_triples(spark, sf))
+    return sinks.turtle(all_triples(spark, sf), graph.PREFIXES)
 
 
-@query(f"select subject, count(*) as n_predicates, cast(sum(n) as bigint) as n_objects from (select subject, predicate, count(*) as n from {TRIPLES} t group by 1, 2) s group by 1")
+@query(f"select subject, predicate, count(*) as n, count(*) filter (where object_type = 'uri') as n_uris, count(datatype) as n_typed from {TRIPLES} t group by 1, 2")
 def s9_json_ld(spark, sf):
-    parsed = F.from_json("value", "`@id` string, `@graph` map<string,array<string>>")
-    rows = sinks.json_ld(all_triples(spark, sf)).select(parsed.alias("v"))
-    return rows.select(F.col("v.@id").alias("subject"), F.size("v.@graph").cast("long").alias("n_predicates"), F.aggregate(F.map_values("v.@graph"), F.lit(0), lambda a, x: a + F.size(x)).cast("long").alias("n_objects"))
+    lines = sinks.json_ld(all_triples(spark, sf), graph.PREFIXES)
+    subject = F.get_json_object("value", "$.@id")
+    body = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: ~k.startswith("@"))
+    rows = lines.select(subject.alias("subject"), F.explode(body).alias("predicate", "v")).withColumn("v", F.from_json("v", "array<struct<`@id`:string,`@value`:string,`@type`:string>>"))
+    count = lambda f: F.size(F.filter("v", f)).cast("long")
+    return rows.select("subject", "predicate", F.size("v").cast("long").alias("n"), count(lambda x: x["@id"].isNotNull()).alias("n_uris"), count(lambda x: x["@type"].isNotNull()).alias("n_typed"))
 
 
-@query()
+@query(f"select guid, title, topic_status, element from {TOPICS} t")
 def s11_write_topics(spark, sf):
-    from lintel.operators.rules import issue_topics
-
     path = scratch(spark, "topics")
-    sinks.write_topics(issue_topics(all_checks(spark, sf)), path)
-    return spark.read.schema("guid string, idx long, title string, topic_status string, element string").json(path)
+    sinks.write_topics(issue_topics(spark, sf), path)
+    return spark.read.schema("guid string, title string, topic_status string, element string").json(path)
 
 
 @query(f"select spec, entity, facet, pset, name, kind, expected, array_to_string(options, '|') as options from {SPEC_ROWS} s")

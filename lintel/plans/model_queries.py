@@ -174,26 +174,27 @@ def f9_filter_checks(spark, sf):
     return all_checks(spark, sf).where("result = 'FAIL' and ifc_class = 'IfcWall'")
 
 
-@query(f"""select md5(global_id || '|' || rule) as guid, row_number() over (partition by ifc_class order by global_id, rule) as idx, 'Missing ' || rule as title, 'Error' as topic_type, 'Open' as topic_status, ifc_class, global_id as element
-    from (select *, facet || ': ' || coalesce(prop, facet) as rule from {CHECKS} c where result = 'FAIL') t""")
-def v20_issue_topics(spark, sf):
-    return rules.issue_topics(all_checks(spark, sf))
-
-
-TOPICS = f"(select 'Open' as topic_status, ifc_class, global_id as element, facet || ': ' || coalesce(prop, facet) as rule from {CHECKS} c where result = 'FAIL')"
+GAP = f"""(select e.global_id, e.ifc_class, string_agg('- ' || r.pset || '.' || r.prop, chr(10) order by r.pset || '.' || r.prop) as missing from v_elements e join (select * from {REQ} q where required) r on r.ifc_class = e.ifc_class
+    left join v_properties p on p.global_id = e.global_id and p.pset = r.pset and p.prop = r.prop where p.value is null group by 1, 2)"""
+WRONG = """(select global_id, ifc_class, string_agg('- ' || prop || ': not allowed', chr(10) order by prop) as errors from v_properties where prop in ('IsExternal', 'LoadBearing') and value not in ('true', 'false', 'yes') group by 1, 2)"""
 
 
-@query(f"""select 'status' as dimension, topic_status as value, count(*) as n from {TOPICS} t group by 2 union all select 'class', ifc_class, count(*) from {TOPICS} t group by 2 union all select 'total', null, count(*) from {TOPICS} t""")
-def a6_topic_summary(spark, sf):
-    from lintel.operators.lake import topic_summary
-
-    return topic_summary(rules.issue_topics(all_checks(spark, sf)))
+def topic_sql() -> str:
+    return f"""(select *, 'Open' as topic_status, md5(source || '|' || element || '|' || title) as guid from (
+      select 'Rules' as source, 'Missing ' || facet || ': ' || coalesce(prop, facet) as title, cast(null as string) as description, 'Error' as topic_type, 'High' as priority, ifc_class, global_id as element from {CHECKS} c where result = 'FAIL'
+      union all select 'IDS', '[' || upper(r.facet) || '] ' || coalesce(r.name, r.facet), null, 'Error', 'High', e.ifc_class, r.global_id from {IDS_RESULTS} r join v_elements e on e.global_id = r.global_id where r.result = 'FAIL'
+      union all select 'LOIN', 'Missing LOIN Properties: ' || ifc_class, 'missing in design:' || chr(10) || missing, 'Warning', 'Normal', ifc_class, global_id from {GAP} g
+      union all select 'bSDD', 'bSDD Value Mismatch: ' || ifc_class, errors, 'Warning', 'Normal', ifc_class, global_id from {WRONG} w) t)"""
 
 
-@query(f"select element, count(*) as n_topics from {TOPICS} t where topic_status = 'Open' group by 1")
-def j15_topics_for_element(spark, sf):
-    topics = rules.issue_topics(all_checks(spark, sf)).withColumn("affected", F.array("element"))
-    return topics.where("topic_status = 'Open'").select(F.explode("affected").alias("element")).groupBy("element").agg(F.count("*").alias("n_topics"))
+def issue_topics(spark, sf):
+    rows = elements(spark, sf)
+    gaps = rules.missing_properties(rows, properties(spark, sf), rules.requirements(spark)).withColumn("phase", F.lit("design"))
+    allowed = F.when(F.col("prop").isin("IsExternal", "LoadBearing"), F.array(F.lit("true"), F.lit("false"), F.lit("yes")))
+    error = rules.value_errors(F.col("value"), allowed, F.lit(None).cast("double"), F.lit(None).cast("double"))
+    wrong = properties(spark, sf).where("value is not null").withColumn("error", error).where("error is not null").groupBy("global_id", "ifc_class").agg(F.collect_list(F.concat_ws(": ", "prop", "error")).alias("errors"))
+    results = ids_results(spark, sf).join(rows.select("global_id", "ifc_class"), "global_id")
+    return rules.issue_topics(all_checks(spark, sf), ids_results=results, gaps=gaps, mismatches=wrong)
 
 
 @query(f"""select e.global_id, count(r.prop) as n_required, count(*) filter (where r.prop is not null and p.value is null and r.required) as n_missing,
@@ -335,6 +336,28 @@ def v9_ids_summary(spark, sf):
     return ids.summary(ids_results(spark, sf))
 
 
+TOPICS = topic_sql()
+
+
+@query(f"select guid, row_number() over (order by source, ifc_class, element, title) as idx, source, title, description, topic_type, priority, topic_status, ifc_class, element from {TOPICS} t")
+def v20_issue_topics(spark, sf):
+    return issue_topics(spark, sf)
+
+
+@query(f"""select 'status' as dimension, topic_status as value, count(*) as n from {TOPICS} t group by 2 union all select 'type', topic_type, count(*) from {TOPICS} t group by 2 union all select 'source', source, count(*) from {TOPICS} t group by 2
+    union all select 'total', null, count(*) from {TOPICS} t union all select 'open', null, count(*) from {TOPICS} t where topic_status = 'Open'""")
+def a6_topic_summary(spark, sf):
+    from lintel.operators.lake import topic_summary
+
+    return topic_summary(issue_topics(spark, sf))
+
+
+@query(f"select element, count(*) as n_topics from {TOPICS} t where topic_status = 'Open' group by 1")
+def j15_topics_for_element(spark, sf):
+    topics = issue_topics(spark, sf).withColumn("affected", F.array("element"))
+    return topics.where("topic_status = 'Open'").select(F.explode("affected").alias("element")).groupBy("element").agg(F.count("*").alias("n_topics"))
+
+
 @query("""select e.global_id, case when count(r.source) = 0 then 'FAIL' when count(*) filter (where r.target_class = 'IfcBuildingStorey') > 0 then 'PASS' else 'FAIL' end as result
     from v_elements e left join v_relationships r on r.source = e.global_id and r.type in ('contained_in', 'aggregated_by') group by 1""")
 def j10_part_of_check(spark, sf):
@@ -449,9 +472,28 @@ def t1_property_graph_nodes(spark, sf):
     return nodes(spark, sf)
 
 
-@query(f"select src, dst, edge_type from {EDGES} e")
+@query(f"select src, dst, edge_type from {EDGES} e union all select a.global_id, b.global_id, 'SAME_STOREY' from v_elements a join v_elements b on a.container = b.container and a.ord < b.ord")
 def t1_property_graph_edges(spark, sf):
-    return edges(spark, sf)
+    return graph.property_graph_edges(elements(spark, sf), properties(spark, sf), same_storey=True)
+
+
+# Two writers of one graph: elements with their materials, then the same elements renamed and their materials in capitals.
+WRITERS = """(select global_id as id, 'element' as node_type, name as label, ord from v_elements union all select global_id, 'element', upper(name), ord + 100000000 from v_elements
+    union all select 'material:' || material, 'material', lower(material), ord from v_elements where material is not null union all select 'material:' || material, 'material', material, ord + 100000000 from v_elements where material is not null)"""
+
+
+@query(f"select id, node_type, case node_type when 'element' then arg_max(label, ord) else arg_min(label, ord) end as label from {WRITERS} w group by 1, 2")
+def u1_graph_union_nodes(spark, sf):
+    node = lambda df, c, kind, label, later: df.select(c.alias("id"), F.lit(kind).alias("node_type"), label.alias("label"), (F.col("ord") + later).alias("ord"))
+    rows, later = elements(spark, sf), 100_000_000
+    made, m = rows.where("material is not null"), F.concat(F.lit("material:"), F.col("material"))
+    parts = [node(rows, F.col("global_id"), "element", F.col("name"), 0), node(rows, F.col("global_id"), "element", F.upper("name"), later), node(made, m, "material", F.lower("material"), 0), node(made, m, "material", F.col("material"), later)]
+    return graph.union_nodes(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+
+
+@query("select source as src, target as dst, substr(max(lpad(cast(ord as string), 20, '0') || type), 21) as edge_type from v_relationships group by 1, 2")
+def u1_graph_union_edges(spark, sf):
+    return graph.union_edges(view(spark, sf, "v_relationships").select(F.col("source").alias("src"), F.col("target").alias("dst"), F.col("type").alias("edge_type"), F.col("ord").alias("seq")))
 
 
 @query("""select a.global_id as src, b.global_id as dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as distance, 1 - sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 2.5e0 as weight
@@ -523,20 +565,39 @@ def f12_filter_subgraph(spark, sf):
     return graph.subgraph(nodes(spark, sf), edges(spark, sf), ["element", "material"], "e")
 
 
-TRIPLES = """(select distinct * from (
+BOT = literals(list(graph.TOPOLOGY.items()), "ifc_class, bot")
+TYPE_OF = "case when lower({0}) in ('true', 'false') then 'xsd:boolean' when regexp_matches({0}, '^-?[0-9]+$') then 'xsd:integer' when regexp_matches({0}, '^-?[0-9]+\\.[0-9]+$') then 'xsd:double' else 'xsd:string' end"
+
+
+def _named(subject: str, kinds: list[str], key: str, label: str, source: str) -> str:
+    types = "".join(f" union all select {subject}, 'rdf:type', '{k}', 'uri', null from {source}" for k in kinds)
+    return f"select {subject}, 'ifc:globalId_IfcRoot', {key}, 'literal', null from {source} union all select {subject}, 'rdfs:label', {label}, 'literal', null from {source}{types}"
+
+
+TRIPLES = f"""(select distinct * from (
     select 'inst:' || global_id as subject, 'rdf:type' as predicate, 'ifc:' || ifc_class as object, 'uri' as object_type, cast(null as string) as datatype from v_elements
-    union all select 'inst:' || global_id, 'rdfs:label', name, 'literal', null from v_elements
+    union all {_named("'inst:' || global_id", [], 'global_id', 'name', 'v_elements')}
+    union all select 'inst:' || global_id, 'rdf:type', bot, 'uri', null from v_elements join {BOT} b using (ifc_class)
     union all select 'inst:' || global_id, 'bot:containedIn', 'inst:' || container, 'uri', null from v_elements
+    union all select 'inst:' || container, case ifc_class when 'IfcSpace' then 'bot:hasSpace' else 'bot:containsElement' end, 'inst:' || global_id, 'uri', null from v_elements
     union all select 'inst:' || global_id, 'ifc:hasMaterial', 'mat:' || material, 'uri', null from v_elements
-    union all select 'inst:' || global_id, 'prop', pset || '.' || prop, 'literal', null from v_properties
-    union all select 'inst:' || global_id || '/' || pset || '/' || prop, 'value', value, 'typed_literal', case when lower(value) in ('true', 'false') then 'xsd:boolean' when regexp_matches(value, '^-?[0-9]+$') then 'xsd:integer' when regexp_matches(value, '^-?[0-9]+\\.[0-9]+$') then 'xsd:double' else 'xsd:string' end from v_properties
-    union all select 'inst:' || building, 'bot:hasStorey', 'inst:' || storey, 'uri', null from v_spatial
-    union all select 'inst:' || site, 'bot:hasBuilding', 'inst:' || building, 'uri', null from v_spatial
-    union all select 'mat:' || material, 'rdf:type', 'ifc:IfcMaterial', 'uri', null from v_elements) t where subject is not null and object is not null)"""
+    union all select 'mat:' || material, 'rdf:type', 'ifc:IfcMaterial', 'uri', null from v_elements union all select 'mat:' || material, 'rdfs:label', material, 'literal', null from v_elements
+    union all select 'inst:' || global_id || '/' || pset, 'rdf:type', 'ifc:IfcPropertySet', 'uri', null from v_properties union all select 'inst:' || global_id || '/' || pset, 'rdfs:label', pset, 'literal', null from v_properties
+    union all select 'inst:' || global_id, 'ifc:hasPropertySet', 'inst:' || global_id || '/' || pset, 'uri', null from v_properties
+    union all select 'inst:' || global_id || '/' || pset, 'props:' || replace(prop, ' ', '_'), value, 'typed_literal', {TYPE_OF.format('value')} from v_properties
+    union all select 'inst:project', 'rdf:type', 'ifc:IfcProject', 'uri', null union all select 'inst:project', 'bot:hasSite', 'inst:' || site, 'uri', null from v_spatial
+    union all {_named("'inst:' || site", ['bot:Site', 'ifc:IfcSite'], 'site', 'site_name', 'v_spatial')} union all {_named("'inst:' || building", ['bot:Building', 'ifc:IfcBuilding'], 'building', 'building', 'v_spatial')}
+    union all {_named("'inst:' || storey", ['bot:Storey', 'ifc:IfcBuildingStorey'], 'storey', 'storey', 'v_spatial')} union all select 'inst:' || storey, 'props:elevation', cast(elevation as string), 'typed_literal', 'xsd:double' from v_spatial
+    union all select 'inst:' || building, 'bot:hasStorey', 'inst:' || storey, 'uri', null from v_spatial union all select 'inst:' || site, 'bot:hasBuilding', 'inst:' || building, 'uri', null from v_spatial
+    union all select 'inst:' || global_id, 'ifc:hasClassification', 'class:' || uniclass, 'uri', null from v_elements join {CROSS} c using (ifc_class)
+    union all select 'class:' || uniclass, 'rdf:type', 'ifc:IfcClassificationReference', 'uri', null from v_elements join {CROSS} c using (ifc_class)
+    union all select 'inst:doc/' || cast(doc_id as string), 'rdf:type', 'foaf:Document', 'uri', null from v_documents union all select 'inst:doc/' || cast(doc_id as string), 'rdfs:label', filename, 'literal', null from v_documents
+    union all select 'inst:doc/' || cast(doc_id as string), 'props:lifecyclePhase', phase, 'literal', null from v_documents union all select 'inst:project', 'foaf:topic', 'inst:doc/' || cast(doc_id as string), 'uri', null from v_documents
+    ) t where subject is not null and object is not null)"""
 
 
 def all_triples(spark, sf):
-    return graph.triples(elements(spark, sf), properties(spark, sf), view(spark, sf, "v_spatial"))
+    return graph.triples(elements(spark, sf), properties(spark, sf), view(spark, sf, "v_spatial"), enrich.crosswalk(spark), view(spark, sf, "v_documents"))
 
 
 @query(f"select subject, predicate, object, object_type, datatype from {TRIPLES} t")
@@ -544,7 +605,12 @@ def t2_rdf_triples(spark, sf):
     return all_triples(spark, sf)
 
 
-@query(f"""select '<' || subject || '> <' || predicate || '> ' || case when object_type = 'uri' then '<' || object || '>' when datatype is not null then '"' || object || '"^^<' || datatype || '>' else '"' || object || '"' end || ' .' as value from {TRIPLES} t""")
+PREFIXED = literals(list(graph.PREFIXES.items()), "prefix, base")
+FULL = "coalesce((select base from " + PREFIXED + " x where x.prefix = split_part({0}, ':', 1)) || replace(substr({0}, instr({0}, ':') + 1), ' ', '%20'), {0})"
+ESCAPED = "replace(replace(object, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')"
+
+
+@query(f"""select '<' || {FULL.format('subject')} || '> <' || {FULL.format('predicate')} || '> ' || case when object_type = 'uri' then '<' || {FULL.format('object')} || '>' when datatype is not null then '"' || {ESCAPED} || '"^^<' || {FULL.format('datatype')} || '>' else '"' || {ESCAPED} || '"' end || ' .' as value from {TRIPLES} t""")
 def s9_ntriples(spark, sf):
     return graph.ntriples(all_triples(spark, sf))
 
@@ -619,17 +685,28 @@ def t11_gnn_edges(spark, sf):
     return graph.edge_index(graph.undirected(pairs), graph.node_index(rows.select(F.col("global_id").alias("id"), "ord"), "ord"))
 
 
-@query("""select id, node_type, max(label) as label from (select global_id as id, 'element' as node_type, ifc_class as label from v_elements union all select storey, 'storey', 'IfcBuildingStorey' from v_spatial
-    union all select building, 'building', 'IfcBuilding' from v_spatial union all select site, 'site', 'IfcSite' from v_spatial union all select 'M:' || material, 'material', 'IfcMaterial' from v_elements where material is not null) t group by 1, 2""")
+LABELS = literals(list(graph.CLASS_LABELS.items()), "ifc_class, code")
+FIRE = "case when contains(upper(fire), 'REI30') then 0.5 when contains(upper(fire), 'REI60') then 1.0 when contains(upper(fire), 'REI90') then 1.5 when contains(upper(fire), 'REI120') then 2.0 when contains(upper(fire), 'REI180') then 2.5 when contains(upper(fire), 'REI240') then 3.0 else 0.0 end"
+
+
+@query(f"""select id, node_type, label, array_to_string(list_transform(features, lambda v: cast(cast(round(v * 100) as bigint) as string)), ',') as features from (
+    select e.global_id as id, case e.ifc_class when 'IfcSpace' then 'space' else 'element' end as node_type, e.ifc_class as label, [cast(coalesce(l.code, -1) as double), case when lower(ext) in ('true', 'yes', '1') then 1.0 else 0.0 end, case when lower(bears) in ('true', 'yes', '1') then 1.0 else 0.0 end, {FIRE}, x, y, z] as features
+      from v_elements e left join {LABELS} l on l.ifc_class = e.ifc_class left join (select global_id, max(value) filter (where prop = 'IsExternal') as ext, max(value) filter (where prop = 'LoadBearing') as bears, max(value) filter (where prop = 'FireRating') as fire from v_properties group by 1) s on s.global_id = e.global_id
+    union all select storey, 'storey', 'IfcBuildingStorey', [cast(elevation as double)] from v_spatial union all select distinct building, 'building', 'IfcBuilding', cast([] as double[]) from v_spatial union all select distinct site, 'site', 'IfcSite', cast([] as double[]) from v_spatial
+    union all select distinct 'M:' || material, 'material', 'IfcMaterial', cast([] as double[]) from v_elements where material is not null union all select distinct 'C:' || uniclass, 'classification', 'Uniclass2015', cast([] as double[]) from v_elements join {CROSS} c using (ifc_class)) t""")
 def t12_gnn_nodes(spark, sf):
-    return graph.gnn_nodes(elements(spark, sf), view(spark, sf, "v_spatial"))
+    rows = graph.gnn_nodes(elements(spark, sf), properties(spark, sf), view(spark, sf, "v_spatial"), enrich.crosswalk(spark))
+    return rows.withColumn("features", F.array_join(F.transform("features", lambda v: F.round(v * 100).cast("long").cast("string")), ","))
+
+
+DOWN = "(select site as a, building as b from v_spatial union all select building, storey from v_spatial union all select container, global_id from v_elements where container is not null)"
 
 
-@query("""select distinct src, dst, edge_type from (select a as src, b as dst, 'CONTAINS' as edge_type from (select site as a, building as b from v_spatial union all select building, storey from v_spatial union all select container, global_id from v_elements where container is not null) t
-    union all select b, a, 'CONTAINED_IN' from (select site as a, building as b from v_spatial union all select building, storey from v_spatial union all select container, global_id from v_elements where container is not null) u
-    union all select global_id, 'M:' || material, 'HAS_MATERIAL' from v_elements where material is not null) w""")
+@query(f"""select distinct src, dst, edge_type from (select a as src, b as dst, 'CONTAINS' as edge_type from {DOWN} t union all select b, a, 'CONTAINED_IN' from {DOWN} u union all select global_id, 'M:' || material, 'HAS_MATERIAL' from v_elements where material is not null
+    union all select global_id, 'C:' || uniclass, 'HAS_CLASSIFICATION' from v_elements join {CROSS} c using (ifc_class)
+    union all select source, target, 'CONNECTS_TO' from v_relationships where type = 'connected_to' union all select target, source, 'CONNECTS_TO' from v_relationships where type = 'connected_to') w""")
 def t12_gnn_edges(spark, sf):
-    return graph.gnn_edges(elements(spark, sf), view(spark, sf, "v_spatial"))
+    return graph.gnn_edges(elements(spark, sf), view(spark, sf, "v_spatial"), view(spark, sf, "v_relationships"), enrich.crosswalk(spark))
 
 
 @query("""select building, storey, coalesce(n, 0) as n_elements, row_number() over (partition by building order by coalesce(elevation, 0), storey) as level from v_spatial left join (select container, count(*) as n from v_elements group by 1) c on container = storey""")

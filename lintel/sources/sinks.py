@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintel.functions.values import escaped
+from lintel.operators.graph import full
+
 
 def points(embeddings: DataFrame, most: int = 1000) -> DataFrame:
     """id, values, metadata with at most `most` characters of text. embeddings: id, embedding, text."""
@@ -28,17 +31,25 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def turtle(triples: DataFrame) -> DataFrame:
-    """One statement per subject, its predicates joined by ';'."""
-    obj = F.when(F.col("object_type") == "uri", F.col("object")).otherwise(F.concat(F.lit('"'), F.col("object"), F.lit('"')))
-    parts = triples.groupBy("subject").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "predicate", obj))).alias("p"))
-    return parts.select(F.concat("subject", F.lit(" "), F.array_join("p", " ; "), F.lit(" .")).alias("value"))
-
-
-def json_ld(triples: DataFrame) -> DataFrame:
-    """One JSON object per subject: lists of objects by predicate."""
-    lists = triples.groupBy("subject", "predicate").agg(F.array_sort(F.collect_list("object")).alias("objects"))
-    return lists.groupBy("subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicate", "objects")))).alias("p")).select(F.to_json(F.struct(F.col("subject").alias("@id"), F.col("p").alias("@graph"))).alias("value"))
+def turtle(triples: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """One statement per subject after the lines of the prefixes, its predicates joined by ';'. Names that are no plain prefixed names stand as addresses."""
+    name = lambda c: F.when(F.col(c).rlike(r"^\w+:[\w-]+$"), F.col(c)).otherwise(F.concat(F.lit("<"), full(F.col(c)), F.lit(">")))
+    text = F.concat(F.lit('"'), escaped(F.col("object")), F.lit('"'))
+    obj = F.when(F.col("object_type") == "uri", name("object")).when(F.col("datatype").isNotNull(), F.concat_ws("^^", text, "datatype")).otherwise(text)
+    rows = triples.select(name("subject").alias("s"), F.concat_ws(" ", name("predicate"), obj).alias("p"))
+    parts = rows.groupBy("s").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    head = triples.sparkSession.createDataFrame([(f"@prefix {k}: <{v}> .",) for k, v in prefixes.items()], "value string")
+    return head.unionByName(parts.select(F.concat("s", F.lit(" "), F.array_join("p", " ; "), F.lit(" .")).alias("value")))
+
+
+def json_ld(triples: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """One JSON object per subject: the context, its id, and lists of objects by predicate, with their types where they have one."""
+    item = F.struct(F.when(F.col("object_type") == "uri", F.col("object")).alias("@id"), F.when(F.col("object_type") != "uri", F.col("object")).alias("@value"), F.col("datatype").alias("@type"))
+    lists = triples.groupBy("subject", "predicate").agg(F.array_sort(F.collect_list(item)).alias("objects"))
+    rows = lists.groupBy("subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicate", "objects")))).alias("p"))
+    context = F.create_map(*[x for k, v in prefixes.items() for x in (F.lit(k), F.lit(v))])
+    head, body = F.to_json(F.struct(context.alias("@context"), F.col("subject").alias("@id"))), F.to_json("p")
+    return rows.select(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(","), F.substring(body, F.lit(2), F.length(body))).alias("value"))
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

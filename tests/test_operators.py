@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import text as X
 from lintel.functions import values as V
-from lintel.operators import documents, graph, lake, rules
+from lintel.operators import documents, graph, ids, lake, rules
 from lintel.sources import readers, sinks, step
 from lintel.streaming import streams
 
@@ -104,7 +104,7 @@ def test_readers(spark, tmp_path):
     assert tuple(readers.read_crosswalk(spark, str(tmp_path / "crosswalk.json")).first()) == ("IfcWall", "U1", "O1")
     rows = spark.createDataFrame([("s", "p", "a b", "uri"), ("s", "q", 'x"y', "literal")], "subject string, predicate string, object string, object_type string").withColumn("datatype", F.lit(None).cast("string"))
     assert sorted(r["value"] for r in graph.ntriples(rows).collect()) == ['<s> <p> <a b> .', '<s> <q> "x\\"y" .']
-    assert sinks.json_ld(rows).count() == 1
+    assert sinks.json_ld(rows, graph.PREFIXES).count() == 1
 
 
 def test_streams(spark, tmp_path):
