@@ -132,25 +132,17 @@ def chunk_paragraphs(text: Column, separator: str = "\n\n") -> Column:
     return F.aggregate(F.split(text, separator, -1), zero, step, lambda s: s["out"])
 
 
-def chunk_sentences(size: int = 512):
-    """Pandas UDF: sentences packed greedily up to `size` characters."""
-    import re
+def chunk_sentences(text: Column, size: int = 512) -> Column:
+    """array of texts: sentences (up to a '.', '!' or '?' before white space) packed greedily up to `size` characters. Blank texts give none."""
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
 
-    @F.pandas_udf("array<string>")
-    def chunks(texts):
-        def one(text):
-            out, now = [], ""
-            for s in re.split(r"(?<=[.!?])\s+", text or ""):
-                if now and len(now) + 1 + len(s) > size:
-                    out.append(now)
-                    now = s
-                else:
-                    now = f"{now} {s}" if now else s
-            return [*out, now] if now.strip() else out
-
-        return texts.map(one)
+    def step(state, s):
+        full = (state["now"] != "") & (F.char_length(state["now"]) + 1 + F.char_length(s) > size)
+        now = F.when(full | (state["now"] == ""), s).otherwise(F.concat_ws(" ", state["now"], s))
+        return F.struct(F.when(full, F.array_append(state["out"], state["now"])).otherwise(state["out"]).alias("out"), now.alias("now"))
 
-    return chunks
+    last = lambda s: F.when(F.trim(s["now"]) != "", F.array_append(s["out"], s["now"])).otherwise(s["out"])
+    return F.aggregate(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])[ \t\n\r\f\x0b]+", -1), zero, step, last)
 
 
 def chunk_recursive(size: int = 512, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")):

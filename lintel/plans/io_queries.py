@@ -207,11 +207,12 @@ def s4_read_rule_config(spark, sf):
     return readers.read_rule_config(spark, path)
 
 
-@query()
+@query("select ifc_class, '.csv' as extension, 'spreadsheet' as category, 'RFC 4180' as standard, cast(null as string) as model_schema, 64 as digits, true as has_bytes from (select distinct ifc_class from v_elements) t")
 def s6_catalogue_files(spark, sf):
     path = scratch(spark, "files")
-    view(spark, sf, "v_elements").select("global_id").write.option("header", True).csv(path)
-    return readers.catalogue_files(spark, path).where("extension = '.csv'").select("extension", "category", "model_schema", F.length("checksum").alias("digits"))
+    view(spark, sf, "v_elements").select("global_id", "ifc_class").repartition("ifc_class").write.partitionBy("ifc_class").option("header", True).csv(path)  # one file for each class
+    found = readers.catalogue_files(spark, path).where("extension = '.csv'")
+    return found.select(F.regexp_extract("path", "ifc_class=([^/]+)/", 1).alias("ifc_class"), "extension", "category", "standard", "model_schema", F.length("checksum").alias("digits"), (F.col("size_kb") > 0).alias("has_bytes"))
 
 
 @query(ORACLES["v8_validation_summary"])

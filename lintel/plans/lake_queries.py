@@ -321,9 +321,10 @@ def x14_chunk_paragraph(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.inline(X.chunk_paragraphs(F.col("text"), "\n"))).withColumn("start", F.col("start").cast("long"))
 
 
-@query()
+@query(r"""select doc_id, cast(u.i as int) as idx, u.c as chunk from (select doc_id, unnest(list_transform(string_split(list_reduce(string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(2), 'g'), chr(2)),
+      lambda acc, s: case when length(string_split(acc, chr(1))[-1]) + 1 + length(s) > 512 and string_split(acc, chr(1))[-1] <> '' then acc || chr(1) || s when string_split(acc, chr(1))[-1] = '' then acc || s else acc || ' ' || s end), chr(1)), lambda c, i: struct_pack(i := i - 1, c := c))) as u from documents) t where trim(u.c, ' ') <> ''""")
 def x15_chunk_sentence(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunk_sentences()("text")).alias("idx", "chunk"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunk_sentences(F.col("text"))).alias("idx", "chunk"))
 
 
 @query()
@@ -357,6 +358,18 @@ def x21_section_features(spark, sf):
 # Events
 
 
+@query("select id, filename, coalesce(category, 'other') as category, 'completed' as status from v_files")
+def st1_ingest_stream(spark, sf):
+    from lintel.sources.scratch import scratch
+    from lintel.streaming import streams
+
+    path = scratch(spark, "uploads")
+    files(spark, sf).select("id", "filename", "category").write.json(f"{path}/in")
+    job = lambda batch: batch.select("id", "filename", F.coalesce("category", F.lit("other")).alias("category"), F.lit("completed").alias("status"))
+    streams.ingest(spark, f"{path}/in", "id long, filename string, category string", job, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("id", "filename", "category", "status")
+
+
 @query("select file_id, event_id, previous from (select *, lag(state) over (partition by file_id order by ts, event_id) as previous from v_transitions) t where state = 'published' and (previous is null or previous <> 'published')")
 def st2_publish_trigger(spark, sf):
     return lake.publish_trigger(view(spark, sf, "v_transitions"))

@@ -410,7 +410,7 @@ def x6_encode_fire_rating(spark, sf):
     return properties(spark, sf).where("prop = 'fire_rating'").select("global_id", V.encode_fire_rating(F.col("value")).alias("hours"))
 
 
-@query()
+@query("select global_id, prop, case when value is null then 0.0e0 else (cast('0x' || substr(md5(value), 1, 8) as bigint) % 1000) / 1000.0e0 end as hashed from v_properties")
 def x7_feature_hash(spark, sf):
     return properties(spark, sf).select("global_id", "prop", V.feature_hash(F.col("value")).alias("hashed"))
 

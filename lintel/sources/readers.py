@@ -12,6 +12,12 @@ ELEMENT = "global_id string, ifc_class string, name string, container struct<glo
 # What extensions stand for.
 EXTENSIONS = [(".ifc", "bim_model"), (".pdf", "document"), (".docx", "document"), (".doc", "document"), (".hwpx", "document"), (".hwp", "document"), (".xlsx", "spreadsheet"), (".xls", "spreadsheet"), (".csv", "spreadsheet"), (".pptx", "presentation"), (".ppt", "presentation"), (".png", "image"), (".jpg", "image"), (".jpeg", "image"), (".tiff", "image"), (".ids", "standard"), (".bcf", "standard"), (".bcfzip", "standard")]
 
+# Standards that formats follow.
+STANDARDS = {
+    ".ifc": "ISO 16739-1:2024", ".pdf": "ISO 32000", ".docx": "ISO/IEC 29500", ".hwpx": "KS X 6101", ".xlsx": "ISO/IEC 29500", ".csv": "RFC 4180", ".pptx": "ISO/IEC 29500", ".png": "ISO/IEC 15948", ".jpg": "ISO/IEC 10918", ".jpeg": "ISO/IEC 10918",
+    ".ids": "buildingSMART IDS 1.0", ".bcf": "BCF 3.0", ".bcfzip": "BCF 3.0",
+}
+
 
 def read_parsed_documents(spark: SparkSession, path: str, pattern: str = "*_parsed.json", one_per_file: bool = True) -> DataFrame:
     """Completed documents with text among all files of a pattern below a path; not `one_per_file`: one on each line, so that files can be split."""
@@ -79,9 +85,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalogue_files(spark: SparkSession, path: str) -> DataFrame:
-    """name, extension, category, size_kb, checksum and model schema of every file below a path."""
+    """path, name, extension, category, standard, size_kb, checksum and model schema of every file below a path. Only the first 4 kB are decoded."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    rows = rows.select(name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("extension"), (F.col("length") / 1024).alias("size_kb"), F.sha2("content", 256).alias("checksum"), F.decode(F.substring("content", 1, 4096), "ISO-8859-1").alias("head"))
+    rows = rows.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("extension"), (F.col("length") / 1024).alias("size_kb"), F.sha2("content", 256).alias("checksum"), F.decode(F.substring("content", 1, 4096), "ISO-8859-1").alias("head"))
     known = F.broadcast(spark.createDataFrame(EXTENSIONS, "extension string, category string"))
-    return rows.join(known, "extension", "left").select("name", "extension", F.coalesce("category", F.lit("other")).alias("category"), "size_kb", "checksum", F.nullif(F.regexp_extract("head", r"FILE_SCHEMA\s*\(\('([^']+)'", 1), F.lit("")).alias("model_schema"))
+    standard = F.try_element_at(F.create_map(*[x for k, v in STANDARDS.items() for x in (F.lit(k), F.lit(v))]), F.col("extension"))
+    return rows.join(known, "extension", "left").select("path", "name", "extension", F.coalesce("category", F.lit("other")).alias("category"), standard.alias("standard"), "size_kb", "checksum", F.nullif(F.regexp_extract("head", r"FILE_SCHEMA\s*\(\('([^']+)'", 1), F.lit("")).alias("model_schema"))
