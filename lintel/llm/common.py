@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A word is a longest run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step holds; a longer text makes a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
