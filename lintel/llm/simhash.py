@@ -351,8 +351,28 @@ def _grouped(docs: DataFrame, ngram: int = 5, bits: int = 256, width: int = 32,
         most = round(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
         values = saved(known.select(F.xxhash64(*copies).alias("id"), *copies, "least", "key"), "values")
         proposed = saved(trie_links(values, width, bits // width, budget, most, fan).distinct(), "proposed")
-        links = similar_links(proposed, values, docs, ngram, similarity)
-    roots = components(links)
+        return _named(prints, values, copies, _verified_roots(proposed, values, docs, ngram, similarity))
+    return _named(prints, values, copies, components(links))
+
+
+def _verified_roots(proposed: DataFrame, values: DataFrame, docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
+    """components() of the candidates that hold, found in two steps: first each value's candidate of least id, then the others
+    between values that those don't connect. A link inside a component adds nothing, and in a dense group that is nearly every one."""
+    first = proposed.groupBy("a").agg(F.min("b").alias("b"))
+    roots = saved(components(similar_links(first, values, docs, ngram, similarity)), "roots")
+    of = lambda side: roots.select(F.col("node").alias(f"node_{side}"), F.col("root").alias(f"root_{side}"))
+    found = proposed.join(of("a"), F.col("a") == F.col("node_a"), "left").join(of("b"), F.col("b") == F.col("node_b"), "left")
+    found = found.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")).where("root_a <> root_b")
+    rest = saved(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    links = similar_links(rest, values, docs, ngram, similarity).join(rest, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    above = saved(components(links), "roots")
+    up = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(above)
+
+
+def _named(prints: DataFrame, values: DataFrame, copies: list[str], roots: DataFrame) -> DataFrame:
+    """doc_id, key, fp, component_id of each row of prints; roots: node, root of the values that don't stand alone."""
     of = values.join(roots, values.id == roots.node, "left").select(*copies, "least", F.coalesce("root", "id").alias("root"))
     of = saved(of, "rooted")
     # Saved, so that the join has two plain sides and a large component can be split.

@@ -482,6 +482,129 @@ def test_html_of_the_given_pages(spark, sf):
             assert not {k: v for k, v in (want - got).items() if not k.isdigit() and k not in "".join(got)}, r["page_id"]
 
 
+def odd_rows():
+    """Null ids, repeated rows, several texts of one id, ties, null, empty and very long texts."""
+    random = np.random.default_rng(21)
+    text = lambda n, tag="o": " ".join(f"{tag}{i}" for i in random.integers(0, 3000, n))
+    a, b, long = text(120), text(120), text(60_000, "long")
+    return [(None, a), (None, None), (1, a), (1, a), (1, b), (2, b), (3, None), (4, ""), (5, " \n\t "), (6, long), (6, long), (7, "x" * 300_000), (8, "é " * 200), (9, text(30)), (9, text(30))]
+
+
+def test_odd_rows_have_their_results(spark, sf):
+    """A row for each row (or what the operator's docstring says), equal ones alike, whatever other columns are called; nothing from nothing."""
+    rows = odd_rows()
+    frame = clashing(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)).withColumn("text_", F.lit(1)).withColumn("gone", F.lit(2)).withColumn("g", F.lit("z"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    benchmark = spark.createDataFrame([(1, " ".join(rows[0][1].split()[10:50])), (2, None), (None, "x"), (3, "")], "item_id long, text string")
+    models = quality_classifier.train(given, labels), toxicity.train(given, labels), secret_scan.train(given)
+    load = packing.word_bpe(__import__("public_tokenizers").path("word_bpe_49k.json"))
+
+    def each(result, columns):
+        got = collections.defaultdict(set)
+        for r in result.collect():
+            got[r["doc_id"]].add(tuple(r[c] for c in columns))
+        return got
+
+    for run, columns in (
+        (lambda d: quality_classifier.score(d, models[0]), ("score", "predicted")), (lambda d: toxicity.score(d, models[1]), ("score", "predicted")), (quality_rules.judge, ("n_words", "n_dup_lines", "kept")), (substring_dedup.remove_repeats, ("n_words", "n_removed", "kept_sha256")),
+        (simhash.near_duplicates, ("fingerprint", "component_id")), (lambda d: secret_scan.mask(d, models[2]), ("text",)),
+    ):
+        out = run(frame)
+        assert out.count() == len(rows) and run(frame.limit(0)).count() == 0
+        got = each(out, columns)
+        assert len(got[6]) == 1 and len(got[1]) == (1 if "n_dup_lines" in columns else 2) and len(got[7]) == 1, columns
+    assert {tuple(sorted(x)) for x in each(substring_dedup.remove_repeats(frame), ("n_words", "n_removed")).values()} >= {((120, 0),), ((120, 120),), ((0, 0),), ((60_000, 0),)}
+    left = decontamination.drop_contaminated(frame, benchmark)
+    assert left.columns == frame.columns and sorted((r["doc_id"] or 0, (r["text"] or "")[:3]) for r in left.collect()) == sorted((i or 0, (t or "")[:3]) for i, t in rows if not (i == 1 and t == rows[0][1]))
+    pieces = packing.pack(frame, load).collect()
+    tokens = collections.Counter()
+    for r in pieces:
+        tokens[r["doc_id"]] += r["length"]
+    want = collections.Counter()
+    for i, t in rows:
+        want[i] += len(load()[0](t or "")) + 1
+    assert tokens == want
+
+
+def test_training_rows_are_bounded_and_settled(spark):
+    from lintel.llm.common import training_rows
+
+    rows = [(i, "t" * 1000) for i in range(60)] + [(1, "other"), (1, "a")] + [(None, "n")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, values, weights = training_rows(docs, labels, "quality", 100, class_bytes=6_500)
+    assert sum(len(t.as_py()) for t, v in zip(texts, values) if v == 0) <= 6_500 and 0 < (values == 1).sum() <= 7 and len(weights) == len(values)
+    assert abs(weights[values == 1].sum() - sum(1 for i in range(60) if i % 2 and zlib.crc32(str(i).encode()) % 5)) < 1e-6
+    again = training_rows(docs.repartition(7), labels, "quality", 100, class_bytes=6_500)
+    assert texts.to_pylist() == again[0].to_pylist() and training_rows(docs, labels.limit(0), "quality", 5)[1].size == 0
+
+
+def test_pipeline_by_brute_force(spark, sf):
+    """Each stage on the given documents against plain loops over all pairs, windows and words."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first = saved(stages["quality classifier"](spark, docs, sf), "first")
+    scores = quality_classifier.score(docs, quality_classifier.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()
+    assert sorted(r["doc_id"] for r in first.collect()) == sorted(r["doc_id"] for r in scores if r["score"] >= 0.3)
+
+    rows = {r["doc_id"]: r["text"] or "" for r in first.collect()}
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    sets = {}
+    for i, t in rows.items():
+        w = words(lower(t))
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+    root = {i: i for i in rows}
+    for i in sorted(rows):
+        for j in sorted(rows):
+            if j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                x, y = root[i], root[j]
+                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    second = saved(stages["simhash near-dedup"](spark, first, sf), "second")
+    assert {r["doc_id"] for r in second.collect()} == {i for i, r in root.items() if i == r}
+
+    coded = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    items = [coded(r["text"] or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    number = collections.defaultdict(lambda: len(number))
+    items = [np.array([number[w] for w in x], dtype=np.int64) for x in items]
+    bad = set()
+    for r in second.collect():
+        text = np.array([number[w] for w in coded(r["text"] or "")], dtype=np.int64)
+        for item in items:
+            n = min(16, len(item))
+            if not n or len(text) < n:
+                continue
+            same = (text[:, None] == item[None, :]).astype(np.int64)
+            if any(len(d := np.diagonal(same, k)) >= n and np.convolve(d, np.ones(n, dtype=np.int64), "valid").max() >= np.ceil(0.8 * n) for k in range(n - len(text), len(item) - n + 1)):
+                bad.add(r["doc_id"])
+                break
+    third = saved(stages["benchmark decontamination"](spark, second, sf), "third")
+    assert {r["doc_id"] for r in second.collect()} - {r["doc_id"] for r in third.collect()} == bad
+
+    spans = {r["id"]: [(x["start"], x["end"]) for x in r["found"]] for r in secret_scan.scan(third, secret_scan.train(third)).select(F.col("row.doc_id").alias("id"), "found").collect()}
+    fourth = {r["doc_id"]: r for r in saved(stages["secret scans"](spark, third, sf), "fourth").collect()}
+    for r in third.collect():
+        out, at = "", 0
+        for a, b in spans[r["doc_id"]]:
+            if a >= at:
+                out += r["text"][at:a] + "[secret]"
+            at = max(at, b)
+        want = out + r["text"][at:] if spans[r["doc_id"]] else r["text"]
+        assert fourth[r["doc_id"]]["text"] == want and fourth[r["doc_id"]]["n_chars"] == len(want)
+
+
+def test_pipeline_stages_take_odd_tables(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in odd_rows()], SCHEMA)
+    frame = clashing(frame).withColumn("gone", F.lit(2)).withColumn("gone_key", F.lit(2)).withColumn("words", F.lit(3))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, sf)
+        assert out.columns == frame.columns and out.count() <= frame.count(), name
+        assert stage(spark, frame.limit(0), sf).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, frame.limit(0), sf).count() == 0
+
+
 def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
