@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import Rolling, long_id, training_rows
 
-#: Defaults: labelled texts taken per class, hash buckets, vector length, n-gram lengths, passes, first step size. The last two were chosen on fold 1 after training on folds 2 to 4.
-PER_CLASS, BUCKETS, DIM, NGRAMS, EPOCHS, RATE = 1200, 1 << 15, 8, (3, 4, 5), 20, 3000.0
+#: Defaults: labelled texts taken per class, hash buckets, vector length, n-gram lengths, passes, first step size. The last two were chosen by cross-validation over folds 1 to 4 (greater steps were unstable on one of them).
+PER_CLASS, BUCKETS, DIM, NGRAMS, EPOCHS, RATE = 1200, 1 << 15, 8, (3, 4, 5), 30, 1000.0
 
 
 class Subwords:
