@@ -113,18 +113,19 @@ def _set_batches(ngram: int):
     return task
 
 
-def similar_links(links: DataFrame, values: DataFrame, docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """Those of the links a, b whose texts' shingle sets have a Jaccard similarity of at least `similarity`.
-
-    values: id and key of a text with it. Only texts with a link are read.
-    """
+def shingle_sets(links: DataFrame, values: DataFrame, docs: DataFrame, ngram: int) -> DataFrame:
+    """id and shingles (hashes, each once) of every value with a link a, b. values: id and key of a text with it. Texts without a link are not hashed."""
     asked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(values.select("id", "key"), "id")
     texts = docs.select(_text_key(), "text").join(asked, "key").select("id", "text").groupBy("id").agg(F.first("text").alias("text"))
-    sets = saved(texts.mapInArrow(_set_batches(ngram), "id long, shingles array<long>"), "sets")
+    return saved(texts.mapInArrow(_set_batches(ngram), "id long, shingles array<long>"), "sets")
+
+
+def similar_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the links a, b (with all their columns) whose shingle sets have a Jaccard similarity of at least `similarity`."""
     side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"of_{name}"))
     common = F.size(F.array_intersect("of_a", "of_b"))
-    rated = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
-    return rated.where(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common"))).select("a", "b")
+    rated = links.join(side("a"), "a").join(side("b"), "b").select(*links.columns, common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
+    return rated.where(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common"))).select(*links.columns)
 
 
 def _merge(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -351,20 +352,20 @@ def _grouped(docs: DataFrame, ngram: int = 5, bits: int = 256, width: int = 32,
         most = round(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
         values = saved(known.select(F.xxhash64(*copies).alias("id"), *copies, "least", "key"), "values")
         proposed = saved(trie_links(values, width, bits // width, budget, most, fan).distinct(), "proposed")
-        return _named(prints, values, copies, _verified_roots(proposed, values, docs, ngram, similarity))
+        return _named(prints, values, copies, _verified_roots(proposed, shingle_sets(proposed, values, docs, ngram), similarity))
     return _named(prints, values, copies, components(links))
 
 
-def _verified_roots(proposed: DataFrame, values: DataFrame, docs: DataFrame, ngram: int, similarity: float) -> DataFrame:
+def _verified_roots(proposed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """components() of the candidates that hold, found in two steps: first each value's candidate of least id, then the others
     between values that those don't connect. A link inside a component adds nothing, and in a dense group that is nearly every one."""
     first = proposed.groupBy("a").agg(F.min("b").alias("b"))
-    roots = saved(components(similar_links(first, values, docs, ngram, similarity)), "roots")
+    roots = saved(components(similar_links(first, sets, similarity)), "roots")
     of = lambda side: roots.select(F.col("node").alias(f"node_{side}"), F.col("root").alias(f"root_{side}"))
     found = proposed.join(of("a"), F.col("a") == F.col("node_a"), "left").join(of("b"), F.col("b") == F.col("node_b"), "left")
     found = found.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")).where("root_a <> root_b")
     rest = saved(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    links = similar_links(rest, values, docs, ngram, similarity).join(rest, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    links = similar_links(rest, sets, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     above = saved(components(links), "roots")
     up = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
