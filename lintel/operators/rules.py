@@ -128,8 +128,8 @@ def failures(found: DataFrame) -> DataFrame:
 def required_properties(rules: DataFrame, ancestors: dict[str, list[str]] = ANCESTORS) -> DataFrame:
     """Requirements (ifc_class, pset, prop, required, ord) of each class and its ancestors; the first of a pset and property wins."""
     spark = rules.sparkSession
-    pairs = [(c, u, k) for c, up in ancestors.items() for k, u in enumerate([c, *up])]
-    own = spark.createDataFrame(pairs, "entity string, ifc_class string, depth int")
+    pairs = [(c, u, k) for c, up in ancestors.items() for k, u in enumerate(up, 1)]
+    own = spark.createDataFrame(pairs, "entity string, ifc_class string, depth int").unionByName(rules.select(F.col("ifc_class").alias("entity"), "ifc_class", F.lit(0).alias("depth")).distinct())
     first = F.min_by("required", F.struct("depth", "ord")).alias("required")
     return own.join(rules, "ifc_class").groupBy("entity", "pset", "prop").agg(first)
 

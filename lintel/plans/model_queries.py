@@ -208,7 +208,7 @@ def v12_loin_completeness(spark, sf):
     return rules.loin_completeness(elements(spark, sf), properties(spark, sf), required)
 
 
-@query(f"""select e.entity, r.pset, r.prop, r.required from (select distinct ifc_class as entity from v_elements where ifc_class not in ('IfcSpace')) e join {REQ} r on r.ifc_class = e.entity""")
+@query(f"""select e.entity, r.pset, r.prop, r.required from (select distinct ifc_class as entity from v_elements) e join {REQ} r on r.ifc_class = e.entity""")
 def v10_required_properties(spark, sf):
     present = elements(spark, sf).select(F.col("ifc_class").alias("entity")).distinct()
     return rules.required_properties(rules.requirements(spark)).join(present, "entity", "left_semi")
