@@ -78,6 +78,12 @@ def op9_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    from lintel.llm.source_divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -91,4 +97,24 @@ def oracle_sql():
                    case when f.first_id <> p.page_id then 'revisit' else 'response' end as record_type,
                    case when f.first_id <> p.page_id then f.first_id end as refers_to
             from p left join f on p.html = f.html""",
+        "op11_source_divergence": r"""
+            with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+                 w as (select id, lang, source, unnest(terms) as term from d),
+                 c as (select lang, source, term, count(*) as n from w group by all),
+                 k as (select lang, term, count(*) as n from w group by all having count(distinct id) >= 30),
+                 l as (select lang, count(*) as v, sum(n) as total from k group by lang),
+                 g as (select lang, source from d group by all),
+                 -- every source with every kept term of its language
+                 a as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.n as n_lang from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+                 t as (select lang, source, sum(n) as total from a group by all),
+                 p as (select a.*, cast(1 + (1000000000::hugeint * (a.n + 5)) // (t.total::hugeint + 5 * l.v) as bigint) as p,
+                              cast(1 + (1000000000::hugeint * (n_lang + 5)) // (l.total::hugeint + 5 * l.v) as bigint) as q
+                       from a join t using (lang, source) join l using (lang)),
+                 x as (select p.lang, p.source, o.source as item, sum(abs(p.p - o.p)) as value from p join p o on p.lang = o.lang and p.term = o.term and p.source <> o.source group by all),
+                 r as (select g.lang, g.source, 'pair' as part, o.source as item, cast(coalesce(x.value, 0) as bigint) as value
+                       from g join g o on g.lang = o.lang and g.source <> o.source left join x on x.lang = g.lang and x.source = g.source and x.item = o.source
+                       union all select lang, source, 'term', term, p - q from p where n > 0 and p > q),
+                 n as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from r)
+            select * from n where part = 'pair' or rank <= 50""",
     }
