@@ -84,6 +84,15 @@ def op11_source_divergence(spark, sf_dir):
     return audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
 
 
+def op13_best_fit(spark, sf_dir):
+    import public_tokenizers
+
+    from lintel.llm.best_fit import pack
+    from lintel.llm.packing import word_bpe
+
+    return pack(table(spark, sf_dir, "documents"), word_bpe(public_tokenizers.path("word_bpe_49k.json")), size=4096, end_id=1)
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
