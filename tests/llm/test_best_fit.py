@@ -72,7 +72,7 @@ def test_place(spark):
 def best_by_scan(fills, size):
     rooms, out = [], []
     for x in fills:
-        fit = min((r for r in rooms if r >= x), default=1)
+        fit = min((r for r in rooms if r >= x), default=None)
         if fit is None:
             rooms.append(size - x)
         else:
