@@ -51,11 +51,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
         pass
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: computed once, and safe from lost executors."""
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: computed once, and safe from lost executors. by: a column with a folder for each value."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

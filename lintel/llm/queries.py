@@ -84,6 +84,14 @@ def op11_source_divergence(spark, sf_dir):
     return audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
 
 
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from lintel.llm.token_alignment import align, byte_and_piece
+
+    return align(table(spark, sf_dir, "documents"), byte_and_piece(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op13_best_fit(spark, sf_dir):
     import public_tokenizers
 
