@@ -5,16 +5,19 @@ walks pairs of trie nodes together from the roots: a step down splits both nodes
 different branches has spent one more unit of the error budget, and a pair beyond the budget is dropped with
 all below it. Small nodes are compared outright.
 
-At scale the top `depth` bits of the trie cut it into blocks. A block is joined with itself and with those
-later blocks whose top bits differ in no more places than the budget, so a row goes to a bounded number of
-blocks that hangs on `depth` alone, and one task walks a block's node pairs in numpy. `depth` follows from the
-number of distinct values and a bound on the rows of a task.
+At scale the trie is rotated. A word is cut into one part more than the budget has errors, so two words within the budget
+agree in a part; each part in turn is put on top, and only nodes that agree in it are walked, with the whole budget for what is below. A row thus
+goes to as many tries as there are parts, however large the input. Where the nodes of one part still hold too many rows for a task, the next
+`depth` bits cut them into blocks, and a block is joined with itself and with those later blocks whose bits differ in no more places than the budget.
 
 A task returns no pairs but a forest: for each linked value its task-wide representative, so the output stays in
 proportion to the input even where thousands of copies link to each other. Node pairs whose values are
-all known to be linked already are skipped; lower budgets are walked first for that. Where links are only candidates, to be
-verified on the texts, a task returns pairs: all of them, but for values that have `fan` pairs each and are connected already. Components over all tasks
+all known to be linked already are skipped; lower budgets are walked first for that. Components over all tasks
 come from alternating large-star and small-star steps, which are groupings and joins of the edge table.
+
+Where links are only candidates, to be verified on the texts, a task returns pairs with their distance. In a dense group it first returns a few
+nearest pairs of each value and names the values of which it left pairs out. What verifies makes components; the named values alone are walked again,
+starting from those, with more pairs each: only pairs inside a *verified* component are skipped for good. It ends when no value is named.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from lintel.llm.common import long_id, mix, saved
 LEAF = 64
 #: Node pairs (or value pairs) held at once while walking.
 FRONT = 1 << 19
-#: Rows of a task that walks one block and its neighbours.
-TASK_ROWS = 2_000_000
+#: Rows of a task that walks nodes of one part, and most rows where one such node has more.
+BLOCK_ROWS, TASK_ROWS = 1 << 13, 2_000_000
+#: Pairs of each value that a task returns in the first walk, and how many times as many in each walk after it.
+FAN, FAN_GROWTH = 1, 8
 
 
 def _counts_over_half(hashes: np.ndarray, lanes: int) -> np.ndarray:
@@ -144,15 +149,19 @@ def _merge(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             comp = up
 
 
-def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth: int, width: int, budget: int, wide: np.ndarray | None, most: int, fan: int = 0, pairs: list | None = None) -> np.ndarray:
-    """Least linked companion of each place in `values`.
+def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth: int, width: int, budget: int, wide: np.ndarray | None, most: int, fan: int = 0, pairs: list | None = None, held: np.ndarray | None = None, earlier: tuple[int, ...] = ()) -> np.ndarray:
+    """Least linked companion of each place in `values`; with `fan`, which places it left pairs out of.
 
     values: sorted within each root node; roots: (first, end, first, end, differing bits) of node pairs `depth`
     bits down. With `wide`, rows of whole fingerprints, a pair within budget must also differ in at most `most` bits there.
-    `pairs` takes the linked pairs; one is left out only where both values have `fan` pairs and are connected by them.
+    `pairs` takes the linked pairs and their distances; one is left out where `held` (the least place of each verified component) joins it, and for now where both
+    values have `fan` pairs and are connected by them. earlier: masks of parts of which a pair that agrees in one belongs to another trie.
     """
-    comp = np.arange(len(values))
+    comp = np.arange(len(values)) if held is None else held.copy()
+    held = comp.copy()
+    inner = np.append(0, np.cumsum(held[1:] != held[:-1]))
     found, done = np.zeros(len(values), dtype=np.int64), -1
+    left_out = np.zeros(len(values), dtype=bool)
 
     def rank(x):
         """How many pairs each value of x has before this one."""
@@ -162,8 +171,10 @@ def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth:
         out[order] = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
         return out + found[x]
 
-    def keep(a, b):
+    def keep(a, b, bits):
         nonlocal comp
+        near = np.argsort(bits, kind="stable")
+        a, b, bits = a[near], b[near], bits[near]
         few = (rank(a) < fan) | (rank(b) < fan)
         comp = _merge(comp, a[few], b[few])
         new = np.flatnonzero(~few)
@@ -172,7 +183,8 @@ def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth:
             _, first = np.unique(np.sort(np.stack([comp[a[new]], comp[b[new]]]), axis=0), axis=1, return_index=True)
             few[new[first]] = True
             comp = _merge(comp, a[new[first]], b[new[first]])
-        pairs.append((a[few], b[few]))
+        left_out[a[~few]] = left_out[b[~few]] = True
+        pairs.append((a[few], b[few], bits[few]))
         np.add.at(found, a[few], 1)
         np.add.at(found, b[few], 1)
     one = np.uint64(1)
@@ -184,7 +196,11 @@ def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth:
             wide2 = int(hi2[i] - lo2[i])
             for s in range(int(lo1[i]), int(hi1[i]), rows := max(1, FRONT // wide2)):
                 e = min(s + rows, int(hi1[i]))
-                if (comp[s:e] != comp[lo1[i]]).any() or (comp[lo2[i] : hi2[i]] != comp[lo1[i]]).any() or (found[s:e] < fan).any() or (found[lo2[i] : hi2[i]] < fan).any():
+                if (held[s:e] == held[s]).all() and (held[lo2[i] : hi2[i]] == held[s]).all():
+                    continue
+                if (comp[s:e] == comp[s]).all() and (comp[lo2[i] : hi2[i]] == comp[s]).all() and (found[s:e] >= fan).all() and (found[lo2[i] : hi2[i]] >= fan).all():
+                    left_out[s:e] = left_out[lo2[i] : hi2[i]] = True
+                else:
                     for t in range(int(lo2[i]), int(hi2[i]), FRONT):
                         compare(*(np.array([x]) for x in (s, e, t, min(t + FRONT, int(hi2[i])))), allowed)
         if large.any():
@@ -200,16 +216,24 @@ def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth:
             k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             w = (hi2 - lo2)[at]
             a, b = lo1[at] + k // w, lo2[at] + k % w
-            bits = np.bitwise_count(values[a] ^ values[b])
+            differ = values[a] ^ values[b]
+            bits = np.bitwise_count(differ)
             near = (a < b) & (bits <= allowed) & (bits > done)  # fewer bits: compared with a lower budget
-            a, b = a[near], b[near]
+            a, b, differ = a[near], b[near], differ[near]
+            for mask in earlier:
+                apart = (differ & np.uint64(mask)) != 0
+                a, b, differ = a[apart], b[apart], differ[apart]
             if wide is not None and len(a):
+                fresh = held[a] != held[b]
+                a, b = a[fresh], b[fresh]
                 fresh = (comp[a] != comp[b]) | (found[a] < fan) | (found[b] < fan)
+                left_out[a[~fresh]] = left_out[b[~fresh]] = True
                 a, b = a[fresh], b[fresh]
-                good = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= most
-                a, b = a[good], b[good]
+                bits = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1)
+                good = bits <= most
+                a, b, bits = a[good], b[good], bits[good]
             if len(a) and pairs is not None:
-                keep(a, b)
+                keep(a, b, bits)
             elif len(a):
                 comp = _merge(comp, a, b)
 
@@ -225,6 +249,13 @@ def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth:
             if fan:
                 open_ = np.append(0, np.cumsum(found < fan))
                 known &= (open_[hi1] == open_[lo1]) & (open_[hi2] == open_[lo2])
+                verified = (inner[hi1 - 1] == inner[lo1]) & (inner[hi2 - 1] == inner[lo2]) & (held[lo1] == held[lo2])
+                skipped, ends = np.zeros(len(values) + 1, dtype=np.int64), known & ~verified
+                for lo, hi in ((lo1[ends], hi1[ends]), (lo2[ends], hi2[ends])):
+                    np.add.at(skipped, lo, 1)
+                    np.add.at(skipped, hi, -1)
+                left_out |= np.cumsum(skipped[:-1]) > 0
+                known |= verified
             small = ~known & (((hi1 - lo1) * (hi2 - lo2) <= LEAF) | (level >= width))
             if small.any():
                 compare(lo1[small], hi1[small], lo2[small], hi2[small], allowed)
@@ -252,33 +283,56 @@ def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth:
             for s in range(0, len(kids[0]), FRONT):
                 stack.append((level + 1, *(x[s : s + FRONT] for x in kids)))
         done = allowed
-    return comp
+    return left_out if fan else comp
+
+
+def parts(width: int, budget: int) -> list[tuple[int, int]]:
+    """Where each of the budget + 1 parts of a word begins, from the top, and how many bits it has."""
+    sizes = [width // (budget + 1) + (k < width % (budget + 1)) for k in range(budget + 1)]
+    return [(sum(sizes[:k]), size) for k, size in enumerate(sizes)]
+
+
+def earlier_parts(width: int, budget: int, part: int) -> tuple[int, ...]:
+    """Masks of the parts before `part` in a word that is rotated so that `part` is on top."""
+    cuts = parts(width, budget)
+    return tuple(((1 << size) - 1) << (cuts[part][0] - at - size) for at, size in cuts[:part])
+
 
+def _block_task(depths: list[int], width: int, budget: int, most: int | None, fan: int):
+    """depths: bits below each part that cut its nodes into blocks."""
 
-def _block_task(depth: int, width: int, budget: int, most: int | None, fan: int):
     def task(table):
         import pyarrow as pa
 
         table = table.combine_chunks()
-        block = table.column("block")[0].as_py()
+        part = table.column("part")[0].as_py()
+        depth = parts(width, budget)[part][1] + depths[part]
         values = table.column("value").to_numpy().view(np.uint64)
         order = np.argsort(values, kind="stable")
         values = values[order]
         prefix = (values >> np.uint64(width - depth)).astype(np.int64)
         firsts = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
         ends = np.append(firsts[1:], len(values))
-        # The block itself is the first; pairs of later blocks belong to other tasks.
-        roots = [(0, int(ends[0]), int(s), int(e), int(prefix[s] ^ block).bit_count()) for s, e in zip(firsts, ends, strict=True)] if prefix[0] == block else []
-        wide = None
+        if depths[part]:
+            # The block itself is the first; pairs of later blocks belong to other tasks.
+            block = table.column("block")[0].as_py()
+            roots = [(0, int(ends[0]), int(s), int(e), int(prefix[s] ^ block).bit_count()) for s, e in zip(firsts, ends, strict=True)] if prefix[0] == block else []
+        else:
+            roots = [(int(s), int(e), int(s), int(e), 0) for s, e in zip(firsts, ends, strict=True) if e - s > 1]
+        wide = held = None
         if most is not None:
             lists = table.column("fp").combine_chunks()
             wide = lists.flatten().to_numpy().view(np.uint64).reshape(len(values), -1)[order]
+            _, first, of = np.unique(table.column("root").to_numpy()[order], return_index=True, return_inverse=True)
+            held = first[of]
         pairs = [] if fan else None
-        comp = walk(values, roots, depth, width, budget, wide, most or 0, fan, pairs)
+        comp = walk(values, roots, depth, width, budget, wide, most or 0, fan, pairs, held, earlier_parts(width, budget, part))
         ids = table.column("id").to_numpy()[order]
         if fan:
-            a, b = (ids[np.concatenate([*x, np.zeros(0, dtype=np.int64)])] for x in (zip(*pairs, strict=True) if pairs else ((), ())))
-            return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+            a, b, bits = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), (), ())))
+            out = np.flatnonzero(comp)
+            a, b, bits = (np.concatenate(x) for x in ((ids[a], ids[out]), (ids[b], ids[out]), (bits, np.zeros(len(out), dtype=np.int64))))
+            return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "bits": bits})
         linked = np.flatnonzero(comp != np.arange(len(comp)))
         return pa.table({"a": ids[linked], "b": ids[comp[linked]]})
 
@@ -286,25 +340,34 @@ def _block_task(depth: int, width: int, budget: int, most: int | None, fan: int)
 
 
 def trie_links(values: DataFrame, width: int, words: int, budget: int, most: int | None = None, fan: int = 0) -> DataFrame:
-    """Edges a, b (ids) that connect what links; with `fan` candidate pairs, of each value that many at least, if it has them.
+    """Edges a, b (ids) that connect what links; with `fan` candidate pairs a, b, bits (their distance), of each value that many at least, if
+    it has them, and a row with a = b for each value of which a pair was left out.
 
     values: id (long, one per fingerprint) and fp (array of longs). The first `words` words of `width` bits each
-    are joined within `budget`; with `most`, whole fingerprints must also differ in at most that many bits.
+    are joined within `budget`; with `most`, whole fingerprints must also differ in at most that many bits, and pairs of one `root` (a column of values) are known.
     """
     n = values.count()
-    depth = 0
-    while depth < min(width, 20) and (depth < 4 or n / 2**depth * sum(comb(depth, k) for k in range(budget + 1)) / 2 > TASK_ROWS):
-        depth += 1
+    cuts, depths, coarse = parts(width, budget), [], []
+    for _, size in cuts:
+        depth = 0
+        while depth < min(width - size, 20) and n / 2 ** (size + depth) * (sum(comb(depth, k) for k in range(budget + 1)) / 2 if depth else 1) > TASK_ROWS:
+            depth += 1
+        depths.append(depth)
+        # Small nodes share a task, as many as make BLOCK_ROWS together.
+        coarse.append(0 if depth else min(size, max(0, int(math.log2(max(1.0, BLOCK_ROWS * 2**size / max(1, n)))))))
     per = 64 // width
-    masks = F.split(F.lit(",".join(str(m) for m in range(2**depth) if m.bit_count() <= budget)), ",").cast("array<int>")
-    parts = [
-        F.struct(F.lit(w).alias("word"), (F.shiftrightunsigned(F.element_at("fp", w // per + 1), (w % per) * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))).alias("value"))
-        for w in range(words)
-    ]
-    rows = values.select("id", *(["fp"] if most is not None else []), F.inline(F.array(*parts)))
-    own = F.shiftrightunsigned("value", width - depth).cast("int")
-    rows = rows.withColumn("own", own).withColumn("block", F.explode(masks)).withColumn("block", F.col("own").bitwiseXOR(F.col("block"))).where("block <= own").drop("own")
-    return rows.groupBy("word", "block").applyInArrow(_block_task(depth, width, budget, most, fan), "a long, b long")
+    whole = F.lit((1 << width) - 1 if width < 64 else -1)
+    tries = []
+    for w in range(words):
+        word = F.shiftrightunsigned(F.element_at("fp", w // per + 1), (w % per) * width).bitwiseAND(whole)
+        for k, (at, size) in enumerate(cuts):
+            turned = F.shiftleft(word, at).bitwiseOR(F.shiftrightunsigned(word, width - at)).bitwiseAND(whole) if at else word
+            own = F.shiftrightunsigned(turned, width - size - depths[k])
+            masks = F.split(F.lit(",".join(str(m) for m in range(2 ** depths[k]) if m.bit_count() <= budget)), ",").cast("array<long>")
+            tries.append(F.struct(F.lit(w).alias("word"), F.lit(k).alias("part"), turned.alias("value"), own.alias("own"), (masks if depths[k] else F.array(F.lit(None).cast("long"))).alias("masks"), F.shiftrightunsigned(own, coarse[k]).alias("block")))
+    rows = values.select("id", *(["fp", "root"] if most is not None else []), F.inline(F.array(*tries)))
+    rows = rows.withColumn("mask", F.explode("masks")).withColumn("block", F.coalesce(F.col("own").bitwiseXOR(F.col("mask")), "block")).where("block <= own").drop("own", "masks", "mask")
+    return rows.groupBy("word", "part", "block").applyInArrow(_block_task(depths, width, budget, most, fan), "a long, b long" + ", bits long" * bool(fan))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -337,7 +400,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
-def _grouped(docs: DataFrame, ngram: int = 5, bits: int = 256, width: int = 32, budget: int = 4, similarity: float | None = 0.8, fan: int = 8) -> DataFrame:
+def _grouped(docs: DataFrame, ngram: int = 5, bits: int = 256, width: int = 32, budget: int = 4, similarity: float | None = 0.8) -> DataFrame:
     """near_duplicates() with the rows' key and fp instead of the fingerprint."""
     keyed = similarity is not None
     prints = saved(fingerprints(docs, ngram, bits, keyed), "prints")
@@ -345,31 +408,51 @@ def _grouped(docs: DataFrame, ngram: int = 5, bits: int = 256, width: int = 32,
     known = prints.groupBy(*copies).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"))
     if not keyed:
         values = saved(known.select(F.col("fp")[0].alias("id"), "fp", "least"), "values")
-        links = trie_links(values, width, 1, budget)
-    else:
-        # The angle between 0/1 vectors of sets with this Jaccard similarity.
-        p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        most = round(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
-        values = saved(known.select(F.xxhash64(*copies).alias("id"), *copies, "least", "key"), "values")
-        proposed = saved(trie_links(values, width, bits // width, budget, most, fan).distinct(), "proposed")
-        return _named(prints, values, copies, _verified_roots(proposed, shingle_sets(proposed, values, docs, ngram), similarity))
-    return _named(prints, values, copies, components(links))
-
-
-def _verified_roots(proposed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """components() of the candidates that hold, found in two steps: first each value's candidate of least id, then the others
+        return _named(prints, values, copies, components(trie_links(values, width, 1, budget)))
+    # The angle between 0/1 vectors of sets with this Jaccard similarity.
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = round(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
+    values = saved(known.select(F.xxhash64(*copies).alias("id"), *copies, "least", "key"), "values")
+    return _named(prints, values, copies, _verified_components(values, docs, ngram, width, bits // width, budget, most, similarity))
+
+
+def _verified_components(values: DataFrame, docs: DataFrame, ngram: int, width: int, words: int, budget: int, most: int, similarity: float) -> DataFrame:
+    """components() of all candidates that hold, but for those that others connect.
+
+    Walks and verifications take turns. A walk names the values of which it left pairs out; those are walked again, from the components verified so far and
+    with FAN_GROWTH times as many pairs each, until none is named. So every candidate is verified or lies inside a verified component.
+    """
+    left, fan = values.withColumn("root", F.col("id")), FAN
+    roots = tried = None
+    while True:
+        found = saved(trie_links(left, width, words, budget, most, fan).distinct(), "proposed")
+        pairs = found.where("a <> b")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = saved(pairs, "candidates")
+        roots = _verified_roots(pairs, shingle_sets(pairs, values, docs, ngram), similarity, roots)
+        named = found.where("a = b").select(F.col("a").alias("id"))
+        if named.isEmpty():
+            return roots
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        again = values.select("id", "fp").join(named, "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+        left, fan = saved(again.select("id", "fp", F.coalesce("root", "id").alias("root")), "left"), fan * FAN_GROWTH
+
+
+def _verified_roots(proposed: DataFrame, sets: DataFrame, similarity: float, roots: DataFrame | None) -> DataFrame:
+    """components() of the candidates that hold and of `roots`, found in two steps: first each value's nearest candidate, then the others
     between values that those don't connect. A link inside a component adds nothing, and in a dense group that is nearly every one."""
-    first = proposed.groupBy("a").agg(F.min("b").alias("b"))
-    roots = saved(components(similar_links(first, sets, similarity)), "roots")
+    ends = lambda links, roots: links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    both = proposed.unionByName(proposed.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
+    first = both.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("of")).select(F.greatest("a", "of.b").alias("a"), F.least("a", "of.b").alias("b")).distinct()
+    first = saved(first, "nearest")
+    roots = saved(components(ends(similar_links(first, sets, similarity), roots)), "roots")
     of = lambda side: roots.select(F.col("node").alias(f"node_{side}"), F.col("root").alias(f"root_{side}"))
-    found = proposed.join(of("a"), F.col("a") == F.col("node_a"), "left").join(of("b"), F.col("b") == F.col("node_b"), "left")
-    found = found.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")).where("root_a <> root_b")
-    rest = saved(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    rest = proposed.select("a", "b").join(first, ["a", "b"], "left_anti")
+    rest = rest.join(of("a"), F.col("a") == F.col("node_a"), "left").join(of("b"), F.col("b") == F.col("node_b"), "left")
+    rest = saved(rest.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")).where("root_a <> root_b"), "rest")
     links = similar_links(rest, sets, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    above = saved(components(links), "roots")
-    up = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    moved = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return moved.unionByName(above)
+    return saved(components(ends(links, roots)), "roots")
 
 
 def _named(prints: DataFrame, values: DataFrame, copies: list[str], roots: DataFrame) -> DataFrame:
@@ -385,13 +468,13 @@ def _named(prints: DataFrame, values: DataFrame, copies: list[str], roots: DataF
 def near_duplicates(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id: the least doc_id reachable over links, the row's own included.
 
-    Parameters: ngram, bits, width, budget, similarity, fan, as in _grouped.
+    Parameters: ngram, bits, width, budget, similarity, as in _grouped.
     Texts are taken whole with A-Z in lower case; shingles are `ngram` words with repeats, a shorter text is one
     shingle, and a text without words has fingerprint zero and links like any other. With `similarity` (of shingle sets, Jaccard)
     the fingerprints only propose: a pair within the budget in one word is a candidate if whole fingerprints
     differ in no more bits than texts of that similarity do, plus 3 standard deviations, so that few true links get lost, and it
-    links if the similarity of its shingle sets, without repeats, is that high. Equal sets with equal fingerprints are copies. In a dense group candidates
-    that are connected by others are left out once each has `fan` in a task. The defaults propose for certain what
+    links if the similarity of its shingle sets, without repeats, is that high. Equal sets with equal fingerprints are copies. Every candidate
+    is verified unless verified links connect it already. The defaults propose for certain what
     differs in (budget + 1) * words - 1 = 39 of 256 bits, where similarity 0.8 is expected. Without `similarity` the first word alone decides.
 
     A null text is an empty one. Null doc_ids take part like others but never are a component's least id (null where
