@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ from lintel.llm.packing import _byte_letters
 
 #: Bytes of text whose pairs are looked up together; a longer text is a chunk of its own.
 CHUNK_BYTES = 16 << 20
+#: Bytes of text that one step aligns: a byte of text takes about 100 of numbers there.
+STEP_BYTES = 1 << 17
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -94,10 +97,11 @@ class Pair:
         """Alignment of texts that aren't empty: which ones have tokens, their counts and group digests, and their links: ids, owner, and whether the identity map names them."""
         blank, a_of, b_of = [(" " + x).encode() for x in texts], self.encode_a(texts), self.encode_b(texts)
         good = [i for i, x in enumerate(blank) if b"".join(map(self.bytes_a.__getitem__, a_of[i])) == x == b"".join(map(self.bytes_b.__getitem__, b_of[i]))]
-        flat = lambda of: (np.fromiter((t for i in good for t in of[i]), dtype=np.int64), np.append(0, np.cumsum([len(of[i]) for i in good], dtype=np.int64)))
+        flat = lambda of: (np.fromiter(chain.from_iterable(of[i] for i in good), dtype=np.int64), np.append(0, np.cumsum([len(of[i]) for i in good], dtype=np.int64)))
         (a, a_bounds), (b, b_bounds) = flat(a_of), flat(b_of)
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        ends = np.unique(np.concatenate([end_a, end_b]))
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")  # two runs to merge
+        ends = ends[np.append(True, ends[1:] != ends[:-1])[: len(ends)]]
         in_a, in_b = np.zeros(len(ends), dtype=bool), np.zeros(len(ends), dtype=bool)
         at_a, at_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
         in_a[at_a] = in_b[at_b] = True
@@ -167,7 +171,7 @@ def _align_batches(load: Callable, chunk_bytes: int):
 
         for batch in batches:
             bounds = text_bytes(batch.column("text"))[1]
-            for i, j in steps(bounds):
+            for i, j in steps(bounds, STEP_BYTES):
                 size = int(bounds[j] - bounds[i])
                 if held and held + size > chunk_bytes:
                     yield chunk()
@@ -196,6 +200,7 @@ def _align_batches(load: Callable, chunk_bytes: int):
                     j - i, part=pa.array(["text"] * (j - i)), chunk=pa.array([number] * (j - i)), doc_id=batch.column("doc_id").slice(i, j - i), groups_sha256=pa.array(names),
                     same=lists(a[same].astype(np.int32), size_same), codes=lists(mine, size_mine), totals=lists(n, size_mine), **{c: pa.array(numbers[:, k]) for k, c in enumerate(_COUNTS)},
                 )
+            pa.default_memory_pool().release_unused()  # a batch's rows; workers of other tasks share the executor's memory
         if held:
             yield chunk()
         known = np.flatnonzero(vector)
@@ -219,6 +224,7 @@ def _same_batches(vectors):
             made = [pa.array(s[bounds[1:] - bounds[0]] - s[bounds[:-1] - bounds[0]]) for s in sums]
             kept = [c for c in batch.schema.names if c != "same"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, "first_best", "first_sum"])
+            pa.default_memory_pool().release_unused()
 
     return task
 
