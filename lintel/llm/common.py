@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A folder for this application under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing, as in tests on one machine, a temporary folder takes its place.
+    Only where that setting is missing and the master is local, as in tests on one machine, a temporary folder takes its place; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir is not set: executors of a cluster share no temporary folder")
             base = "file://" + tempfile.mkdtemp(prefix="lintel-")
             sc.setCheckpointDir(base)
         _FOLDERS[sc.applicationId] = f"{base.rstrip('/')}/lintel-{sc.applicationId}"
@@ -81,8 +84,9 @@ TRAINING_BYTES = 32 << 20
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class_bytes: int = TRAINING_BYTES):
     """Texts (an Arrow column), 0/1 labels and weights of a bounded sample of labelled rows outside fold 0.
 
-    Of each class the `per_class` ids with the least hash, as many of them in that order as hold `class_bytes` bytes of text; a class's weights
-    add up to its number of labelled rows. Null labels and ids are left out; an id with several labels counts once, with the greatest;
+    Of each class the `per_class` ids with the least hash, as many of them in that order as hold `class_bytes` bytes of text. Texts longer than a sixteenth
+    of those bytes come after all others, the shortest first, and a class's first text is taken whatever its length, so that no class with a text is
+    empty. A class's weights add up to its number of labelled rows. Null labels and ids are left out; an id with several labels counts once, with the greatest;
     of several texts of one id the one with the least hash counts.
     """
     import pyarrow as pa
@@ -96,9 +100,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     rows = docs.select(long_id(docs), text.alias("text")).join(ids, "doc_id").withColumn("key", F.xxhash64("text"))
     rows = saved(rows, "labelled")
     # One row per id, without texts: 2 * per_class at most.
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    texts = rows.groupBy("doc_id", "label").agg(F.min(F.struct("key", F.octet_length("text").alias("n"))).alias("of")).select("doc_id", "label", "of.key", F.sum("of.n").over(order).alias("so_far"))
-    texts = texts.where(F.col("so_far") <= class_bytes).select("doc_id", "key")
+    texts = rows.groupBy("doc_id", "label").agg(F.min(F.struct("key", F.octet_length("text").alias("n"))).alias("of")).select("doc_id", "label", "of.*")
+    long = F.when(F.col("n") > class_bytes // 16, F.col("n")).otherwise(0)
+    order = Window.partitionBy("label").orderBy(long, F.xxhash64("doc_id"), "doc_id")
+    texts = texts.select("doc_id", "key", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"), F.row_number().over(order).alias("place"))
+    texts = texts.where((F.col("so_far") <= class_bytes) | (F.col("place") == 1)).select("doc_id", "key")
     found = rows.join(F.broadcast(texts), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "text", "label").toArrow().sort_by("doc_id")
     values = np.asarray(found.column("label"), dtype=np.int64)
     counts = np.bincount(values, minlength=2)

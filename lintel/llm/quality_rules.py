@@ -3,7 +3,7 @@
 Texts within the limits become vectors of transformed statistics. For each language and source, the minimum
 covariance determinant is approached from three starts (coordinate-wise medians, all rows, the rows near all medians) by
 concentration steps: take the `SHARE` of rows with the least Mahalanobis distances, estimate mean and covariance on those, and
-again until no determinant changes by more than `SETTLED`. Of the three the one with the least determinant counts. A row
+again until no determinant changes by more than `SETTLED` (an error is raised if `STEPS` steps are not enough). Of the three the one with the least determinant counts. A row
 is rejected if its distance from that estimate is beyond `CUT`. A covariance of five statistics needs some rows: groups of fewer than
 `LEAST` share one estimate per language, and where even that has fewer there is none and all rows are kept.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lintel.llm.common import long_id, saved
 
 #: Rows that a concentration step keeps, most steps, change of a determinant's logarithm that counts as none, rows a group needs (ten for each statistic), bins of a distance histogram per unit of its logarithm.
-SHARE, STEPS, SETTLED, LEAST, BINS = 0.75, 12, 0.02, 50, 40
+SHARE, STEPS, SETTLED, LEAST, BINS = 0.75, 60, 0.02, 50, 40
 #: Squared distance beyond which a row is rejected (chi-square with 5 degrees of freedom: 0.999999), and the median of that distribution.
 CUT, MEDIAN = 35.9, 4.351
 #: Least standard deviation of each statistic, so that a group of near-constants rejects nothing for a trifle: 5 % of the number of words and of their
@@ -146,6 +146,8 @@ def estimates(rows: DataFrame) -> DataFrame:
         factors = new
         if change is None or change <= SETTLED:
             break
+    else:
+        raise RuntimeError(f"estimates are not settled after {STEPS} steps")
     factors = saved(factors.groupBy("g").agg(F.min_by(F.struct(*[c for c in factors.columns if c != "g"]), F.struct("det", "start")).alias("best")).select("g", "best.*"), "estimates")
     # The kept share is too narrow; its median distance says by how much.
     scale = _quantile(_distances(rows, factors), "d2", 0.5).select("g", F.greatest(F.col("limit") / MEDIAN, F.lit(1.0)).alias("scale"))

@@ -540,6 +540,31 @@ def test_training_rows_are_bounded_and_settled(spark):
     assert texts.to_pylist() == again[0].to_pylist() and training_rows(docs, labels.limit(0), "quality", 5)[1].size == 0
 
 
+def test_long_training_texts_empty_no_class(spark):
+    from lintel.llm.common import training_rows
+
+    known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, i % 2) for i in known], "doc_id long, quality int")
+    for long in known:  # whichever stands first in the order
+        rows = [(i, "t" * (80_000 if i == long else 100)) for i in known]
+        _, values, _ = training_rows(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), labels, "quality", 100, class_bytes=50_000)
+        assert np.bincount(values).tolist() == [sum(i % 2 == c and i != long for i in known) for c in (0, 1)]
+        if long > known[3]:
+            break
+    texts, values, _ = training_rows(spark.createDataFrame([(i, "t" * (60_000 + i)) for i in known], "doc_id long, text string"), labels, "quality", 100, class_bytes=50_000)
+    assert values.tolist() == [0, 1] and [len(t.as_py()) for t in texts] == [60_000 + min(i for i in known if i % 2 == c) for c in (0, 1)]
+
+
+def test_temporary_folders_are_for_local_masters():
+    from types import SimpleNamespace
+
+    from lintel.llm import common
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="none", master="spark://host:7077"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError):
+        common.shared_folder(session)
+
+
 def test_pipeline_by_brute_force(spark, sf):
     """Each stage on the given documents against plain loops over all pairs, windows and words."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
