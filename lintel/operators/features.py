@@ -95,46 +95,6 @@ def embed_texts(rows: DataFrame, encoder_factory: Callable = hashing_encoder, ba
     return rows.select("id", "text").mapInPandas(task, "id long, embedding array<double>, error string")
 
 
-#: Vectors or queries that one side of a task holds.
-BLOCK_ROWS = 20_000
-
-
-def cosine_neighbours(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest vectors by cosine of each query (both: id, v), itself left out: query, id, similarity, rank; ties by id.
-
-    Vectors and queries are dealt into blocks of about `block_rows`, as many as their counts ask for. Every block of vectors meets every
-    block of queries once, in numpy, and hands on the best k per query. Null ids and vectors are left out.
-    """
-    near_rows, asked_rows = vectors.where("id is not null and v is not null"), queries.where("id is not null and v is not null")
-    near_blocks, asked_blocks = (df.count() // block_rows + 1 for df in (near_rows, asked_rows))
-
-    def task(key, left, right):
-        import numpy as np
-        import pandas as pd
-
-        if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "id": [], "similarity": []})
-        left = left.sort_values("id")  # a stable order by similarity then leaves ties by id
-        a, b = (np.stack(x["v"].to_numpy()).astype(float) for x in (left, right))
-        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (a, b))
-        out, ids, own = [], left["id"].to_numpy(), right["id"].to_numpy()
-        for i in range(0, len(b), 512):
-            s = np.round(b[i : i + 512] @ a.T, 12)
-            s[own[i : i + 512, None] == ids[None, :]] = -2
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query": np.repeat(own[i : i + 512], best.shape[1]), "id": ids[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()}))
-        found = pd.concat(out)
-        return found[found["similarity"] > -1.5]
-
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("long"))
-    own = near_rows.select("id", "v", block(near_blocks).alias("a"), every(asked_blocks).alias("b"))
-    asked = asked_rows.select("id", "v", block(asked_blocks).alias("b"), every(near_blocks).alias("a"))
-    near = own.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInPandas(task, "query long, id long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-
-
 def pca(vectors: DataFrame, k: int = 2) -> DataFrame:
     """id and the first k principal components of v."""
     from pyspark.ml.feature import PCA, StandardScaler

@@ -1,7 +1,6 @@
 """Graphs of elements: nodes, edges, triples and their statistics.
 
-Pairs within a group grow with its square. Where the result asks for all pairs, groups are joined with themselves by key and `a.ord < b.ord`,
-which adaptive execution can split; `star_edges` is the linear alternative for consumers that only need connectivity.
+Pairs within a group grow with its square: those are kept as classes with members (cliques.py), in linear size; `star_edges` serves consumers that only need connectivity.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel.functions.values import encode_fire_rating, escaped, literal_type
+from lintel.operators import cliques
 from lintel.operators.ranks import dense_index
 
 
@@ -42,24 +42,25 @@ def union_edges(rows: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.max_by("edge_type", F.struct("seq", "edge_type")).alias("edge_type"))
 
 
-def property_graph_edges(elements: DataFrame, properties: DataFrame, same_storey: bool = False) -> DataFrame:
-    """src, dst, edge_type, one per pair of nodes; the last type wins. With `same_storey` also all pairs of elements in one container, the
-    earlier first: they grow with the square of a container, and star_edges connects the same with one edge an element."""
+def property_graph_edges(elements: DataFrame, properties: DataFrame) -> DataFrame:
+    """src, dst, edge_type, one per pair of nodes; the last type wins."""
     sets = properties.select(F.col("global_id").alias("src"), F.concat_ws("/", "global_id", "pset").alias("dst"), F.lit("HAS_PSET").alias("edge_type"), F.lit(0).alias("seq"))
     props = properties.select(F.concat_ws("/", "global_id", "pset").alias("src"), F.concat_ws("/", "global_id", "pset", "prop").alias("dst"), F.lit("HAS_PROPERTY").alias("edge_type"), F.lit(1).alias("seq"))
     rows = sets.unionByName(props)
     for k, (c, kind, name) in enumerate((("ifc_class", "class", "CLASSIFIED_AS"), ("material", "material", "HAS_MATERIAL"), ("container", "spatial", "CONTAINED_IN"))):
         rows = rows.unionByName(elements.where(F.col(c).isNotNull()).select(F.col("global_id").alias("src"), F.concat(F.lit(f"{kind}:"), F.col(c)).alias("dst"), F.lit(name).alias("edge_type"), F.lit(2 + k).alias("seq")))
-    if same_storey:
-        rows = rows.unionByName(pairs_sharing(elements, "container").select("src", "dst", F.lit("SAME_STOREY").alias("edge_type"), F.lit(5).alias("seq")))
     return union_edges(rows)
 
 
+def same_storey_edges(elements: DataFrame) -> DataFrame:
+    """src, dst, edge_type, n_links: a SAME_STOREY edge from each element to the class of its container, which stands for its n_links edges to the other members."""
+    rows = cliques.members(elements, "container")
+    return rows.select(F.col("id").alias("src"), F.concat(F.lit("storey:"), "class").alias("dst"), F.lit("SAME_STOREY").alias("edge_type"), "n_links")
+
+
 def pairs_sharing(elements: DataFrame, key: str) -> DataFrame:
-    """src, dst of all pairs with src first in order that share a value of `key`; each pair once."""
-    one = elements.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col("global_id").alias("src"), F.col("ord").alias("a")).distinct()
-    two = one.select("k", F.col("src").alias("dst"), F.col("a").alias("b"))
-    return one.join(two, "k").where("a < b").select("src", "dst").distinct()
+    """src, dst of all pairs with src first in order that share a value of `key`, which each element has one of; each pair once. They grow with the square of a class."""
+    return cliques.expand(cliques.members(elements, key))
 
 
 def star_edges(elements: DataFrame, key: str) -> DataFrame:

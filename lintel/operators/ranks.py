@@ -32,3 +32,14 @@ def index_within(rows: DataFrame, group: str, order: list[Column], name: str = "
     numbered = rows.sparkSession.read.parquet(path)
     first = numbered.groupBy(group).agg(F.min("all_").alias("first_"))
     return numbered.join(first, group).withColumn(name, F.col("all_") - F.col("first_")).drop("all_", "first_")
+
+
+def running_total(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """rows with `name`: the sum of `value` over the rows before it in the order of `order`, dealt like dense_index()."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "ranges")
+    rows.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    sums = dealt.groupBy("range_").agg(F.sum(value).alias("n"))
+    offsets = sums.select("range_", (F.sum("n").over(Window.orderBy("range_")) - F.col("n")).alias("before"))
+    local = F.sum(value).over(Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return dealt.withColumn(name, local).join(F.broadcast(offsets), "range_").withColumn(name, F.col(name) + F.col("before")).drop("range_", "before")  # one row per range of rows

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lintel.functions import text as X
 from lintel.operators import documents as D
-from lintel.operators import features, lake
+from lintel.operators import features, lake, neighbours
 from lintel.plans.registry import query
 from lintel.plans.views import table, view
 
@@ -399,7 +399,14 @@ def vectors(spark, sf):
     from {VECTORS} a join {VECTORS} b on a.id <> b.id where a.id % 20 = 0) t where rank <= 5""")
 def t4_cosine_neighbours(spark, sf):
     v = vectors(spark, sf)
-    return features.cosine_neighbours(v, v.where("id % 20 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
+    return neighbours.nearest_exact(neighbours.build(v), v.where("id % 20 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def t4_index_neighbours(spark, sf):
+    v = vectors(spark, sf)
+    index, asked = neighbours.build(v), v.where("id % 20 = 0")
+    return neighbours.nearest(index, asked, 5, neighbours.probes_for(index, asked, 5))
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintel.functions import values as V
-from lintel.operators import enrich, features, graph, ids, rules
+from lintel.operators import cliques, enrich, features, graph, ids, ranks, rules
 from lintel.plans.registry import query
 from lintel.plans.views import view
 from lintel.sources import readers, sinks
@@ -472,9 +472,10 @@ def t1_property_graph_nodes(spark, sf):
     return nodes(spark, sf)
 
 
-@query(f"select src, dst, edge_type from {EDGES} e union all select a.global_id, b.global_id, 'SAME_STOREY' from v_elements a join v_elements b on a.container = b.container and a.ord < b.ord")
+@query(f"""select src, dst, edge_type, cast(1 as bigint) as n_links from {EDGES} e
+    union all select global_id, 'storey:' || container, 'SAME_STOREY', count(*) over (partition by container) - 1 from v_elements where container is not null""")
 def t1_property_graph_edges(spark, sf):
-    return graph.property_graph_edges(elements(spark, sf), properties(spark, sf), same_storey=True)
+    return edges(spark, sf).withColumn("n_links", F.lit(1).cast("long")).unionByName(graph.same_storey_edges(elements(spark, sf)))
 
 
 # Two writers of one graph: elements with their materials, then the same elements renamed and their materials in capitals.
@@ -502,14 +503,36 @@ def j11_proximity_edges(spark, sf):
     return graph.proximity_edges(elements(spark, sf), 2.5)
 
 
-@query("select a.global_id as src, b.global_id as dst from v_elements a join v_elements b on a.container = b.container and a.ord < b.ord")
+# Elements that share a value: a class and its members stand for all pairs.
+def _members(key: str) -> str:
+    return f"select {key} as class, global_id as id, row_number() over (partition by {key} order by ord) - 1 as rank, count(*) over (partition by {key}) - 1 as n_links from v_elements where {key} is not null"
+
+
+@query(_members("container"))
 def j12_same_level_edges(spark, sf):
-    return graph.pairs_sharing(elements(spark, sf), "container")
+    return cliques.members(elements(spark, sf), "container")
 
 
-@query("select a.global_id as src, b.global_id as dst from v_elements a join v_elements b on a.material = b.material and a.ord < b.ord")
+@query(_members("material"))
 def j13_same_material_edges(spark, sf):
-    return graph.pairs_sharing(elements(spark, sf), "material")
+    return cliques.members(elements(spark, sf), "material")
+
+
+# Some of the pairs, by their numbers within a class: every hundredth.
+@query("""select class, number, src, dst from (select a.container as class, a.global_id as src, b.global_id as dst, row_number() over (partition by a.container order by a.ord, b.ord) - 1 as number
+    from v_elements a join v_elements b on a.container = b.container and a.ord < b.ord) t where number % 100 = 0""")
+def j12_numbered_pairs(spark, sf):
+    rows = cliques.members(elements(spark, sf), "container")
+    some = cliques.classes(rows).where("n_pairs > 0").select("class", "n", F.explode(F.expr("sequence(0L, n_pairs - 1, 100L)")).alias("number"))
+    some = some.select("class", "number", cliques.pair_at(F.col("number"), F.col("n")).alias("at")).select("class", "number", "at.*")
+    of = lambda c, name: rows.select("class", F.col("rank").alias(c), F.col("id").alias(name))
+    return some.join(of("i", "src"), ["class", "i"]).join(of("j", "dst"), ["class", "j"]).select("class", "number", "src", "dst")
+
+
+@query("""select a.global_id as src, b.global_id as dst from v_elements a join v_elements b on a.ord <> b.ord and (a.container = b.container or a.material = b.material) where a.ord % 500 = 0""")
+def j12_neighbours(spark, sf):
+    rows = elements(spark, sf)
+    return cliques.neighbours(rows, ["container", "material"], rows.where("ord % 500 = 0"))
 
 
 @query("""select global_id as src, f as dst from (select global_id, first_value(global_id) over (partition by material order by ord) as f from v_elements where material is not null) t where global_id <> f""")
@@ -677,12 +700,13 @@ def t10_gnn_features(spark, sf):
     return rows.select("global_id", F.array_join(F.transform("features", lambda v: v.cast("int").cast("string")), ",").alias("features"))
 
 
-@query("""select a.idx as src_idx, b.idx as dst_idx from (select *, row_number() over (order by ord) - 1 as idx from v_elements) a join (select *, row_number() over (order by ord) - 1 as idx from v_elements) b
-    on a.ord <> b.ord and (a.container = b.container or a.material = b.material)""")
+# Rows of the coordinate list of all pairs with a common storey or material: where each node's neighbours begin, and how many it has.
+@query("""select idx, degree, cast(coalesce(sum(degree) over (order by idx rows between unbounded preceding and 1 preceding), 0) as bigint) as first from (
+    select row_number() over (order by ord) - 1 as idx, case when container is null then 0 else count(*) over (partition by container) - 1 end + case when material is null then 0 else count(*) over (partition by material) - 1 end
+      - case when container is null or material is null then 0 else count(*) over (partition by container, material) - 1 end as degree from v_elements) t""")
 def t11_gnn_edges(spark, sf):
-    rows = elements(spark, sf)
-    pairs = graph.pairs_sharing(rows, "container").unionByName(graph.pairs_sharing(rows, "material"))
-    return graph.edge_index(graph.undirected(pairs), graph.node_index(rows.select(F.col("global_id").alias("id"), "ord"), "ord"))
+    found = cliques.degrees(elements(spark, sf), ["container", "material"])
+    return ranks.running_total(ranks.dense_index(found, [F.col("ord")]), [F.col("idx")], "degree", "first").select("idx", "degree", "first")
 
 
 LABELS = literals(list(graph.CLASS_LABELS.items()), "ifc_class, code")
