@@ -15,17 +15,21 @@ from lintel.sources.scratch import scratch
 GUID = "substr(md5({}), 1, 22)"
 
 
-# Records of the model as STEP: element E is #100*ord+1, its properties #..10 to 13, their set #..2, relations #..3 to 5, materials from #..20 on; storeys, buildings, sites and
-# their relations count from 1, 2, 3 and 4 thousand million on. The kind of material goes by ord % 7.
+# Records of the model as STEP: element E is #100*ord+1, its properties #..10 to 13, their set #..2, relations #..3 to 5, materials from #..20 on, placement from #..30 on; storeys, buildings, sites and
+# their relations count from 1, 2, 3 and 4 thousand million on, their placements from 6, 7 and 8 on; #9 thousand million is the project. Every other storey is turned by a right angle. The kind of material goes by ord % 7.
 STOREYS = """(select storey, cast(substr(storey, 2) as bigint) as n, min(building) as building from (select storey, building from v_spatial union all select container, null from v_elements where container is not null) t group by 1, 2)"""
-PLACES = f"""(select 1000000000 + n as id, 'IFCBUILDINGSTOREY' as type, storey as place from {STOREYS} s union all select 2000000000 + cast(substr(building, 2) as bigint), 'IFCBUILDING', building from (select distinct building from v_spatial) b
-    union all select 3000000000 + cast(substr(site, 2) as bigint), 'IFCSITE', site from (select distinct site from v_spatial) c)"""
+PLACES = f"""(select 1000000000 + n as id, 'IFCBUILDINGSTOREY' as type, storey as place, 6000000000 + n * 10 as p, case when building is not null then 7000000000 + cast(substr(building, 2) as bigint) * 10 + 2 end as up, n % 2 = 1 as turned from {STOREYS} s
+    union all select 2000000000 + cast(substr(building, 2) as bigint), 'IFCBUILDING', building, 7000000000 + cast(substr(building, 2) as bigint) * 10, 8000000000 + cast(substr(site, 2) as bigint) * 10 + 2, false from (select distinct building, site from v_spatial) b
+    union all select 3000000000 + cast(substr(site, 2) as bigint), 'IFCSITE', site, 8000000000 + cast(substr(site, 2) as bigint) * 10, null, false from (select distinct site from v_spatial) c)"""
 PARTS = f"""(select 4000000000 + n as id, 2000000000 + cast(substr(building, 2) as bigint) as whole, 1000000000 + n as part, building as a, storey as b, 'IFCBUILDING' as ca, 'IFCBUILDINGSTOREY' as cb from {STOREYS} s where building is not null
-    union all select 5000000000 + cast(substr(building, 2) as bigint), 3000000000 + cast(substr(site, 2) as bigint), 2000000000 + cast(substr(building, 2) as bigint), site, building, 'IFCSITE', 'IFCBUILDING' from (select distinct site, building from v_spatial) t)"""
+    union all select 5000000000 + cast(substr(building, 2) as bigint), 3000000000 + cast(substr(site, 2) as bigint), 2000000000 + cast(substr(building, 2) as bigint), site, building, 'IFCSITE', 'IFCBUILDING' from (select distinct site, building from v_spatial) t
+    union all select 10000000000 + cast(substr(site, 2) as bigint), 9000000000, 3000000000 + cast(substr(site, 2) as bigint), 'Project', site, 'IFCPROJECT', 'IFCSITE' from (select distinct site from v_spatial) t)"""
 KIND = "case ord % 7 when 0 then 'list' when 1 then 'layer' when 2 then 'layer usage' when 3 then 'profile' when 4 then 'profile usage' else 'single' end"
 HAS = "material is not null"
 # id, type and references (in order) of every record.
-STEP = f"""(select ord * 100 + 1 as id, upper(ifc_class) as type, [] as refs from v_elements
+STEP = f"""(select ord * 100 + 1 as id, upper(ifc_class) as type, [ord * 100 + 32] as refs from v_elements
+    union all select ord * 100 + 30, 'IFCCARTESIANPOINT', [] from v_elements union all select ord * 100 + 31, 'IFCAXIS2PLACEMENT3D', [ord * 100 + 30] from v_elements
+    union all select ord * 100 + 32, 'IFCLOCALPLACEMENT', case when container is null then [ord * 100 + 31] else [6000000000 + cast(substr(container, 2) as bigint) * 10 + 2, ord * 100 + 31] end from v_elements
     union all select (ord // 4) * 100 + 10 + ord % 4, 'IFCPROPERTYSINGLEVALUE', [] from v_properties union all select (ord // 4) * 100 + 2, 'IFCPROPERTYSET', list((ord // 4) * 100 + 10 + ord % 4 order by ord) from v_properties group by 1
     union all select ord * 100 + 3, 'IFCRELDEFINESBYPROPERTIES', [ord * 100 + 1, ord * 100 + 2] from v_elements
     union all select ord * 100 + 4, 'IFCRELCONTAINEDINSPATIALSTRUCTURE', [ord * 100 + 1, 1000000000 + cast(substr(container, 2) as bigint)] from v_elements where container is not null
@@ -36,7 +40,8 @@ STEP = f"""(select ord * 100 + 1 as id, upper(ifc_class) as type, [] as refs fro
     union all select ord * 100 + 24, 'IFCMATERIALLAYERSETUSAGE', [ord * 100 + 23] from v_elements where {HAS} and {KIND} = 'layer usage'
     union all select ord * 100 + 25, 'IFCMATERIALPROFILE', [ord * 100 + 20] from v_elements where {HAS} and {KIND} like 'profile%' union all select ord * 100 + 26, 'IFCMATERIALPROFILESET', [ord * 100 + 25] from v_elements where {HAS} and {KIND} like 'profile%'
     union all select ord * 100 + 27, 'IFCMATERIALPROFILESETUSAGE', [ord * 100 + 26] from v_elements where {HAS} and {KIND} = 'profile usage'
-    union all select id, type, [] from {PLACES} p union all select id, 'IFCRELAGGREGATES', [whole, part] from {PARTS} a)"""
+    union all select id, type, [p + 2] from {PLACES} p union all select 9000000000, 'IFCPROJECT', [] union all select p, 'IFCCARTESIANPOINT', [] from {PLACES} p union all select p + 1, 'IFCAXIS2PLACEMENT3D', case when turned then [p, p + 3] else [p] end from {PLACES} p
+    union all select p + 2, 'IFCLOCALPLACEMENT', case when up is null then [p + 1] else [up, p + 1] end from {PLACES} p union all select p + 3, 'IFCDIRECTION', [] from {PLACES} p where turned union all select id, 'IFCRELAGGREGATES', [whole, part] from {PARTS} a)"""
 
 
 def step_rows(spark, sf) -> DataFrame:
@@ -52,7 +57,9 @@ def step_rows(spark, sf) -> DataFrame:
     kinds = F.when(F.col("ord") % 7 == 0, "list").when(F.col("ord") % 7 == 1, "layer").when(F.col("ord") % 7 == 2, "layer usage").when(F.col("ord") % 7 == 3, "profile").when(F.col("ord") % 7 == 4, "profile usage").otherwise("single")
     at = F.when(kind == "single", own(20)).when(kind == "list", own(21)).when(kind == "layer", own(23)).when(kind == "layer usage", own(24)).when(kind == "profile", own(26)).otherwise(own(27))
     lines = [
-        line(1, F.upper("ifc_class"), "('", guid("", F.col("global_id")), "',$,'", F.col("name"), "',$,$)"), rel(3, "IFCRELDEFINESBYPROPERTIES", "d", own(2)),
+        line(1, F.upper("ifc_class"), "('", guid("", F.col("global_id")), "',$,'", F.col("name"), "',$,$,", own(32), ",$)"),
+        line(30, "IFCCARTESIANPOINT((", F.col("x").cast("string"), ",", F.col("y").cast("string"), ",", F.col("z").cast("string"), "))"), line(31, "IFCAXIS2PLACEMENT3D(", own(30), ",$,$)"),
+        line(32, "IFCLOCALPLACEMENT(", F.coalesce(ref(number("container") * 10 + 6_000_000_002), F.lit("$")), ",", own(31), ")"), rel(3, "IFCRELDEFINESBYPROPERTIES", "d", own(2)),
         F.when(F.col("container").isNotNull(), rel(4, "IFCRELCONTAINEDINSPATIALSTRUCTURE", "c", ref(number("container") + 1_000_000_000))),
         rel(5, "IFCRELASSOCIATESCLASSIFICATION", "k", own(6)), line(6, "IFCCLASSIFICATIONREFERENCE($,'", F.col("ifc_class"), "','code',$)"),
         F.when(has, rel(7, "IFCRELASSOCIATESMATERIAL", "m", at)), F.when(has, line(20, "IFCMATERIAL('", F.col("material"), "')")), F.when(has & (kind == "list"), line(21, "IFCMATERIALLIST((", own(20), ",", own(20), "))")),
@@ -66,16 +73,37 @@ def step_rows(spark, sf) -> DataFrame:
     sets = p.groupBy(element.alias("n"), "global_id", "pset").agg(F.array_join(F.transform(F.array_sort(F.collect_list(single)), ref), ",").alias("refs"))
     rows = rows.unionByName(sets.select(line(F.col("n") * 100 + 2, "IFCPROPERTYSET('", guid("p", F.col("global_id")), "',$,'", F.col("pset"), "',$,(", F.col("refs"), "))").alias("value")))
     storeys = tree.select("storey", "building").unionByName(e.where("container is not null").select(F.col("container").alias("storey"), F.lit(None).cast("string").alias("building"))).groupBy("storey").agg(F.min("building").alias("building"))
-    place = lambda df, c, base, kind: df.select(line(number(c) + base, f"{kind}('", guid("", F.col(c)), "',$,'", F.col(c), "',$,$)").alias("value")).distinct()
-    part = lambda df, n, a, abase, b, bbase: df.select(line(number(b) + n, "IFCRELAGGREGATES('", guid("a", F.col(b)), "',$,$,$,", ref(number(a) + abase), ",(", ref(number(b) + bbase), "))").alias("value")).distinct()
-    one, two, three = 1_000_000_000, 2_000_000_000, 3_000_000_000
-    for more in (place(storeys, "storey", one, "IFCBUILDINGSTOREY"), place(tree, "building", two, "IFCBUILDING"), place(tree, "site", three, "IFCSITE"), part(storeys.where("building is not null"), 4 * one, "building", two, "storey", one), part(tree, 5 * one, "site", three, "building", two)):
+    one, two, three, moved = 1_000_000_000, 2_000_000_000, 3_000_000_000, 5_000_000_000
+    storeys = storeys.join(tree.groupBy("storey").agg(F.max("elevation").alias("elevation")), "storey", "left")
+    turned = number("storey") % 2 == 1
+
+    def place(df, c, base, kind, up, point, rest="$)", turn=F.lit(False)):
+        """A place, its point, axes, direction and placement."""
+        p = number(c) * 10 + base + moved
+        lines = [
+            line(number(c) + base, f"{kind}('", guid("", F.col(c)), "',$,'", F.col(c), "',$,$,", ref(p + 2), ",", rest), line(p, "IFCCARTESIANPOINT((", *point, "))"),
+            line(p + 1, "IFCAXIS2PLACEMENT3D(", ref(p), ",$,", F.when(turn, ref(p + 3)).otherwise("$"), ")"), line(p + 2, "IFCLOCALPLACEMENT(", F.coalesce(up, F.lit("$")), ",", ref(p + 1), ")"), F.when(turn, line(p + 3, "IFCDIRECTION((0.,2.,0.))")),
+        ]
+        return df.select(F.explode(F.array_compact(F.array(*lines))).alias("value")).distinct()
+
+    part = lambda df, n, a, abase, b, bbase: df.select(line(number(b) + n, "IFCRELAGGREGATES('", guid("a", F.col(b)), "',$,$,$,", ref(number(a) + abase) if a else F.lit("#9000000000"), ",(", ref(number(b) + bbase), "))").alias("value")).distinct()
+    digit = lambda n: F.concat(n.cast("string"), F.lit("."))
+    for more in (
+        place(storeys, "storey", one, "IFCBUILDINGSTOREY", ref(number("building") * 10 + two + moved + 2), [digit(number("storey") % 5), ",0.,3."], F.concat(F.lit("$,$,.ELEMENT.,"), F.coalesce(F.col("elevation").cast("string"), F.lit("$")), F.lit(")")), turned),
+        place(tree, "building", two, "IFCBUILDING", ref(number("site") * 10 + three + moved + 2), [digit(number("building") * 10), ",5.,0."]),
+        place(tree, "site", three, "IFCSITE", F.lit(None).cast("string"), ["1.E2,200."]),
+        part(storeys.where("building is not null"), 4 * one, "building", two, "storey", one), part(tree, 5 * one, "site", three, "building", two), part(tree, 10 * one, None, 0, "site", three),
+        tree.sparkSession.range(1).select(F.concat(F.lit("#9000000000=IFCPROJECT('"), guid("", F.lit("Project")), F.lit("',$,'Project',$,$,$,$,$,$)")).alias("value")),
+    ):
         rows = rows.unionByName(more)
     return rows.select(F.lit("model").alias("file"), "value")
 
 
 def records(spark, sf):
-    return step.parse_records(step_rows(spark, sf))
+    """Parsed once and written: the tables that are made of them read it several times over."""
+    path = scratch(spark, "records")
+    step.parse_records(step_rows(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query(f"""select 'model' as file, type, n, row_number() over (order by n desc, type) as rank, cast(sum(n) over () as bigint) as total, count(*) over () as n_types from (select type, count(*) as n from {STEP} s group by 1) t qualify rank <= 30""")
@@ -110,6 +138,27 @@ def p6_extract_classifications(spark, sf):
     return step.classifications(records(spark, sf))
 
 
+# World coordinates of elements in storeys that are turned, or not, and lie in buildings of sites, or not.
+@query(f"""select {GUID.format('global_id')} as global_id, x, y, z, case when container is null then x else coalesce(b * 10, 0) + case when building is null then 0 else 100 end + n % 5 + case when n % 2 = 1 then -y else x end end as world_x,
+      case when container is null then y else case when building is null then 0 else 205 end + case when n % 2 = 1 then x else y end end as world_y, case when container is null then z else z + 3 end as world_z
+    from v_elements left join (select storey, n, building, cast(substr(building, 2) as bigint) as b from {STOREYS} s) t on container = storey
+    union all select {GUID.format('storey')}, n % 5, 0, 3, n % 5 + coalesce(b * 10 + 100, 0), case when building is null then 0 else 205 end, 3 from (select storey, n, building, cast(substr(building, 2) as bigint) as b from {STOREYS} s) t
+    union all select distinct {GUID.format('building')}, cast(substr(building, 2) as bigint) * 10, 5, 0, cast(substr(building, 2) as bigint) * 10 + 100, 205, 0 from v_spatial union all select distinct {GUID.format('site')}, 100, 200, 0, 100, 200, 0 from v_spatial""")
+def p8_placements(spark, sf):
+    return step.locations(records(spark, sf)).drop("file")
+
+
+@query(f"""with storeys as (select storey, min(building) as building, min(site) as site, max(elevation) as elevation from (select storey, building, site, elevation from v_spatial union all select container, null, null, null from v_elements where container is not null) t group by 1),
+    paths as (select storey, concat_ws('/', case when building is not null then 'Project' end, site, building, storey) as path, case when building is null then 0 else 3 end as depth from storeys)
+    select {GUID.format("'Project'")} as global_id, 'IFCPROJECT' as type, 0 as depth, 'Project' as path, 0 as n_elements, cast(null as bigint) as level union all select distinct {GUID.format('site')}, 'IFCSITE', 1, 'Project/' || site, 0, null from v_spatial
+    union all select distinct {GUID.format('building')}, 'IFCBUILDING', 2, 'Project/' || site || '/' || building, 0, null from v_spatial
+    union all select {GUID.format('s.storey')}, 'IFCBUILDINGSTOREY', depth, path, coalesce(n, 0), row_number() over (partition by building order by coalesce(elevation, 0), s.storey) from storeys s join paths p on p.storey = s.storey
+      left join (select container, count(*) as n from v_elements where ifc_class <> 'IfcSpace' group by 1) c on c.container = s.storey
+    union all select {GUID.format('global_id')}, 'IFCSPACE', case when container is null then 0 else depth + 1 end, concat_ws('/', path, name), 0, null from v_elements left join paths on container = storey where ifc_class = 'IfcSpace'""")
+def p7_hierarchy_of_the_model(spark, sf):
+    return step.hierarchy(records(spark, sf)).drop("file")
+
+
 @query("""select row_number() over (order by part, place, depth) - 1 as line, text from (
     select distinct 0 as part, site as place, 0 as depth, 'Site: ' || site_name as text from v_spatial union all select distinct 0, site || '/' || building, 1, '  Building: ' || building from v_spatial
     union all select distinct 0, site || '/' || building || '/' || storey, 2, '    Storey: ' || storey || ' (Elevation: ' || coalesce(cast(elevation as string), 'N/A') || ')' from v_spatial

@@ -18,8 +18,9 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            names = [] if sql.startswith("with ") else needed(sql)
-            ORACLES[f.__name__] = (f"with {', '.join(f'{n} as ({VIEWS[n]})' for n in names)} " if names else "") + sql.strip()
+            names = [] if sql.startswith("with v_") else needed(sql)  # the SQL of another query has its views already
+            own = sql.strip().removeprefix("with ") if names and sql.startswith("with ") else None
+            ORACLES[f.__name__] = (f"with {', '.join(f'{n} as ({VIEWS[n]})' for n in names)}{', ' + own if own else ' ' + sql.strip()}") if names else sql.strip()
         return f
 
     return register

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintel.operators.ranks import dense_index
+from lintel.sources.scratch import scratch
 
 #: The text between two records' ends, quotes respected: a record ends at a ';' outside quotes.
 RECORD = r"(?s)#(\d+)\s*=\s*(\w+)\s*\((.*)\)\s*$"
@@ -48,17 +49,39 @@ TOKEN = re.compile(r"'(?:[^']|'')*'|[(),]")
 def read_step(spark: SparkSession, path: str) -> DataFrame:
     """file, id, type, args (array) of every record of the STEP files under a path.
 
-    Lines between ';' are read as rows, so that files can be split; a ';' inside quotes leaves a row with an odd number of quotes, which
-    is joined with the following rows up to the next odd one.
+    Texts between ';' are read as rows, so that a file of any size is split into blocks; a ';' inside quotes leaves a row with an odd number of quotes.
+    Whether a block begins inside quotes is a parallel prefix over the blocks: each is numbered within itself, both for a start inside and outside of
+    quotes, and leaves a summary (parity, record beginnings for either start) of one row; summaries are added up in the order of the
+    blocks and say how each block truly starts. Only rows that are parts of a record are put together again.
     """
     lines = spark.read.option("lineSep", ";").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    return parse_records(join_records(lines))
+
+
+def join_records(lines: DataFrame) -> DataFrame:
+    """file, value: whole records of rows file, block, at (order in a block), value, the texts between ';'."""
+    spark = lines.sparkSession
     odd = (F.char_length("value") - F.char_length(F.replace("value", F.lit("'")))) % 2
-    w = Window.partitionBy("file").orderBy("block", "at")
-    # A row begins a record if the number of odd rows before it is even.
-    before = F.coalesce(F.sum(odd).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = lines.withColumn("number", F.sum(F.when(before % 2 == 0, 1).otherwise(0)).over(w))
-    joined = numbered.groupBy("file", "number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), ";").alias("value"))
-    return parse_records(joined)
+    own = Window.partitionBy("file", "block").orderBy("at")
+    before = F.coalesce(F.sum("odd").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    rows = lines.withColumn("odd", odd).withColumn("before", before)
+    # A row begins a record if the number of odd rows before it is even: counted for a block that starts outside of quotes, and for one that starts inside.
+    begun = lambda parity: F.sum((F.col("before") == parity).cast("long")).over(own)
+    path = scratch(spark, "blocks")
+    rows.withColumn("outside", begun(0)).withColumn("inside", begun(1)).write.parquet(path)
+    rows = spark.read.parquet(path)
+    blocks = rows.groupBy("file", "block").agg((F.sum("odd") % 2).alias("parity"), F.max("outside").alias("n_outside"), F.max("inside").alias("n_inside"))
+    order = Window.partitionBy("file").orderBy("block")  # one row per block
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("start", F.coalesce(F.sum("parity").over(earlier), F.lit(0)) % 2)
+    blocks = blocks.withColumn("first", F.coalesce(F.sum(F.when(F.col("start") == 0, F.col("n_outside")).otherwise(F.col("n_inside"))).over(earlier), F.lit(0)))
+    path = scratch(spark, "starts")
+    blocks.select("file", "block", "start", "first").write.parquet(path)
+    rows = rows.join(spark.read.parquet(path), ["file", "block"])
+    begins = (F.col("before") + F.col("start")) % 2 == 0
+    rows = rows.select("file", "block", "at", "value", (begins & (F.col("odd") == 0)).alias("whole"), (F.col("first") + F.when(F.col("start") == 0, F.col("outside")).otherwise(F.col("inside"))).alias("number"))
+    parts = rows.where("not whole").groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
+    return rows.where("whole").select("file", "value").unionByName(parts.select("file", F.array_join(F.transform("parts", lambda x: x["value"]), ";").alias("value")))
 
 
 def parse_records(rows: DataFrame) -> DataFrame:
@@ -156,6 +179,133 @@ def classifications(records: DataFrame) -> DataFrame:
     return rel.join(ref, ["file", "ref"]).join(system, ["file", "s"], "left").join(owner, ["file", "element"]).select("file", "global_id", "system", "code", "name")
 
 
+# Places: an affine map is an array of twelve numbers, the images of the three axes and of the origin.
+
+
+def _numbers(arg):
+    return F.transform(F.regexp_extract_all(arg, F.lit(r"[-+]?\d[\d.]*(?:[eE][-+]?\d+)?"), F.lit(0)), lambda x: x.try_cast("double"))
+
+
+def _vectors(records: DataFrame, kind: str, name: str) -> DataFrame:
+    """file, <name>, <name>_v: three numbers; the third is 0 where a record has two."""
+    v = _numbers(F.get("args", 0))
+    return records.where(F.col("type") == kind).select("file", F.col("id").alias(name), F.array(*[F.coalesce(F.get(v, k), F.lit(0.0)) for k in range(3)]).alias(f"{name}_v"))
+
+
+def _dot(a, b):
+    return sum((F.get(a, k) * F.get(b, k) for k in range(1, 3)), F.get(a, 0) * F.get(b, 0))
+
+
+def _normal(v):
+    """v with length 1; null for a vector without length."""
+    length = F.sqrt(_dot(v, v))
+    return F.when(length > 0, F.transform(v, lambda x: x / length))
+
+
+def _apply(m, v, moved: bool):
+    """The image of a direction, or with `moved` of a point."""
+    return F.array(*[sum((F.get(m, 3 * i + k) * F.get(v, i) for i in range(3)), F.get(m, 9 + k) if moved else F.lit(0.0)) for k in range(3)])
+
+
+def _composed(outer, inner):
+    return F.concat(*[_apply(outer, F.slice(inner, 3 * i + 1, 3), i == 3) for i in range(4)])
+
+
+def placements(records: DataFrame) -> DataFrame:
+    """file, id, parent, m of every local placement: its map into the coordinates of its parent (null: the world). A missing axis is the z axis, a missing or
+    parallel reference direction the x axis (or y, where the axis is x), directions have any length; a placement without a point is where its parent is."""
+    one = lambda k: F.get(_refs(F.get("args", k)), 0)
+    axes = records.where(F.col("type").isin("IFCAXIS2PLACEMENT3D", "IFCAXIS2PLACEMENT2D"))
+    flat = F.col("type") == "IFCAXIS2PLACEMENT2D"
+    axes = axes.select("file", F.col("id").alias("axes"), one(0).alias("point"), F.when(~flat, one(1)).alias("up"), F.when(flat, one(1)).otherwise(one(2)).alias("ahead"))
+    for name, kind in (("point", "IFCCARTESIANPOINT"), ("up", "IFCDIRECTION"), ("ahead", "IFCDIRECTION")):
+        axes = axes.join(_vectors(records, kind, name), ["file", name], "left")
+    axis = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    axes = axes.withColumn("z", F.coalesce(_normal(F.col("up_v")), axis(0, 0, 1)))
+    level = lambda v: _normal(F.zip_with(v, F.transform("z", lambda x: x * _dot(v, F.col("z"))), lambda a, b: F.when(F.abs(a - b) > 1e-12, a - b).otherwise(0.0)))
+    axes = axes.withColumn("x", F.coalesce(level(F.coalesce("ahead_v", axis(1, 0, 0))), level(axis(1, 0, 0)), axis(0, 1, 0)))
+    x, z = F.col("x"), F.col("z")
+    cross = F.array(*[F.get(z, (k + 1) % 3) * F.get(x, (k + 2) % 3) - F.get(z, (k + 2) % 3) * F.get(x, (k + 1) % 3) for k in range(3)])
+    axes = axes.select("file", "axes", F.concat(x, cross, z, F.coalesce("point_v", axis(0, 0, 0))).alias("m"))
+    still = axis(1, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0)
+    own = records.where(F.col("type") == "IFCLOCALPLACEMENT").select("file", "id", one(0).alias("parent"), one(1).alias("axes"))
+    return own.join(axes, ["file", "axes"], "left").select("file", "id", "parent", F.coalesce("m", still).alias("m"))
+
+
+def in_world(placed: DataFrame, rounds: int = 40) -> DataFrame:
+    """file, id, m of placements(): each map into the coordinates of the world, by pointer doubling.
+
+    In each round a map is composed with that of the placement it leads to, which by then leads as far again; a chain of depth d takes log2(d) + 1
+    rounds, each written. A parent that is not there counts as the world. Placements in a circle lead nowhere: an error after `rounds`.
+    """
+    spark, done, now = placed.sparkSession, None, placed
+    for _ in range(rounds):
+        path = scratch(spark, "placements")
+        now.write.parquet(path)
+        now = spark.read.parquet(path)
+        if now.where("parent is not null").isEmpty():
+            return now.select("file", "id", "m")
+        up = now.select("file", F.col("id").alias("parent"), F.col("parent").alias("above"), F.col("m").alias("outer"))
+        done = now.where("parent is null")
+        moved = now.where("parent is not null").join(up, ["file", "parent"], "left")
+        now = done.unionByName(moved.select("file", "id", F.col("above").alias("parent"), F.when(F.col("outer").isNull(), F.col("m")).otherwise(_composed(F.col("outer"), F.col("m"))).alias("m")))
+    raise ValueError(f"placements lead to each other in a circle, or deeper than 2^{rounds - 1}")
+
+
+def locations(records: DataFrame) -> DataFrame:
+    """file, global_id, x, y, z (in the coordinates of the placement's parent) and world_x, world_y, world_z of every object with a local placement."""
+    placed = placements(records)
+    path = scratch(records.sparkSession, "placed")
+    placed.write.parquet(path)
+    placed = records.sparkSession.read.parquet(path)
+    own = records.where(F.length(text_of(F.get("args", 0))) == 22).select("file", text_of(F.get("args", 0)).alias("global_id"), F.get(_refs(F.get("args", 5)), 0).alias("id")).where("id is not null")
+    at = lambda m, name: [F.get(m, 9 + k).alias(name + c) for k, c in enumerate("xyz")]
+    world = in_world(placed).select("file", "id", *at("m", "world_"))
+    return own.join(placed.select("file", "id", *at("m", "")), ["file", "id"]).join(world, ["file", "id"]).drop("id")
+
+
+#: Classes of places, from the whole to its parts.
+PLACES = ("IFCPROJECT", "IFCSITE", "IFCBUILDING", "IFCBUILDINGSTOREY", "IFCSPACE")
+
+
+def hierarchy(records: DataFrame, deepest: int = 100) -> DataFrame:
+    """file, global_id, type, depth, path, n_elements, level of every place, by the model's own relations.
+
+    path: names from the outermost place down, joined by '/'; a place without a name goes by its id. A place is part of what it is aggregated by or, spaces, contained in; any
+    depth, one join a depth. n_elements counts what is contained in it and is no place. level numbers the storeys of one building by elevation (null: 0), then
+    name. A place of which another is a part several times over has one path for each. Places in a circle have no outermost one: an error, as beyond `deepest`.
+    """
+    spark = records.sparkSession
+    named = objects(records).where(F.col("type").isin(*PLACES))
+    raised = records.where(F.col("type") == "IFCBUILDINGSTOREY").select("file", "id", F.get("args", 9).try_cast("double").alias("elevation"))
+    places = named.join(raised, ["file", "id"], "left").select("file", "global_id", "type", F.coalesce("name", "global_id").alias("name"), "elevation")
+    related = relationships(records)
+    parts = related.where(F.col("type").isin("aggregated_by", "contained_in") & F.col("source_class").isin(*PLACES) & F.col("target_class").isin(*PLACES)).select("file", F.col("source").alias("global_id"), F.col("target").alias("whole")).distinct()
+
+    def written(df, name):
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    places, parts = written(places, "places"), written(parts, "parts")
+    below = parts.join(places, ["file", "global_id"])
+    now = written(places.join(parts, ["file", "global_id"], "left_anti").select("*", F.lit(0).alias("depth"), F.col("name").alias("path"), F.lit(None).cast("string").alias("whole")), "level")
+    found, reached = now, now.select("file", "global_id")
+    for depth in range(1, deepest + 1):
+        above = now.select("file", F.col("global_id").alias("whole"), F.col("path").alias("above"))
+        now = written(below.join(above, ["file", "whole"]).select("file", "global_id", "type", "name", "elevation", F.lit(depth).alias("depth"), F.concat_ws("/", "above", "name").alias("path"), "whole"), "level")
+        if now.isEmpty():
+            break
+        found, reached = found.unionByName(now), reached.unionByName(now.select("file", "global_id"))
+    else:
+        raise ValueError(f"places lie in each other in a circle, or deeper than {deepest}")
+    if not places.join(reached, ["file", "global_id"], "left_anti").isEmpty():
+        raise ValueError("places lie in each other in a circle")
+    held = related.where((F.col("type") == "contained_in") & ~F.col("source_class").isin(*PLACES)).groupBy("file", F.col("target").alias("global_id")).agg(F.count("*").alias("n"))
+    level = F.when(F.col("type") == "IFCBUILDINGSTOREY", F.row_number().over(Window.partitionBy("file", "whole", "type").orderBy(F.coalesce("elevation", F.lit(0.0)), "name", "global_id")))
+    return found.join(held, ["file", "global_id"], "left").select("file", "global_id", "type", "depth", "path", F.coalesce("n", F.lit(0)).alias("n_elements"), level.cast("long").alias("level"))
+
+
 def model_text(elements: DataFrame, properties: DataFrame, spatial: DataFrame, first: int = 100) -> DataFrame:
     """line, text: the spatial tree (sites, buildings, storeys with elevations), then the first elements in order with properties and materials.
 
