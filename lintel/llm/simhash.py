@@ -75,20 +75,47 @@ def _shingle_hashes(text: str | None, ngram: int) -> np.ndarray:
     return np.fromiter((digest(joined[x:y], 42) for x, y in zip(a, b, strict=True)), dtype=np.uint64, count=len(a))
 
 
+#: Buckets of a sketch.
+BUCKETS = 256
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    """How many distinct shingles fall into each bucket, a byte each; 255 everywhere if a bucket has more than 254. Two sets share no more than the sum of the lesser counts."""
+    counts = np.bincount((mix(hashes) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return (counts if counts.max() < 255 else np.full(BUCKETS, 255)).astype(np.uint8).tobytes()
+
+
+def _possible(column, similarity: float):
+    """From an Arrow column of sketches a function of places a, b: whether those sets may have this Jaccard similarity."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
+    size, full = rows.sum(axis=1, dtype=np.int64), rows[:, 0] == 255
+
+    def possible(a, b):
+        out = full[a] | full[b]
+        for i in range(0, len(a), 8192):
+            x, y = a[i : i + 8192], b[i : i + 8192]
+            common = np.minimum(rows[x], rows[y]).sum(axis=1, dtype=np.int64)
+            out[i : i + 8192] |= common >= similarity * (size[x] + size[y] - common) - 1e-6
+        return out
+
+    return possible
+
+
 def _fingerprint_batches(ngram: int, lanes: int, keyed: bool):
     def task(batches):
         import pyarrow as pa
 
         for batch in batches:
-            column, out, sets = batch.column("text"), np.zeros((batch.num_rows, lanes), dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.uint64)
+            column, out, sets, sketches = batch.column("text"), np.zeros((batch.num_rows, lanes), dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.uint64), [bytes(BUCKETS)] * batch.num_rows
             for i, text in enumerate(column):
                 hashes = _shingle_hashes(text.as_py(), ngram)
                 if len(hashes):
                     out[i] = _counts_over_half(hashes, lanes)
                     if keyed:
-                        sets[i] = mix(np.unique(hashes)).sum()
+                        distinct = np.unique(hashes)
+                        sets[i], sketches[i] = mix(distinct).sum(), _sketch(distinct)
             flat = pa.array(out.view(np.int64).ravel())
-            made = {"fp": pa.ListArray.from_arrays(pa.array(np.arange(0, lanes * batch.num_rows + 1, lanes, dtype=np.int32)), flat), "shingles": pa.array(sets.view(np.int64))}
+            made = {"fp": pa.ListArray.from_arrays(pa.array(np.arange(0, lanes * batch.num_rows + 1, lanes, dtype=np.int32)), flat), "shingles": pa.array(sets.view(np.int64)), "sketch": pa.array(sketches, pa.binary())}
             rest = {n: batch.column(n) for n in batch.schema.names if n != "text"} | (made if keyed else {"fp": made["fp"]})
             yield pa.RecordBatch.from_arrays(list(rest.values()), list(rest))
 
@@ -96,8 +123,8 @@ def _fingerprint_batches(ngram: int, lanes: int, keyed: bool):
 
 
 def fingerprints(docs: DataFrame, ngram: int, bits: int, keyed: bool = False) -> DataFrame:
-    """doc_id, key (of the text) and fp, an array of bits/64 longs. No words: all zero. With `keyed` also shingles (a hash of their set)."""
-    schema = "doc_id long, key long, fp array<long>" + ", shingles long" * keyed
+    """doc_id, key (of the text) and fp, an array of bits/64 longs. No words: all zero. With `keyed` also shingles (a hash of their set) and its sketch."""
+    schema = "doc_id long, key long, fp array<long>" + ", shingles long, sketch binary" * keyed
     return docs.select(long_id(docs), _text_key(), "text").mapInArrow(_fingerprint_batches(ngram, bits // 64, keyed), schema)
 
 
@@ -149,13 +176,14 @@ def _merge(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             comp = up
 
 
-def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth: int, width: int, budget: int, wide: np.ndarray | None, most: int, fan: int = 0, pairs: list | None = None, held: np.ndarray | None = None, earlier: tuple[int, ...] = ()) -> np.ndarray:
+def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth: int, width: int, budget: int, wide: np.ndarray | None, most: int, fan: int = 0, pairs: list | None = None, held: np.ndarray | None = None, earlier: tuple[int, ...] = (), possible=None) -> np.ndarray:
     """Least linked companion of each place in `values`; with `fan`, which places it left pairs out of.
 
     values: sorted within each root node; roots: (first, end, first, end, differing bits) of node pairs `depth`
     bits down. With `wide`, rows of whole fingerprints, a pair within budget must also differ in at most `most` bits there.
     `pairs` takes the linked pairs and their distances; one is left out where `held` (the least place of each verified component) joins it, and for now where both
     values have `fan` pairs and are connected by them. earlier: masks of parts of which a pair that agrees in one belongs to another trie.
+    possible: says of places a, b which of their pairs may link at all.
     """
     comp = np.arange(len(values)) if held is None else held.copy()
     held = comp.copy()
@@ -232,6 +260,9 @@ def walk(values: np.ndarray, roots: list[tuple[int, int, int, int, int]], depth:
                 bits = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1)
                 good = bits <= most
                 a, b, bits = a[good], b[good], bits[good]
+                if possible is not None and len(a):
+                    good = possible(a, b)
+                    a, b, bits = a[good], b[good], bits[good]
             if len(a) and pairs is not None:
                 keep(a, b, bits)
             elif len(a):
@@ -298,8 +329,8 @@ def earlier_parts(width: int, budget: int, part: int) -> tuple[int, ...]:
     return tuple(((1 << size) - 1) << (cuts[part][0] - at - size) for at, size in cuts[:part])
 
 
-def _block_task(depths: list[int], width: int, budget: int, most: int | None, fan: int):
-    """depths: bits below each part that cut its nodes into blocks."""
+def _block_task(depths: list[int], width: int, budget: int, most: int | None, fan: int, similarity: float | None):
+    """depths: bits below each part that cut its nodes into blocks. similarity: of texts, to be ruled out by sketches."""
 
     def task(table):
         import pyarrow as pa
@@ -319,14 +350,16 @@ def _block_task(depths: list[int], width: int, budget: int, most: int | None, fa
             roots = [(0, int(ends[0]), int(s), int(e), int(prefix[s] ^ block).bit_count()) for s, e in zip(firsts, ends, strict=True)] if prefix[0] == block else []
         else:
             roots = [(int(s), int(e), int(s), int(e), 0) for s, e in zip(firsts, ends, strict=True) if e - s > 1]
-        wide = held = None
+        wide = held = possible = None
+        if similarity is not None:
+            possible = _possible(table.column("sketch").combine_chunks().take(pa.array(order)), similarity)
         if most is not None:
             lists = table.column("fp").combine_chunks()
             wide = lists.flatten().to_numpy().view(np.uint64).reshape(len(values), -1)[order]
             _, first, of = np.unique(table.column("root").to_numpy()[order], return_index=True, return_inverse=True)
             held = first[of]
         pairs = [] if fan else None
-        comp = walk(values, roots, depth, width, budget, wide, most or 0, fan, pairs, held, earlier_parts(width, budget, part))
+        comp = walk(values, roots, depth, width, budget, wide, most or 0, fan, pairs, held, earlier_parts(width, budget, part), possible)
         ids = table.column("id").to_numpy()[order]
         if fan:
             a, b, bits = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), (), ())))
@@ -339,12 +372,13 @@ def _block_task(depths: list[int], width: int, budget: int, most: int | None, fa
     return task
 
 
-def trie_links(values: DataFrame, width: int, words: int, budget: int, most: int | None = None, fan: int = 0) -> DataFrame:
+def trie_links(values: DataFrame, width: int, words: int, budget: int, most: int | None = None, fan: int = 0, similarity: float = 0.8) -> DataFrame:
     """Edges a, b (ids) that connect what links; with `fan` candidate pairs a, b, bits (their distance), of each value that many at least, if
     it has them, and a row with a = b for each value of which a pair was left out.
 
     values: id (long, one per fingerprint) and fp (array of longs). The first `words` words of `width` bits each
-    are joined within `budget`; with `most`, whole fingerprints must also differ in at most that many bits, and pairs of one `root` (a column of values) are known.
+    are joined within `budget`; with `most`, whole fingerprints must also differ in at most that many bits, and pairs of one `root` (a column of
+    values) are known; where values have a `sketch`, pairs whose sketches rule `similarity` out are none.
     """
     n = values.count()
     cuts, depths, coarse = parts(width, budget), [], []
@@ -357,17 +391,23 @@ def trie_links(values: DataFrame, width: int, words: int, budget: int, most: int
         coarse.append(0 if depth else min(size, max(0, int(math.log2(max(1.0, BLOCK_ROWS * 2**size / max(1, n)))))))
     per = 64 // width
     whole = F.lit((1 << width) - 1 if width < 64 else -1)
+    cut = [F.shiftrightunsigned(F.element_at("fp", w // per + 1), (w % per) * width).bitwiseAND(whole) for w in range(words)]
+    carried = ["id", *([c for c in ("fp", "root", "sketch") if c in values.columns] if most is not None else [])]
+    rows = values.select(*carried, F.posexplode(F.array(*cut)).alias("word", "bits_"))
     tries = []
-    for w in range(words):
-        word = F.shiftrightunsigned(F.element_at("fp", w // per + 1), (w % per) * width).bitwiseAND(whole)
-        for k, (at, size) in enumerate(cuts):
-            turned = F.shiftleft(word, at).bitwiseOR(F.shiftrightunsigned(word, width - at)).bitwiseAND(whole) if at else word
-            own = F.shiftrightunsigned(turned, width - size - depths[k])
-            masks = F.split(F.lit(",".join(str(m) for m in range(2 ** depths[k]) if m.bit_count() <= budget)), ",").cast("array<long>")
-            tries.append(F.struct(F.lit(w).alias("word"), F.lit(k).alias("part"), turned.alias("value"), own.alias("own"), (masks if depths[k] else F.array(F.lit(None).cast("long"))).alias("masks"), F.shiftrightunsigned(own, coarse[k]).alias("block")))
-    rows = values.select("id", *(["fp", "root"] if most is not None else []), F.inline(F.array(*tries)))
-    rows = rows.withColumn("mask", F.explode("masks")).withColumn("block", F.coalesce(F.col("own").bitwiseXOR(F.col("mask")), "block")).where("block <= own").drop("own", "masks", "mask")
-    return rows.groupBy("word", "part", "block").applyInArrow(_block_task(depths, width, budget, most, fan), "a long, b long" + ", bits long" * bool(fan))
+    for k, (at, size) in enumerate(cuts):
+        word = F.col("bits_")
+        turned = F.shiftleft(word, at).bitwiseOR(F.shiftrightunsigned(word, width - at)).bitwiseAND(whole) if at else word
+        own = F.shiftrightunsigned(turned, width - size - depths[k])
+        masks = F.split(F.lit(",".join(str(m) for m in range(2 ** depths[k]) if m.bit_count() <= budget)), ",").cast("array<long>") if depths[k] else F.array(F.lit(0).cast("long"))
+        tries.append(F.struct(F.lit(k).alias("part"), turned.alias("value"), own.alias("own"), F.lit(coarse[k]).alias("coarse"), *([masks.alias("masks")] if any(depths) else [])))
+    rows = rows.select(*carried, "word", F.inline(F.array(*tries)))
+    if any(depths):
+        rows = rows.withColumn("mask", F.explode("masks")).withColumn("block", F.col("own").bitwiseXOR(F.col("mask"))).where("block <= own").drop("masks", "mask")
+    else:
+        rows = rows.withColumn("block", F.col("own"))
+    rows = rows.withColumn("block", F.expr("shiftrightunsigned(block, coarse)")).drop("own", "coarse")
+    return rows.groupBy("word", "part", "block").applyInArrow(_block_task(depths, width, budget, most, fan, similarity if "sketch" in values.columns else None), "a long, b long" + ", bits long" * bool(fan))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -405,27 +445,27 @@ def _grouped(docs: DataFrame, ngram: int = 5, bits: int = 256, width: int = 32,
     keyed = similarity is not None
     prints = saved(fingerprints(docs, ngram, bits, keyed), "prints")
     copies = ["fp", "shingles"] if keyed else ["fp"]
-    known = prints.groupBy(*copies).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"))
+    known = prints.groupBy(*copies).agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *([F.min("sketch").alias("sketch")] if keyed else []))
     if not keyed:
         values = saved(known.select(F.col("fp")[0].alias("id"), "fp", "least"), "values")
         return _named(prints, values, copies, components(trie_links(values, width, 1, budget)))
     # The angle between 0/1 vectors of sets with this Jaccard similarity.
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = round(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
-    values = saved(known.select(F.xxhash64(*copies).alias("id"), *copies, "least", "key"), "values")
+    values = saved(known.select(F.xxhash64(*copies).alias("id"), *copies, "least", "key", "sketch"), "values")
     return _named(prints, values, copies, _verified_components(values, docs, ngram, width, bits // width, budget, most, similarity))
 
 
 def _verified_components(values: DataFrame, docs: DataFrame, ngram: int, width: int, words: int, budget: int, most: int, similarity: float) -> DataFrame:
     """components() of all candidates that hold, but for those that others connect.
 
-    Walks and verifications take turns. A walk names the values of which it left pairs out; those are walked again, from the components verified so far and
+    Walks and verifications take turns. The first walk reads fingerprints alone; later ones, of few values, also sketches, which rule out most pairs that would fail. A walk names the values of which it left pairs out; those are walked again, from the components verified so far and
     with FAN_GROWTH times as many pairs each, until none is named. So every candidate is verified or lies inside a verified component.
     """
-    left, fan = values.withColumn("root", F.col("id")), FAN
+    left, fan = values.select("id", "fp", F.col("id").alias("root")), FAN
     roots = tried = None
     while True:
-        found = saved(trie_links(left, width, words, budget, most, fan).distinct(), "proposed")
+        found = saved(trie_links(left, width, words, budget, most, fan, similarity).distinct(), "proposed")
         pairs = found.where("a <> b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -435,18 +475,21 @@ def _verified_components(values: DataFrame, docs: DataFrame, ngram: int, width:
         if named.isEmpty():
             return roots
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        again = values.select("id", "fp").join(named, "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
-        left, fan = saved(again.select("id", "fp", F.coalesce("root", "id").alias("root")), "left"), fan * FAN_GROWTH
+        again = values.select("id", "fp", "sketch").join(named, "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+        left, fan = saved(again.select("id", "fp", "sketch", F.coalesce("root", "id").alias("root")), "left"), fan * FAN_GROWTH
 
 
 def _verified_roots(proposed: DataFrame, sets: DataFrame, similarity: float, roots: DataFrame | None) -> DataFrame:
-    """components() of the candidates that hold and of `roots`, found in two steps: first each value's nearest candidate, then the others
-    between values that those don't connect. A link inside a component adds nothing, and in a dense group that is nearly every one."""
+    """components() of the candidates that hold and of `roots`, found in two steps the first time (with no `roots` yet): first each value's
+    nearest candidate, then the others between values that those don't connect. A link inside a component adds nothing, and in a dense group that is nearly every one."""
     ends = lambda links, roots: links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    split = roots is None
     both = proposed.unionByName(proposed.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
-    first = both.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("of")).select(F.greatest("a", "of.b").alias("a"), F.least("a", "of.b").alias("b")).distinct()
+    first = proposed.select("a", "b") if not split else both.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("of")).select(F.greatest("a", "of.b").alias("a"), F.least("a", "of.b").alias("b")).distinct()
     first = saved(first, "nearest")
     roots = saved(components(ends(similar_links(first, sets, similarity), roots)), "roots")
+    if not split:
+        return roots
     of = lambda side: roots.select(F.col("node").alias(f"node_{side}"), F.col("root").alias(f"root_{side}"))
     rest = proposed.select("a", "b").join(first, ["a", "b"], "left_anti")
     rest = rest.join(of("a"), F.col("a") == F.col("node_a"), "left").join(of("b"), F.col("b") == F.col("node_b"), "left")

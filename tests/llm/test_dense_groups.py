@@ -70,6 +70,27 @@ def test_walk_names_whatever_it_leaves_out():
             assert fan > 1 or len(got) < len(want) / 3
 
 
+def test_sketches_rule_out_no_link():
+    import pyarrow as pa
+
+    random = np.random.default_rng(5)
+    sets = []
+    for n in (1, 7, 190, 190, 900, 5000, 70_000):
+        base = random.integers(0, 2**63, n).astype(np.uint64)
+        sets += [base, *[np.unique(np.concatenate([base[random.random(n) < keep], random.integers(0, 2**63, int(n * (1 - keep))).astype(np.uint64)])) for keep in (0.99, 0.9, 0.89, 0.88, 0.8, 0.3)]]
+    sets.append(np.zeros(0, dtype=np.uint64))
+    possible = simhash._possible(pa.array([simhash._sketch(np.unique(x)) if len(x) else bytes(simhash.BUCKETS) for x in sets], pa.binary()), 0.8)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    said = possible(a, b)
+    ruled_out = 0
+    for i, j, x in zip(a, b, said, strict=True):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        links = common >= 0.8 * (len(np.union1d(sets[i], sets[j])))
+        assert x or not links
+        ruled_out += not x and 100 < len(sets[i]) < 1000 and 100 < len(sets[j]) < 1000
+    assert ruled_out > 50
+
+
 def test_tries_of_every_part_find_all_links(spark, monkeypatch):
     random = np.random.default_rng(9)
     values = np.unique(np.concatenate([random.integers(0, 2**63, 150), *[random.integers(0, 2**63, 1) ^ (np.int64(1) << random.integers(0, 62, 40)) for _ in range(5)]]))
