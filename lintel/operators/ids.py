@@ -1,8 +1,8 @@
 """Specifications of the information delivery standard against elements.
 
 A specification table has a row per requirement: spec, entity (upper case), facet (property, attribute, material, classification or
-partof), pset, name, kind of the value constraint (simple, pattern, enumeration or null for none), expected, options (array). `name` is the
-property, the attribute or the classification system; for partof, `expected` is the class to be part of.
+partof), pset, name, kind of the value constraint (simple, pattern, enumeration, bounds or null for none), expected, options (array). `name` is the
+property, the attribute or the classification system; bounds have the least and the greatest number as options, null where open; for partof, `expected` is the class to be part of.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ MOST_OPTIONS = 3
 
 def specifications(rules: DataFrame, properties: DataFrame, attribute: str = "name", system: str = "Uniclass2015", storey: str = "IfcBuildingStorey", most_options: int = MOST_OPTIONS) -> DataFrame:
     """A specification per class of `rules` (ifc_class, facet, pset, prop, required): its required properties, with the observed values where those
-    are few, a named attribute of letters, its material, a classification, and the storey that it is part of."""
+    are few and their bounds where they are more and all numbers, a named attribute of letters, its material, a classification, and the storey that it is part of."""
+    number = F.col("value").try_cast("double")
     none, lists = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-    values = properties.where("value is not null").groupBy("ifc_class", "pset", "prop").agg(F.count_distinct("value").alias("n"), F.slice(F.array_sort(F.collect_set("value")), 1, most_options).alias("some"))
+    values = properties.where("value is not null").groupBy("ifc_class", "pset", "prop").agg(F.count_distinct("value").alias("n"), F.slice(F.array_sort(F.collect_set("value")), 1, most_options).alias("some"), F.count("value").alias("given"), F.count(number).alias("numbers"), F.min(number).alias("least"), F.max(number).alias("greatest"))
     row = lambda facet, pset=none, name=none, kind=none, expected=none, options=lists: (F.concat("ifc_class", F.lit(f" {facet}")).alias("spec"), F.upper("ifc_class").alias("entity"), F.lit(facet).alias("facet"), pset.alias("pset"), name.alias("name"), kind.alias("kind"), expected.alias("expected"), options.alias("options"))
-    few = F.col("n") <= most_options
+    few, bounded = F.col("n") <= most_options, F.col("numbers") == F.col("given")
     asked = rules.where("facet = 'property' and required").select("ifc_class", "pset", "prop").join(values, ["ifc_class", "pset", "prop"])
-    out = asked.select(*row("property", F.col("pset"), F.col("prop"), F.when(few, "enumeration"), none, F.when(few, F.col("some"))))
+    out = asked.select(*row("property", F.col("pset"), F.col("prop"), F.when(few, "enumeration").when(bounded, "bounds"), none, F.when(few, F.col("some")).when(bounded, F.array(F.col("least").cast("string"), F.col("greatest").cast("string")))))
     out = out.unionByName(rules.where("facet = 'material'").select("ifc_class").distinct().select(*row("material")))
     classes = rules.select("ifc_class").distinct()
     for part in (row("attribute", name=F.lit(attribute), kind=F.lit("pattern"), expected=F.lit("[a-z]+( [a-z]+)+$")), row("classification", name=F.lit(system)), row("partof", expected=F.lit(storey))):

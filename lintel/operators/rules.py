@@ -86,8 +86,10 @@ def check_attribute(value: Column, expected: Column) -> Column:
 
 
 def value_constraint(kind: Column, expected: Column, options: Column, actual: Column) -> Column:
-    """simple: equal; pattern: matches from the start; enumeration: one of; any other kind holds."""
-    return F.when(kind == "simple", actual == expected).when(kind == "pattern", F.regexp_like(actual, F.concat(F.lit("^(?:"), expected, F.lit(")")))).when(kind == "enumeration", F.array_contains(options, actual)).otherwise(True)
+    """simple: equal; pattern: matches from the start; enumeration: one of; bounds: a number from the first option to the second, where those are given; any other kind holds."""
+    number, least, most = actual.try_cast("double"), F.get(options, 0).try_cast("double"), F.get(options, 1).try_cast("double")
+    inside = number.isNotNull() & F.coalesce(number >= least, F.lit(True)) & F.coalesce(number <= most, F.lit(True))
+    return F.when(kind == "bounds", inside).when(kind == "simple", actual == expected).when(kind == "pattern", F.regexp_like(actual, F.concat(F.lit("^(?:"), expected, F.lit(")")))).when(kind == "enumeration", F.array_contains(options, actual)).otherwise(True)
 
 
 def checks(elements: DataFrame, properties: DataFrame, rules: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.operators import graph, rules
-from lintel.plans.model_queries import EDGES, ESCAPED, FULL, OBSERVED, PREFIXED, SPEC_ROWS, TOPICS, TRIPLES, all_checks, all_triples, edges, ids_specs, issue_topics, nodes, specifications
+from lintel.operators import enrich, graph, rules
+from lintel.plans.model_queries import CROSS, EDGES, ESCAPED, FULL, OBSERVED, PREFIXED, SPEC_ROWS, TOPICS, TRIPLES, all_checks, all_triples, edges, ids_specs, issue_topics, nodes, specifications
 from lintel.plans.registry import ORACLES, query
 from lintel.plans.views import table, view
 from lintel.sources import readers, sinks, step
@@ -256,6 +256,45 @@ def s4_read_rule_config(spark, sf):
     return readers.read_rule_config(spark, path)
 
 
+RATIONALE = "'asked of ' || ifc_class"
+
+
+@query(f"""select ifc_class, 'property' as facet, pset, prop, required, {RATIONALE} as rationale, cast(null as string) as systems from {OBSERVED} o
+    union all select distinct ifc_class, 'material', null, null, ifc_class in ('IfcBeam', 'IfcColumn'), 'structural', null from {OBSERVED} o
+    union all select null, 'partof', null, null, true, 'placed', null union all select null, 'classification', null, null, false, 'coded', 'Uniclass2015,OmniClass'""")
+def s4_read_requirements(spark, sf):
+    path = scratch(spark, "requirements")
+    item = F.struct(F.col("pset").alias("propertySet"), F.col("prop").alias("name"), "required", F.concat(F.lit("asked of "), F.col("ifc_class")).alias("rationale"))
+    asked = lambda required, why: F.struct(required.alias("required"), F.lit(why).alias("rationale"))
+    classes = rules.observed_requirements(view(spark, sf, "v_elements"), view(spark, sf, "v_properties")).groupBy("ifc_class").agg(F.collect_list(item).alias("properties"))
+    classes = classes.select("ifc_class", F.struct("properties", asked(F.col("ifc_class").isin("IfcBeam", "IfcColumn"), "structural").alias("material")).alias("r"))
+    every = F.struct(asked(F.lit(True), "placed").alias("spatial_containment"), F.struct(F.lit(False).alias("required"), F.array(F.lit("Uniclass2015"), F.lit("OmniClass")).alias("systems"), F.lit("coded").alias("rationale")).alias("classification"))
+    classes.agg(F.map_from_entries(F.collect_list(F.struct("ifc_class", "r"))).alias("requirements")).withColumn("global_requirements", every).write.json(path)  # a rule file is one object
+    return readers.read_requirements(spark, path).withColumn("systems", F.array_join("systems", ","))
+
+
+CODED = "(select c.ifc_class, uniclass, omniclass from " + CROSS + " c where c.ifc_class in (select ifc_class from v_elements))"
+
+
+@query(f"select ifc_class, uniclass, upper(ifc_class) as uniclass_name, case when ifc_class <> 'IfcDoor' then omniclass end as omniclass, case when ifc_class <> 'IfcDoor' then lower(ifc_class) end as omniclass_name, 'uri/' || ifc_class as uri from {CODED} c")
+def s4_read_crosswalk(spark, sf):
+    path = scratch(spark, "crosswalk")
+    rows = enrich.crosswalk(spark).join(view(spark, sf, "v_elements").select("ifc_class").distinct(), "ifc_class")
+    code = lambda c, name: F.struct(F.col(c).alias("code"), name.alias("name"))
+    systems = F.struct(code("uniclass", F.upper("ifc_class")).alias("uniclass2015"), F.when(F.col("ifc_class") != "IfcDoor", code("omniclass", F.lower("ifc_class"))).alias("omniclass"), F.struct(F.concat(F.lit("uri/"), "ifc_class").alias("uri"), F.col("ifc_class").alias("guid")).alias("bsdd"))
+    rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ifc_class", systems)))).alias("value")).coalesce(1).write.text(path)  # a crosswalk is one object
+    return readers.read_crosswalk(spark, path)
+
+
+@query(f"select row_number() over (partition by ifc_class order by pset, prop) - 1 as ord, ifc_class, pset, prop as name, case when required then 'asked' end as data_type, 'mm' as unit from {OBSERVED} o")
+def s4_read_dictionary(spark, sf):
+    path = scratch(spark, "dictionary")
+    item = F.struct(F.col("pset").alias("propertySet"), F.col("prop").alias("name"), F.when(F.col("required"), "asked").alias("dataType"), F.lit("mm").alias("unit"))
+    classes = rules.observed_requirements(view(spark, sf, "v_elements"), view(spark, sf, "v_properties")).groupBy("ifc_class").agg(F.struct(F.array_sort(F.collect_list(item)).alias("properties")).alias("r"))
+    classes.agg(F.map_from_entries(F.collect_list(F.struct("ifc_class", "r"))).alias("classes")).write.json(path)  # a dictionary is one object
+    return readers.read_dictionary(spark, path)
+
+
 @query("select ifc_class, '.csv' as extension, 'spreadsheet' as category, 'RFC 4180' as standard, cast(null as string) as model_schema, 64 as digits, true as has_bytes from (select distinct ifc_class from v_elements) t")
 def s6_catalogue_files(spark, sf):
     path = scratch(spark, "files")

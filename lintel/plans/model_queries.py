@@ -161,12 +161,13 @@ def v8_failures(spark, sf):
 
 
 @query(f"""select p.global_id, p.prop, case when p.prop = 'IsExternal' then p.value = 'true' when p.prop = 'LoadBearing' then p.value in ('yes', 'no')
-      when p.prop like 'Thermal%' then regexp_matches(p.value, '^(?:[0-9]+ c)') else true end as holds from v_properties p where p.value is not null""")
+      when p.prop like 'Thermal%' then regexp_matches(p.value, '^(?:[0-9]+ c)') when p.prop = 'Unknown Prop' then coalesce(try_cast(p.value as double) between 30 and 60, false) when p.prop = 'FireRating' then coalesce(try_cast(p.value as double) <= 44, false) else true end as holds from v_properties p where p.value is not null""")
 def f8_value_constraint(spark, sf):
-    kind = F.when(F.col("prop") == "IsExternal", "simple").when(F.col("prop") == "LoadBearing", "enumeration").when(F.col("prop").startswith("Thermal"), "pattern").otherwise("none")
+    kind = F.when(F.col("prop") == "IsExternal", "simple").when(F.col("prop") == "LoadBearing", "enumeration").when(F.col("prop").startswith("Thermal"), "pattern").when(F.col("prop").isin("Unknown Prop", "FireRating"), "bounds").otherwise("none")
+    options = F.when(F.col("prop") == "Unknown Prop", F.array(F.lit("30"), F.lit("60"))).when(F.col("prop") == "FireRating", F.array(F.lit(None).cast("string"), F.lit("44"))).otherwise(F.array(F.lit("yes"), F.lit("no")))
     expected = F.when(F.col("prop") == "IsExternal", "true").otherwise("[0-9]+ c")
     rows = properties(spark, sf).where("value is not null")
-    return rows.select("global_id", "prop", rules.value_constraint(kind, expected, F.array(F.lit("yes"), F.lit("no")), F.col("value")).alias("holds"))
+    return rows.select("global_id", "prop", rules.value_constraint(kind, expected, options, F.col("value")).alias("holds"))
 
 
 @query(f"""select global_id, ifc_class, facet, pset, prop, result from {CHECKS} c where result = 'FAIL' and ifc_class = 'IfcWall'""")

@@ -40,40 +40,73 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return entries.select("ord", "ifc_class", F.col("p.propertySet").alias("pset"), "p.name", F.col("p.dataType").alias("data_type"), "p.unit")
 
 
+CODE = "struct<code:string,name:string>"
+CROSSWALK = f"map<string,struct<uniclass2015:{CODE},omniclass:{CODE},bsdd:struct<uri:string,guid:string>>>"
+
+
 def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
-    """ifc_class, uniclass, omniclass of a crosswalk file."""
-    rows = spark.read.schema("crosswalk map<string,struct<uniclass:string,omniclass:string>>").option("multiLine", True).json(path)
-    return rows.select(F.explode("crosswalk").alias("ifc_class", "c")).select("ifc_class", "c.uniclass", "c.omniclass")
+    """ifc_class, uniclass, uniclass_name, omniclass, omniclass_name, uri of crosswalk files: an object of classes, each with the codes of its systems.
+
+    An error names a file that is no such object or whose classes have none of the known systems.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", CROSSWALK).alias("classes"))
+    known = F.exists(F.map_values("classes"), lambda c: c["uniclass2015"].isNotNull() | c["omniclass"].isNotNull() | c["bsdd"].isNotNull())
+    checked = F.when(F.coalesce(known, F.lit(False)), F.col("classes")).otherwise(F.raise_error(F.concat(F.lit("no crosswalk of known systems: "), F.col("file"))))
+    rows = files.select(F.explode(checked).alias("ifc_class", "c"))
+    return rows.select("ifc_class", F.col("c.uniclass2015.code").alias("uniclass"), F.col("c.uniclass2015.name").alias("uniclass_name"), F.col("c.omniclass.code").alias("omniclass"), F.col("c.omniclass.name").alias("omniclass_name"), "c.bsdd.uri")
+
+
+ASKED = "required:boolean,rationale:string"
+RULES = f"""requirements map<string,struct<properties:array<struct<propertySet:string,name:string,{ASKED}>>,material:struct<{ASKED}>>>,
+  global_requirements struct<spatial_containment:struct<{ASKED}>,classification:struct<required:boolean,systems:array<string>,rationale:string>>"""
 
 
 def read_rule_config(spark: SparkSession, path: str) -> DataFrame:
     """ifc_class, pset, prop, required of a requirement file."""
-    schema = "requirements map<string,struct<properties:array<struct<propertySet:string,name:string,required:boolean>>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return read_requirements(spark, path).where("facet = 'property'").select("ifc_class", "pset", "prop", "required")
+
+
+def read_requirements(spark: SparkSession, path: str) -> DataFrame:
+    """ifc_class, facet (property, material, partof or classification), pset, prop, required, rationale, systems of everything a requirement file asks for; what it asks of all classes has none."""
+    rows = spark.read.schema(RULES).option("multiLine", True).json(path)
+    none = F.lit(None).cast("string")
+    row = lambda facet, of, ifc_class=none, pset=none, prop=none, systems=F.lit(None).cast("array<string>"): [ifc_class.alias("ifc_class"), F.lit(facet).alias("facet"), pset.alias("pset"), prop.alias("prop"), F.col(f"{of}.required").alias("required"), F.col(f"{of}.rationale").alias("rationale"), systems.alias("systems")]
     classes = rows.select(F.explode("requirements").alias("ifc_class", "r"))
-    return classes.select("ifc_class", F.inline("r.properties")).select("ifc_class", F.col("propertySet").alias("pset"), F.col("name").alias("prop"), "required")
+    own = F.col("ifc_class")
+    out = classes.select("ifc_class", F.explode("r.properties").alias("p")).select(*row("property", "p", own, F.col("p.propertySet"), F.col("p.name")))
+    out = out.unionByName(classes.where("r.material is not null").select(*row("material", "r.material", own)))
+    every = rows.select("global_requirements.*")
+    out = out.unionByName(every.where("spatial_containment is not null").select(*row("partof", "spatial_containment")))
+    return out.unionByName(every.where("classification is not null").select(*row("classification", "classification", systems=F.col("classification.systems"))))
 
 
-VALUE = "struct<simpleValue:string,restriction:struct<pattern:struct<_value:string>,enumeration:array<struct<_value:string>>>>"
-SPECIFICATION = f"""_name string, applicability struct<entity:struct<name:struct<simpleValue:string>>>, requirements struct<
-  property:array<struct<propertySet:struct<simpleValue:string>,baseName:struct<simpleValue:string>,value:{VALUE}>>, attribute:array<struct<name:struct<simpleValue:string>,value:{VALUE}>>,
-  material:array<struct<value:{VALUE}>>, classification:array<struct<system:struct<simpleValue:string>,value:{VALUE}>>, partOf:array<struct<_relation:string,entity:struct<name:struct<simpleValue:string>>>>>"""
+# A name is a simple value or bare text.
+TEXT, LIMIT = "struct<_VALUE:string,simpleValue:string>", "struct<_value:string>"
+VALUE = f"struct<_VALUE:string,simpleValue:string,restriction:struct<pattern:{LIMIT},enumeration:array<{LIMIT}>,minInclusive:{LIMIT},maxInclusive:{LIMIT}>>"
+SPECIFICATION = f"""_name string, applicability struct<entity:struct<name:{TEXT}>>, requirements struct<
+  property:array<struct<propertySet:{TEXT},baseName:{TEXT},name:{TEXT},value:{VALUE}>>, attribute:array<struct<name:{TEXT},value:{VALUE}>>,
+  material:array<struct<value:{VALUE}>>, classification:array<struct<system:{TEXT},value:{VALUE}>>, partOf:array<struct<_relation:string,entity:struct<name:{TEXT}>>>>"""
 
 
 REQUIREMENT = "array<struct<facet:string,pset:string,name:string,kind:string,expected:string,options:array<string>>>"
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Requirements of specification files, a row each, in the columns of lintel.operators.ids. A value is a simple one, a pattern or an enumeration."""
+    """Requirements of specification files, a row each, in the columns of lintel.operators.ids. A value is a simple one, a pattern, an enumeration or bounds.
+
+    Bare text stands for a simple value; a property without a base name goes by its name. A specification without an entity applies to nothing that could be named, which is an error.
+    """
     rows = spark.read.format("xml").option("rowTag", "specification").option("ignoreNamespace", True).schema(SPECIFICATION).load(path)
-    none, text = F.lit(None).cast("string"), lambda c: c["simpleValue"]
+    none, text = F.lit(None).cast("string"), lambda c: F.coalesce(c["simpleValue"], F.nullif(F.trim(c["_VALUE"]), F.lit("")))
+    limits = lambda v: F.array(v["restriction"]["minInclusive"]["_value"], v["restriction"]["maxInclusive"]["_value"])
+    bounded = lambda v: v["restriction"]["minInclusive"].isNotNull() | v["restriction"]["maxInclusive"].isNotNull()
     value = lambda v: (
-        F.when(v["simpleValue"].isNotNull(), "simple").when(v["restriction"]["pattern"].isNotNull(), "pattern").when(v["restriction"]["enumeration"].isNotNull(), "enumeration").alias("kind"),
-        F.coalesce(v["simpleValue"], v["restriction"]["pattern"]["_value"]).alias("expected"), F.transform(v["restriction"]["enumeration"], lambda x: x["_value"]).alias("options"),
+        F.when(text(v).isNotNull(), "simple").when(v["restriction"]["pattern"].isNotNull(), "pattern").when(v["restriction"]["enumeration"].isNotNull(), "enumeration").when(bounded(v), "bounds").alias("kind"),
+        F.coalesce(text(v), v["restriction"]["pattern"]["_value"]).alias("expected"), F.coalesce(F.transform(v["restriction"]["enumeration"], lambda x: x["_value"]), F.when(bounded(v), limits(v))).alias("options"),
     )
     only = lambda c: (F.lit(None).cast("string").alias("kind"), c.alias("expected"), F.lit(None).cast("array<string>").alias("options"))
     made = {
-        "property": lambda x: (text(x["propertySet"]), text(x["baseName"]), value(x["value"])), "attribute": lambda x: (none, text(x["name"]), value(x["value"])), "material": lambda x: (none, none, value(x["value"])),
+        "property": lambda x: (text(x["propertySet"]), F.coalesce(text(x["baseName"]), text(x["name"])), value(x["value"])), "attribute": lambda x: (none, text(x["name"]), value(x["value"])), "material": lambda x: (none, none, value(x["value"])),
         "classification": lambda x: (none, text(x["system"]), value(x["value"])), "partOf": lambda x: (none, none, only(text(x["entity"]["name"]))),
     }
 
@@ -81,7 +114,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         return lambda x: F.struct(F.lit(facet).alias("facet"), parts(x)[0].alias("pset"), parts(x)[1].alias("name"), *parts(x)[2])
 
     lists = [F.coalesce(F.transform(F.col("requirements")[k], requirement(k.lower(), f)), F.array().cast(REQUIREMENT)) for k, f in made.items()]
-    return rows.select(F.col("_name").alias("spec"), F.col("applicability.entity.name.simpleValue").alias("entity"), F.inline(F.concat(*lists)))
+    entity = F.coalesce(text(F.col("applicability.entity.name")), F.raise_error(F.concat(F.lit("a specification without an entity: "), F.coalesce("_name", F.lit("")))).cast("string"))
+    return rows.select(F.col("_name").alias("spec"), entity.alias("entity"), F.inline(F.concat(*lists)))
 
 
 def catalogue_files(spark: SparkSession, path: str) -> DataFrame:

@@ -64,7 +64,8 @@ def write_topics(topics: DataFrame, path: str) -> None:
 def ids_documents(specs: DataFrame) -> DataFrame:
     """A row per specification in the nesting of its XML. specs: a requirement per row, in the columns of lintel.operators.ids."""
     simple = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("simpleValue")))
-    limits = F.struct(F.when(F.col("kind") == "pattern", F.struct(F.col("expected").alias("_value"))).alias("pattern"), F.when(F.col("kind") == "enumeration", F.transform("options", lambda x: F.struct(x.alias("_value")))).alias("enumeration"))
+    limits = F.struct(F.when(F.col("kind") == "pattern", F.struct(F.col("expected").alias("_value"))).alias("pattern"), F.when(F.col("kind") == "enumeration", F.transform("options", lambda x: F.struct(x.alias("_value")))).alias("enumeration"),
+        *[F.when((F.col("kind") == "bounds") & F.get("options", k).isNotNull(), F.struct(F.get("options", k).alias("_value"))).alias(name) for k, name in enumerate(("minInclusive", "maxInclusive"))])
     value = F.when(F.col("kind").isNotNull(), F.struct(F.when(F.col("kind") == "simple", F.col("expected")).alias("simpleValue"), F.when(F.col("kind") != "simple", limits).alias("restriction"))).alias("value")
     made = {
         "property": (simple("pset").alias("propertySet"), simple("name").alias("baseName"), value), "attribute": (simple("name").alias("name"), value), "material": (value,), "classification": (simple("name").alias("system"), value),

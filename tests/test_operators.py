@@ -99,14 +99,44 @@ def test_readers(spark, tmp_path):
     assert {(r["global_id"], r["result"]) for r in results.collect()} == {("d1", "PASS"), ("d2", "FAIL")} and results.count() == 10
     assert tuple(ids.summary(results).first()) == (2, 1, 1, 50.0) and tuple(ids.summary(results.limit(0)).first()) == (0, 0, 0, 0.0)
     (tmp_path / "dictionary.json").write_text(json.dumps({"classes": {"IfcWall": {"properties": [{"propertySet": "P", "name": "N", "dataType": "string", "unit": None}]}}}))
-    (tmp_path / "crosswalk.json").write_text(json.dumps({"crosswalk": {"IfcWall": {"uniclass": "U1", "omniclass": "O1"}}}))
+    (tmp_path / "crosswalk.json").write_text(json.dumps({"IfcWall": {"uniclass2015": {"code": "U1", "name": "Walls"}, "omniclass": {"code": "O1", "name": "w"}, "bsdd": {"uri": "u", "guid": "g"}}, "IfcDoor": {"uniclass2015": {"code": "U2"}}}))
     assert tuple(readers.read_dictionary(spark, str(tmp_path / "dictionary.json")).first()) == (0, "IfcWall", "P", "N", "string", None)
-    assert tuple(readers.read_crosswalk(spark, str(tmp_path / "crosswalk.json")).first()) == ("IfcWall", "U1", "O1")
+    assert {tuple(r) for r in readers.read_crosswalk(spark, str(tmp_path / "crosswalk.json")).collect()} == {("IfcWall", "U1", "Walls", "O1", "w", "u"), ("IfcDoor", "U2", None, None, None, None)}
+    (tmp_path / "odd.json").write_text(json.dumps({"crosswalk": {"IfcWall": {"uniclass": "U1"}}}))
+    with pytest.raises(Exception, match="no crosswalk"):
+        readers.read_crosswalk(spark, str(tmp_path / "odd.json")).collect()
     rows = spark.createDataFrame([("s", "p", "a b", "uri"), ("s", "q", 'x"y', "literal")], "subject string, predicate string, object string, object_type string").withColumn("datatype", F.lit(None).cast("string"))
     assert sorted(r["value"] for r in graph.ntriples(rows).collect()) == ['<s> <p> <a b> .', '<s> <q> "x\\"y" .']
     assert sinks.json_ld(rows, graph.PREFIXES).count() == 1
 
 
+def test_rule_files_in_published_layouts(spark, tmp_path):
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<ids xmlns="http://standards.buildingsmart.org/IDS" xmlns:xs="http://www.w3.org/2001/XMLSchema"><info><title>t</title></info><specifications>'
+    prop = lambda pset, name, more="": f'<property dataType="IFCLABEL" minOccurs="1">\n <propertySet>\n  <simpleValue>{pset}</simpleValue></propertySet><baseName><simpleValue>{name}</simpleValue></baseName>{more}</property>'
+    spec = lambda name, entity, *parts: f'<!-- c --><specification name="{name}" ifcVersion="IFC4X3"><applicability>\n<entity>\n  <name>{entity}</name>\n</entity></applicability><requirements>{"".join(parts)}</requirements></specification>'
+    bounds = '<value><xs:restriction base="xs:double"><xs:minInclusive value="1.5"/><xs:maxInclusive value="9"/></xs:restriction></value>'
+    least = '<value><xs:restriction base="xs:double"><xs:minInclusive value="2"/></xs:restriction></value>'
+    body = spec("w", "IFCWALL", prop("P", "A"), prop("P", "B", bounds), prop("P", "C", least)) + spec("d", "\n IFCDOOR ", prop("P", "A", "<value>plain</value>")) + spec("s", "<simpleValue>IFCSLAB</simpleValue>", "<property><propertySet>Q</propertySet><name>N</name></property>")
+    (tmp_path / "rules.ids").write_text(head + body + "</specifications></ids>")
+    specs = readers.read_ids(spark, str(tmp_path / "rules.ids"))
+    want = [("w", "IFCWALL", "A", None, None, None), ("w", "IFCWALL", "B", "bounds", None, ["1.5", "9"]), ("w", "IFCWALL", "C", "bounds", None, ["2", None]), ("d", "IFCDOOR", "A", "simple", "plain", None), ("s", "IFCSLAB", "N", None, None, None)]
+    assert [(r["spec"], r["entity"], r["name"], r["kind"], r["expected"], r["options"]) for r in specs.collect()] == want
+    sinks.write_ids(specs, str(tmp_path / "again"))
+    assert sorted(map(str, readers.read_ids(spark, str(tmp_path / "again")).collect())) == sorted(map(str, specs.collect()))
+    (tmp_path / "none.ids").write_text(head + '<specification name="x"><applicability/><requirements>' + prop("P", "A") + "</requirements></specification></specifications></ids>")
+    with pytest.raises(Exception, match="without an entity"):
+        readers.read_ids(spark, str(tmp_path / "none.ids")).collect()
+    walls = spark.createDataFrame([(f"w{k}", "IfcWall", None, [], []) for k in range(4)], "global_id string, ifc_class string, name string, materials array<string>, systems array<string>")
+    values = spark.createDataFrame([(f"w{k}", "P", p, v, 1) for k, row in enumerate((("x", "1.5", "2"), ("x", "9", "1.9"), ("x", "9.1", "3"), ("x", "wide", None))) for p, v in zip("ABC", row, strict=True)], "global_id string, pset string, prop string, value string, ord int")
+    found = ids.validate(walls, values, spark.createDataFrame([], "source string, type string, target_class string"), specs.where("spec = 'w'"))
+    assert {(r["global_id"], r["name"]) for r in found.where("result = 'FAIL'").collect()} == {("w1", "C"), ("w2", "B"), ("w3", "B"), ("w3", "C")}
+    made = ids.specifications(spark.createDataFrame([("IfcWall", "property", "P", "B", True)], "ifc_class string, facet string, pset string, prop string, required boolean"), values.where("value <> 'wide'").withColumn("ifc_class", F.lit("IfcWall")), most_options=2)
+    assert made.where("facet = 'property'").first()["options"] == ["1.5", "9.1"]
+    asked = {"requirements": {"IfcWall": {"properties": [{"propertySet": "P", "name": "N", "required": True, "rationale": "r"}], "material": {"required": False, "rationale": "m"}}, "IfcDoor": {"properties": []}}, "global_requirements": {"spatial_containment": {"required": True, "rationale": "g"}, "classification": {"required": False, "systems": ["U"], "rationale": "c"}}}
+    (tmp_path / "requirements.json").write_text(json.dumps(asked))
+    assert [tuple(r) for r in readers.read_requirements(spark, str(tmp_path / "requirements.json")).collect()] == [("IfcWall", "property", "P", "N", True, "r", None), ("IfcWall", "material", None, None, False, "m", None), (None, "partof", None, None, True, "g", None), (None, "classification", None, None, False, "c", ["U"])]
+
+
 def test_streams(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     source.mkdir()
