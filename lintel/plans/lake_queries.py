@@ -358,16 +358,34 @@ def x21_section_features(spark, sf):
 # Events
 
 
-@query("select id, filename, coalesce(category, 'other') as category, 'completed' as status from v_files")
+# Files come in two drops; every third comes again with another category and a later date, and some of those with an earlier one.
+@query("""select id, filename, case when id % 3 = 0 and id % 2 = 0 then 'again' else coalesce(category, 'other') end as category, 'completed' as status from v_files""")
 def st1_ingest_stream(spark, sf):
     from lintel.sources.scratch import scratch
-    from lintel.streaming import streams
+    from lintel.streaming import snapshots, streams
 
     path = scratch(spark, "uploads")
-    files(spark, sf).select("id", "filename", "category").write.json(f"{path}/in")
-    job = lambda batch: batch.select("id", "filename", F.coalesce("category", F.lit("other")).alias("category"), F.lit("completed").alias("status"))
-    streams.ingest(spark, f"{path}/in", "id long, filename string, category string", job, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("id", "filename", "category", "status")
+    rows = files(spark, sf).select("id", "filename", "category", F.lit(1).alias("version"))
+    rows.coalesce(1).write.json(f"{path}/in")
+    rows.where("id % 3 = 0").select("id", "filename", F.lit("again").alias("category"), F.when(F.col("id") % 2 == 0, 2).otherwise(0).alias("version")).coalesce(1).write.mode("append").json(f"{path}/in")
+    job = lambda batch: batch.select("id", "filename", F.coalesce("category", F.lit("other")).alias("category"), F.lit("completed").alias("status"), "version")
+    streams.ingest(spark, f"{path}/in", "id long, filename string, category string, version int", job, f"{path}/out", f"{path}/checkpoint", order=["version"], files_at_once=1).awaitTermination()
+    return snapshots.read(spark, f"{path}/out", "id long, filename string, category string, status string, version int").drop("version")
+
+
+@query("""select 'm' || cast(ord % 40 as string) as model, case when ord % 40 < 20 then '.ifc' else '.csv' end as extension, case when ord % 40 < 20 then 'bim_model' else 'spreadsheet' end as category, sha256(string_agg(global_id, chr(10) order by global_id) || chr(10)) as checksum from v_elements group by 1, 2, 3""")
+def st1_ingest_files(spark, sf):
+    from lintel.sources.scratch import scratch
+    from lintel.streaming import snapshots, streams
+
+    path = scratch(spark, "files")
+    rows = view(spark, sf, "v_elements").select("global_id", (F.col("ord") % 40).alias("n"))
+    name = F.concat(F.lit("m"), F.col("n").cast("string"), F.when(F.col("n") < 20, ".ifc").otherwise(".csv"))
+    rows.select(name.alias("file"), "global_id").repartition("file").sortWithinPartitions("file", "global_id").write.partitionBy("file").text(f"{path}/in")
+    streams.ingest_files(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", lambda found: found.withColumn("file", F.regexp_extract("path", "file=([^/]+)/", 1)), files_at_once=15).awaitTermination()
+    found = snapshots.read(spark, f"{path}/out", "path string, file string, checksum string")
+    known = F.when(F.endswith("file", F.lit(".ifc")), F.struct(F.lit(".ifc").alias("extension"), F.lit("bim_model").alias("category"))).otherwise(F.struct(F.lit(".csv").alias("extension"), F.lit("spreadsheet").alias("category")))
+    return found.select(F.substring_index("file", ".", 1).alias("model"), known.alias("k"), "checksum").select("model", "k.*", "checksum")
 
 
 @query("select file_id, event_id, previous from (select *, lag(state) over (partition by file_id order by ts, event_id) as previous from v_transitions) t where state = 'published' and (previous is null or previous <> 'published')")
@@ -375,6 +393,24 @@ def st2_publish_trigger(spark, sf):
     return lake.publish_trigger(view(spark, sf, "v_transitions"))
 
 
+# The same from a stream whose batches are shuffled; an event far behind all others lets the watermark pass them.
+@query("select file_id, event_id from (select *, lag(state) over (partition by file_id order by ts, event_id) as previous from v_transitions) t where state = 'published' and (previous is null or previous <> 'published')")
+def st2_publish_stream(spark, sf):
+    from lintel.sources.scratch import scratch
+    from lintel.streaming import streams
+
+    path = scratch(spark, "events")
+    rows = view(spark, sf, "v_transitions").select("file_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "state")
+    for k in range(3):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    spark.sql("select -1L as file_id, -1L as event_id, timestamp '2250-01-01' as ts, 'end' as state").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    found = streams.publish_trigger(stream, delay="36500 days")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    found.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("file_id long, event_id long").parquet(f"{path}/out").select("file_id", "event_id")
+
+
 @query("select run_id, stage, cast(case when stage_status = 'completed' then (idx + 1) * 20 else floor(idx * 20 + stage_progress * 0.2e0) end as bigint) as overall from v_progress qualify row_number() over (partition by run_id order by ts desc, event_id desc) = 1")
 def st3_run_progress(spark, sf):
     return lake.run_progress(view(spark, sf, "v_progress"))

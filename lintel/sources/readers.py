@@ -120,9 +120,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def catalogue_files(spark: SparkSession, path: str) -> DataFrame:
     """path, name, extension, category, standard, size_kb, checksum and model schema of every file below a path. Only the first 4 kB are decoded."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return catalogue(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def catalogue(rows: DataFrame, *more: str) -> DataFrame:
+    """catalogue_files() of rows path, length, content; columns `more` stay."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    rows = rows.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("extension"), (F.col("length") / 1024).alias("size_kb"), F.sha2("content", 256).alias("checksum"), F.decode(F.substring("content", 1, 4096), "ISO-8859-1").alias("head"))
-    known = F.broadcast(spark.createDataFrame(EXTENSIONS, "extension string, category string"))
+    rows = rows.select("path", *more, name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("extension"), (F.col("length") / 1024).alias("size_kb"), F.sha2("content", 256).alias("checksum"), F.decode(F.substring("content", 1, 4096), "ISO-8859-1").alias("head"))
+    known = F.broadcast(rows.sparkSession.createDataFrame(EXTENSIONS, "extension string, category string"))
     standard = F.try_element_at(F.create_map(*[x for k, v in STANDARDS.items() for x in (F.lit(k), F.lit(v))]), F.col("extension"))
-    return rows.join(known, "extension", "left").select("path", "name", "extension", F.coalesce("category", F.lit("other")).alias("category"), standard.alias("standard"), "size_kb", "checksum", F.nullif(F.regexp_extract("head", r"FILE_SCHEMA\s*\(\('([^']+)'", 1), F.lit("")).alias("model_schema"))
+    return rows.join(known, "extension", "left").select("path", *more, "name", "extension", F.coalesce("category", F.lit("other")).alias("category"), standard.alias("standard"), "size_kb", "checksum", F.nullif(F.regexp_extract("head", r"FILE_SCHEMA\s*\(\('([^']+)'", 1), F.lit("")).alias("model_schema"))

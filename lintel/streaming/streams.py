@@ -9,46 +9,100 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lintel.streaming import snapshots
 
-def ingest(spark: SparkSession, path: str, schema: str, job: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "id") -> StreamingQuery:
-    """New JSON files through a batch job, appended as one Parquet folder per batch: a batch that runs again overwrites its own folder."""
+Job = Callable[[DataFrame], DataFrame]
+#: Days of event time after which a file or run without events is forgotten.
+KEEP_DAYS = 30
+_DAY_US = 86_400_000_000
 
-    def write(batch: DataFrame, number: int) -> None:
-        job(batch.dropDuplicates([key])).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return spark.readStream.schema(schema).json(path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _upserted(rows: DataFrame, job: Job, out: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:
+    write = lambda batch, number: snapshots.upsert(job(batch), out, number, key, order)
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def publish_trigger(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """file_id, event_id of changes to published from any other state; events: file_id, event_id, ts, state. One state per file."""
+def ingest(spark: SparkSession, path: str, schema: str, job: Job, out: str, checkpoint: str, key: str = "id", order: list[str] | None = None, files_at_once: int = 1000) -> StreamingQuery:
+    """New JSON files through a batch job into a table with one row per key (snapshots.read reads it): the row that is last by `order`, then by batch."""
+    return _upserted(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(path), job, out, checkpoint, key, order or [])
+
+
+def ingest_files(spark: SparkSession, path: str, out: str, checkpoint: str, job: Job | None = None, files_at_once: int = 1000) -> StreamingQuery:
+    """New files of any format into a catalogue (readers.catalogue's columns and modified_at) with one row per path: the last modified. `job` may add to it."""
+    from lintel.sources.readers import catalogue
+
+    found = lambda batch: catalogue(batch, "modificationTime").withColumnRenamed("modificationTime", "modified_at")
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_at_once).load(path)
+    return _upserted(rows, found if job is None else lambda batch: job(found(batch)), out, checkpoint, "path", ["modified_at"])
+
+
+def publish_trigger(events: DataFrame, delay: str = "1 day", keep_days: int = KEEP_DAYS) -> DataFrame:
+    """file_id, event_id of changes to published from any other state; events: file_id, event_id, ts, state.
+
+    Events wait in their file's state until the watermark has passed them and are then taken in the order of time and id, so that shuffled and late
+    batches give the rows of the batch form. Events behind the watermark are dropped. A timer wakes the file for its next event, and ends
+    its state `keep_days` of event time after the last one: a file that is published again later counts as coming from nowhere.
+    """
 
     def changes(key, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
-        previous = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event, now in zip(rows["event_id"], rows["state"], strict=True):
-            if now == "published" and previous != "published":
+        now = state.getCurrentWatermarkMs() * 1000
+        previous, last, held = None, None, []
+        if state.exists:
+            previous, last, times, ids, states = state.get
+            held = list(zip(times, ids, states, strict=True))
+        if not state.hasTimedOut:
+            for rows in frames:
+                held += zip((rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), rows["event_id"].tolist(), rows["state"].tolist(), strict=True)
+        held.sort(key=lambda x: x[:2])
+        out, waiting = [], []
+        for at, event, to in held:
+            if at > now:
+                waiting.append((at, event, to))
+                continue
+            if to == "published" and previous != "published":
                 out.append((key[0], int(event)))
-            previous = now
-        state.update((previous,))
+            previous, last = to, at
+        if waiting or last is None or last + keep_days * _DAY_US > now:
+            state.update((previous, last, *(list(x) for x in (zip(*waiting, strict=True) if waiting else ((), (), ())))))
+            wake = waiting[0][0] if waiting else last + keep_days * _DAY_US
+            state.setTimeoutTimestamp(max(wake, now) // 1000 + 1)
+        else:
+            state.remove()
         yield pd.DataFrame(out, columns=["file_id", "event_id"])
 
-    return events.withWatermark("ts", delay).groupBy("file_id").applyInPandasWithState(changes, "file_id long, event_id long", "state string", "append", GroupStateTimeout.NoTimeout)
+    held = "previous string, last long, times array<long>, ids array<long>, states array<string>"
+    return events.select("file_id", "event_id", "ts", "state").withWatermark("ts", delay).groupBy("file_id").applyInPandasWithState(changes, "file_id long, event_id long", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_progress(events: DataFrame) -> DataFrame:
-    """The batch form's columns, in update mode."""
-    from lintel.operators.lake import run_progress as batch
+def run_progress(events: DataFrame, delay: str = "1 day", keep_days: int = KEEP_DAYS) -> DataFrame:
+    """run_id, stage, overall of runs with new events, in update mode: the batch form's rows, of which the last per run counts.
 
-    return batch(events)
+    events: run_id, ts, event_id, stage, idx, stage_progress, stage_status. Only a run's latest event is kept, until `keep_days` of event time have passed without one.
+    """
+
+    def latest(key, frames: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = tuple(state.get) if state.exists else None
+        for rows in frames:
+            times = rows["ts"].astype("datetime64[us]").astype("int64")
+            for row in zip(times.tolist(), *(rows[c].tolist() for c in ("event_id", "stage", "idx", "stage_progress", "stage_status")), strict=True):
+                best = row if best is None or row[:2] > best[:2] else best
+        state.update(best)
+        state.setTimeoutTimestamp(max((best[0] + keep_days * _DAY_US) // 1000, state.getCurrentWatermarkMs() + 1))
+        _, _, stage, idx, progress, status = best
+        yield pd.DataFrame([(key[0], stage, (idx + 1) * 20 if status == "completed" else int((idx * 20 + progress * 0.2) // 1))], columns=["run_id", "stage", "overall"])
+
+    held = "ts long, event_id long, stage string, idx int, stage_progress int, stage_status string"
+    rows = events.select("run_id", "ts", "event_id", "stage", "idx", "stage_progress", "stage_status").withWatermark("ts", delay)
+    return rows.groupBy("run_id").applyInPandasWithState(latest, "run_id long, stage string, overall long", held, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedupe_uploads(files: DataFrame, delay: str = "7 days") -> DataFrame:
     """The first upload of each checksum within the watermark."""
     return files.withWatermark("uploaded_at", delay).dropDuplicatesWithinWatermark(["checksum"])
-
-
-def status_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", delay).groupBy("state").agg(F.count("*").alias("n"))

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from lintel.functions import text as X
 from lintel.functions import values as V
-from lintel.operators import documents, graph, ids, lake, rules
+from lintel.operators import documents, graph, ids, rules
 from lintel.sources import readers, sinks, step
-from lintel.streaming import streams
 
 
 def one(spark, values, f):
@@ -135,25 +134,3 @@ def test_rule_files_in_published_layouts(spark, tmp_path):
     asked = {"requirements": {"IfcWall": {"properties": [{"propertySet": "P", "name": "N", "required": True, "rationale": "r"}], "material": {"required": False, "rationale": "m"}}, "IfcDoor": {"properties": []}}, "global_requirements": {"spatial_containment": {"required": True, "rationale": "g"}, "classification": {"required": False, "systems": ["U"], "rationale": "c"}}}
     (tmp_path / "requirements.json").write_text(json.dumps(asked))
     assert [tuple(r) for r in readers.read_requirements(spark, str(tmp_path / "requirements.json")).collect()] == [("IfcWall", "property", "P", "N", True, "r", None), ("IfcWall", "material", None, None, False, "m", None), (None, "partof", None, None, True, "g", None), (None, "classification", None, None, False, "c", ["U"])]
-
-
-def test_streams(spark, tmp_path):
-    source, out = tmp_path / "in", tmp_path / "out"
-    source.mkdir()
-    (source / "1.json").write_text("\n".join(json.dumps({"id": i % 3, "v": "x"}) for i in range(6)))
-    streams.ingest(spark, str(source), "id long, v string", lambda b: b.withColumn("n", F.length("v")), str(out), str(tmp_path / "c")).awaitTermination()
-    assert spark.read.parquet(str(out)).count() == 3
-    events = [(1, 1, "2024-01-01 00:00:01", "wip"), (1, 2, "2024-01-01 00:00:02", "published"), (1, 3, "2024-01-01 00:00:03", "published"), (2, 4, "2024-01-01 00:00:01", "published")]
-    frame = spark.createDataFrame(events, "file_id long, event_id long, ts string, state string").withColumn("ts", F.to_timestamp("ts"))
-    batch = {(r["file_id"], r["event_id"]) for r in lake.publish_trigger(frame).collect()}
-    frame.write.parquet(str(tmp_path / "events"))
-    stream = streams.publish_trigger(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "events")))
-    query = stream.writeStream.format("memory").queryName("published").option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {(r["file_id"], r["event_id"]) for r in spark.table("published").collect()} == batch == {(1, 2), (2, 4)}
-    files = frame.select(F.col("event_id").alias("id"), F.col("state").alias("checksum"), F.col("ts").alias("uploaded_at"))
-    files.write.parquet(str(tmp_path / "uploads"))
-    unique = streams.dedupe_uploads(spark.readStream.schema(files.schema).parquet(str(tmp_path / "uploads")))
-    query = unique.writeStream.format("memory").queryName("unique").option("checkpointLocation", str(tmp_path / "u")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert spark.table("unique").count() == 2
