@@ -77,11 +77,24 @@ def document_checks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(F.array_compact(F.array(*rows))))
 
 
-def ng_items(checks: DataFrame, levels: DataFrame) -> DataFrame:
-    """doc_id, severity, facet, check: failed checks, and documents below their phase's level. levels: doc_id, level, phase."""
-    found = checks.where("result = 'FAIL'").select("doc_id", F.lit("NG").alias("severity"), "facet", "check")
-    low = levels.where(loin_gap(F.col("level"), F.col("phase")))
-    return found.unionByName(low.select("doc_id", F.lit("NG").alias("severity"), F.lit("Information Level").alias("facet"), F.col("level").alias("check")))
+def ng_items(checks: DataFrame, levels: DataFrame, domains: DataFrame | None = None) -> DataFrame:
+    """doc_id, severity (NG or WARNING), standard, facet, description: checks that failed or warn, documents below their phase's level, and documents of another domain.
+
+    levels: doc_id, level, phase; domains: doc_id, domain, is_relevant.
+    """
+    item = lambda severity, standard, facet, description: ("doc_id", severity.alias("severity"), F.lit(standard).alias("standard"), facet.alias("facet"), description.alias("description"))
+    ng = F.lit("NG")
+    found = checks.where(F.col("result").isin("FAIL", "WARNING")).select(*item(F.when(F.col("result") == "FAIL", "NG").otherwise("WARNING"), "IDS 1.0", F.col("facet"), F.col("check")))
+    found = found.unionByName(levels.where(loin_gap(F.col("level"), F.col("phase"))).select(*item(ng, "ISO 7817-1 (LOIN)", F.lit("Information Level"), F.col("level"))))
+    if domains is not None:
+        found = found.unionByName(domains.where("not is_relevant").select(*item(ng, "ISO 19650-1 / ISO 12006-2", F.lit("Domain"), F.col("domain"))))
+    return found
+
+
+def ng_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, ng_count, warning_count of every document."""
+    counts = items.groupBy("doc_id").agg(F.count_if(F.col("severity") == "NG").alias("ng_count"), F.count_if(F.col("severity") == "WARNING").alias("warning_count"))
+    return docs.select("doc_id").join(counts, "doc_id", "left").fillna(0, ["ng_count", "warning_count"])
 
 
 def compliance(checks: DataFrame, passing: tuple[str, ...] = ("PASS",)) -> DataFrame:

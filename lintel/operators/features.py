@@ -23,6 +23,39 @@ def feature_table(rows: DataFrame, features: list[tuple[str, str, object, object
     return rows.select("global_id", *[coerce(column, kind, F.lit(default)).alias(name) for name, kind, column, default in features])
 
 
+# Declared sets of features as (name, kind, source); a source with '*' is any property set of such a name.
+FEATURE_SETS = {
+    "element_basic": [
+        ("ifc_class", "categorical", "ifc_class"), ("name", "text", "name"), ("is_external", "boolean", "Pset_*Common.IsExternal"), ("load_bearing", "boolean", "Pset_*Common.LoadBearing"), ("fire_rating", "categorical", "Pset_*Common.FireRating"),
+    ],
+    "element_geometry": [
+        ("ifc_class", "categorical", "ifc_class"), ("width", "numeric", "Qto_*.Width"), ("height", "numeric", "Qto_*.Height"), ("length", "numeric", "Qto_*.Length"), ("area", "numeric", "Qto_*.Area"), ("volume", "numeric", "Qto_*.Volume"),
+        ("center_x", "numeric", "x"), ("center_y", "numeric", "y"), ("center_z", "numeric", "z"),
+    ],
+    "validation_results": [
+        ("ifc_class", "categorical", "ifc_class"), ("validation_status", "categorical", "status"), ("pass_count", "numeric", "n_pass"), ("fail_count", "numeric", "n_fail"), ("warning_count", "numeric", "n_warning"), ("completeness_score", "numeric", "pass_rate"),
+    ],
+}
+
+
+def feature_set(elements: DataFrame, properties: DataFrame, declared: list[tuple[str, str, str]]) -> DataFrame:
+    """global_id and the declared features, numbers as doubles, truth as 0 or 1 (null where nothing is said), all else as text.
+
+    A source is a column of `elements` or, with a dot, a property: set and name, of several values the last by `ord`. All properties are taken in one pass.
+    """
+    from lintel.functions.values import coerce
+
+    asked = [(name, *source.split(".", 1)) for name, _, source in declared if "." in source]
+    rows = elements
+    if asked:
+        like = lambda pset: F.col("pset").like(pset.replace("_", "\\_").replace("*", "%"))
+        taken = [F.max_by(F.when(like(pset) & (F.col("prop") == prop), F.col("value")), F.when(like(pset) & (F.col("prop") == prop), F.col("ord"))).alias(f"p_{name}") for name, pset, prop in asked]
+        rows = elements.join(properties.where(F.col("prop").isin(*{prop for *_, prop in asked})).groupBy("global_id").agg(*taken), "global_id", "left")
+    value = lambda name, source: F.col(f"p_{name}" if "." in source else source).cast("string")
+    made = [value(name, source) if kind in ("text", "categorical") else coerce(value(name, source), kind, F.lit(None).cast("double")) for name, kind, source in declared]
+    return rows.select("global_id", *[c.alias(name) for c, (name, *_) in zip(made, declared, strict=True)])
+
+
 def label_encode(rows: DataFrame, column: str, order: str) -> DataFrame:
     """category and code, by first appearance (`order` is unique)."""
     first = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("category")).agg(F.min(order).alias("first"))
@@ -52,12 +85,38 @@ def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("column_name").agg(F.count("*").alias("n_rows"), F.count_if(F.col("v").isNull()).alias("n_nulls"), (F.count_if(F.col("v").isNull()) / F.count("*")).alias("null_rate"), F.count_distinct("v").alias("n_distinct"), F.min(number).alias("least"), F.max(number).alias("most"), F.avg(number).alias("mean"))
 
 
+def value_profile(rows: DataFrame, columns: list[str], most_values: int = 20) -> DataFrame:
+    """One row per column: least and greatest text, its values (an ordered array) where there are at most `most_values`, and from sketches of bounded size the
+    number of distinct values (HyperLogLog, relative standard deviation 2 %) and the quartiles of its numbers (rank error 1 in 1,000).
+
+    Sketches of parts merge, so tasks hand on sketches instead of values; the exact list is of columns that the sketch finds few values in, in a second pass over those alone.
+    """
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])))
+    number = F.col("v").try_cast("double")
+    out = long.groupBy("column_name").agg(F.min("v").alias("least_text"), F.max("v").alias("most_text"), F.approx_count_distinct("v", 0.02).alias("distinct_about"), F.percentile_approx(number, [0.25, 0.5, 0.75], 1000).alias("quartiles"))
+    few = [r["column_name"] for r in out.where(F.col("distinct_about") <= 1.2 * most_values + 5).select("column_name").collect()]  # a row per column
+    listed = long.where(F.col("column_name").isin(few) & F.col("v").isNotNull()).distinct().groupBy("column_name").agg(F.array_sort(F.collect_list("v")).alias("values")).where(F.size("values") <= most_values)
+    return out.join(listed, "column_name", "left")
+
+
 def gnn_features(elements: DataFrame, classes: list[str]) -> DataFrame:
     """global_id and features: one-hot class over a sorted vocabulary, then x, y, z; joined by commas."""
     hot = [F.when(F.col("ifc_class") == c, 1.0).otherwise(0.0) for c in sorted(classes)]
     return elements.select("global_id", F.array(*hot, *[F.coalesce(F.col(c), F.lit(0.0)) for c in ("x", "y", "z")]).alias("features"))
 
 
+def element_chunks(elements: DataFrame, properties: DataFrame) -> DataFrame:
+    """id, global_id, text: an element with its property sets, their given values in order, and its materials, as one text to embed. elements: global_id, ifc_class, name, materials (array)."""
+    line = F.when(F.col("value").isNotNull(), F.concat(F.lit("\n  - "), F.col("prop"), F.lit(": "), F.col("value")))
+    sets = properties.groupBy("global_id", "pset").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("t")))).alias("lines"))
+    sets = sets.select("global_id", "pset", F.concat(F.lit("\n"), F.col("pset"), F.lit(":"), F.array_join(F.transform("lines", lambda x: x["t"]), "")).alias("t"))
+    sets = sets.groupBy("global_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pset", "t"))), lambda x: x["t"]), "\n").alias("sets"))
+    made = F.when(F.size("materials") > 0, F.concat(F.lit("\nMaterials:"), F.array_join(F.transform("materials", lambda m: F.concat(F.lit("\n  - "), m)), "")))
+    name = F.when(F.col("name") != "", F.concat(F.lit("Name: "), F.col("name")))
+    text = F.concat_ws("\n", F.concat(F.lit("IFC Element: "), F.col("ifc_class")), name, F.concat(F.lit("GlobalId: "), F.col("global_id")), "sets", made)
+    return elements.join(sets, "global_id", "left").select(F.substring(F.md5("global_id"), 1, 12).alias("id"), "global_id", text.alias("text"))
+
+
 def hashing_encoder(dimensions: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic stand-in for a model: counts of hashed words, of unit length."""
     import zlib

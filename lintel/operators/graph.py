@@ -224,15 +224,64 @@ def triple_stats(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_triples"), F.count_distinct("subject").alias("n_subjects"), F.count_if((F.col("predicate") == "rdf:type") & F.col("object").startswith("ifc:Ifc")).alias("n_typed"), F.count_distinct("predicate").alias("n_predicates"))
 
 
+def pattern_order(patterns: list[tuple[str, str, str]], sizes: list[int]) -> list[int]:
+    """In which order patterns are joined: the smallest first, then always the smallest that shares a variable with those before. An error names patterns that share none."""
+    variables = [{t for t in p if t.startswith("?")} for p in patterns]
+    left = sorted(range(len(patterns)), key=lambda k: (sizes[k], k))
+    order, bound = [], set()
+    while left:
+        near = [k for k in left if not order or variables[k] & bound]
+        if not near:
+            raise ValueError(f"no variable joins {[patterns[k] for k in left]} with the other patterns")
+        order.append(near[0])
+        bound |= variables[near[0]]
+        left.remove(near[0])
+    return order
+
+
 def match_pattern(rows: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
-    """A basic graph pattern: terms that begin with '?' are variables, shared ones join. One column per variable."""
+    """A basic graph pattern: terms that begin with '?' are variables, shared ones join. One column per variable, in the order of the patterns.
+
+    One pass counts what each pattern matches; patterns are then joined from the smallest on, each with one that it shares a variable with.
+    """
+    terms = [list(zip(("subject", "predicate", "object"), p, strict=True)) for p in patterns]
+
+    def meets(pattern):
+        out, seen = F.lit(True), {}
+        for column, term in pattern:
+            # A variable that stands twice in a pattern asks for equal terms.
+            out = out & (F.col(column) == (F.col(seen[term]) if term in seen else F.lit(term))) if term in seen or not term.startswith("?") else out
+            seen.setdefault(term, column)
+        return out
+
+    sizes = rows.agg(*[F.count_if(meets(p)).alias(f"n{k}") for k, p in enumerate(terms)]).first()
     out = None
-    for s, p, o in patterns:
-        part = rows
-        for column, term in (("subject", s), ("predicate", p), ("object", o)):
-            part = part if term.startswith("?") else part.where(F.col(column) == term)
-        named = {t[1:]: c for c, t in (("subject", s), ("predicate", p), ("object", o)) if t.startswith("?")}
-        part = part.select(*[F.col(c).alias(v) for v, c in named.items()]).distinct()
-        shared = [v for v in named if out is not None and v in out.columns]
-        out = part if out is None else out.join(part, shared)
-    return out
+    for k in pattern_order(patterns, list(sizes)):
+        named = {t[1:]: c for c, t in reversed(terms[k]) if t.startswith("?")}
+        part = rows.where(meets(terms[k])).select(*[F.col(c).alias(v) for v, c in named.items()]).distinct()
+        out = part if out is None else out.join(part, [v for v in named if v in out.columns])
+    return out.select(*dict.fromkeys(t[1:] for p in patterns for t in p if t.startswith("?")))
+
+
+def type_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind (node or edge), type, n."""
+    count = lambda df, kind, c: df.groupBy(F.col(c).alias("type")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
+    return count(nodes, "node", "node_type").unionByName(count(edges, "edge", "edge_type"))
+
+
+# Classes of places, and what relates one thing to another.
+SPATIAL_TYPES = ("ifc:IfcProject", "ifc:IfcSite", "ifc:IfcBuilding", "ifc:IfcBuildingStorey", "ifc:IfcSpace")
+LINKS = ("bot:containedIn", "bot:containsElement", "bot:hasSpace", "bot:hasStorey", "bot:hasBuilding", "bot:hasSite")
+
+
+def triple_details(rows: DataFrame) -> DataFrame:
+    """kind and name with n: `class` the classes of things in use, `property` the names of properties in use, `count` spatial and building things and links between things."""
+    typed = rows.where("predicate = 'rdf:type' and object like 'ifc:Ifc%'")
+    things = typed.where(~F.col("object").isin("ifc:IfcMaterial", "ifc:IfcPropertySet", "ifc:IfcClassificationReference"))
+    of = lambda df, kind, name: df.groupBy(name.alias("name")).agg(F.count_distinct("subject").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    out = of(things, "class", F.substring_index("object", ":", -1))
+    out = out.unionByName(of(rows.where("predicate like 'props:%'"), "property", F.substring_index("predicate", ":", -1)))
+    spatial = F.when(F.col("object").isin(*SPATIAL_TYPES), "spatial").otherwise("building")
+    out = out.unionByName(of(things, "count", spatial))
+    links = rows.where(F.col("predicate").isin(*LINKS)).groupBy().agg(F.count("*").alias("n"))
+    return out.unionByName(links.select(F.lit("count").alias("kind"), F.lit("links").alias("name"), "n"))

@@ -275,9 +275,28 @@ def v15_loin_level(spark, sf):
     return levels(spark, sf).select("doc_id", "level", D.loin_gap(F.col("level"), F.col("phase")).alias("below"))
 
 
-@query(f"""select doc_id, 'NG' as severity, facet, "check" from {DOC_CHECKS} d where result = 'FAIL' union all select doc_id, 'NG', 'Information Level', {LEVEL} from {FACTS} c where {BELOW}""")
+# Warnings about a document's form are checks that warn.
+WARNED = "(select doc_id, 'warning' as facet, name as \"check\" from (select doc_id, unnest(list_filter([case when author = '' then 'author' end, case when not dated then 'created' end], lambda x: x is not null)) as name from {0} f) t)"
+NG_ITEMS = f"""(select doc_id, 'NG' as severity, 'IDS 1.0' as standard, facet, "check" as description from {DOC_CHECKS} d where result = 'FAIL' union all select doc_id, 'WARNING', 'IDS 1.0', facet, "check" from {WARNED.format(FACTS)} w
+    union all select doc_id, 'NG', 'ISO 7817-1 (LOIN)', 'Information Level', {LEVEL} from {FACTS} c where {BELOW}
+    union all select doc_id, 'NG', 'ISO 19650-1 / ISO 12006-2', 'Domain', 'Non-construction' from (select doc_id, {SCORE} as score from v_documents) t where score < 2)"""
+
+
+def ng_items(spark, sf):
+    found = facts(spark, sf)
+    warned = D.standard_warnings(found).where(F.col("warning").isin("author", "created")).select("doc_id", F.lit("warning").alias("facet"), F.col("warning").alias("check"), F.lit("WARNING").alias("result"))
+    domains = docs(spark, sf).select("doc_id", X.domain_relevance(F.col("text"), TERMS).alias("d")).select("doc_id", "d.domain", "d.is_relevant")
+    return D.ng_items(D.document_checks(found).select("doc_id", "facet", "check", "result").unionByName(warned), levels(spark, sf), domains)
+
+
+@query(f"select * from {NG_ITEMS} n")
 def v16_ng_items(spark, sf):
-    return D.ng_items(D.document_checks(facts(spark, sf)), levels(spark, sf))
+    return ng_items(spark, sf)
+
+
+@query(f"select doc_id, count(*) filter (where severity = 'NG') as ng_count, count(*) filter (where severity = 'WARNING') as warning_count from v_documents left join {NG_ITEMS} n using (doc_id) group by 1")
+def v16_ng_counts(spark, sf):
+    return D.ng_counts(docs(spark, sf), ng_items(spark, sf))
 
 
 FIXED = "result = 'PASS' or fix in ('fix_title', 'fix_naming', 'fix_pset')"

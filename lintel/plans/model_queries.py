@@ -649,9 +649,55 @@ def j18_triple_pattern(spark, sf):
     return graph.match_pattern(all_triples(spark, sf), [("?e", "rdf:type", "ifc:IfcDoor"), ("?e", "bot:containedIn", "?s"), ("?b", "bot:hasStorey", "?s")])
 
 
+FOUR = [("?site", "bot:hasBuilding", "?b"), ("?e", "rdf:type", "ifc:IfcDoor"), ("?b", "bot:hasStorey", "?s"), ("?e", "bot:containedIn", "?s")]
+
+
+@query("""select 'inst:' || site as site, 'inst:' || building as b, 'inst:' || global_id as e, 'inst:' || container as s from v_elements join v_spatial on container = storey where ifc_class = 'IfcDoor'""")
+def j18_four_patterns(spark, sf):
+    return graph.match_pattern(all_triples(spark, sf), FOUR)
+
+
+@query(f"""select 'class' as kind, substr(object, 5) as name, count(distinct subject) as n from {TRIPLES} t where predicate = 'rdf:type' and object like 'ifc:Ifc%' and object not in ('ifc:IfcMaterial', 'ifc:IfcPropertySet', 'ifc:IfcClassificationReference') group by 2
+    union all select 'property', substr(predicate, 7), count(distinct subject) from {TRIPLES} t where predicate like 'props:%' group by 2
+    union all select 'count', case when object in ({', '.join(f"'{x}'" for x in graph.SPATIAL_TYPES)}) then 'spatial' else 'building' end, count(distinct subject) from {TRIPLES} t where predicate = 'rdf:type' and object like 'ifc:Ifc%' and object not in ('ifc:IfcMaterial', 'ifc:IfcPropertySet', 'ifc:IfcClassificationReference') group by 2
+    union all select 'count', 'links', count(*) from {TRIPLES} t where predicate in ({', '.join(f"'{x}'" for x in graph.LINKS)})""")
+def a11_knowledge_graph_details(spark, sf):
+    return graph.triple_details(all_triples(spark, sf))
+
+
+@query(f"select 'node' as kind, node_type as type, count(*) as n from {NODES} n group by 2 union all select 'edge', edge_type, count(*) from {EDGES} e group by 2")
+def a8_type_counts(spark, sf):
+    return graph.type_counts(nodes(spark, sf), edges(spark, sf))
+
+
 # Features
 
 
+@query("""select e.global_id, ifc_class, name, case when lower(ext) in ('true', 'yes', '1', 't') then 1.0e0 when lower(ext) in ('false', 'no', '0', 'f') then 0.0e0 end as is_external, case when lower(bears) in ('true', 'yes', '1', 't') then 1.0e0 when lower(bears) in ('false', 'no', '0', 'f') then 0.0e0 end as load_bearing, fire as fire_rating from v_elements e
+    left join (select global_id, max(value) filter (where prop = 'IsExternal') as ext, max(value) filter (where prop = 'LoadBearing') as bears, max(value) filter (where prop = 'FireRating') as fire from v_properties where regexp_full_match(pset, 'Pset_.*Common') group by 1) p on p.global_id = e.global_id""")
+def t7_element_basic(spark, sf):
+    return features.feature_set(elements(spark, sf), properties(spark, sf), features.FEATURE_SETS["element_basic"])
+
+
+@query(f"""select e.global_id, e.ifc_class, s.status as validation_status, cast(s.n_pass as double) as pass_count, cast(s.n_fail as double) as fail_count, cast(s.n_warning as double) as warning_count, s.pass_rate as completeness_score from v_elements e join {STATUS} s on s.global_id = e.global_id""")
+def t7_validation_features(spark, sf):
+    status = rules.element_status(elements(spark, sf), all_checks(spark, sf))
+    return features.feature_set(elements(spark, sf).join(status, "global_id"), properties(spark, sf), features.FEATURE_SETS["validation_results"])
+
+
+@query("select global_id, ifc_class, cast(null as double) as width, cast(null as double) as height, cast(null as double) as length, cast(null as double) as area, cast(null as double) as volume, x as center_x, y as center_y, z as center_z from v_elements")
+def t7_element_geometry(spark, sf):
+    return features.feature_set(elements(spark, sf), properties(spark, sf), features.FEATURE_SETS["element_geometry"])
+
+
+VALUES = ("ifc_class", "material", "container", "name")
+
+
+@query(" union all ".join(f"select '{c}' as column_name, min({c}) as least_text, max({c}) as most_text, case when count(distinct {c}) <= 20 then array_to_string(list_sort(list(distinct {c})), '|') end as \"values\" from v_elements" for c in VALUES))
+def a7_column_values(spark, sf):
+    return features.value_profile(elements(spark, sf), list(VALUES)).select("column_name", "least_text", "most_text", F.array_join("values", "|").alias("values"))
+
+
 @query(f"""select e.global_id, e.ifc_class, e.name, e.container, e.material, f.FireRating, f.IsExternal, f.LoadBearing from v_elements e left join (select global_id,
       max(value) filter (where standard_name = 'FireRating') as FireRating, max(value) filter (where standard_name = 'IsExternal') as IsExternal, max(value) filter (where standard_name = 'LoadBearing') as LoadBearing
     from {FOUND} x where standard_name in ('FireRating', 'IsExternal', 'LoadBearing') group by 1) f on f.global_id = e.global_id""")
@@ -758,6 +804,12 @@ def x18_element_text(spark, sf):
     return elements(spark, sf).select("global_id", F.concat_ws(" ", "ifc_class", "name", F.lit("on"), "container", F.concat(F.lit("material:"), F.col("material"))).alias("text"))
 
 
+@query("""select substr(md5(e.global_id), 1, 12) as id, e.global_id, concat_ws(chr(10), 'IFC Element: ' || ifc_class, case when name <> '' then 'Name: ' || name end, 'GlobalId: ' || e.global_id, p.t, case when material is not null then chr(10) || 'Materials:' || chr(10) || '  - ' || material end) as text from v_elements e
+    left join (select global_id, string_agg(t, chr(10) order by pset) as t from (select global_id, pset, chr(10) || pset || ':' || coalesce(chr(10) || string_agg('  - ' || prop || ': ' || value, chr(10) order by ord), '') as t from v_properties group by 1, 2) s group by 1) p on p.global_id = e.global_id""")
+def x18_element_chunk(spark, sf):
+    return features.element_chunks(with_materials(spark, sf), properties(spark, sf))
+
+
 @query("""select cast(src_idx as string) || ' ' || cast(dst_idx as string) || ' 1.0' as value from """ + COO + " c")
 def s10_edge_list(spark, sf):
     return coo(spark, sf).select(F.concat_ws(" ", F.col("src_idx").cast("string"), F.col("dst_idx").cast("string"), F.lit("1.0")).alias("value"))
