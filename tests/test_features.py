@@ -51,3 +51,13 @@ def test_ng_items(spark):
     items = documents.ng_items(checks, levels, domains)
     assert {(r["doc_id"], r["severity"], r["facet"], r["description"]) for r in items.collect()} == {(1, "NG", "f", "a"), (1, "WARNING", "f", "b"), (2, "NG", "Information Level", "LOI Low"), (3, "NG", "Domain", "Non-construction")}
     assert sorted(map(tuple, documents.ng_counts(spark.range(1, 5).withColumnRenamed("id", "doc_id"), items).collect())) == [(1, 1, 1), (2, 1, 0), (3, 1, 0), (4, 0, 0)]
+
+
+def test_scratch_is_for_local_masters():
+    from types import SimpleNamespace
+
+    from lintel.sources.scratch import scratch
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="none", master="spark://host:7077"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError):
+        scratch(session, "x")
