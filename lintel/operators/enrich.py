@@ -37,6 +37,7 @@ def dictionary_lookup(properties: DataFrame, entries: DataFrame, aliases: dict[s
     """properties with standard_name, data_type, unit and match: MAPPED, FUZZY_MATCH or NOT_FOUND.
 
     In turn: the same class, set and normalised name; the same class and name; any class, the first entry; an alias of a name.
+    Names are looked up once for each class, set and name that occur; properties are joined with what was found.
     """
     spark = properties.sparkSession
     entries = entries.withColumn("n", normalize_name(F.col("name")))
@@ -45,11 +46,14 @@ def dictionary_lookup(properties: DataFrame, entries: DataFrame, aliases: dict[s
     exact, in_class, anywhere = first("ifc_class", "pset", "n").withColumnRenamed("found", "f1"), first("ifc_class", "n").withColumnRenamed("found", "f2"), first("n").withColumnRenamed("found", "f3")
     known = spark.createDataFrame(list(aliases.items()), "n string, standard string")
     by_alias = known.join(anywhere.select(F.col("n").alias("standard"), F.col("f3").alias("f4")), "standard").select("n", "f4")
-    rows = properties.withColumn("n", normalize_name(F.col("prop")))
+    named = properties.select(F.col("ifc_class"), F.col("pset"), F.col("prop")).distinct()
+    rows = named.withColumn("n", normalize_name(F.col("prop")))
     rows = rows.join(exact, ["ifc_class", "pset", "n"], "left").join(in_class, ["ifc_class", "n"], "left").join(anywhere, "n", "left").join(by_alias, "n", "left")
     best = F.coalesce("f1", "f2", "f3", "f4")
     match = F.when(F.col("f1").isNotNull(), "MAPPED").when(best.isNotNull(), "FUZZY_MATCH").otherwise("NOT_FOUND")
-    return rows.select(*properties.columns, best["name"].alias("standard_name"), best["data_type"].alias("data_type"), best["unit"].alias("unit"), match.alias("match"))
+    rows = rows.select("ifc_class", "pset", "prop", best["name"].alias("standard_name"), best["data_type"].alias("data_type"), best["unit"].alias("unit"), match.alias("match"))
+    same = [F.col(f"own.{c}").eqNullSafe(F.col(f"named.{c}")) for c in ("ifc_class", "pset", "prop")]
+    return properties.alias("own").join(rows.alias("named"), same, "left").select("own.*", "standard_name", "data_type", "unit", F.coalesce("match", F.lit("NOT_FOUND")).alias("match"))
 
 
 def enriched(properties: DataFrame, entries: DataFrame) -> DataFrame:
@@ -64,20 +68,26 @@ def enrichment_stats(found: DataFrame) -> DataFrame:
     return found.groupBy("global_id").agg(total.alias("total"), n("MAPPED").alias("exact"), n("FUZZY_MATCH").alias("fuzzy"), n("NOT_FOUND").alias("not_found"), F.round((n("MAPPED") + n("FUZZY_MATCH")) * 100.0 / total, 1).alias("rate"))
 
 
-def enrichment_totals(found: DataFrame) -> DataFrame:
-    """One row over all elements."""
+def enrichment_totals(found: DataFrame, codes: DataFrame) -> DataFrame:
+    """One row over all elements, with the share found in percent and the elements whose class has a code. codes: ifc_class."""
     n = lambda m: F.count_if(F.col("match") == m)
-    return found.agg(F.count("*").alias("total"), n("MAPPED").alias("exact"), n("FUZZY_MATCH").alias("fuzzy"), n("NOT_FOUND").alias("not_found"), F.count_distinct("global_id").alias("n_elements"))
+    coded = codes.select("ifc_class").distinct().withColumn("coded", F.lit(True))
+    rate = F.round((n("MAPPED") + n("FUZZY_MATCH")) * 100.0 / F.count("*"), 1)
+    numbers = n("MAPPED").alias("exact"), n("FUZZY_MATCH").alias("fuzzy"), n("NOT_FOUND").alias("not_found"), F.count_distinct("global_id").alias("n_elements"), rate.alias("rate"), F.count_distinct(F.when(F.col("coded"), F.col("global_id"))).alias("n_coded")
+    return found.join(coded, "ifc_class", "left").agg(F.count("*").alias("total"), *numbers)
 
 
 def dictionary_mapping(properties: DataFrame, entries: DataFrame) -> DataFrame:
-    """Per property the first entry of its class, in order, that equals it (1.0), equals it normalised (0.9) or contains it or is contained (0.7)."""
+    """Per property the first entry of its class, in order, that equals it (1.0), equals it normalised (0.9) or contains it or is contained (0.7).
+
+    Containment has no join key: names are compared once for each class and name that occur, and properties are joined with the result.
+    """
     entries = entries.select(F.col("ifc_class"), F.col("ord").alias("entry_ord"), F.col("name").alias("entry"))
     a, b = normalize_name(F.col("prop"), dashes=False), normalize_name(F.col("entry"), dashes=False)
     confidence = F.when(F.col("prop") == F.col("entry"), 1.0).when(a == b, 0.9).when(F.contains(a, b) | F.contains(b, a), 0.7)
-    near = properties.join(entries, "ifc_class").withColumn("confidence", confidence).where("confidence is not null")
-    best = near.groupBy("global_id", "pset", "prop").agg(F.min_by(F.struct("entry", "confidence"), "entry_ord").alias("best"))
-    return best.select("global_id", "pset", "prop", "best.entry", "best.confidence")
+    near = properties.select("ifc_class", "prop").distinct().join(entries, "ifc_class").withColumn("confidence", confidence).where("confidence is not null")
+    best = near.groupBy("ifc_class", "prop").agg(F.min_by(F.struct("entry", "confidence"), "entry_ord").alias("best"))
+    return properties.select("global_id", "ifc_class", "pset", "prop").distinct().join(best, ["ifc_class", "prop"]).select("global_id", "pset", "prop", "best.entry", "best.confidence")
 
 
 def missing_dictionary_properties(elements: DataFrame, mapped: DataFrame, entries: DataFrame) -> DataFrame:

@@ -86,14 +86,13 @@ def corpus_keywords(keywords: DataFrame, top: int = 100) -> DataFrame:
 
 
 def search_documents(docs: DataFrame, phrase: str, top: int = 20, phase: str | None = None) -> DataFrame:
-    """doc_id, score, snippets of the best `top` completed documents with text, of one phase if it is given.
+    """doc_id, score, snippets of the best `top` completed documents with text; if a phase is given, of those `top` the ones of that phase.
 
     score: 10 for the whole phrase and up to 5 for the occurrences of each of its words, over the number of words. snippets: of the first
     three words found (in order of the alphabet) 80 characters to either side, dots where the text goes on. docs: doc_id, text, and status and phase if there.
     """
     words = sorted(set(re.findall(KEYWORD, phrase.lower())))
     rows = docs.where("status = 'completed'") if "status" in docs.columns else docs
-    rows = rows.where(F.col("phase") == phase) if phase else rows
     low = F.lower(F.coalesce("text", F.lit("")))
     count = lambda w: F.least(F.lit(5), ((F.char_length(low) - F.char_length(F.replace(low, F.lit(w)))) / len(w)).cast("int"))
     score = reduce(lambda a, b: a + b, map(count, words), F.when(F.contains(low, F.lit(phrase.lower())), 10).otherwise(0))
@@ -104,7 +103,8 @@ def search_documents(docs: DataFrame, phrase: str, top: int = 20, phase: str | N
         dots = lambda cut: F.when(cut, "...").otherwise("")
         return F.when(at >= 0, F.concat(dots(start > 0), F.trim(F.substring("text", start + 1, end - start)), dots(end < F.char_length("text"))))
 
-    best = rows.select("doc_id", "text", score.alias("points")).where("points > 0").orderBy(F.desc("points"), "doc_id").limit(top)
+    best = rows.select("doc_id", "text", *(["phase"] if phase else []), score.alias("points")).where("points > 0").orderBy(F.desc("points"), "doc_id").limit(top)
+    best = best.where(F.col("phase") == phase) if phase else best
     return best.select("doc_id", F.round(F.col("points") / max(1, len(words)), 2).alias("score"), F.slice(F.array_compact(F.array(*map(snippet, words))), 1, 3).alias("snippets"))
 
 

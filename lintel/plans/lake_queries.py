@@ -50,6 +50,16 @@ def f3_parse_iso_filename(spark, sf):
     return files(spark, sf).select("id", F.coalesce(F.get(parts, 2), F.lit("")).alias("project"), F.size(parts).cast("long").alias("n_parts"), (F.size(parts) >= 7).alias("compliant"))
 
 
+FIELDS = ("project", "originator", "volume", "level", "type", "role", "number")
+
+
+# The name's parts by place; strictly, only names of seven parts have fields.
+@query("select id, " + ", ".join(f"coalesce(string_split(split_part(filename, '.', 1), '-')[{k}], '') as {c}" for k, c in enumerate(FIELDS, 1)) + ", case when len(string_split(split_part(filename, '.', 1), '-')) >= 7 then string_split(split_part(filename, '.', 1), '-')[7] end as strict_number from v_files")
+def f3_iso_fields(spark, sf):
+    parts = X.iso_parts(F.col("filename"))
+    return files(spark, sf).select("id", *[F.coalesce(F.get(parts, k), F.lit("")).alias(c) for k, c in enumerate(FIELDS)], F.when(F.size(parts) >= 7, F.get(parts, 6)).alias("strict_number"))
+
+
 def _type_scores() -> str:
     low = "lower(filename)"
     rows = []
@@ -179,8 +189,9 @@ def _snippet(w: str) -> str:
 
 
 @query(f"""select doc_id, round(points / 2.0e0, 2) as score, concat_ws(' / ', {_snippet('apache')}, {_snippet('license')}) as snippets from (select doc_id, text, case when contains(lower(text), 'license apache') then 10 else 0 end
-      + least(5, cast((length(text) - length(replace(lower(text), 'apache', ''))) / 6 as int)) + least(5, cast((length(text) - length(replace(lower(text), 'license', ''))) / 7 as int)) as points from v_documents where status = 'completed' and phase = 'design') t
-    where points > 0 order by points desc, doc_id limit 20""")
+      + least(5, cast((length(text) - length(replace(lower(text), 'apache', ''))) / 6 as int)) + least(5, cast((length(text) - length(replace(lower(text), 'license', ''))) / 7 as int)) as points, phase from v_documents where status = 'completed') t
+    where doc_id in (select doc_id from (select doc_id, case when contains(lower(text), 'license apache') then 10 else 0 end + least(5, cast((length(text) - length(replace(lower(text), 'apache', ''))) / 6 as int)) + least(5, cast((length(text) - length(replace(lower(text), 'license', ''))) / 7 as int)) as points
+      from v_documents where status = 'completed') u where points > 0 order by points desc, doc_id limit 20) and phase = 'design'""")
 def w4_search_documents(spark, sf):
     return lake.search_documents(docs(spark, sf), "license apache", phase="design").withColumn("snippets", F.array_join("snippets", " / "))
 

@@ -243,9 +243,10 @@ def a5_enrichment_stats(spark, sf):
     return enrich.enrichment_stats(lookup(spark, sf))
 
 
-@query(f"""select count(*) as total, count(*) filter (where match = 'MAPPED') as exact, count(*) filter (where match = 'FUZZY_MATCH') as fuzzy, count(*) filter (where match = 'NOT_FOUND') as not_found, count(distinct global_id) as n_elements from {FOUND} f""")
+@query(f"""select count(*) as total, count(*) filter (where match = 'MAPPED') as exact, count(*) filter (where match = 'FUZZY_MATCH') as fuzzy, count(*) filter (where match = 'NOT_FOUND') as not_found, count(distinct f.global_id) as n_elements,
+      round(count(*) filter (where match <> 'NOT_FOUND') * 100.0e0 / count(*), 1) as rate, count(distinct f.global_id) filter (where c.ifc_class is not null) as n_coded from {FOUND} f left join {CROSS} c on c.ifc_class = f.ifc_class""")
 def a5_enrichment_totals(spark, sf):
-    return enrich.enrichment_totals(lookup(spark, sf))
+    return enrich.enrichment_totals(lookup(spark, sf), enrich.crosswalk(spark))
 
 
 MAPPED = f"""(select global_id, pset, prop, entry, confidence from (select p.global_id, p.pset, p.prop, d.name as entry, d.ord as o,
@@ -383,9 +384,13 @@ def x1_normalize_name(spark, sf):
     return properties(spark, sf).select("prop").distinct().select("prop", V.normalize_name(F.col("prop")).alias("long_form"), V.normalize_name(F.col("prop"), dashes=False).alias("short_form"))
 
 
-@query("""select global_id, value, case value when '2HR' then 'P2H' when '90 min' then 'P1H30M' when '45' then 'P45M' when 'REI60' then 'REI60' end as duration from v_properties where prop = 'FireRating'""")
+# All rows of fire ratings, under whatever name.
+RATED = "prop in ('FireRating', 'Fire Rating', 'fire_rating', 'Unknown Prop')"
+
+
+@query(f"""select global_id, value, case value when '2HR' then 'P2H' when '90 min' then 'P1H30M' when '45' then 'P45M' when 'REI60' then 'REI60' end as duration from v_properties where {RATED}""")
 def x2_fire_rating(spark, sf):
-    return properties(spark, sf).where("prop = 'FireRating'").select("global_id", "value", V.fire_rating_duration(F.col("value")).alias("duration"))
+    return properties(spark, sf).where(RATED).select("global_id", "value", V.fire_rating_duration(F.col("value")).alias("duration"))
 
 
 @query("""select global_id, case when value like '% cm' then round(try_cast(replace(value, ' cm', '') as double) * 10.0, 4) when value like '% m' then round(try_cast(replace(value, ' m', '') as double) * 1000.0, 4)
@@ -406,9 +411,9 @@ def x5_normalize_value(spark, sf):
     return found.select("global_id", "pset", "prop", "standard_name", "match", "normalized")
 
 
-@query("select global_id, case when value like '%REI60%' then 1.0e0 else 0.0e0 end as hours from v_properties where prop = 'fire_rating'")
+@query(f"select global_id, value, case when value like '%REI60%' then 1.0e0 else 0.0e0 end as hours from v_properties where {RATED}")
 def x6_encode_fire_rating(spark, sf):
-    return properties(spark, sf).where("prop = 'fire_rating'").select("global_id", V.encode_fire_rating(F.col("value")).alias("hours"))
+    return properties(spark, sf).where(RATED).select("global_id", "value", V.encode_fire_rating(F.col("value")).alias("hours"))
 
 
 @query("select global_id, prop, case when value is null then 0.0e0 else (cast('0x' || substr(md5(value), 1, 8) as bigint) % 1000) / 1000.0e0 end as hashed from v_properties")
