@@ -3,8 +3,9 @@
 Texts within the limits become vectors of transformed statistics. For each language and source, the minimum
 covariance determinant is approached from three starts (coordinate-wise medians, all rows, the rows near all medians) by
 concentration steps: take the `SHARE` of rows with the least Mahalanobis distances, estimate mean and covariance on those, and
-again until no determinant changes by more than `SETTLED` (an error is raised if `STEPS` steps are not enough). Of the three the one with the least determinant counts. A row
-is rejected if its distance from that estimate is beyond `CUT`. A covariance of five statistics needs some rows: groups of fewer than
+again until the determinant doesn't fall by more than `SETTLED` in a step. A histogram finds those rows; its last bin counts in part, so that exactly
+`SHARE` of the weight is taken each time and the determinant can't rise by more than the width of a bin. It has a lower bound (`FLOORS`), so the steps
+end whatever the rows, each start for itself. Of the three the one with the least determinant counts. A row is rejected if its distance from that estimate is beyond `CUT`. A covariance of five statistics needs some rows: groups of fewer than
 `LEAST` share one estimate per language, and where even that has fewer there is none and all rows are kept.
 
 Each step is two aggregations with partial sums (a histogram of distances that gives the group's quantile, then means and
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import long_id, saved
 
-#: Rows that a concentration step keeps, most steps, change of a determinant's logarithm that counts as none, rows a group needs (ten for each statistic), bins of a distance histogram per unit of its logarithm.
-SHARE, STEPS, SETTLED, LEAST, BINS = 0.75, 60, 0.02, 50, 40
+#: Rows that a concentration step keeps, fall of a determinant's logarithm that counts as none, rows a group needs (ten for each statistic), bins of a distance histogram per unit of its logarithm.
+SHARE, SETTLED, LEAST, BINS = 0.75, 0.02, 50, 40
 #: Squared distance beyond which a row is rejected (chi-square with 5 degrees of freedom: 0.999999), and the median of that distribution.
 CUT, MEDIAN = 35.9, 4.351
 #: Least standard deviation of each statistic, so that a group of near-constants rejects nothing for a trifle: 5 % of the number of words and of their
@@ -85,13 +86,29 @@ def _vectors(rows: DataFrame) -> DataFrame:
     )
 
 
-def _quantile(rows: DataFrame, value: str, share: float, keys: tuple[str, ...] = ("g",)) -> DataFrame:
-    """keys, limit: the upper edge of the histogram bin in which `share` of a group's rows is reached. The same at every run."""
-    bins = rows.groupBy(*keys, F.ceil(F.log(F.col(value) + 1e-6) * BINS).alias("bin")).agg(F.count("*").alias("n"))
+def _bin(value: str) -> Column:
+    return F.ceil(F.log(F.col(value) + 1e-6) * BINS)
+
+
+def _reached(rows: DataFrame, value: str, share: float, keys: tuple[str, ...]) -> DataFrame:
+    """keys, bin, part: the histogram bin in which `share` of a group's rows is reached, and the part of its rows that it takes. The same at every run."""
+    bins = rows.groupBy(*keys, _bin(value).alias("bin")).agg(F.count("*").alias("n"))
     so_far = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    reached = bins.select(*keys, "bin", so_far.alias("so_far"), total.alias("total")).where(F.col("so_far") >= share * F.col("total"))
-    return saved(reached.groupBy(*keys).agg((F.exp(F.min("bin") / BINS) - 1e-6).alias("limit")), "quantiles")
+    wanted = share * F.sum("n").over(Window.partitionBy(*keys))
+    found = bins.select(*keys, "bin", (so_far - wanted).alias("over"), "n").where("over >= 0")
+    return found.groupBy(*keys).agg(F.min("bin").alias("bin"), F.min_by(1 - F.col("over") / F.col("n"), "bin").alias("part"))
+
+
+def _quantile(rows: DataFrame, value: str, share: float) -> DataFrame:
+    """g, limit: the upper edge of the bin in which `share` of a group's rows is reached."""
+    return saved(_reached(rows, value, share, ("g",)).select("g", (F.exp(F.col("bin") / BINS) - 1e-6).alias("limit")), "quantiles")
+
+
+def _nearest(rows: DataFrame) -> DataFrame:
+    """The rows of each group and start with the least d2, with weights w that add up to SHARE of the rows."""
+    bounds = saved(_reached(rows, "d2", SHARE, ("g", "start")).withColumnRenamed("bin", "last"), "quantiles")
+    near = rows.join(bounds, ["g", "start"]).withColumn("bin", _bin("d2")).where("bin <= last")
+    return near.withColumn("w", F.when(F.col("bin") < F.col("last"), 1.0).otherwise(F.col("part")))
 
 
 def _factor(moments: DataFrame) -> DataFrame:
@@ -117,7 +134,11 @@ def _distances(rows: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("g", "start").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in range(len(STATS)) for j in range(i + 1)])
+    """Means and covariances of each group and start, rows weighted by w."""
+    pairs = [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
+    sums = [F.sum(F.col("w") * F.col(x)).alias(f"s{i}") for i, x in enumerate(STATS)] + [F.sum(F.col("w") * F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i, j in pairs]
+    mean = [F.col(f"s{i}") / F.col("n") for i in range(len(STATS))]
+    return rows.groupBy("g", "start").agg(F.sum("w").alias("n"), *sums).select("g", "start", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]).alias(f"c{i}{j}") for i, j in pairs])
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -132,22 +153,20 @@ def _starts(rows: DataFrame) -> DataFrame:
     flat = spread.select("g", F.lit(1).alias("start"), *[f"m{i}" for i in range(len(STATS))], *[(F.pow(f"s{i}", F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs])
     near = reduce(lambda a, b: a & b, [F.abs(F.col(x) - F.col(f"m{i}")) <= 2 * F.greatest(F.col(f"s{i}"), F.lit(FLOORS[i])) for i, x in enumerate(STATS)])
     inner = F.explode(F.when(near, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(2))))
-    return flat.unionByName(_moments(rows.join(spread, "g").select("g", *STATS, inner.alias("start"))))
+    return flat.unionByName(_moments(rows.join(spread, "g").select("g", *STATS, F.lit(1.0).alias("w"), inner.alias("start"))))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """Robust mean, Cholesky factor and scale of each group g of vectors x1 to x5."""
-    factors = saved(_factor(_starts(rows)), "estimates")
-    for _ in range(STEPS):
-        near = _distances(rows, factors)
-        near = near.join(_quantile(near, "d2", SHARE, ("g", "start")), ["g", "start"]).where("d2 <= limit")
-        new = saved(_factor(_moments(near)), "estimates")
-        change = new.join(factors.select("g", "start", F.col("det").alias("old")), ["g", "start"]).agg(F.max(F.abs(F.col("det") - F.col("old")))).first()[0]
-        factors = new
-        if change is None or change <= SETTLED:
-            break
-    else:
-        raise RuntimeError(f"estimates are not settled after {STEPS} steps")
+    # A start's own determinant isn't one of SHARE of the rows: the first step counts as a fall.
+    state = saved(_factor(_starts(rows)).withColumns({"det": F.lit(float("inf")), "live": F.lit(True)}), "estimates")
+    columns = [c for c in state.columns if c not in ("g", "start", "live")]
+    fall = F.col("det") - F.col("new.det")
+    while state.where("live").head(1):
+        new = _factor(_moments(_nearest(_distances(rows, state.where("live").drop("live")))))
+        both = state.join(new.select("g", "start", F.struct(*columns).alias("new")), ["g", "start"], "left")
+        state = saved(both.select("g", "start", *[F.when(fall > 0, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in columns], F.coalesce(fall > SETTLED, F.lit(False)).alias("live")), "estimates")
+    factors = state.drop("live")
     factors = saved(factors.groupBy("g").agg(F.min_by(F.struct(*[c for c in factors.columns if c != "g"]), F.struct("det", "start")).alias("best")).select("g", "best.*"), "estimates")
     # The kept share is too narrow; its median distance says by how much.
     scale = _quantile(_distances(rows, factors), "d2", 0.5).select("g", F.greatest(F.col("limit") / MEDIAN, F.lit(1.0)).alias("scale"))
