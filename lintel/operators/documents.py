@@ -103,9 +103,26 @@ def compliance(checks: DataFrame, passing: tuple[str, ...] = ("PASS",)) -> DataF
     return checks.groupBy("doc_id").agg(F.count("*").alias("n_checks"), good.alias("n_passed"), F.bround(good * 100.0 / F.count("*")).cast("long").alias("percent"))
 
 
-def auto_fix(checks: DataFrame, fixes: list[str]) -> DataFrame:
-    """Failed checks that one of the given fixes mends become FIXED."""
-    return checks.withColumn("result", F.when(F.col("fix").isin(*fixes), "FIXED").otherwise(F.col("result")))
+def auto_fix(checks: DataFrame, fixes: list[str] | None = None) -> DataFrame:
+    """Failed checks that one of the given fixes mends become FIXED; without fixes all that any can mend."""
+    chosen = F.col("fix").isin(*fixes) if fixes else F.col("fix").isNotNull()
+    return checks.withColumn("result", F.when(chosen, "FIXED").otherwise(F.col("result")))
+
+
+#: The field of a document that a fix fills.
+FILLED = {"fix_title": "title", "fix_author": "author", "fix_date": "creation_date", "fix_revision": "revision"}
+
+
+def fill_metadata(docs: DataFrame, checks: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """docs with the fields that FIXED checks fill, and n_open, the number of their checks that still fail.
+
+    values: what a fix writes, by fix, as columns of docs. A fix without a value, or with a null or empty one, leaves its field as it is; fields that docs lack are left out.
+    """
+    fixed = F.when(F.col("result") == "FIXED", F.col("fix"))
+    found = checks.groupBy("doc_id").agg(F.collect_set(fixed).alias("_fixed"), F.count_if(F.col("result") == "FAIL").alias("n_open"))
+    given = lambda fix: F.array_contains("_fixed", fix) & (F.coalesce(values[fix].cast("string"), F.lit("")) != "")
+    fields = {field: F.when(given(fix), values[fix]).otherwise(F.col(field)) for fix, field in FILLED.items() if fix in values and field in docs.columns}
+    return docs.join(found, "doc_id", "left").withColumns(fields | {"n_open": F.coalesce("n_open", F.lit(0))}).drop("_fixed")
 
 
 def standard_warnings(docs: DataFrame, required: DataFrame | None = None) -> DataFrame:

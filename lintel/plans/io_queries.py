@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.operators import enrich, graph, rules
-from lintel.plans.model_queries import CROSS, EDGES, ESCAPED, FULL, OBSERVED, PREFIXED, SPEC_ROWS, TOPICS, TRIPLES, all_checks, all_triples, edges, ids_specs, issue_topics, nodes, specifications
+from lintel.plans.model_queries import CHECKS, CROSS, EDGES, ESCAPED, FOUND, FULL, OBSERVED, PREFIXED, SPEC_ROWS, TOPICS, TRIPLES, all_checks, all_triples, edges, ids_specs, issue_topics, lookup, nodes, specifications
 from lintel.plans.registry import ORACLES, query
 from lintel.plans.views import table, view
 from lintel.sources import readers, sinks, step
@@ -310,3 +310,33 @@ def s13_write_summary(spark, sf):
     path = scratch(spark, "summary")
     sinks.write_summary(validation_summary(view(spark, sf, "v_elements"), all_checks(spark, sf)), path)
     return spark.read.schema("n_elements long, elements_passed long, n_checks long, checks_passed long, element_pass_rate double, check_pass_rate double").json(path)
+
+
+SUMMARY = """input struct<total_elements:long, type_distribution:map<string,long>>, validation struct<total_checks:long, checks_passed:long, checks_failed:long, failures_by_type:map<string,long>>,
+    enrichment struct<total_properties:long, properties_mapped_exact:long, properties_mapped_fuzzy:long, properties_not_found:long>, output_files array<struct<name:string, type:string, n_files:long, size_kb:double>>"""
+
+
+@query(f"""select total_elements, walls, total_checks, checks_passed, checks_failed, wall_failures, total_properties, properties_mapped_exact, properties_mapped_fuzzy, properties_not_found, 'csv jsonl parquet schema' as folders, true as have_bytes
+    from (select count(*) as total_elements, count(*) filter (where ifc_class = 'IfcWall') as walls from v_elements) a,
+    (select count(*) as total_checks, count(*) filter (where result = 'PASS') as checks_passed, count(*) filter (where result = 'FAIL') as checks_failed, count(*) filter (where result = 'FAIL' and ifc_class = 'IfcWall') as wall_failures
+      from {CHECKS} c) b,
+    (select count(*) as total_properties, count(*) filter (where match = 'MAPPED') as properties_mapped_exact, count(*) filter (where match = 'FUZZY_MATCH') as properties_mapped_fuzzy, count(*) filter (where match = 'NOT_FOUND') as properties_not_found from {FOUND} f) d""")
+def s13_run_summary(spark, sf):
+    tables, path = scratch(spark, "tabular"), scratch(spark, "summary")
+    elements, count = view(spark, sf, "v_elements").select("global_id", "ifc_class"), lambda cond, name: F.count_if(cond).alias(name)
+    sinks.write_tabular(elements, tables)
+    by_class = F.map_from_entries(F.collect_list(F.struct("ifc_class", "n")))
+    sizes = elements.groupBy("ifc_class").agg(F.count("*").alias("n"))
+    checks = all_checks(spark, sf).groupBy("ifc_class").agg(F.count("*").alias("all"), count(F.col("result") == "PASS", "good"), count(F.col("result") == "FAIL", "n"))
+    parts = {
+        "input": sizes.agg(F.sum("n").alias("total_elements"), by_class.alias("type_distribution")),
+        "validation": checks.agg(F.sum("all").alias("total_checks"), F.sum("good").alias("checks_passed"), F.sum("n").alias("checks_failed"), by_class.alias("failures_by_type")),
+        "enrichment": lookup(spark, sf).agg(F.count("*").alias("total_properties"), count(F.col("match") == "MAPPED", "properties_mapped_exact"), count(F.col("match") == "FUZZY_MATCH", "properties_mapped_fuzzy"), count(F.col("match") == "NOT_FOUND", "properties_not_found")),
+    }
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(tables).select("path", "length")
+    sinks.write_lines(sinks.nested_summary(parts, files).coalesce(1), path)
+    back = spark.read.schema(SUMMARY).json(path)
+    return back.select(
+        "input.total_elements", F.col("input.type_distribution")["IfcWall"].alias("walls"), "validation.total_checks", "validation.checks_passed", "validation.checks_failed", F.col("validation.failures_by_type")["IfcWall"].alias("wall_failures"),
+        "enrichment.*", F.array_join(F.sort_array(F.array_distinct(F.transform("output_files", lambda x: x["name"]))), " ").alias("folders"), F.forall("output_files", lambda x: x["size_kb"] > 0).alias("have_bytes"),
+    )

@@ -318,6 +318,17 @@ def v17_auto_fix(spark, sf):
     return D.compliance(D.auto_fix(D.document_checks(facts(spark, sf)), ["fix_title", "fix_naming", "fix_pset"]), ("PASS", "FIXED"))
 
 
+STEM = "split_part(filename, '.', 1)"
+
+
+@query(f"""select doc_id, case when coalesce(title, '') = '' then {STEM} else title end as title, case when author = '' then 'unnamed, ' || phase else author end as author, case when ext = '.docx' and revision = 0 then 1 else revision end as revision, n_open
+    from {FACTS} f join (select doc_id, count(*) filter (where result = 'FAIL' and fix is null) as n_open from {DOC_CHECKS} d group by 1) o using (doc_id)""")
+def v17_filled_metadata(spark, sf):
+    found = facts(spark, sf)
+    values = {"fix_title": F.split_part("filename", F.lit("."), F.lit(1)), "fix_author": F.concat(F.lit("unnamed, "), "phase"), "fix_revision": F.lit(1).cast("long")}
+    return D.fill_metadata(found, D.auto_fix(D.document_checks(found)), values).select("doc_id", "title", "author", "revision", "n_open")
+
+
 HEADINGS = "lower(array_to_string(headings, ' '))"
 
 

@@ -444,6 +444,18 @@ def x11_extract_path(spark, sf):
     return extract_path(properties(spark, sf), "Pset_*Common.IsExternal", "external")
 
 
+@query("""select global_id, max(case when prop = 'IsExternal' then value end) as external, max(case when n = 1 then prop end) as first_prop, max(case when n = 2 then value end) as second_value, max(kind) as kind, cast(null as string) as beyond
+    from (select *, substr(ifc_class, 4) as kind, row_number() over (partition by global_id order by ord) as n from v_properties) p group by 1""")
+def x11_nested_paths(spark, sf):
+    from lintel.operators.paths import extract_paths
+
+    rows = properties(spark, sf).groupBy("global_id", "pset").agg(F.sort_array(F.collect_list(F.struct("ord", "prop", "value"))).alias("listed"), F.first(F.substr("ifc_class", F.lit(4))).alias("kind"))
+    sets = F.map_from_entries(F.array(F.struct("pset", F.map_from_entries(F.transform("listed", lambda x: F.struct(x["prop"], x["value"]))))))
+    nested = rows.select("global_id", F.parse_json(F.to_json(F.struct(sets.alias("sets"), "listed", F.struct("kind").alias("meta")))).alias("data"))  # one set for each element
+    paths = {"external": "sets.Pset_*Common.IsExternal", "first_prop": "listed.0.prop", "second_value": "listed.1.value", "kind": "meta.kind", "beyond": "listed.9.value"}
+    return extract_paths(nested, "data", paths).drop("data")
+
+
 @query("select global_id, prop, coalesce(try_cast(value as double), -1.0e0) as number, coalesce(case when lower(value) in ('true', 'yes', '1', 't') then 1.0e0 when lower(value) in ('false', 'no', '0', 'f') then 0.0e0 end, 0.5e0) as flag from v_properties")
 def x12_coerce_value(spark, sf):
     return properties(spark, sf).select("global_id", "prop", V.coerce(F.col("value"), "numeric", F.lit(-1.0)).alias("number"), V.coerce(F.col("value"), "boolean", F.lit(0.5)).alias("flag"))

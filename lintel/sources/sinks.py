@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,21 @@ def write_ids(specs: DataFrame, path: str) -> None:
     ids_documents(specs).write.mode("overwrite").format("xml").option("rootTag", "specifications").option("rowTag", "specification").save(path)
 
 
+def nested_summary(parts: dict[str, DataFrame], files: DataFrame | None = None) -> DataFrame:
+    """One row `value`, JSON: an object for each part, a table of one row, and output_files, one entry for each folder and type among files.
+
+    files: rows as binaryFile gives them (path, length); a file's folder is the last one of its path. Parts come as rows, so no tables are crossed; one of several rows is an error.
+    """
+    rows = [part.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("of")) for name, part in parts.items()]
+    if files is not None:
+        folder, kind = F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("name"), F.regexp_extract("path", r"\.([^./]+)$", 1).alias("type")
+        sizes = files.groupBy(folder, kind).agg(F.count("*").alias("n_files"), F.round(F.sum("length") / 1024, 2).alias("size_kb"))
+        rows.append(sizes.agg(F.to_json(F.sort_array(F.collect_list(F.struct("name", "type", "n_files", "size_kb")))).alias("of")).select(F.lit("output_files").alias("part"), "of"))
+    parts_of = F.map_entries(F.map_from_entries(F.sort_array(F.collect_list(F.struct("part", "of")))))
+    member = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])
+    return reduce(DataFrame.unionByName, rows).agg(F.concat(F.lit("{"), F.array_join(F.transform(parts_of, member), ","), F.lit("}")).alias("value"))
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """One row as JSON."""
     summary.coalesce(1).write.mode("overwrite").json(path)
