@@ -87,3 +87,31 @@ def test_index_of_the_given_vectors(spark, sf):
     index, queries = neighbours.build(frame), frame.where("id % 20 = 0")
     exact = neighbours.nearest_exact(index, queries, 5)
     assert neighbours.recall(neighbours.nearest(index, queries, 5, neighbours.probes_for(index, queries, 5)), exact) >= 0.9
+
+
+def plain_pairs(rows, *keys):
+    """Ids (earlier, later) of all pairs that share a value of any key."""
+    rows = sorted(rows, key=lambda r: r["ord"])
+    return {(a["global_id"], b["global_id"]) for a, b in combinations(rows, 2) if any(a[k] is not None and a[k] == b[k] for k in keys)}
+
+
+def test_numbered_pairs_come_from_blocks(spark, elements):
+    found = cliques.members(elements, "container")
+    names = {(r["class"], r["rank"]): r["id"] for r in found.collect()}
+    sizes = {c: sum(k[0] == c for k in names) for c, _ in names}
+    want = set()
+    for c, n in sizes.items():
+        pairs = list(combinations(range(n), 2))
+        want |= {(c, k, names[c, i], names[c, j]) for k, (i, j) in enumerate(pairs) if k % 7 == 0}
+    for block in (1, 5, 1000):
+        got = [tuple(r) for r in cliques.every(found, 7, block).collect()]
+        assert len(got) == len(want) and set(got) == want
+    # One row of the plan holds two blocks, never a class's numbers.
+    assert cliques.tiles(found, 5).agg(F.max(F.size("src")), F.max(F.size("dst"))).first() == (5, 5)
+
+
+def test_pairs_that_share_any_value(spark, elements):
+    want = plain_pairs(elements.collect(), "container", "material")
+    for block in (3, 1000):
+        got = [tuple(r) for r in cliques.sharing(elements, ["container", "material"], block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
