@@ -115,3 +115,17 @@ def test_pairs_that_share_any_value(spark, elements):
     for block in (3, 1000):
         got = [tuple(r) for r in cliques.sharing(elements, ["container", "material"], block=block).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_proximity_repeats_no_element_for_a_broadcast(spark):
+    random = np.random.default_rng(4)
+    rows = [(f"p{i}", *(float(v) for v in random.integers(-4, 5, 2)), float(random.choice([0, 0.5, 1, 3]))) for i in range(120)] + [("none", None, 0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "global_id string, x double, y double, z double")
+    for level in (True, False):
+        found = graph.proximity_edges(frame, 1.5, level)
+        gap = lambda a, b: ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 + (0 if level else (a[3] - b[3]) ** 2)) ** 0.5  # noqa: E731, B023
+        want = {(a[0], b[0]) for a in rows[:-1] for b in rows[:-1] if a is not b and gap(a, b) < 1.5 and (not level or abs(a[3] - b[3]) <= 0.5)}
+        got = [(r["src"], r["dst"]) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want
+        # The tables of blocks meet by sorting: neither goes to the driver.
+        assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
