@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lintel.llm.common import long_id, row_key, saved, steps, text_bytes
 
 #: Words a generation of a task's memory holds, bytes of text that share a look-up, and pieces of one length that share a bucket.
-WORDS_KEPT, LOOKUP_BYTES, BUCKET_ROWS = 400_000, 12 << 20, 20_000
+WORDS_KEPT, LOOKUP_BYTES, BUCKET_ROWS = 400_000, 4 << 20, 20_000
 
 
 #: Letters that have one lower-case form everywhere, and signs after them that no contraction begins with.

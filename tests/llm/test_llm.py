@@ -643,3 +643,30 @@ def test_pipeline(spark, sf):
     assert len(texts) == len(set(texts)) and not any(re.search(r"[0-9a-f]{24,}", t) for t in texts)
     pieces = corpus_pipeline.STAGES[-1][1](spark, now, sf)
     assert pieces.select("doc_id").distinct().count() == now.count()
+
+
+def test_packing_looks_up_bounded_texts():
+    """Texts that meet in one look-up of words hold 4 MB at most, unless one text is longer."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from lintel.llm import packing
+
+    load, sizes = packing.word_bpe(public_tokenizers.path("word_bpe_49k.json")), []
+    inner = packing.WordIds(load)
+
+    def recorded(texts):
+        sizes.append(sum(len(t.as_py()) for t in texts))
+        return inner(texts)
+
+    before = packing._LOADED.get(load.key)
+    packing._LOADED[load.key] = recorded
+    try:
+        texts = ["some words of a text " * 5_000] * 100
+        batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(range(100), pa.int64()), pa.array(texts)], ["doc_id", "key", "text"])
+        out = [r for b in packing._piece_batches(load, 2048, 1, False)(iter([batch])) for r in b.to_pylist()]
+    finally:
+        packing._LOADED.pop(load.key)
+        if before:
+            packing._LOADED[load.key] = before
+    assert {r["doc_id"] for r in out} == set(range(100)) and sum(sizes) == sum(map(len, texts)) and max(sizes) <= 4 << 20
