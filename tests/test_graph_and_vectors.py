@@ -129,3 +129,23 @@ def test_proximity_repeats_no_element_for_a_broadcast(spark):
         assert len(got) == len(want) and set(got) == want
         # The tables of blocks meet by sorting: neither goes to the driver.
         assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_of_the_index_are_bounded(spark, monkeypatch):
+    """A query that looks into every list leaves in frames of bounded size."""
+    sizes = []
+    frames = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(50)], "id long, v array<double>")
+    index = neighbours.Index(neighbours.unit([[float(i), 1.0, 0.5] for i in range(900)]), np.full(900, np.pi), frames, np.ones(900, dtype=np.int64))
+
+    class Rows:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, task, _):
+            sizes.extend(len(f) for f in task(iter([frames.withColumn("kth", F.lit(-1.0)).toPandas()])))
+
+    neighbours._probes(index, Rows(), 4, True)
+    assert sum(sizes) == 50 * 896 and max(sizes) <= 10_000
+    assert neighbours._rows(4096) * 4096 <= 1 << 20
