@@ -5,6 +5,7 @@ Pairs within a group grow with its square: cliques.py makes them from blocks, or
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -180,9 +181,10 @@ PREFIXES = {
 TOPOLOGY = {"IfcSpace": "bot:Space", "IfcWall": "beo:Wall", "IfcDoor": "beo:Door", "IfcWindow": "beo:Window", "IfcSlab": "beo:Slab", "IfcRoof": "beo:Roof", "IfcBeam": "beo:Beam"}
 
 
-def triples(elements: DataFrame, properties: DataFrame, spatial: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+def triples(elements: DataFrame, properties: DataFrame, spatial: DataFrame, classes: DataFrame, documents: DataFrame, rows_a_task: int = 100_000) -> DataFrame:
     """subject, predicate, object, object_type, datatype, each once: the project and its sites, buildings, storeys and spaces, elements with classes, labels, places,
     property sets, materials and classifications, and documents. classes: ifc_class, uniclass; documents: doc_id, filename, phase.
+    rows_a_task: elements, properties and documents whose triples a task holds to keep each once.
     """
     row = lambda s, p, o, kind="uri", datatype=None: F.struct(s.alias("subject"), (F.lit(p) if isinstance(p, str) else p).alias("predicate"), o.cast("string").alias("object"), F.lit(kind).alias("object_type"), (datatype if datatype is not None else F.lit(None).cast("string")).alias("datatype"))
     uri = lambda c: F.concat(F.lit("inst:"), F.col(c))
@@ -205,7 +207,9 @@ def triples(elements: DataFrame, properties: DataFrame, spatial: DataFrame, clas
     papers = rows(documents, row(doc, "rdf:type", F.lit("foaf:Document")), row(doc, "rdfs:label", F.col("filename"), "literal"), row(doc, "props:lifecyclePhase", F.col("phase"), "literal"), row(project, "foaf:topic", doc))
     for part in (tree, sets, materials, coded, papers):
         out = out.unionByName(part)
-    return out.where("subject is not null and object is not null").distinct()
+    # Inputs are small files of many elements, each of which makes many triples: they are dealt before equal ones are looked for, over tasks that their number asks for.
+    tasks = max(elements.sparkSession.sparkContext.defaultParallelism, math.ceil((elements.count() + properties.count() + documents.count()) / rows_a_task))
+    return out.where("subject is not null and object is not null").repartition(tasks, *out.columns).distinct()
 
 
 def full(name: Column) -> Column:

@@ -149,3 +149,17 @@ def test_steps_of_the_index_are_bounded(spark, monkeypatch):
     neighbours._probes(index, Rows(), 4, True)
     assert sum(sizes) == 50 * 896 and max(sizes) <= 10_000
     assert neighbours._rows(4096) * 4096 <= 1 << 20
+
+
+def test_triples_are_dealt_by_their_number(spark, sf):
+    from lintel.operators import enrich
+    from lintel.plans.views import view
+
+    parts = [view(spark, sf, n) for n in ("v_elements", "v_properties", "v_spatial")]
+    found = graph.triples(*parts, enrich.crosswalk(spark), view(spark, sf, "v_documents"), rows_a_task=50)
+    n = sum(view(spark, sf, v).count() for v in ("v_elements", "v_properties", "v_documents"))
+    assert found.rdd.getNumPartitions() == -(-n // 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Nothing is gathered before the deal: both steps of the distinct stand above the one exchange by all columns.
+    assert plan.rfind("HashAggregate(keys=[subject") < plan.find("REPARTITION_BY_NUM")
+    assert found.count() == found.distinct().count()
