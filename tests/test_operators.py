@@ -134,3 +134,13 @@ def test_rule_files_in_published_layouts(spark, tmp_path):
     asked = {"requirements": {"IfcWall": {"properties": [{"propertySet": "P", "name": "N", "required": True, "rationale": "r"}], "material": {"required": False, "rationale": "m"}}, "IfcDoor": {"properties": []}}, "global_requirements": {"spatial_containment": {"required": True, "rationale": "g"}, "classification": {"required": False, "systems": ["U"], "rationale": "c"}}}
     (tmp_path / "requirements.json").write_text(json.dumps(asked))
     assert [tuple(r) for r in readers.read_requirements(spark, str(tmp_path / "requirements.json")).collect()] == [("IfcWall", "property", "P", "N", True, "r", None), ("IfcWall", "material", None, None, False, "m", None), (None, "partof", None, None, True, "g", None), (None, "classification", None, None, False, "c", ["U"])]
+
+
+def test_document_graph_counts_words_once(spark):
+    from lintel.operators import lake
+
+    docs = spark.createDataFrame([(1, "apache apache license"), (2, "license zebra"), (3, "")], "doc_id long, text string")
+    terms = spark.createDataFrame([("license", "License"), ("license", "Law"), ("missing", "None")], "word string, class string")
+    nodes, _ = lake.document_graph(lake.document_keywords(docs), terms)
+    assert sorted(map(tuple, nodes.collect())) == [("cls:Law", "class"), ("cls:License", "class"), ("doc:1", "document"), ("doc:2", "document"), ("kw:apache", "keyword"), ("kw:license", "keyword"), ("kw:zebra", "keyword")]
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # texts once, terms once
