@@ -20,15 +20,47 @@ RELATIONS = {
 
 
 def split_args():
-    """Pandas UDF: top-level arguments of a record; brackets and quoted commas stay together."""
+    """Arrow UDF: top-level arguments of a record; brackets and quoted commas stay together."""
 
-    @F.pandas_udf("array<string>")
+    @F.arrow_udf("array<string>")
     def split(args):
-        return args.map(top_level)
+        return top_levels(args)
 
     return split
 
 
+def top_levels(texts):
+    """top_level() of every text of an Arrow array, by counting quotes and brackets over all of them at once. Texts with an odd number of quotes go one by one."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    odd = pc.equal(pc.bit_wise_and(pc.count_substring(texts, "'"), 1), 1)
+    plain, n = pc.if_else(odd, pa.scalar("", pa.large_string()), texts), len(texts)
+    starts = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + n + 1]
+    data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    starts = starts - starts[0]
+    quoted = np.bitwise_xor.accumulate(data == ord("'"))
+    depth = np.concatenate([[0], np.cumsum((((data == ord("(")) & ~quoted).astype(np.int8) - ((data == ord(")")) & ~quoted)), dtype=np.int64)])
+    cuts = np.flatnonzero((data == ord(",")) & ~quoted)
+    row = np.searchsorted(starts, cuts, "right") - 1
+    top = depth[cuts] == depth[starts[row]]
+    cuts, row = cuts[top], row[top]
+    # Commas that cut are taken out; the k-th one begins a part that has k cuts and the first parts of row + 1 texts before it.
+    lists = np.concatenate([[0], np.cumsum(1 + np.bincount(row, minlength=n))])
+    begins = np.empty(lists[-1] + 1, np.int64)
+    begins[lists] = starts - (lists - np.arange(n + 1))
+    begins[np.arange(len(cuts)) + row + 1] = cuts - np.arange(len(cuts))
+    parts = pa.LargeStringArray.from_buffers(int(lists[-1]), pa.py_buffer(begins), pa.py_buffer(np.delete(data, cuts)))
+    found = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pc.utf8_trim_whitespace(parts).cast(pa.string()))
+    if not pc.any(odd).as_py():
+        return found
+    at = np.arange(n)
+    at[odd.to_numpy(zero_copy_only=False)] = n + np.arange(pc.sum(odd).as_py())
+    return pa.concat_arrays([found, pa.array([top_level(x) for x in texts.filter(odd).to_pylist()], found.type)]).take(pa.array(at))
+
+
 def top_level(text: str | None) -> list[str]:
     cuts, depth = [-1], 0
     for m in TOKEN.finditer(text or ""):
@@ -86,9 +118,12 @@ def join_records(lines: DataFrame) -> DataFrame:
 
 def parse_records(rows: DataFrame) -> DataFrame:
     """file, id, type, args of rows file, value that hold a record each; others are left out."""
-    part = lambda k: F.regexp_extract(F.trim(F.col("value")), RECORD, k)
-    found = rows.where(F.trim(F.col("value")).rlike(RECORD))
-    return found.select("file", part(1).cast("long").alias("id"), F.upper(part(2)).alias("type"), split_args()(part(3)).alias("args"))
+    # The pattern is looked for once; where its parts lie follows from the first bracket and the last character.
+    blank = F.lit(" \t\n\x0b\f\r")
+    found = rows.select("file", F.rtrim(F.regexp_extract(F.trim(F.col("value")), RECORD, 0), blank).alias("record")).where("record <> ''")
+    head = F.substring_index("record", "(", 1)
+    args = F.substring("record", F.length(head) + 2, F.length("record") - F.length(head) - 2)
+    return found.select("file", F.btrim(F.substring(F.substring_index(head, "=", 1), F.lit(2), F.length(head)), blank).cast("long").alias("id"), F.upper(F.btrim(F.substring_index(head, "=", -1), blank)).alias("type"), split_args()(args).alias("args"))
 
 
 def census(records: DataFrame, top: int = 30) -> DataFrame:

@@ -119,3 +119,32 @@ def test_hierarchy(spark):
         step.hierarchy(as_records(spark, [*lines, place(40, "IFCSPACE", "'a'"), place(41, "IFCSPACE", "'b'"), part(50, 40, 41), part(51, 41, 40)]))
     assert step.hierarchy(as_records(spark, ["#1=IFCTHING($)"])).count() == 0
     assert F is not None
+
+
+def test_arguments_of_many_records_at_once():
+    import pyarrow as pa
+
+    random = np.random.default_rng(5)
+    parts = ["'", "''", "(", ")", ",", ",", " ", "a", "\u00df", "\u00a0", "\n", "#12", "$", "','", "('"]
+    texts = ["".join(parts[k] for k in random.integers(0, len(parts), int(random.integers(0, 14)))) for _ in range(5000)] + [None, "", ",", ",,"]
+    for some in (texts, [x for x in texts if x and x.count("'") % 2 == 0], [None], []):
+        assert step.top_levels(pa.array(some, pa.string())).to_pylist() == [step.top_level(x) for x in some]
+    assert step.top_levels(pa.array(texts, pa.string())[7:90]).to_pylist() == [step.top_level(x) for x in texts[7:90]]
+
+
+def test_parts_of_records_as_by_the_pattern(spark):
+    texts = ["#1=IFCA('x')", "\n #22 = ifcB ( (1,(2)) , $ ) \n", "DATA", "/* a */#3=IFCC('(',')')", "#4=IFCD()", "#5=IFCE(1", "#6 =\tIFC_F('a=b(c')\t", "", None]
+    rows = step.parse_records(spark.createDataFrame([("f", x) for x in texts], "file string, value string")).collect()
+    found = [m for x in texts if x and (m := re.search(step.RECORD, x))]
+    assert len(found) == 5
+    assert {(r["id"], r["type"], tuple(r["args"])) for r in rows} == {(int(m[1]), m[2].upper(), tuple(step.top_level(m[3]))) for m in found}
+
+
+def test_records_are_made_over_tasks_by_their_number(spark, sf):
+    from lintel.plans import io_queries
+    from lintel.plans.views import view
+
+    rows = view(spark, sf, "v_elements")
+    assert io_queries.dealt(rows, "global_id", rows_a_task=20).rdd.getNumPartitions() == -(-rows.count() // 20)
+    plan = io_queries.p1_step_census(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ArrowEval" not in plan  # types are counted without cutting arguments
