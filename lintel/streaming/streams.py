@@ -36,44 +36,59 @@ def ingest_files(spark: SparkSession, path: str, out: str, checkpoint: str, job:
     return _upserted(rows, found if job is None else lambda batch: job(found(batch)), out, checkpoint, "path", ["modified_at"])
 
 
-def publish_trigger(events: DataFrame, delay: str = "1 day", keep_days: int = KEEP_DAYS) -> DataFrame:
+def publish_trigger(events: DataFrame, delay: str = "1 day", keep_days: int = KEEP_DAYS, groups: int = 1024) -> DataFrame:
     """file_id, event_id of changes to published from any other state; events: file_id, event_id, ts, state.
 
     Events wait in their file's state until the watermark has passed them and are then taken in the order of time and id, so that shuffled and late
     batches give the rows of the batch form. Events behind the watermark are dropped. A timer wakes the file for its next event, and ends
     its state `keep_days` of event time after the last one: a file that is published again later counts as coming from nowhere.
+    Files share `groups` states by hash, since a call of Python for each file and batch would take most of the time; each has its own order, memory and end there.
     """
 
     def changes(key, frames: Iterator, state: GroupState) -> Iterator:
+        import numpy as np
         import pandas as pd
 
-        now = state.getCurrentWatermarkMs() * 1000
-        previous, last, held = None, None, []
+        # Files are rows of: id is null, id, last state was published, time of it. Events: id is null, id, time, event, leads to published.
+        now, keep = state.getCurrentWatermarkMs() * 1000, keep_days * _DAY_US
+        known, held = np.empty((0, 4), np.int64), []
         if state.exists:
-            previous, last, times, ids, states = state.get
-            held = list(zip(times, ids, states, strict=True))
+            files, packed = state.get
+            known, held = np.frombuffer(files, np.int64).reshape(-1, 4), [np.frombuffer(packed, np.int64).reshape(-1, 5)]
         if not state.hasTimedOut:
-            for rows in frames:
-                held += zip((rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), rows["event_id"].tolist(), rows["state"].tolist(), strict=True)
-        held.sort(key=lambda x: x[:2])
-        out, waiting = [], []
-        for at, event, to in held:
-            if at > now:
-                waiting.append((at, event, to))
-                continue
-            if to == "published" and previous != "published":
-                out.append((key[0], int(event)))
-            previous, last = to, at
-        if waiting or last is None or last + keep_days * _DAY_US > now:
-            state.update((previous, last, *(list(x) for x in (zip(*waiting, strict=True) if waiting else ((), (), ())))))
-            wake = waiting[0][0] if waiting else last + keep_days * _DAY_US
+            held += [np.column_stack([rows[c].to_numpy() for c in ("none", "file", "at", "event_id", "to")]) for rows in frames]
+        events = np.concatenate(held)
+        due = events[:, 2] <= now
+        waiting, ready = events[~due], events[due]
+        # A file's state goes before its events; each event is held against the row before it.
+        rows = np.concatenate([known[:, [0, 1, 3, 3, 2]], ready])
+        event = np.arange(len(rows)) >= len(known)
+        order = np.lexsort((rows[:, 3], rows[:, 2], event, rows[:, 1], rows[:, 0]))
+        rows, event = rows[order], event[order]
+        first = np.ones(len(rows), bool)
+        first[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+        to = rows[:, 4] == 1
+        found = rows[event & to & (first | ~np.concatenate([[False], to[:-1]])[: len(to)])]
+        known = rows[np.concatenate([first[1:], [True]])[: len(rows)]][:, [0, 1, 4, 2]]
+        null = waiting[:, 0] == 1
+        awaited = np.where(known[:, 0] == 1, null.any(), np.isin(known[:, 1], waiting[~null, 1]))
+        stays = awaited | (known[:, 3] + keep > now)
+        known, awaited = known[stays], awaited[stays]
+        if len(waiting) or len(known):
+            state.update((known.tobytes(), waiting.tobytes()))
+            wake = int(np.concatenate([waiting[:, 2], known[~awaited, 3] + keep]).min())
             state.setTimeoutTimestamp(max(wake, now) // 1000 + 1)
         else:
             state.remove()
-        yield pd.DataFrame(out, columns=["file_id", "event_id"])
-
-    held = "previous string, last long, times array<long>, ids array<long>, states array<string>"
-    return events.select("file_id", "event_id", "ts", "state").withWatermark("ts", delay).groupBy("file_id").applyInPandasWithState(changes, "file_id long, event_id long", held, "append", GroupStateTimeout.EventTimeTimeout)
+        if len(found):
+            yield pd.DataFrame({"file_id": pd.arrays.IntegerArray(found[:, 1].copy(), found[:, 0] == 1), "event_id": found[:, 3]})
+
+    group = F.pmod(F.xxhash64("file_id"), F.lit(groups)).alias("part")
+    rows = events.select(
+        group, F.isnull("file_id").cast("long").alias("none"), F.coalesce(F.col("file_id").cast("long"), F.lit(0)).alias("file"), "event_id", "ts",
+        F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62))).alias("at"), F.coalesce(F.col("state") == "published", F.lit(False)).cast("long").alias("to"),
+    )
+    return rows.withWatermark("ts", delay).groupBy("part").applyInPandasWithState(changes, "file_id long, event_id long", "files binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_progress(events: DataFrame, delay: str = "1 day", keep_days: int = KEEP_DAYS) -> DataFrame:

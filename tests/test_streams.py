@@ -40,6 +40,20 @@ def test_publish_trigger_takes_events_in_their_order(spark, tmp_path):
     assert {(r[1], r[2]) for r in found} == batch and len(found) == len(batch) > 20
 
 
+def test_publish_trigger_waits_in_any_time_zone(spark, tmp_path):
+    at = lambda hours: START + dt.timedelta(days=9, hours=hours)
+    parts = [[(1, 1, at(24), "wip")], [(1, 2, at(2), "published")], [(1, 3, at(1), "published")], [(9, 9, at(24 * 60), "wip")]]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        trigger = lambda x: streams.publish_trigger(x, "1 day")
+        found, _ = run(spark, tmp_path, [events_of(spark, x) for x in parts], trigger, "zoned")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    # The watermark is 9 days after the first batch: the second event waits, so that the third comes before it.
+    assert [(r[1], r[2]) for r in found] == [(1, 3)]
+
+
 def test_publish_trigger_forgets_and_drops(spark, tmp_path):
     at = lambda days: START + dt.timedelta(days=days)
     frames = [
