@@ -140,14 +140,20 @@ def reference_edges(records: DataFrame) -> DataFrame:
 
 
 def text_of(arg):
-    """A quoted argument's text; null for '$' and '*'."""
-    return F.when(arg.isin("$", "*"), None).otherwise(F.regexp_extract(arg, r"(?s)^'(.*)'$", 1))
+    """A quoted argument's text; null for '$' and '*', empty for what is not quoted. Arguments have no blanks around them, so no pattern is needed."""
+    quoted = arg.startswith("'") & arg.endswith("'") & (F.length(arg) > 1)
+    return F.when(arg.isNull() | arg.isin("$", "*"), None).when(quoted, F.substring(arg, F.lit(2), F.length(arg) - 2)).otherwise("")
 
 
 def _refs(arg):
     return F.transform(F.regexp_extract_all(arg, F.lit(r"#(\d+)"), F.lit(1)), lambda x: x.cast("long"))
 
 
+def _ref(arg):
+    """The first reference; null if there is none."""
+    return F.nullif(F.regexp_extract(arg, r"#(\d+)", 1), F.lit("")).cast("long")
+
+
 def objects(records: DataFrame) -> DataFrame:
     """file, id, type, global_id, name of records that begin with a 22-character id."""
     return records.where(F.length(text_of(F.get("args", 0))) == 22).select("file", "id", "type", text_of(F.get("args", 0)).alias("global_id"), text_of(F.get("args", 2)).alias("name"))
@@ -171,7 +177,7 @@ def relationships(records: DataFrame) -> DataFrame:
 def properties(records: DataFrame) -> DataFrame:
     """file, global_id, pset, prop, value: single values of property sets; sets named Qto_ are quantities."""
     of = lambda kind: records.where(F.col("type") == kind)
-    rel = of("IFCRELDEFINESBYPROPERTIES").select("file", F.explode(_refs(F.get("args", 4))).alias("element"), F.get(_refs(F.get("args", 5)), 0).alias("set"))
+    rel = of("IFCRELDEFINESBYPROPERTIES").select("file", F.explode(_refs(F.get("args", 4))).alias("element"), _ref(F.get("args", 5)).alias("set"))
     sets = of("IFCPROPERTYSET").unionByName(of("IFCELEMENTQUANTITY")).select("file", F.col("id").alias("set"), text_of(F.get("args", 2)).alias("pset"), F.explode(_refs(F.element_at("args", -1))).alias("p"))
     given = F.get("args", 2)
     value = F.when(~given.isin("$", "*"), F.regexp_extract(given, r"(?s)^\w+\(\s*'?(.*?)'?\s*\)$", 1))
@@ -185,7 +191,7 @@ def properties(records: DataFrame) -> DataFrame:
 def materials(records: DataFrame) -> DataFrame:
     """file, global_id, kind, material, thickness: single, listed, layered and profile materials, the last two also through their usages."""
     of = lambda kind: records.where(F.col("type") == kind)
-    one = lambda k: F.get(_refs(F.get("args", k)), 0)
+    one = lambda k: _ref(F.get("args", k))
     rel = of("IFCRELASSOCIATESMATERIAL").select("file", F.explode(_refs(F.get("args", 4))).alias("element"), one(5).alias("m"))
     base = of("IFCMATERIAL").select("file", F.col("id").alias("x"), F.coalesce(text_of(F.get("args", 0)), F.lit("Unknown")).alias("material"))
     columns = lambda df, kind, thickness: df.select("file", "m", F.lit(kind).alias("kind"), F.coalesce("material", F.lit("Unknown")).alias("material"), thickness.alias("thickness"))
@@ -217,86 +223,106 @@ def classifications(records: DataFrame) -> DataFrame:
 # Places: an affine map is an array of twelve numbers, the images of the three axes and of the origin.
 
 
-def _numbers(arg):
-    return F.transform(F.regexp_extract_all(arg, F.lit(r"[-+]?\d[\d.]*(?:[eE][-+]?\d+)?"), F.lit(0)), lambda x: x.try_cast("double"))
+NUMBER = r"[-+]?\d[\d.]*(?:[eE][-+]?\d+)?"
 
 
 def _vectors(records: DataFrame, kind: str, name: str) -> DataFrame:
-    """file, <name>, <name>_v: three numbers; the third is 0 where a record has two."""
-    v = _numbers(F.get("args", 0))
-    return records.where(F.col("type") == kind).select("file", F.col("id").alias(name), F.array(*[F.coalesce(F.get(v, k), F.lit(0.0)) for k in range(3)]).alias(f"{name}_v"))
+    """file, <name>, <name>_0 to <name>_2: three numbers; the third is 0 where a record has two."""
+    v = F.regexp_extract_all(F.get("args", 0), F.lit(NUMBER), F.lit(0))
+    return records.where(F.col("type") == kind).select("file", F.col("id").alias(name), v.alias("v")).select("file", name, *[F.coalesce(F.get("v", k).try_cast("double"), F.lit(0.0)).alias(f"{name}_{k}") for k in range(3)])
 
 
 def _dot(a, b):
-    return sum((F.get(a, k) * F.get(b, k) for k in range(1, 3)), F.get(a, 0) * F.get(b, 0))
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _normal(rows: DataFrame, v: str) -> DataFrame:
+    """rows with <v>_0 to <v>_2 as a vector of length 1; null for one without length."""
+    rows = rows.withColumn("length", F.sqrt(_dot(_columns(v), _columns(v))))
+    return rows.withColumns({f"{v}_{k}": F.when(F.col("length") > 0, x / F.col("length")) for k, x in enumerate(_columns(v))}).drop("length")
 
 
-def _normal(v):
-    """v with length 1; null for a vector without length."""
-    length = F.sqrt(_dot(v, v))
-    return F.when(length > 0, F.transform(v, lambda x: x / length))
+def _columns(v: str) -> list:
+    return [F.col(f"{v}_{k}") for k in range(3)]
 
 
-def _apply(m, v, moved: bool):
-    """The image of a direction, or with `moved` of a point."""
-    return F.array(*[sum((F.get(m, 3 * i + k) * F.get(v, i) for i in range(3)), F.get(m, 9 + k) if moved else F.lit(0.0)) for k in range(3)])
+def _level(rows: DataFrame, v: str) -> DataFrame:
+    """rows with the part of <v> that is at right angles to z, with length 1; null where there is none."""
+    rows = rows.withColumn("along", _dot(_columns(v), _columns("z")))
+    rows = rows.withColumns({f"{v}_{k}": x - z * F.col("along") for k, (x, z) in enumerate(zip(_columns(v), _columns("z"), strict=True))}).drop("along")
+    return _normal(rows.withColumns({f"{v}_{k}": F.when(F.abs(x) > 1e-12, x).otherwise(0.0) for k, x in enumerate(_columns(v))}), v)
 
 
-def _composed(outer, inner):
-    return F.concat(*[_apply(outer, F.slice(inner, 3 * i + 1, 3), i == 3) for i in range(4)])
+def _composed(outer, inner, known):
+    """The twelve numbers of the map `inner` followed by `outer`, or of `inner` alone where not `known`."""
+    image = lambda i, k: sum((F.get(outer, 3 * j + k) * F.get(inner, 3 * i + j) for j in range(3)), F.get(outer, 9 + k) if i == 3 else F.lit(0.0))
+    return [F.when(known, image(i, k)).otherwise(F.get(inner, 3 * i + k)) for i in range(4) for k in range(3)]
 
 
 def placements(records: DataFrame) -> DataFrame:
     """file, id, parent, m of every local placement: its map into the coordinates of its parent (null: the world). A missing axis is the z axis, a missing or
     parallel reference direction the x axis (or y, where the axis is x), directions have any length; a placement without a point is where its parent is."""
-    one = lambda k: F.get(_refs(F.get("args", k)), 0)
+    one = lambda k: _ref(F.get("args", k))
     axes = records.where(F.col("type").isin("IFCAXIS2PLACEMENT3D", "IFCAXIS2PLACEMENT2D"))
     flat = F.col("type") == "IFCAXIS2PLACEMENT2D"
     axes = axes.select("file", F.col("id").alias("axes"), one(0).alias("point"), F.when(~flat, one(1)).alias("up"), F.when(flat, one(1)).otherwise(one(2)).alias("ahead"))
     for name, kind in (("point", "IFCCARTESIANPOINT"), ("up", "IFCDIRECTION"), ("ahead", "IFCDIRECTION")):
         axes = axes.join(_vectors(records, kind, name), ["file", name], "left")
-    axis = lambda *v: F.array(*[F.lit(float(x)) for x in v])
-    axes = axes.withColumn("z", F.coalesce(_normal(F.col("up_v")), axis(0, 0, 1)))
-    level = lambda v: _normal(F.zip_with(v, F.transform("z", lambda x: x * _dot(v, F.col("z"))), lambda a, b: F.when(F.abs(a - b) > 1e-12, a - b).otherwise(0.0)))
-    axes = axes.withColumn("x", F.coalesce(level(F.coalesce("ahead_v", axis(1, 0, 0))), level(axis(1, 0, 0)), axis(0, 1, 0)))
-    x, z = F.col("x"), F.col("z")
-    cross = F.array(*[F.get(z, (k + 1) % 3) * F.get(x, (k + 2) % 3) - F.get(z, (k + 2) % 3) * F.get(x, (k + 1) % 3) for k in range(3)])
-    axes = axes.select("file", "axes", F.concat(x, cross, z, F.coalesce("point_v", axis(0, 0, 0))).alias("m"))
-    still = axis(1, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0)
+    # Numbers are columns of their own, and each step is a projection: arrays with functions over them would be interpreted, and made anew for every use.
+    filled = lambda name, source, other: {f"{name}_{k}": F.coalesce(x, other[k] if not isinstance(other[k], int) else F.lit(float(other[k]))) for k, x in enumerate(_columns(source))}
+    axes = _normal(axes, "up").withColumns(filled("z", "up", (0, 0, 1)) | filled("x", "ahead", (1, 0, 0)) | {f"other_{k}": F.lit(float(k == 0)) for k in range(3)} | filled("point", "point", (0, 0, 0)))
+    axes = _level(_level(axes, "x"), "other").withColumns(filled("other", "other", (0, 1, 0)))
+    axes = axes.withColumns(filled("x", "x", _columns("other")))
+    x, z = _columns("x"), _columns("z")
+    cross = [z[(k + 1) % 3] * x[(k + 2) % 3] - z[(k + 2) % 3] * x[(k + 1) % 3] for k in range(3)]
+    axes = axes.select("file", "axes", F.array(*x, *cross, *z, *_columns("point")).alias("m"))
+    still = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0)])
     own = records.where(F.col("type") == "IFCLOCALPLACEMENT").select("file", "id", one(0).alias("parent"), one(1).alias("axes"))
     return own.join(axes, ["file", "axes"], "left").select("file", "id", "parent", F.coalesce("m", still).alias("m"))
 
 
 def in_world(placed: DataFrame, rounds: int = 40) -> DataFrame:
-    """file, id, m of placements(): each map into the coordinates of the world, by pointer doubling.
+    """file, id, m of placements(): each map into the coordinates of the world."""
+    return _worlds(placed, rounds).select("file", "id", F.array(*WORLD).alias("m"))
+
+
+WORLD = [f"world_{k}" for k in range(12)]
+
+
+def _worlds(placed: DataFrame, rounds: int = 40) -> DataFrame:
+    """placements() with the twelve numbers of each map into the coordinates of the world, as columns, so that a reader of some of them makes no others.
 
-    In each round a map is composed with that of the placement it leads to, which by then leads as far again; a chain of depth d takes log2(d) + 1
-    rounds, each written. A parent that is not there counts as the world. Placements in a circle lead nowhere: an error after `rounds`.
+    Placements that others lead to, mostly few, are followed by pointer doubling: in each round a map is composed with that of the placement it leads to,
+    which by then leads as far again; a chain of depth d takes log2(d) + 1 rounds, each written. All others take one join with these. A parent that is not
+    there counts as the world. Placements in a circle lead nowhere: an error after `rounds`.
     """
-    spark, done, now = placed.sparkSession, None, placed
+    spark = placed.sparkSession
+
+    def written(df, name):
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    def followed(df, to):
+        up = to.select("file", F.col("id").alias("parent"), F.col("parent").alias("above"), F.col("m").alias("outer"))
+        numbers = _composed(F.col("outer"), F.col("m"), F.col("outer").isNotNull())
+        return df.join(up, ["file", "parent"], "left").select("file", "id", "parent", "above", "m", *[x.alias(name) for x, name in zip(numbers, WORLD, strict=True)])
+
+    placed = written(placed, "placed")
+    now = written(placed.join(placed.select("file", F.col("parent").alias("id")).distinct(), ["file", "id"], "left_semi"), "placements")
     for _ in range(rounds):
-        path = scratch(spark, "placements")
-        now.write.parquet(path)
-        now = spark.read.parquet(path)
         if now.where("parent is not null").isEmpty():
-            return now.select("file", "id", "m")
-        up = now.select("file", F.col("id").alias("parent"), F.col("parent").alias("above"), F.col("m").alias("outer"))
-        done = now.where("parent is null")
-        moved = now.where("parent is not null").join(up, ["file", "parent"], "left")
-        now = done.unionByName(moved.select("file", "id", F.col("above").alias("parent"), F.when(F.col("outer").isNull(), F.col("m")).otherwise(_composed(F.col("outer"), F.col("m"))).alias("m")))
+            return followed(placed, now).drop("above")
+        moved = followed(now.where("parent is not null"), now).select("file", "id", F.col("above").alias("parent"), F.array(*WORLD).alias("m"))
+        now = written(now.where("parent is null").unionByName(moved), "placements")
     raise ValueError(f"placements lead to each other in a circle, or deeper than 2^{rounds - 1}")
 
 
 def locations(records: DataFrame) -> DataFrame:
     """file, global_id, x, y, z (in the coordinates of the placement's parent) and world_x, world_y, world_z of every object with a local placement."""
-    placed = placements(records)
-    path = scratch(records.sparkSession, "placed")
-    placed.write.parquet(path)
-    placed = records.sparkSession.read.parquet(path)
-    own = records.where(F.length(text_of(F.get("args", 0))) == 22).select("file", text_of(F.get("args", 0)).alias("global_id"), F.get(_refs(F.get("args", 5)), 0).alias("id")).where("id is not null")
-    at = lambda m, name: [F.get(m, 9 + k).alias(name + c) for k, c in enumerate("xyz")]
-    world = in_world(placed).select("file", "id", *at("m", "world_"))
-    return own.join(placed.select("file", "id", *at("m", "")), ["file", "id"]).join(world, ["file", "id"]).drop("id")
+    own = records.where(F.length(text_of(F.get("args", 0))) == 22).select("file", text_of(F.get("args", 0)).alias("global_id"), _ref(F.get("args", 5)).alias("id")).where("id is not null")
+    at = [F.get("m", 9 + k).alias(c) for k, c in enumerate("xyz")] + [F.col(WORLD[9 + k]).alias(f"world_{c}") for k, c in enumerate("xyz")]
+    return own.join(_worlds(placements(records)).select("file", "id", *at), ["file", "id"]).drop("id")
 
 
 #: Classes of places, from the whole to its parts.

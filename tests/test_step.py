@@ -148,3 +148,20 @@ def test_records_are_made_over_tasks_by_their_number(spark, sf):
     assert io_queries.dealt(rows, "global_id", rows_a_task=20).rdd.getNumPartitions() == -(-rows.count() // 20)
     plan = io_queries.p1_step_census(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ArrowEval" not in plan  # types are counted without cutting arguments
+
+
+def test_quoted_arguments_as_by_the_pattern(spark):
+    texts = ["'a'", "''", "'", "'it''s'", "'a\nb'", "$", "*", "", ".T.", "a'", "'a", "#1", "'ü'", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "arg string")
+    pattern = F.when(F.col("arg").isin("$", "*"), None).otherwise(F.regexp_extract("arg", r"(?s)^'(.*)'$", 1))
+    assert all(a == b for a, b in rows.select(step.text_of(F.col("arg")), pattern).collect())
+
+
+def test_only_placements_that_others_lead_to_take_rounds(spark, monkeypatch):
+    lines = ["#1=IFCLOCALPLACEMENT($,$)", "#2=IFCLOCALPLACEMENT(#1,$)", "#3=IFCLOCALPLACEMENT(#2,$)", *[f"#{n}=IFCLOCALPLACEMENT(#3,$)" for n in range(10, 60)], "#60=IFCLOCALPLACEMENT(#99,$)"]
+    paths, plain = [], step.scratch
+    monkeypatch.setattr(step, "scratch", lambda spark, name: paths.append((name, plain(spark, name))) or paths[-1][1])
+    found = step.in_world(step.placements(as_records(spark, lines)))
+    assert found.count() == found.select("id").distinct().count() == 54
+    sizes = [(name, spark.read.parquet(path).count()) for name, path in paths]
+    assert sizes[0] == ("placed", 54) and len(sizes) > 2 and all(n == 3 for _, n in sizes[1:]), sizes
