@@ -161,13 +161,10 @@ def objects(records: DataFrame) -> DataFrame:
 
 def relationships(records: DataFrame) -> DataFrame:
     """file, type, source, target, source_class, target_class by global ids."""
-    parts = []
-    for kind, (name, many, one) in RELATIONS.items():
-        rows = records.where(F.col("type") == kind)
-        parts.append(rows.select("file", F.lit(name).alias("kind"), F.explode(_refs(F.get("args", many))).alias("a"), F.get(_refs(F.get("args", one)), 0).alias("b")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    # Records are read once for all types.
+    by_type = lambda place: F.coalesce(*[F.when(F.col("type") == kind, F.lit(found[place])) for kind, found in RELATIONS.items()])
+    rows = records.where(F.col("type").isin(*RELATIONS)).select("file", by_type(0).alias("kind"), F.get("args", by_type(1)).alias("many"), F.get("args", by_type(2)).alias("one"))
+    out = rows.select("file", "kind", F.explode(_refs(F.col("many"))).alias("a"), _ref(F.col("one")).alias("b"))
     ends = objects(records).select("file", "id", "global_id", "type")
     a = ends.select("file", F.col("id").alias("a"), F.col("global_id").alias("source"), F.col("type").alias("source_class"))
     b = ends.select("file", F.col("id").alias("b"), F.col("global_id").alias("target"), F.col("type").alias("target_class"))
@@ -213,8 +210,8 @@ def materials(records: DataFrame) -> DataFrame:
 def classifications(records: DataFrame) -> DataFrame:
     """file, global_id, system, code, name of classification references."""
     of = lambda kind: records.where(F.col("type") == kind)
-    rel = of("IFCRELASSOCIATESCLASSIFICATION").select("file", F.explode(_refs(F.get("args", 4))).alias("element"), F.get(_refs(F.get("args", 5)), 0).alias("ref"))
-    ref = of("IFCCLASSIFICATIONREFERENCE").select("file", F.col("id").alias("ref"), text_of(F.get("args", 1)).alias("code"), text_of(F.get("args", 2)).alias("name"), F.get(_refs(F.get("args", 3)), 0).alias("s"))
+    rel = of("IFCRELASSOCIATESCLASSIFICATION").select("file", F.explode(_refs(F.get("args", 4))).alias("element"), _ref(F.get("args", 5)).alias("ref"))
+    ref = of("IFCCLASSIFICATIONREFERENCE").select("file", F.col("id").alias("ref"), text_of(F.get("args", 1)).alias("code"), text_of(F.get("args", 2)).alias("name"), _ref(F.get("args", 3)).alias("s"))
     system = of("IFCCLASSIFICATION").select("file", F.col("id").alias("s"), text_of(F.get("args", 3)).alias("system"))
     owner = objects(records).select("file", F.col("id").alias("element"), "global_id")
     return rel.join(ref, ["file", "ref"]).join(system, ["file", "s"], "left").join(owner, ["file", "element"]).select("file", "global_id", "system", "code", "name")

@@ -165,3 +165,15 @@ def test_only_placements_that_others_lead_to_take_rounds(spark, monkeypatch):
     assert found.count() == found.select("id").distinct().count() == 54
     sizes = [(name, spark.read.parquet(path).count()) for name, path in paths]
     assert sizes[0] == ("placed", 54) and len(sizes) > 2 and all(n == 3 for _, n in sizes[1:]), sizes
+
+
+def test_relationships_read_records_once(spark):
+    lines = [f"#{n}=IFCWALL('{n:022d}',$,'w',$,$,$,$)" for n in (1, 2, 3)] + [f"#{10 + i}={kind}('{10 + i:022d}',$,$,$,{','.join(ends)})" for i, (kind, ends) in enumerate({
+        "IFCRELCONTAINEDINSPATIALSTRUCTURE": ("(#1,#2)", "#3"), "IFCRELAGGREGATES": ("#3", "(#1,#2)"), "IFCRELCONNECTSELEMENTS": ("$", "#1", "#3"), "IFCRELVOIDSELEMENT": ("#1", "#3"), "IFCRELFILLSELEMENT": ("#3", "#1"),
+    }.items())]
+    path = step.scratch(spark, "records")
+    as_records(spark, lines).write.parquet(path)
+    found = step.relationships(spark.read.parquet(path))
+    got = sorted((r["type"], int(r["source"]), int(r["target"])) for r in found.collect())
+    assert got == [("aggregated_by", 1, 3), ("aggregated_by", 2, 3), ("connected_to", 1, 3), ("contained_in", 1, 3), ("contained_in", 2, 3), ("fills", 1, 3), ("has_opening", 1, 3)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3  # relations, and both ends
