@@ -181,34 +181,48 @@ PREFIXES = {
 TOPOLOGY = {"IfcSpace": "bot:Space", "IfcWall": "beo:Wall", "IfcDoor": "beo:Door", "IfcWindow": "beo:Window", "IfcSlab": "beo:Slab", "IfcRoof": "beo:Roof", "IfcBeam": "beo:Beam"}
 
 
-def triples(elements: DataFrame, properties: DataFrame, spatial: DataFrame, classes: DataFrame, documents: DataFrame, rows_a_task: int = 100_000) -> DataFrame:
+def triple_tasks(elements: DataFrame, properties: DataFrame, documents: DataFrame, rows_a_task: int = 100_000) -> int:
+    """Over how many tasks the triples of these rows are dealt, and what is made of whole subjects."""
+    return max(elements.sparkSession.sparkContext.defaultParallelism, math.ceil((elements.count() + properties.count() + documents.count()) / rows_a_task))
+
+
+def triples(elements: DataFrame, properties: DataFrame, spatial: DataFrame, classes: DataFrame, documents: DataFrame, rows_a_task: int = 100_000, tasks: int | None = None) -> DataFrame:
     """subject, predicate, object, object_type, datatype, each once: the project and its sites, buildings, storeys and spaces, elements with classes, labels, places,
     property sets, materials and classifications, and documents. classes: ifc_class, uniclass; documents: doc_id, filename, phase.
-    rows_a_task: elements, properties and documents whose triples a task holds to keep each once.
+    rows_a_task: elements, properties and documents whose triples a task holds to keep each once; tasks: triple_tasks() where it is known.
     """
     row = lambda s, p, o, kind="uri", datatype=None: F.struct(s.alias("subject"), (F.lit(p) if isinstance(p, str) else p).alias("predicate"), o.cast("string").alias("object"), F.lit(kind).alias("object_type"), (datatype if datatype is not None else F.lit(None).cast("string")).alias("datatype"))
     uri = lambda c: F.concat(F.lit("inst:"), F.col(c))
     rows = lambda df, *made: df.select(F.inline(F.array(*made)))
     named = lambda s, kinds, c, label: [row(s, "rdf:type", F.lit(k)) for k in kinds] + [row(s, "ifc:globalId_IfcRoot", F.col(c), "literal"), row(s, "rdfs:label", label, "literal")]
+    # Inputs are small files of many rows, each of which makes many triples: rows are dealt before triples are made of them, so that no task writes those of a whole
+    # split, and triples before equal ones are looked for. What many rows share (materials, classes, sets, sites, buildings) is stated once for all of them.
+    tasks = tasks or triple_tasks(elements, properties, documents, rows_a_task)
+    elements, properties, spatial, documents = (
+        df.select(*columns).repartition(tasks, *columns[:keys])
+        for df, keys, columns in (
+            (elements, 1, ("global_id", "ifc_class", "name", "container", "material")), (properties, 2, ("global_id", "pset", "prop", "value")),
+            (spatial, 1, ("storey", "elevation", "building", "site", "site_name")), (documents, 1, ("doc_id", "filename", "phase")),
+        )
+    )
     e, project, mat, cls = uri("global_id"), F.lit("inst:project"), F.concat(F.lit("mat:"), F.col("material")), F.concat(F.lit("class:"), F.col("uniclass"))
     topology = F.try_element_at(F.create_map(*[x for k, v in TOPOLOGY.items() for x in (F.lit(k), F.lit(v))]), F.col("ifc_class"))
     space = F.when(F.col("ifc_class") == "IfcSpace", "bot:hasSpace").otherwise("bot:containsElement")
-    out = rows(elements, *named(e, [], "global_id", F.col("name")), row(e, "rdf:type", F.concat(F.lit("ifc:"), F.col("ifc_class"))), row(e, "rdf:type", topology), row(e, "bot:containedIn", uri("container")), row(uri("container"), space, e), row(e, "ifc:hasMaterial", mat))
-    tree = rows(
-        spatial, row(project, "rdf:type", F.lit("ifc:IfcProject")), row(project, "bot:hasSite", uri("site")), *named(uri("site"), ["bot:Site", "ifc:IfcSite"], "site", F.col("site_name")), *named(uri("building"), ["bot:Building", "ifc:IfcBuilding"], "building", F.col("building")),
-        *named(uri("storey"), ["bot:Storey", "ifc:IfcBuildingStorey"], "storey", F.col("storey")), row(uri("storey"), "props:elevation", F.col("elevation"), "typed_literal", F.lit("xsd:double")), row(uri("building"), "bot:hasStorey", uri("storey")), row(uri("site"), "bot:hasBuilding", uri("building")),
-    )
+    # The table of classes is the small side, of which the optimizer knows no size: without the hint the elements are broadcast, or sorted by their few classes.
+    coded = elements.join(F.broadcast(classes.where("uniclass is not null").select("ifc_class", "uniclass")), "ifc_class", "left")
+    out = rows(coded, *named(e, [], "global_id", F.col("name")), row(e, "rdf:type", F.concat(F.lit("ifc:"), F.col("ifc_class"))), row(e, "rdf:type", topology), row(e, "bot:containedIn", uri("container")), row(uri("container"), space, e), row(e, "ifc:hasMaterial", mat), row(e, "ifc:hasClassification", cls))
+    shared = rows(coded.select("material", "uniclass").distinct(), row(mat, "rdf:type", F.lit("ifc:IfcMaterial")), row(mat, "rdfs:label", F.col("material"), "literal"), row(cls, "rdf:type", F.lit("ifc:IfcClassificationReference")))
+    sites = rows(spatial.select("site", "site_name").distinct(), row(project, "rdf:type", F.lit("ifc:IfcProject")), row(project, "bot:hasSite", uri("site")), *named(uri("site"), ["bot:Site", "ifc:IfcSite"], "site", F.col("site_name")))
+    buildings = rows(spatial.select("building", "site").distinct(), *named(uri("building"), ["bot:Building", "ifc:IfcBuilding"], "building", F.col("building")), row(uri("site"), "bot:hasBuilding", uri("building")))
+    storeys = rows(spatial, *named(uri("storey"), ["bot:Storey", "ifc:IfcBuildingStorey"], "storey", F.col("storey")), row(uri("storey"), "props:elevation", F.col("elevation"), "typed_literal", F.lit("xsd:double")), row(uri("building"), "bot:hasStorey", uri("storey")))
     pset = F.concat_ws("/", e, F.col("pset"))
     name = F.concat(F.lit("props:"), F.replace("prop", F.lit(" "), F.lit("_")))
-    sets = rows(properties, row(pset, "rdf:type", F.lit("ifc:IfcPropertySet")), row(pset, "rdfs:label", F.col("pset"), "literal"), row(e, "ifc:hasPropertySet", pset), row(pset, name, F.col("value"), "typed_literal", literal_type(F.col("value"))))
-    materials = rows(elements.where("material is not null"), row(mat, "rdf:type", F.lit("ifc:IfcMaterial")), row(mat, "rdfs:label", F.col("material"), "literal"))
-    coded = rows(elements.join(classes.where("uniclass is not null"), "ifc_class"), row(e, "ifc:hasClassification", cls), row(cls, "rdf:type", F.lit("ifc:IfcClassificationReference")))
+    sets = rows(properties.select("global_id", "pset").distinct(), row(pset, "rdf:type", F.lit("ifc:IfcPropertySet")), row(pset, "rdfs:label", F.col("pset"), "literal"), row(e, "ifc:hasPropertySet", pset))
+    values = rows(properties, row(pset, name, F.col("value"), "typed_literal", literal_type(F.col("value"))))
     doc = F.concat(F.lit("inst:doc/"), F.col("doc_id").cast("string"))
     papers = rows(documents, row(doc, "rdf:type", F.lit("foaf:Document")), row(doc, "rdfs:label", F.col("filename"), "literal"), row(doc, "props:lifecyclePhase", F.col("phase"), "literal"), row(project, "foaf:topic", doc))
-    for part in (tree, sets, materials, coded, papers):
+    for part in (shared, sites, buildings, storeys, sets, values, papers):
         out = out.unionByName(part)
-    # Inputs are small files of many elements, each of which makes many triples: they are dealt before equal ones are looked for, over tasks that their number asks for.
-    tasks = max(elements.sparkSession.sparkContext.defaultParallelism, math.ceil((elements.count() + properties.count() + documents.count()) / rows_a_task))
     return out.where("subject is not null and object is not null").repartition(tasks, *out.columns).distinct()
 
 
@@ -246,14 +260,7 @@ def pattern_order(patterns: list[tuple[str, str, str]], sizes: list[int]) -> lis
     return order
 
 
-def match_pattern(rows: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
-    """A basic graph pattern: terms that begin with '?' are variables, shared ones join. One column per variable, in the order of the patterns.
-
-    One pass counts what each pattern matches; patterns are then joined from the smallest on, each with one that it shares a variable with.
-    """
-    terms = [list(zip(("subject", "predicate", "object"), p, strict=True)) for p in patterns]
-
-    def meets(pattern):
+def meets(pattern):
         out, seen = F.lit(True), {}
         for column, term in pattern:
             # A variable that stands twice in a pattern asks for equal terms.

@@ -163,3 +163,17 @@ def test_triples_are_dealt_by_their_number(spark, sf):
     # Nothing is gathered before the deal: both steps of the distinct stand above the one exchange by all columns.
     assert plan.rfind("HashAggregate(keys=[subject") < plan.find("REPARTITION_BY_NUM")
     assert found.count() == found.distinct().count()
+
+
+def test_rows_are_dealt_before_triples_are_made(spark, sf):
+    from lintel.operators import enrich
+    from lintel.plans.views import view
+
+    found = graph.triples(*[view(spark, sf, n) for n in ("v_elements", "v_properties", "v_spatial")], enrich.crosswalk(spark), view(spark, sf, "v_documents"), rows_a_task=50)
+    made = found._jdf.queryExecution().sparkPlan().toString(), found._jdf.queryExecution().optimizedPlan().toString()
+    for part in made[1].split("Generate inline")[1:]:
+        assert "RepartitionByExpression" in part
+    # Classes are the side that is broadcast, and what rows share is stated once: each material, class and site makes its triples in one row.
+    assert all("BuildRight" in line and "LeftOuter" in line for line in made[0].splitlines() if "Join [ifc_class" in line) and "Join [ifc_class" in made[0]
+    shared = [part.splitlines()[1] for part in made[1].split("Generate inline")[1:]]
+    assert sum("Aggregate [" in line for line in shared) >= 4
