@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.operators import enrich, graph, rules
-from lintel.plans.model_queries import CHECKS, CROSS, EDGES, ESCAPED, FOUND, FULL, OBSERVED, PREFIXED, SPEC_ROWS, TOPICS, TRIPLES, all_checks, all_triples, edges, ids_specs, issue_topics, lookup, nodes, specifications
+from lintel.plans.model_queries import CHECKS, CROSS, EDGES, ESCAPED, FOUND, FULL, OBSERVED, PREFIXED, SPEC_ROWS, TOPICS, TRIPLES, all_checks, all_triples, edges, ids_specs, issue_topics, lookup, nodes, specifications, triple_tasks
 from lintel.plans.registry import ORACLES, query
 from lintel.plans.views import table, view
 from lintel.sources import readers, sinks, step
@@ -222,12 +222,14 @@ NAME = "case when regexp_matches({0}, '^[A-Za-z0-9_]+:[A-Za-z0-9_-]+$') then {0}
 @query(f"""select s || ' ' || string_agg(p, ' ; ' order by p) || ' .' as value from (select {NAME.format('subject')} as s, {NAME.format('predicate')} || ' ' || case when object_type = 'uri' then {NAME.format('object')} when datatype is not null then '"' || {ESCAPED} || '"^^' || datatype else '"' || {ESCAPED} || '"' end as p from {TRIPLES} t) s group by s
     union all select '@prefix ' || prefix || ': <' || base || '> .' from {PREFIXED} p""")
 def s9_turtle(spark, sf):
-    return sinks.turtle(all_triples(spark, sf), graph.PREFIXES)
+    tasks = triple_tasks(spark, sf)
+    return sinks.turtle(all_triples(spark, sf, tasks), graph.PREFIXES, tasks)
 
 
 @query(f"select subject, predicate, count(*) as n, count(*) filter (where object_type = 'uri') as n_uris, count(datatype) as n_typed from {TRIPLES} t group by 1, 2")
 def s9_json_ld(spark, sf):
-    lines = sinks.json_ld(all_triples(spark, sf), graph.PREFIXES)
+    tasks = triple_tasks(spark, sf)
+    lines = sinks.json_ld(all_triples(spark, sf, tasks), graph.PREFIXES, tasks)
     subject = F.get_json_object("value", "$.@id")
     body = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: ~k.startswith("@"))
     rows = lines.select(subject.alias("subject"), F.explode(body).alias("predicate", "v")).withColumn("v", F.from_json("v", "array<struct<`@id`:string,`@value`:string,`@type`:string>>"))

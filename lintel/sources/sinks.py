@@ -33,19 +33,23 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def turtle(triples: DataFrame, prefixes: dict[str, str]) -> DataFrame:
-    """One statement per subject after the lines of the prefixes, its predicates joined by ';'. Names that are no plain prefixed names stand as addresses."""
+def turtle(triples: DataFrame, prefixes: dict[str, str], tasks: int | None = None) -> DataFrame:
+    """One statement per subject after the lines of the prefixes, its predicates joined by ';'. Names that are no plain prefixed names stand as addresses.
+
+    tasks: over how many tasks subjects are dealt, each collected once; otherwise as many as Spark's shuffles have.
+    """
     name = lambda c: F.when(F.col(c).rlike(r"^\w+:[\w-]+$"), F.col(c)).otherwise(F.concat(F.lit("<"), full(F.col(c)), F.lit(">")))
     text = F.concat(F.lit('"'), escaped(F.col("object")), F.lit('"'))
     obj = F.when(F.col("object_type") == "uri", name("object")).when(F.col("datatype").isNotNull(), F.concat_ws("^^", text, "datatype")).otherwise(text)
     rows = triples.select(name("subject").alias("s"), F.concat_ws(" ", name("predicate"), obj).alias("p"))
-    parts = rows.groupBy("s").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    parts = (rows.repartition(tasks, "s") if tasks else rows).groupBy("s").agg(F.array_sort(F.collect_list("p")).alias("p"))
     head = triples.sparkSession.createDataFrame([(f"@prefix {k}: <{v}> .",) for k, v in prefixes.items()], "value string")
     return head.unionByName(parts.select(F.concat("s", F.lit(" "), F.array_join("p", " ; "), F.lit(" .")).alias("value")))
 
 
-def json_ld(triples: DataFrame, prefixes: dict[str, str]) -> DataFrame:
-    """One JSON object per subject: the context, its id, and lists of objects by predicate, with their types where they have one."""
+def json_ld(triples: DataFrame, prefixes: dict[str, str], tasks: int | None = None) -> DataFrame:
+    """One JSON object per subject: the context, its id, and lists of objects by predicate, with their types where they have one. tasks: as in turtle()."""
+    triples = triples.repartition(tasks, "subject") if tasks else triples
     item = F.struct(F.when(F.col("object_type") == "uri", F.col("object")).alias("@id"), F.when(F.col("object_type") != "uri", F.col("object")).alias("@value"), F.col("datatype").alias("@type"))
     lists = triples.groupBy("subject", "predicate").agg(F.array_sort(F.collect_list(item)).alias("objects"))
     rows = lists.groupBy("subject").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicate", "objects")))).alias("p"))

@@ -177,3 +177,17 @@ def test_rows_are_dealt_before_triples_are_made(spark, sf):
     assert all("BuildRight" in line and "LeftOuter" in line for line in made[0].splitlines() if "Join [ifc_class" in line) and "Join [ifc_class" in made[0]
     shared = [part.splitlines()[1] for part in made[1].split("Generate inline")[1:]]
     assert sum("Aggregate [" in line for line in shared) >= 4
+
+
+def test_turtle_deals_subjects_by_their_number(spark):
+    from lintel.sources import sinks
+
+    rows = [("inst:a b", "rdfs:label", f"v{k}", "literal", None) for k in range(5)] + [("inst:a%20b", "rdfs:label", "v0", "literal", None)] + [(f"inst:{k}", "rdf:type", "bot:Site", "uri", None) for k in range(50)]
+    triples = spark.createDataFrame(rows, "subject string, predicate string, object string, object_type string, datatype string").repartition(3)
+    found = sinks.turtle(triples, {"bot": "https://w3id.org/bot#"}, tasks=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 7), REPARTITION_BY_NUM" in plan
+    assert sorted(found.collect()) == sorted(sinks.turtle(triples, {"bot": "https://w3id.org/bot#"}).collect())
+    assert len(found.collect()) == 52
+    # Subjects that have one address share a statement, and equal parts of different triples stay.
+    assert any(r.value.count('"v0"') == 2 for r in found.collect())
