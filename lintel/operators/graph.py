@@ -6,6 +6,7 @@ Pairs within a group grow with its square: cliques.py makes them from blocks, or
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -260,19 +261,29 @@ def pattern_order(patterns: list[tuple[str, str, str]], sizes: list[int]) -> lis
     return order
 
 
-def meets(pattern):
-        out, seen = F.lit(True), {}
-        for column, term in pattern:
-            # A variable that stands twice in a pattern asks for equal terms.
-            out = out & (F.col(column) == (F.col(seen[term]) if term in seen else F.lit(term))) if term in seen or not term.startswith("?") else out
-            seen.setdefault(term, column)
-        return out
+def meets(pattern: tuple[str, str, str]) -> Column:
+    """Whether a triple matches a pattern; a variable that stands twice in it asks for equal terms."""
+    out, seen = F.lit(True), {}
+    for column, term in zip(("subject", "predicate", "object"), pattern, strict=True):
+        out = out & (F.col(column) == (F.col(seen[term]) if term in seen else F.lit(term))) if term in seen or not term.startswith("?") else out
+        seen.setdefault(term, column)
+    return out
 
-    sizes = rows.agg(*[F.count_if(meets(p)).alias(f"n{k}") for k, p in enumerate(terms)]).first()
+
+def pattern_sizes(rows: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
+    """One row, n0 and on: how many triples match each pattern. Triples that match none are left out first, so that they are not dealt to keep each once."""
+    return rows.where(reduce(Column.__or__, [meets(p) for p in patterns])).agg(*[F.count_if(meets(p)).alias(f"n{k}") for k, p in enumerate(patterns)])
+
+
+def match_pattern(rows: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
+    """A basic graph pattern: terms that begin with '?' are variables, shared ones join. One column per variable, in the order of the patterns.
+
+    One pass counts what each pattern matches; patterns are then joined from the smallest on, each with one that it shares a variable with.
+    """
     out = None
-    for k in pattern_order(patterns, list(sizes)):
-        named = {t[1:]: c for c, t in reversed(terms[k]) if t.startswith("?")}
-        part = rows.where(meets(terms[k])).select(*[F.col(c).alias(v) for v, c in named.items()]).distinct()
+    for k in pattern_order(patterns, list(pattern_sizes(rows, patterns).first())):
+        named = {t[1:]: c for c, t in reversed(list(zip(("subject", "predicate", "object"), patterns[k], strict=True))) if t.startswith("?")}
+        part = rows.where(meets(patterns[k])).select(*[F.col(c).alias(v) for v, c in named.items()]).distinct()
         out = part if out is None else out.join(part, [v for v in named if v in out.columns])
     return out.select(*dict.fromkeys(t[1:] for p in patterns for t in p if t.startswith("?")))
 

@@ -191,3 +191,13 @@ def test_turtle_deals_subjects_by_their_number(spark):
     assert len(found.collect()) == 52
     # Subjects that have one address share a statement, and equal parts of different triples stay.
     assert any(r.value.count('"v0"') == 2 for r in found.collect())
+
+
+def test_triples_that_no_pattern_matches_are_not_dealt(spark):
+    rows = [("a", "type", "Door"), ("a", "type", "Door"), ("b", "type", "Wall"), ("a", "in", "s"), ("a", "same", "a")]
+    triples = spark.createDataFrame(rows, "subject string, predicate string, object string").repartition(3, "subject", "predicate", "object").distinct()
+    found = graph.pattern_sizes(triples, [("?e", "type", "Door"), ("?e", "in", "?s"), ("?x", "same", "?x")])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(found.first()) == (1, 1, 1)
+    assert plan.find("Filter") > plan.find("RepartitionByExpression") > 0
+    assert tuple(graph.pattern_sizes(triples, [("?e", "?p", "?s"), ("?e", "in", "?s")]).first()) == (4, 1)
