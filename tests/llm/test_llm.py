@@ -228,6 +228,15 @@ def test_decontamination_is_the_same_beyond_the_bound(spark):
     assert got[0] == got[1] and len(got[0]) > 3
 
 
+def test_decontamination_holds_no_text_for_each_hit(spark):
+    """A long text full of a passage: before, each of its hits held all its words, 18 GB together."""
+    item = " ".join(f"b{k}" for k in range(36))
+    docs = spark.createDataFrame([(1, " ".join([item] * 850), None, None, None)], SCHEMA)
+    benchmark = spark.createDataFrame([(1, item), (2, item), (3, "something else")], "item_id long, text string")
+    got = {r["item_id"]: tuple(r)[2:] for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert set(got) == {1, 2} and got[1] == got[2] and got[1][0] >= 850 and got[1][1:] == (16, 16)
+
+
 def test_packing(spark, docs):
     load = packing.word_bpe(__import__("public_tokenizers").path("word_bpe_49k.json"))
     pieces = packing.pack(clashing(docs), load, size=64, with_ids=True).collect()
