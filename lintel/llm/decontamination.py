@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import long_id, row_key
+from lintel.llm.common import long_id, row_key, saved
 
 #: Weight 5 masks; a passage of 16 words with 3 substitutions always leaves a position of one of them whole.
 MASKS = ("11011001", "1010010011", "11111")
@@ -126,5 +126,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """`docs` without rows that overlap a benchmark item; all columns stay, and so do rows with a null doc_id."""
-    bad = _found(docs, benchmark, **kw)[0].select(F.col("doc_id").alias("gone"), F.col("key").alias("gone_key")).distinct()
+    # Saved: a small table, whose size then decides how it is joined, where the texts would be shuffled for a plan of unknown size.
+    bad = saved(_found(docs, benchmark, **kw)[0].select(F.col("doc_id").alias("gone"), F.col("key").alias("gone_key")).distinct(), "leaks")
     return docs.join(bad, (docs.doc_id == bad.gone) & (row_key() == bad.gone_key), "left_anti")

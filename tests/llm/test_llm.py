@@ -237,6 +237,11 @@ def test_decontamination_holds_no_text_for_each_hit(spark):
     assert set(got) == {1, 2} and got[1] == got[2] and got[1][0] >= 850 and got[1][1:] == (16, 16)
 
 
+def test_decontamination_shuffles_no_texts(spark, sf):
+    left = decontamination.drop_contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    assert "Exchange hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packing(spark, docs):
     load = packing.word_bpe(__import__("public_tokenizers").path("word_bpe_49k.json"))
     pieces = packing.pack(clashing(docs), load, size=64, with_ids=True).collect()
