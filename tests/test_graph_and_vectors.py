@@ -110,6 +110,12 @@ def test_numbered_pairs_come_from_blocks(spark, elements):
     assert cliques.tiles(found, 5).agg(F.max(F.size("src")), F.max(F.size("dst"))).first() == (5, 5)
 
 
+def test_pairs_of_a_tile_come_one_by_one(spark):
+    """A tile of 20,000 by 20,000: before, a task held all its pairs, 30 GB, before it gave the first."""
+    rows = spark.range(20_000).select(F.lit("one").alias("container"), F.concat(F.lit("e"), "id").alias("global_id"), F.col("id").alias("ord"))
+    assert [tuple(r) for r in cliques.expand(cliques.members(rows, "container"), 20_000).take(2)] == [("e0", "e1"), ("e0", "e2")]
+
+
 def test_pairs_that_share_any_value(spark, elements):
     want = plain_pairs(elements.collect(), "container", "material")
     for block in (3, 1000):
